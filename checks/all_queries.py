@@ -1,4 +1,4 @@
 """Everything that is registered."""
 
-from checks import neighbours, shaping  # noqa: F401
+from checks import neighbours, relational, shaping, vectors  # noqa: F401
 from checks.registry import QUERIES, SQL  # noqa: F401

@@ -232,21 +232,21 @@ def parse_unit_number(spark, d):
         "event_id", names.unit_number(mib).alias("mb"), names.unit_number(F.col("event_type")).alias("none"))
 
 
-@query("str15_parse_log_time", "select event_id, floor(epoch(ts))::bigint seconds from events")
+@query("str15_parse_log_time", 'select event_id, floor(epoch(ts))::bigint "seconds" from events')
 def parse_log_time(spark, d):
     text = F.date_format("ts", "E MMM dd HH:mm:ss yyyy")
     return v.table(spark, d, "events").select("event_id", names.log_time(text).alias("seconds"))
 
 
 @query("str16_capture_date", f"""with {v.PLOT}, dated as (select o_orderkey,
-    try_strptime(nullif(regexp_extract(quadrat_id, '-([0-9]{{8}})', 1), ''), '%Y%m%d')::date day from plot_name)
-  select o_orderkey, strftime(day, '%Y-%m-%d') day, case when month(day) in (3, 4, 5) then 'Spring'
-    when month(day) in (6, 7, 8) then 'Summer' when month(day) in (9, 10, 11) then 'Autumn'
-    when day is not null then 'Winter' end season from dated""")
+    try_strptime(nullif(regexp_extract(quadrat_id, '-([0-9]{{8}})', 1), ''), '%Y%m%d')::date taken from plot_name)
+  select o_orderkey, strftime(taken, '%Y-%m-%d') taken_on, case when month(taken) in (3, 4, 5) then 'Spring'
+    when month(taken) in (6, 7, 8) then 'Summer' when month(taken) in (9, 10, 11) then 'Autumn'
+    when taken is not null then 'Winter' end season from dated""")
 def capture_date(spark, d):
     day = names.capture_date(F.col("quadrat_id"))
     return v.plots(spark, d).select(
-        "o_orderkey", F.date_format(day, "yyyy-MM-dd").alias("day"), names.season(day).alias("season"))
+        "o_orderkey", F.date_format(day, "yyyy-MM-dd").alias("taken_on"), names.season(day).alias("season"))
 
 
 @query("str18_grid_label_to_n", """select l_linenumber || 'x' || l_linenumber grid, l_linenumber n, count(*) n_rows
@@ -357,9 +357,8 @@ def scan_country_lists(spark, d):
 @query("src09_scan_class_index", "select (row_number() over (order by s_suppkey) - 1)::int class_idx, s_suppkey species_id from supplier")
 def scan_class_index(spark, d):
     path = new_path(spark, "classes")
-    v.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string")).orderBy(
-        "s_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.col("s_suppkey").cast("bigint"))),
-                                                  lambda x: x.cast("string")), "\n")).write.text(path)
+    ordered = v.table(spark, d, "supplier").orderBy("s_suppkey").select(F.col("s_suppkey").cast("string"))
+    ordered.coalesce(1).write.text(path)
     return readers.scan_class_index(spark, path)
 
 

@@ -41,14 +41,14 @@ def item_votes(df: DataFrame, group: str, item: str, order: Sequence[str]) -> Da
 def list_union_by_freq(
     df: DataFrame, group: str, item: str, order: Sequence[str], k: int | None = None
 ) -> DataFrame:
-    """Items of a group by votes, then by first appearance: ``group, item, votes, rank``.
+    """Items of a group by votes, then first appearance, then id: ``group, item, votes, rank``.
 
     ``k`` keeps the first k. Without it the ranks come from the position in the sorted list of the
     group's distinct items.
     """
     votes = item_votes(df, group, item, order)
     if k is not None:
-        best = top_rows(votes, [group], [F.desc("votes"), "first_seen"], k)
+        best = top_rows(votes, [group], [F.desc("votes"), "first_seen", item], k)
         return best.drop("first_seen")
     entry = F.struct((-F.col("votes")).alias("neg"), "first_seen", F.col(item))
     lists = votes.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("_items"))
