@@ -8,10 +8,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import checks
 import tileflow
 
 # Tasks get the library's helpers with the job, also when the repository is not on their path.
 cloudpickle.register_pickle_by_value(tileflow)
+cloudpickle.register_pickle_by_value(checks)
 
 H, W = 20, 24  # height and width of derived masks and images
 EDGE = W * H
