@@ -210,28 +210,28 @@ def parse_structured(spark, d):
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "HOUSEHOLD")
 
 
-@query("rec02_validate_batch", """with r as (select c_nationkey batch, c_custkey % 11 = 0 missing,
-    c_custkey % 11 <> 0 and c_mktsegment not in ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD') bad from customer where c_acctbal > 9000)
+@query("rec02_validate_batch", """with r as (select c_custkey // 8 batch, c_custkey % 11 = 0 missing,
+    c_custkey % 11 <> 0 and c_mktsegment not in ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD') bad from customer)
   select batch, count(*) filter (where missing) n_missing, 0 n_unexpected, count(*) filter (where bad) n_bad,
     case when bool_or(missing or bad) then 'failed' else 'ok' end status from r group by 1""")
 def validate_batch(spark, d):
-    rich = v.table(spark, d, "customer").where("c_acctbal > 9000")
-    text = answers(spark, d).join(rich.select(F.col("c_custkey").alias("request")), "request", "left_semi")
+    batch = F.floor(F.col("request") / 8).alias("batch")
+    asked = v.table(spark, d, "customer").select(F.col("c_custkey").alias("request")).select(batch, "request")
+    text = answers(spark, d).select(batch, "request", "text")
     given = records.parse_structured(text, ["batch", "request"], "text", records.FILTER_SCHEMA).where("not is_corrupt")
-    asked = rich.select(F.col("c_nationkey").alias("batch"), F.col("c_custkey").alias("request"))
     return records.validate_batch(asked, given, "batch", "request", {"justification": SEGMENTS}, ["scientific_name"])
 
 
-@query("rec02_write_validated", """with r as (select c_nationkey batch, bool_or(c_mktsegment not in ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD')) bad
-    from customer where c_acctbal > 9500 group by 1)
+@query("rec02_write_validated", """with r as (select c_custkey // 4 batch, bool_or(c_mktsegment not in ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD')) bad
+    from customer group by 1)
   select status, count(*) n, count(attempt) n_stamped from (select case when bad then 'failed' else 'ok' end status,
-    case when bad then '20250101' end attempt from customer join r on r.batch = c_nationkey where c_acctbal > 9500) group by 1""")
+    case when bad then '20250101' end attempt from customer join r on r.batch = c_custkey // 4) group by 1""")
 def write_validated(spark, d):
-    rich = v.table(spark, d, "customer").where("c_acctbal > 9500").select(
-        F.col("c_nationkey").alias("batch"), F.col("c_custkey").alias("request"), F.col("c_mktsegment").alias("segment"))
-    report = records.validate_batch(rich, rich, "batch", "request", {"segment": SEGMENTS})
+    rows = v.table(spark, d, "customer").select(
+        F.floor(F.col("c_custkey") / 4).alias("batch"), F.col("c_custkey").alias("request"), F.col("c_mktsegment").alias("segment"))
+    report = records.validate_batch(rows, rows, "batch", "request", {"segment": SEGMENTS})
     path = new_path(spark, "responses")
-    records.write_validated(rich, report, "batch", path, "20250101")
+    records.write_validated(rows, report, "batch", path, "20250101")
     return spark.read.parquet(path).groupBy("status").agg(F.count("*").alias("n"), F.count("attempt").alias("n_stamped"))
 
 

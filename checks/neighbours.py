@@ -24,7 +24,7 @@ def neighbour_rows(spark, d, k=10):
 def knn_table(spark, d, k=10):
     t = v.tiles(spark, d)
     keep = t.select(F.col("vec_id").alias("query_id"), "image_name", "tile", F.lit("4x4").alias("grid"))
-    return nn.neighbour_arrays(nn.knn_exact(t, t, k), keep)
+    return settle(nn.neighbour_arrays(nn.knn_exact(t, t, k), keep), "knn")
 
 
 def image_species_distances(spark, d):

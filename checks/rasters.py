@@ -9,6 +9,8 @@ from checks.registry import query
 from tileflow.operators import counting, detections as det, raster
 from tileflow.operators.joins import join_mask_image
 from tileflow.plans import masks as mask_plans
+from tileflow.sources import readers, writers
+from tileflow.sources.tables import new_path, settle
 
 H, W = v.H, v.W
 
@@ -216,7 +218,7 @@ def morph_profile(spark, d):
 
 @query("agg10_morph_whiskers")
 def morph_whiskers(spark, d):
-    out = raster.morph_profile(wide_masks(spark, d), maximum=6, step=2)
+    out = settle(raster.morph_profile(wide_masks(spark, d), maximum=6, step=2))
     return counting.whisker_stats(out, ["iteration"], ["opening_mean", "closing_mean"])
 
 
@@ -322,3 +324,102 @@ def quadrants():
 def detect(spark, d):
     out = det.detect(images(spark, d), quadrants)
     return image_sums(out, ["image_name", "det_id", "label", "height", "width"])
+
+
+# --------------------------------------------------------------------------- wide and array forms
+
+
+def write_bitmaps(spark, d, path):
+    """The images as uncompressed bitmap files; the tasks write them into the shared folder."""
+    import struct
+    from pathlib import Path
+
+    def write(batches):
+        Path(path).mkdir(parents=True, exist_ok=True)
+        for pdf in batches:
+            for r in pdf.itertuples():
+                rows = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)[::-1]
+                body = np.pad(rows.reshape(r.height, -1), ((0, 0), (0, -r.width * 3 % 4))).tobytes()
+                head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(body), 0, 0, 54, 40, r.width, r.height, 1, 24, 0,
+                                   len(body), 2835, 2835, 0, 0)
+                (Path(path) / f"{r.image_name}.bmp").write_bytes(head + body)
+            yield pdf[["image_name"]]
+
+    return images(spark, d).mapInPandas(write, "image_name string").count()
+
+
+@query("src02_scan_image_dir", f"""with {v.PIXELS} select image_name || '.bmp' image_name, {H} height, {W} width,
+  sum(v)::bigint total, sum(v * (((y * {W} + x) * 3 + c) % 101 + 1))::bigint weighted from px group by 1""")
+def scan_image_dir(spark, d):
+    path = new_path(spark, "bitmaps").removeprefix("file:")
+    write_bitmaps(spark, d, path)
+    return image_sums(readers.scan_image_dir(spark, path), ["image_name", "height", "width"])
+
+
+KINDS = [("click", {"w": b"1"}), ("error", {"w": b"22"}), ("view", {"w": b"333"})]
+
+
+@query("src11_from_records", """select event_id, n from events join (values ('click', 1), ('error', 2), ('view', 3)) k(event_type, n)
+  using (event_type)""")
+def from_records(spark, d):
+    kinds = readers.from_records(spark, KINDS, "event_type string, detail map<string, binary>")
+    events = v.table(spark, d, "events").select("event_id", "event_type")
+    return events.join(kinds, "event_type").select("event_id", F.length(F.col("detail")["w"]).alias("n"))
+
+
+@query("ras10_morph_profile_radius1", LONG + f""", src as (select image_name || '/' || mask_type image_name, y, x, v from long),
+  {shifted("e1", "src", "min", 1)}, {shifted("op", "e1", "max", 0)}, {shifted("d1", "src", "max", 0)}, {shifted("cl", "d1", "min", 1)},
+  {shifted("d2", "op", "max", 0)}, {shifted("oc", "d2", "min", 1)}
+  select split_part(image_name, '/', 1) image_name, split_part(image_name, '/', 2) mask_type, 1 iteration,
+    round(avg(op.v), 6) opening_mean, round(avg(cl.v), 6) closing_mean, round(avg(oc.v), 6) opening_closing_mean
+  from op join cl using (image_name, y, x) join oc using (image_name, y, x) group by op.image_name, 1, 2""")
+def morph_radius1(spark, d):
+    out = raster.morph_profile(wide_masks(spark, d), maximum=1, step=1)
+    means = ("opening_mean", "closing_mean", "opening_closing_mean")
+    return out.select("image_name", "mask_type", "iteration", *[F.round(c, 6).alias(c) for c in means])
+
+
+@query("ras10_morph_profile_arrays")
+def morph_arrays(spark, d):
+    out = raster.morph_profile_arrays(wide_masks(spark, d), maximum=4, step=2)
+    sizes = [F.size(c).alias(c) for c in out.columns if c != "image_name"]
+    return out.select("image_name", *sizes)
+
+
+@query("ras13_class_mask_columns", LONG + """ select s.image_name, sum(v) filter (where mask_type = 'leaf_mask')::bigint leaf,
+  sum(v) filter (where mask_type = 'rock_mask')::bigint rock, 0 wood from long s group by 1""")
+def class_columns(spark, d):
+    label = F.regexp_replace("mask_type", "_mask", "")
+    inst = long_masks(spark, d).where(label.isin("leaf", "rock")).withColumn("label", F.concat(F.lit("all "), label))
+    wide = raster.class_mask_columns(
+        raster.class_mask_merge(inst), images(spark, d).select("image_name", "height", "width"))
+    out = wide.select("image_name", "leaf_mask", "rock_mask", "wood_mask")
+    for c in ("leaf", "rock", "wood"):
+        out = raster.mask_stats(out, f"{c}_mask").withColumnRenamed("covered", c).drop("total", "mean")
+    return out
+
+
+@query("ras16_detection_arrays", f"""with {DET}, k as (select * from det where contains("label", 'leaves') or contains("label", 'plant'))
+  select image_name, count(*)::int n, string_agg("label", ',' order by score desc, det_id) labels,
+    string_agg(x0 || ' ' || y0 || ' ' || x1 || ' ' || y1, ',' order by score desc, det_id) boxes from k group by 1""")
+def detection_arrays(spark, d):
+    rows = det.positive_labels(detections(spark, d)).withColumn("data", F.lit(None).cast("binary"))
+    out = det.detection_arrays(rows)
+    boxes = F.transform("boxes", lambda b: F.array_join(b.cast("array<string>"), " "))
+    return out.select("image_name", F.size("scores").alias("n"), F.array_join("text_labels", ",").alias("labels"),
+                      F.array_join(boxes, ",").alias("boxes"))
+
+
+@query("ras12_filter_by_mask_grids", OR3 + f""", {tiled("merged", 2).replace("tiled as", "t2 as")}, {tiled("merged", 3).replace("tiled as", "t3 as")},
+  cov as (select image_name, '2x2' grid, tile, avg(v) pct from t2 group by all union all
+    select image_name, '3x3', tile, avg(v) from t3 group by all),
+  emb as (select concat('m', vec_id // 18) image_name, case when vec_id % 2 = 0 then '2x2' else '3x3' end grid, (vec_id % 18 // 2)::int tile, vec_id from embeddings)
+  select image_name, grid, tile, vec_id, round(pct, 6) pct_covered from emb join cov using (image_name, grid, tile)""")
+def filter_by_mask_grids(spark, d):
+    e = v.table(spark, d, "embeddings").select(
+        F.concat(F.lit("m"), F.floor(F.col("vec_id") / 18).cast("string")).alias("image_name"),
+        F.when(F.col("vec_id") % 2 == 0, "2x2").otherwise("3x3").alias("grid"),
+        F.floor(F.col("vec_id") % 18 / 2).cast("int").alias("tile"), "vec_id")
+    path = new_path(spark, "filtered")
+    writers.write_bucketed_dirs(mask_plans.filter_by_mask_grids(e, wide_masks(spark, d), (2, 3)), path, "grid")
+    return readers.scan_parquet(spark, path).withColumn("pct_covered", F.round("pct_covered", 6))

@@ -32,10 +32,10 @@ def filter_isin_table(spark, d):
     return shaping.filter_isin(v.table(spark, d, "lineitem"), "l_suppkey", rich).select("l_orderkey", "l_linenumber")
 
 
-@query("prj03_filter_between", "select page_id, length(url) n from pages where page_id between 20 and 120")
+@query("prj03_filter_between", "select o_orderkey, o_totalprice from orders where o_totalprice between 50000 and 150000")
 def filter_between(spark, d):
-    return shaping.filter_between(v.table(spark, d, "pages"), "page_id", 20, 120).select(
-        "page_id", F.length("url").alias("n"))
+    orders = v.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return shaping.filter_between(orders, "o_totalprice", 50000, 150000)
 
 
 @query("prj04_filter_min_count", """select l_suppkey, count(*) n from lineitem group by 1 having count(*) >= 600""")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tileflow.functions.vectors import doubles
@@ -87,21 +83,12 @@ def _assign(rows: DataFrame, centres: DataFrame) -> DataFrame:
     groups = centres.groupBy("species").agg(
         F.array_sort(F.collect_list(F.struct("centroid", "centre"))).alias("centres")
     )
-    joined = rows.join(groups, "species")
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            picked = []
-            for vector, centres in zip(pdf["vec"], pdf["centres"]):
-                table = np.stack([np.asarray(c["centre"]) for c in centres])
-                gaps = ((table - np.asarray(vector, dtype=np.float64)) ** 2).sum(1)
-                picked.append(int(centres[int(gaps.argmin())]["centroid"]))
-            yield pd.DataFrame({"species": pdf["species"], "centroid": picked, "vec": pdf["vec"]})
-
-    species, vector = rows.schema["species"].dataType.simpleString(), rows.schema["vec"].dataType.simpleString()
-    return joined.mapInPandas(nearest, f"species {species}, centroid int, vec {vector}")
+    def gap(centre: Column) -> Column:
+        squares = F.zip_with(centre, doubles(F.col("vec")), lambda a, b: (a - b) * (a - b))
+        return F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
+
+    gaps = F.transform("centres", lambda c: F.struct(gap(c["centre"]).alias("gap"), c["centroid"].alias("centroid")))
+    return rows.join(groups, "species").select("species", F.array_min(gaps)["centroid"].alias("centroid"), "vec")
 
 
 def species_centroids(

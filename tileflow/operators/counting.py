@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tileflow.operators.quantiles import exact_percentiles, group_key
 
 def count_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per group, largest first, then by key."""
@@ -64,12 +65,12 @@ def nonnull_profile(df: DataFrame) -> DataFrame:
 
 def describe_cols(
     df: DataFrame, cols: Sequence[str], quantiles: Sequence[float] = (0.25, 0.5, 0.75),
-    by: Sequence[str] = (), accuracy: int = 1_000_000,
+    by: Sequence[str] = (), accuracy: int | None = None,
 ) -> DataFrame:
     """Count, mean, deviation, extremes and quantiles per column, overall or per group.
 
-    Quantiles are exact up to about ``accuracy / 2`` rows per group; beyond that the rank is off by at
-    most ``rows / accuracy``, with bounded memory and partial aggregation in every task.
+    Quantiles are exact; with ``accuracy`` they are approximate (rank off by at most rows / accuracy)
+    and all columns take one pass.
     """
     aggs: list[Column] = []
     for c in cols:
@@ -79,13 +80,19 @@ def describe_cols(
             F.stddev(c).alias(f"{c}_std"),
             F.min(c).alias(f"{c}_min"),
             F.max(c).alias(f"{c}_max"),
-            F.percentile_approx(c, list(quantiles), accuracy).alias(f"_{c}_q"),
         ]
-    summary = df.groupBy(*by).agg(*aggs)
-    spread = {
-        f"{c}_p{round(q * 100)}": F.col(f"_{c}_q")[i] for c in cols for i, q in enumerate(quantiles)
-    }
-    return summary.withColumns(spread).drop(*[f"_{c}_q" for c in cols])
+        if accuracy:
+            aggs.append(F.percentile_approx(c, list(quantiles), accuracy).alias(f"_{c}_q"))
+    out = df.groupBy(group_key(by).alias("_group")).agg(*aggs)
+    names = [f"p{round(q * 100)}" for q in quantiles]
+    for c in cols:
+        if accuracy:
+            out = out.withColumns({f"{c}_{n}": F.col(f"_{c}_q")[i] for i, n in enumerate(names)}).drop(f"_{c}_q")
+        else:
+            found = exact_percentiles(df, by, c, quantiles)
+            renamed = found.withColumnsRenamed({f"q{i}": f"{c}_{n}" for i, n in enumerate(names)})
+            out = out.join(renamed, "_group", "left")
+    return out.select(*[f"_group.{k}" for k in by], *[c for c in out.columns if c != "_group"])
 
 
 def whisker_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:

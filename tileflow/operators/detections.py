@@ -67,6 +67,7 @@ def detections_nms(
         F.col("y0").cast("bigint").alias("y"),
         (F.col("x1") - F.col("x0")).cast("bigint").alias("w"),
         (F.col("y1") - F.col("y0")).cast("bigint").alias("h"),
+        F.struct(*df.columns).alias("row"),
     )
     boxes = df.where(F.col("score") > score).select("image_name", box.alias("box"))
     crowded = settle(
@@ -89,8 +90,7 @@ def detections_nms(
     rows = decided[0].select("image_name", "kept")
     for more in decided[1:]:
         rows = rows.unionAll(more.select("image_name", "kept"))
-    winners = rows.select("image_name", F.explode("kept").alias("_k")).select("image_name", "_k.det_id")
-    return df.where(F.col("score") > score).join(winners, ["image_name", "det_id"], "left_semi")
+    return rows.select(F.explode("kept.row").alias("_row")).select("_row.*")
 
 
 def positive_labels(df: DataFrame, words: Sequence[str] = POSITIVE_WORDS, label: str = "label") -> DataFrame:
@@ -101,25 +101,41 @@ def positive_labels(df: DataFrame, words: Sequence[str] = POSITIVE_WORDS, label:
     return df.where(hit)
 
 
-def crop_boxes(images: DataFrame, detections: DataFrame) -> DataFrame:
-    """One image row per box (whole pixels, parts outside the image are black)."""
+def crop_boxes(images: DataFrame, detections: DataFrame, together: int = 256) -> DataFrame:
+    """One image row per box (whole pixels, parts outside the image are black).
 
-    @F.pandas_udf("struct<height:int, width:int, channels:int, data:binary>")
-    def crop(rows: pd.DataFrame) -> pd.DataFrame:
-        def one(r) -> tuple:
-            pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
-            out = np.zeros((max(r.y1 - r.y0, 0), max(r.x1 - r.x0, 0), r.channels), np.uint8)
-            y0, x0, y1, x1 = max(r.y0, 0), max(r.x0, 0), min(r.y1, r.height), min(r.x1, r.width)
-            if y1 > y0 and x1 > x0:
-                out[y0 - r.y0 : y1 - r.y0, x0 - r.x0 : x1 - r.x0] = pixels[y0:y1, x0:x1]
+    The boxes of an image travel as one array, so its pixels are joined and sent to Python once; an image
+    with more than about ``together`` boxes is split into several such arrays.
+    """
+
+    @F.pandas_udf("array<struct<height:int, width:int, channels:int, data:binary>>")
+    def crop(rows: pd.DataFrame) -> pd.Series:
+        def one(pixels: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> tuple:
+            out = np.zeros((max(y1 - y0, 0), max(x1 - x0, 0), pixels.shape[2]), np.uint8)
+            top, left, bottom, right = max(y0, 0), max(x0, 0), min(y1, pixels.shape[0]), min(x1, pixels.shape[1])
+            if bottom > top and right > left:
+                out[top - y0 : bottom - y0, left - x0 : right - x0] = pixels[top:bottom, left:right]
             return (*out.shape, out.tobytes())
 
-        return pd.DataFrame([one(r) for r in rows.itertuples()], columns=["height", "width", "channels", "data"])
+        def every(r) -> list[tuple]:
+            pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+            return [one(pixels, *corners) for corners in r.corners]
+
+        return pd.Series([every(r) for r in rows.itertuples()])
 
-    corners = {c: F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1")}
-    joined = detections.withColumns(corners).join(images.select("image_name", "height", "width", "channels", "data"), "image_name")
-    cut = crop(F.struct("height", "width", "channels", "data", "x0", "y0", "x1", "y1"))
-    return joined.select(*detections.columns, cut.alias("_c")).select(*detections.columns, "_c.*")
+    names = detections.columns
+    counts = detections.groupBy("image_name").agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64("det_id", "x0", "y0"), F.greatest(F.ceil(F.col("_n") / together), F.lit(1)))
+    grouped = (
+        detections.join(counts, "image_name")
+        .groupBy("image_name", part.alias("_part"))
+        .agg(F.collect_list(F.struct(*names)).alias("_boxes"))
+    )
+    joined = grouped.join(images.select("image_name", "height", "width", "channels", "data"), "image_name")
+    corners = F.transform("_boxes", lambda b: F.array(*[b[c].cast("int") for c in ("x0", "y0", "x1", "y1")]))
+    crops = crop(F.struct("height", "width", "channels", "data", corners.alias("corners")))
+    cut = joined.select(F.inline(F.arrays_zip(F.col("_boxes").alias("box"), crops.alias("crop"))))
+    return cut.select("box.*", "crop.*")
 
 
 def detection_arrays(df: DataFrame) -> DataFrame:

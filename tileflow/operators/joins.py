@@ -112,15 +112,15 @@ def keep_allowed_elements(
 ) -> DataFrame:
     """Drop list elements that are not in the allowed table; order and empty rows stay.
 
-    ``id_col`` names a row, so it is unique. The allowed table may have any size.
+    ``id_col`` names a row, so it is unique. The allowed table may have any size. Gives ``id_col, col``.
     """
     key = allowed.columns[0]
-    ids = allowed.select(F.col(key).cast("bigint").alias("_item")).distinct()
-    items = preds.select(id_col, F.posexplode(F.col(col)).alias("_pos", "_item"))
-    kept = items.join(ids, "_item", "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_item")))
-    lists = kept.groupBy(id_col).agg(F.transform(ordered, lambda e: e["_item"]).cast(IDS).alias(col))
-    return preds.drop(col).join(lists, id_col, "left").withColumn(col, or_empty(F.col(col)))
+    ids = allowed.select(F.col(key).cast("bigint").alias("_item")).distinct().withColumn("_ok", F.lit(True))
+    items = preds.select(id_col, F.posexplode_outer(F.col(col)).alias("_pos", "_item"))
+    marked = items.join(ids, "_item", "left")
+    entry = F.when(F.col("_ok"), F.struct("_pos", "_item"))  # collect_list leaves out nulls
+    ordered = F.array_sort(F.collect_list(entry))
+    return marked.groupBy(id_col).agg(F.transform(ordered, lambda e: e["_item"]).cast(IDS).alias(col))
 
 
 def join_species_metadata(df: DataFrame, meta: DataFrame, on: str = "species") -> DataFrame:

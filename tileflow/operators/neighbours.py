@@ -21,7 +21,7 @@ from tileflow.sources.tables import new_path, settle
 
 _BLOCK_BYTES = 8 << 20  # matrix bytes in one block
 _BLOCK_ROWS = 4096
-_SLOT_BLOCKS = 64  # blocks of one cell that share a join key
+_SLOT_BLOCKS = 16  # blocks of one cell that share a join key
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:

@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tileflow.operators.numbering import top_rows
-
-_GATHER = 100_000  # rows that one exact percentile aggregate may hold
-_BINS = 4096
+from tileflow.operators.quantiles import exact_percentiles
 
 
 def min_of_medians(
@@ -25,49 +23,25 @@ def min_of_medians(
 
 
 def global_percentile(df: DataFrame, value: str, p: float) -> float | None:
-    """Exact percentile (smallest value with rank >= p * n) of a column of any size.
-
-    Each pass counts rows in equal-width bins of the range that still holds the wanted rank and goes
-    on inside one bin; only bin counts leave the executors. What is left at the end is small enough
-    for one exact aggregate, or is one single value. Pass a settled table: it is scanned each time.
-    """
-    x = F.col(value).cast("double")
-    whole = df.where(x.isNotNull()).agg(F.count("*"), F.min(x), F.max(x)).first()
-    count, low, high = whole
-    if not count:
-        return None
-    rank = max(1, -int(-p * count // 1))
-    while low < high and count > _GATHER:
-        width = (high - low) / _BINS
-        inside = df.where(x.between(low, high))
-        step = F.least(F.floor((x - low) / width), F.lit(_BINS - 1))
-        bins = (
-            inside.groupBy(step.alias("bin"))
-            .agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
-            .orderBy("bin")
-            .collect()  # at most _BINS rows
-        )
-        for row in bins:
-            if rank <= row["n"]:
-                low, high, count = row["low"], row["high"], row["n"]
-                break
-            rank -= row["n"]
-    if low == high:
-        return low
-    target = (rank - 0.5) / count
-    rest = df.where(x.between(low, high)).select(x.alias("x"))
-    return rest.agg(F.expr(f"percentile_disc({target!r}) within group (order by x)")).first()[0]
+    """Exact percentile of a column over all rows; pass a settled table."""
+    row = exact_percentiles(df, [], value, [p]).first()
+    return row["q0"] if row else None
 
 
 def percentile_threshold_by_image(
-    df: DataFrame, value: str, p: float = 0.1, by: str = "image_name", accuracy: int = 1_000_000
+    df: DataFrame, value: str, p: float = 0.1, by: str = "image_name", accuracy: int | None = None
 ) -> DataFrame:
     """Rows at or below the p-percentile of their image.
 
     The percentile is a grouped aggregate joined back (not a window), so an image with very many rows
-    is summarised in every task before the shuffle. It is exact up to about ``accuracy / 2`` rows.
+    does not end up in one task. ``accuracy`` takes the approximate percentile of that accuracy instead
+    of the exact one, in one pass.
     """
-    limits = df.groupBy(by).agg(F.percentile_approx(value, p, accuracy).alias("threshold"))
+    if accuracy:
+        limits = df.groupBy(by).agg(F.percentile_approx(value, p, accuracy).alias("threshold"))
+    else:
+        found = exact_percentiles(df, [by], value, [p])
+        limits = found.select(f"_group.{by}", F.col("q0").alias("threshold"))
     return df.join(limits, by).where(F.col(value) <= F.col("threshold"))
 
 
