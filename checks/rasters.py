@@ -253,12 +253,18 @@ def class_masks(spark, d):
 
 # ----------------------------------------------------------------------------------- detections
 
-DET = """det as (select concat('d', l_orderkey) image_name, l_partkey * 100000 + l_suppkey * 10 + l_linenumber det_id,
+DET_ID = "(l_partkey * 10000000000 + round(l_extendedprice * 100)::bigint * 10 + l_linenumber)"
+DET = f"""det as (select concat('d', l_orderkey) image_name, {DET_ID} det_id,
   (l_partkey % 60)::int x0, (l_suppkey % 60)::int y0, (l_partkey % 60)::int + 20 + l_quantity::int x1,
   (l_suppkey % 60)::int + 20 + l_quantity::int y1, l_discount * 10 + l_tax score,
   case l_returnflag when 'R' then 'sand' when 'A' then 'all leaves' else 'single plant' end "label" from lineitem)"""
 
 
+def det_id():
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return (F.col("l_partkey") * 10_000_000_000 + cents * 10 + F.col("l_linenumber")).alias("det_id")
+
+
 def detections(spark, d):
     line = v.table(spark, d, "lineitem")
     x0, y0 = (F.col("l_partkey") % 60).cast("int"), (F.col("l_suppkey") % 60).cast("int")
@@ -266,7 +272,7 @@ def detections(spark, d):
     label = F.when(F.col("l_returnflag") == "R", "sand").when(F.col("l_returnflag") == "A", "all leaves").otherwise("single plant")
     return line.select(
         F.concat(F.lit("d"), F.col("l_orderkey").cast("string")).alias("image_name"),
-        (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("det_id"),
+        det_id(),
         x0.alias("x0"), y0.alias("y0"), (x0 + size).alias("x1"), (y0 + size).alias("y1"),
         (F.col("l_discount") * 10 + F.col("l_tax")).alias("score"), label.alias("label"))
 
@@ -294,18 +300,18 @@ def positive(spark, d):
 
 
 @query("ras16_crop_boxes", f"""with {v.PIXELS}, b as (select concat('m', l_suppkey) image_name,
-    l_orderkey * 10 + l_linenumber det_id, l_partkey, (l_partkey % 15)::int x0, (l_orderkey % 12)::int y0 from lineitem),
+    {DET_ID} det_id, l_orderkey, (l_partkey % 15)::int x0, (l_orderkey % 12)::int y0 from lineitem),
   p as (select b.*, y - y0 ty, x - x0 tx, c, v from b join px on px.image_name = b.image_name
     and y between y0 and y0 + 4 and x between x0 and x0 + 5)
-  select image_name, det_id, l_partkey, 5 height, 6 width, sum(v)::bigint total,
-    sum(v * (((ty * 6 + tx) * 3 + c) % 101 + 1))::bigint weighted from p group by image_name, det_id, l_partkey, x0, y0""")
+  select image_name, det_id, l_orderkey, 5 height, 6 width, sum(v)::bigint total,
+    sum(v * (((ty * 6 + tx) * 3 + c) % 101 + 1))::bigint weighted from p group by image_name, det_id, l_orderkey, x0, y0""")
 def crop_boxes(spark, d):
     x0, y0 = (F.col("l_partkey") % 15).cast("int"), (F.col("l_orderkey") % 12).cast("int")
     boxes = v.table(spark, d, "lineitem").select(
         F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("image_name"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("det_id"), "l_partkey",
+        det_id(), "l_orderkey",
         x0.alias("x0"), y0.alias("y0"), (x0 + 6).alias("x1"), (y0 + 5).alias("y1"))
-    return image_sums(det.crop_boxes(images(spark, d), boxes), ["image_name", "det_id", "l_partkey", "height", "width"])
+    return image_sums(det.crop_boxes(images(spark, d), boxes), ["image_name", "det_id", "l_orderkey", "height", "width"])
 
 
 def quadrants():

@@ -294,7 +294,7 @@ def distance_table(
 
     ``score``: ``cosine`` or ``euclidean`` (of unit vectors), or ``cosine_softmax`` and
     ``inv_sq_distance``, which sum to 1 over all centroids of a row (a distance of 0 takes the whole).
-    ``top`` keeps the k best scores of a row, smaller centroid id first on ties.
+    ``top`` keeps the k nearest centroids of a row, the smaller id first on ties.
 
     The centroids are one row per class. They are counted first: up to ``limit_bytes`` they go to every
     executor at once; a larger table takes one pass per part of that size, and the parts are put
@@ -368,12 +368,12 @@ def distance_table(
             .groupBy("row").agg(F.sum("total").alias("total"), F.sum("hits").alias("hits"))
         )
         rows = rows.drop("total", "hits").join(sums, "row")
+    if top is not None and len(tables) > 1:
+        best = F.col("weight") if score == "euclidean" else F.desc("weight")
+        rows = top_rows(rows, ["row"], [best, "id"], top)
     value = F.col("weight")
     if normalised:
         exact = F.when(value == F.lit(float("inf")), 1.0 / F.col("hits")).otherwise(0.0)
         value = F.when(F.col("hits") > 0, exact).otherwise(value / F.col("total"))
     out = rows.select(F.col("row").alias(id_col), F.col("id").alias(centroid_id), value.alias("score"))
-    if top is not None and len(tables) > 1:
-        best = F.col("score") if score == "euclidean" else F.desc("score")
-        out = top_rows(out, [id_col], [best, centroid_id], top, "_rank").drop("_rank")
     return out

@@ -323,8 +323,10 @@ def open_close(masks: DataFrame, radius: int, mask: str = "mask", swapped: bool
         )
 
     rest = [c for c in masks.columns if c != mask]
-    out = masks.select(*rest, both(F.col(mask)).alias("_m")).select(*rest, "_m.*")
-    return out.withColumnsRenamed({"opened": "closed", "closed": "opened"}) if swapped else out
+    first, second = ("closed", "opened") if swapped else ("opened", "closed")
+    return masks.select(*rest, both(F.col(mask)).alias("_m")).select(
+        *rest, F.col(f"_m.{first}").alias("opened"), F.col(f"_m.{second}").alias("closed")
+    )
 
 
 def connected_components(masks: DataFrame, mask: str = "mask") -> DataFrame:
