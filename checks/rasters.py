@@ -25,7 +25,8 @@ def mask_column(key, shift):
 
 
 def names(spark, d):
-    return v.table(spark, d, "supplier").select(
+    """The table is one small file: spread the keys, so that all cores make and handle images."""
+    return v.table(spark, d, "supplier").repartition(spark.sparkContext.defaultParallelism, "s_suppkey").select(
         "s_suppkey", F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("image_name"))
 
 
