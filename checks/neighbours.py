@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import query
 from tileflow.functions import vectors as vec
-from tileflow.operators import joins, neighbours as nn, priors, thresholds
-from tileflow.operators.numbering import top_rows
+from tileflow.operators import joins, neighbours as nn, priors, quantiles, thresholds
 from tileflow.plans import retrieval
 from tileflow.plans import submission
 from tileflow.sources.tables import settle
@@ -47,7 +46,7 @@ def knn_exact(spark, d):
 @query("jon18_knn_approx")
 def knn_approx(spark, d):
     t = v.tiles(spark, d)
-    return nn.knn_approx(t, t, 10, probes=16).withColumn("distance", F.round("distance", 6))
+    return nn.knn_approx(t, t, 10, probes=16, pivots=64).withColumn("distance", F.round("distance", 6))
 
 
 @query("jon04_join_id_map", f"""with {NAMED}
@@ -178,12 +177,12 @@ def centroid_classify(spark, d):
     )
 
 
-@query("win04_agg09_global_percentile", """select quantile_disc(l_extendedprice, 0.05) p05,
+@query("agg09_global_percentile", """select quantile_disc(l_extendedprice, 0.05) p05,
   quantile_disc(l_extendedprice, 0.5) p50, quantile_disc(l_extendedprice, 0.95) p95 from lineitem""")
 def global_percentile(spark, d):
     line = v.table(spark, d, "lineitem")
-    points = {f"p{round(p * 100):02d}": thresholds.global_percentile(line, "l_extendedprice", p) for p in (0.05, 0.5, 0.95)}
-    return line.agg(*[F.any_value(F.lit(x)).alias(n) for n, x in points.items()])
+    found = quantiles.exact_percentiles(line, [], "l_extendedprice", (0.05, 0.5, 0.95))
+    return found.select(*[F.col(f"q{i}").alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
 
 
 @query("win03_percentile_by_supplier", """select l_suppkey, l_orderkey, l_linenumber, l_extendedprice from lineitem

@@ -30,12 +30,13 @@ def data():
     return centres[rng.integers(0, 6, 60)] + rng.normal(scale=0.2, size=(60, 8)), index
 
 
+@pytest.mark.parametrize("pivots", [1, 3, 12, None])
 @pytest.mark.parametrize("k", [1, 7, 150])
-def test_exact_matches_brute_force(spark, data, k, monkeypatch):
+def test_exact_matches_brute_force(spark, data, k, pivots, monkeypatch):
     monkeypatch.setattr(nn, "_BLOCK_ROWS", 16)  # many blocks, several slots per cell
     monkeypatch.setattr(nn, "_SLOT_BLOCKS", 2)
     queries, index = data
-    got = nn.knn_exact(table(spark, queries), table(spark, index), k, "id", "id", "v", pivots=8)
+    got = nn.knn_exact(table(spark, queries), table(spark, index), k, "id", "id", "v", pivots=pivots)
     found = {(r.query_id, r["rank"]): (r.nn_id, r.distance) for r in got.collect()}
     want = brute(queries, index, k)
     assert found.keys() == want.keys()

@@ -90,8 +90,11 @@ def describe_cols(
             out = out.withColumns({f"{c}_{n}": F.col(f"_{c}_q")[i] for i, n in enumerate(names)}).drop(f"_{c}_q")
         else:
             found = exact_percentiles(df, by, c, quantiles)
-            renamed = found.withColumnsRenamed({f"q{i}": f"{c}_{n}" for i, n in enumerate(names)})
-            out = out.join(renamed, "_group", "left")
+            named = [F.col(f"q{i}").alias(f"{c}_{n}") for i, n in enumerate(names)]
+            if by:
+                out = out.join(found.select("_group", *named), "_group", "left")
+            else:  # one row: a scalar subquery instead of a join without a key
+                out = out.withColumn("_q", found.select(F.struct(*named)).scalar()).select("*", "_q.*").drop("_q")
     return out.select(*[f"_group.{k}" for k in by], *[c for c in out.columns if c != "_group"])
 
 

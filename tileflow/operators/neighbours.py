@@ -21,6 +21,10 @@ from tileflow.sources.tables import new_path, settle
 
 _BLOCK_BYTES = 8 << 20  # matrix bytes in one block
 _BLOCK_ROWS = 4096
+_MOST_PIVOTS = 256
+_ONE_ROUND = 4  # up to this many cells are searched at once
+_OPEN_PACKS = 64  # packs of queries whose best neighbours a task holds
+_SLICE_ROWS = 512  # queries compared with a block at a time
 _SLOT_BLOCKS = 16  # blocks of one cell that share a join key
 
 
@@ -83,17 +87,19 @@ class VectorIndex:
 
 
 def build_index(
-    df: DataFrame, id_col: str, vec: str, pivots: int = 64, path: str | None = None
+    df: DataFrame, id_col: str, vec: str, pivots: int | None = None, path: str | None = None
 ) -> VectorIndex:
     """Write the vectors of ``df`` as blocks, each block holding vectors closest to one pivot.
 
-    The pivots are a fixed number of rows in hash order, so the same data gives the same index. Blocks
-    are packed where the rows are, without a shuffle: a pivot that attracts very many vectors only has
-    more blocks.
+    The pivots are the first rows in hash order, so the same data gives the same index; by default one
+    for about every block of vectors, up to 256. Blocks are packed where the rows are, without a
+    shuffle: a pivot that attracts very many vectors only has more blocks.
     """
     spark = df.sparkSession
     dtype = _element(df, vec)
     source = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec")).where("vec is not null")
+    if pivots is None:
+        pivots = min(_MOST_PIVOTS, max(1, source.count() // _BLOCK_ROWS))
     chosen = source.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").toPandas()
     if chosen.empty:
         raise ValueError("the index has no vectors")
@@ -156,38 +162,56 @@ def search(
 ) -> DataFrame:
     """The k nearest index vectors of every query: ``query_id, rank, nn_id, distance``.
 
-    A query goes only to the cells that can hold one of its k nearest vectors. The k smallest values of
-    (distance to a pivot + radius of a vector around it) bound its k-th distance from above, and the
-    triangle inequality gives the least possible distance to each cell, so the answer is exact. Equal
-    distances go by id. ``probes`` looks into that many nearest cells only (approximate, faster).
+    Query ids are unique. First each query meets its nearest cell; the k-th distance found there bounds
+    the answer. Then it goes only to those other cells that the triangle inequality does not rule out,
+    and only neighbours within the bound come back, so the answer is exact and few rows are merged.
+    Equal distances go by id. ``probes`` looks into that many nearest cells only (approximate, faster).
     """
     cells = _cell_table(index, k)
+    source = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("vec")).where("vec is not null")
+    unbounded = source.withColumn("bound", F.lit(None).cast("double"))
+    if probes is not None or len(cells) <= _ONE_ROUND:
+        partial = _compare(index, cells, unbounded, k, probes or len(cells), skip=0)
+    else:
+        near = _compare(index, cells, unbounded, k, upto=1, skip=0)
+        near = settle(top_rows(near, ["query_id"], ["distance", "nn_id"], k).drop("rank"), "near")
+        bounds = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
+        far = _compare(index, cells, source.join(bounds, "query_id", "left"), k, upto=len(cells), skip=1)
+        partial = near.unionAll(far)
+    best = top_rows(partial, ["query_id"], ["distance", "nn_id"], k)
+    return best.select("query_id", "rank", "nn_id", "distance")
+
+
+def _compare(
+    index: VectorIndex, cells: pd.DataFrame, source: DataFrame, k: int, upto: int, skip: int
+) -> DataFrame:
+    """Best neighbours of ``query_id, vec, bound`` per cell: ``query_id, nn_id, distance``.
+
+    A query looks into the cells that are number ``skip`` to ``upto`` by distance and that can hold a
+    neighbour within its bound (a null bound: within the k-th smallest distance to a pivot plus radius
+    of a vector around it). The hot cells are split into slots; a query goes to every slot of a cell.
+    """
     centres, cell_ids = index.pivots[cells["cell"]], cells["cell"].to_numpy()
     nearest, farthest = cells["nearest"].to_numpy(), cells["farthest"].to_numpy()
     reach = np.concatenate([np.asarray(r, dtype=float) for r in cells["near"]])
     reach_cell = np.repeat(np.arange(len(cells)), [len(r) for r in cells["near"]])
     slots = np.maximum(1, -(-cells["blocks"].to_numpy() // _SLOT_BLOCKS))
-    source = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("vec")).where("vec is not null")
     dtype, index_dtype = _element(source, "vec"), index.dtype
     size = _rows_per_block(centres.shape[1], dtype)
     query_type = source.schema["query_id"].dataType.simpleString()
     id_type = index.blocks.schema["ids"].dataType.elementType.simpleString()
 
-    def candidates(vectors: np.ndarray) -> np.ndarray:
+    def candidates(vectors: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Which cells each query has to look into."""
         gaps = np.sqrt(_distances(vectors, centres))
-        if probes is not None:
-            wanted = np.zeros(gaps.shape, dtype=bool)
-            best = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
-            np.put_along_axis(wanted, best, True, axis=1)
-            return wanted
-        bounds = gaps[:, reach_cell] + reach[None, :]
-        if bounds.shape[1] < k:
-            limit = np.full(len(gaps), np.inf)
-        else:
-            limit = np.partition(bounds, k - 1, axis=1)[:, k - 1]
+        place = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1)
+        wanted = (place >= skip) & (place < upto)
         least = np.maximum(np.maximum(gaps - farthest, nearest - gaps), 0.0)
-        return least <= limit[:, None] + 1e-6
+        limit = np.where(np.isnan(bounds), np.inf, np.sqrt(bounds))
+        if len(reach) >= k:
+            sums = gaps[:, reach_cell] + reach[None, :]
+            limit = np.minimum(limit, np.partition(sums, k - 1, axis=1)[:, k - 1])
+        return wanted & (least <= limit[:, None] + 1e-6)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -195,21 +219,22 @@ def search(
                 continue
             raw = _matrix(pdf["vec"]).astype(dtype)
             units = _unit(raw.astype(np.float64))
-            wanted = np.concatenate([candidates(units[i : i + 1024]) for i in range(0, len(units), 1024)])
-            ids = pdf["query_id"].to_numpy()
+            ids, bounds = pdf["query_id"].to_numpy(), pdf["bound"].to_numpy(dtype=float, na_value=np.nan)
+            wanted = np.concatenate(
+                [candidates(units[i : i + _SLICE_ROWS], bounds[i : i + _SLICE_ROWS]) for i in range(0, len(ids), _SLICE_ROWS)]
+            )
             for c in np.flatnonzero(wanted.any(0)):
                 picked = np.flatnonzero(wanted[:, c])
                 for start in range(0, len(picked), size):
                     part = picked[start : start + size]
-                    yield pd.DataFrame(
-                        [
-                            {"cell": int(cell_ids[c]), "slot": s, "q_ids": ids[part], "q_data": raw[part].tobytes()}
-                            for s in range(int(slots[c]))
-                        ]
-                    )
+                    pack = {
+                        "cell": int(cell_ids[c]), "q_ids": ids[part],
+                        "q_bounds": np.where(np.isnan(bounds[part]), np.inf, bounds[part]), "q_data": raw[part].tobytes(),
+                    }
+                    yield pd.DataFrame([{**pack, "slot": s} for s in range(int(slots[c]))])
 
     packs = source.mapInPandas(
-        route, f"cell int, slot int, q_ids array<{query_type}>, q_data binary"
+        route, f"cell int, slot int, q_ids array<{query_type}>, q_bounds array<double>, q_data binary"
     )
     slot_of = F.create_map(*[F.lit(int(v)) for pair in zip(cell_ids, slots) for v in pair])
     blocks = index.blocks.select(
@@ -219,31 +244,66 @@ def search(
         "data",
     )
 
-    def nearest_in_pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for q_ids, q_data, ids, data in zip(pdf["q_ids"], pdf["q_data"], pdf["ids"], pdf["data"]):
-                by_id = np.argsort(ids, kind="stable")
-                ids = np.asarray(ids)[by_id]
-                block = _from_bytes(data, len(ids), index_dtype)[by_id]
-                found = _distances(_from_bytes(q_data, len(q_ids), dtype), block)
-                best = _k_smallest(found, k)
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(np.asarray(q_ids), best.shape[1]),
-                        "nn_id": ids[best.ravel()],
-                        "distance": np.take_along_axis(found, best, 1).ravel(),
-                    }
-                )
+    def nearest_in_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # best neighbours so far of the packs met last: one pack meets the blocks of its slot in a row
+        held: dict[tuple, tuple] = {}
 
-    pairs = packs.join(blocks, ["cell", "slot"]).select("q_ids", "q_data", "ids", "data")
-    partial = pairs.mapInPandas(nearest_in_pair, f"query_id {query_type}, nn_id {id_type}, distance double")
-    best = top_rows(partial, ["query_id"], ["distance", "nn_id"], k)
-    return best.select("query_id", "rank", "nn_id", "distance")
+        def close(key: tuple) -> pd.DataFrame:
+            q_ids, bounds, gaps, ids = held.pop(key)
+            inside = gaps <= bounds[:, None]
+            return pd.DataFrame(
+                {
+                    "query_id": np.repeat(q_ids, inside.sum(1)),
+                    "nn_id": ids[inside],
+                    "distance": gaps[inside],
+                }
+            )
+
+        for pdf in batches:
+            for row in pdf.itertuples():
+                q_ids = np.asarray(row.q_ids)
+                by_id = np.argsort(row.ids, kind="stable")
+                ids = np.asarray(row.ids)[by_id]
+                block = _from_bytes(row.data, len(ids), index_dtype)[by_id]
+                gaps, found = _best_in_block(_from_bytes(row.q_data, len(q_ids), dtype), block, ids, k)
+                key = (row.cell, row.slot, q_ids[0])
+                if key in held:
+                    _, bounds, before, before_ids = held.pop(key)
+                    gaps, found = _merge(np.hstack([before, gaps]), np.hstack([before_ids, found]), k)
+                else:
+                    bounds = np.asarray(row.q_bounds)
+                    if len(held) >= _OPEN_PACKS:
+                        yield close(next(iter(held)))
+                held[key] = (q_ids, bounds, gaps, found)
+        for key in list(held):
+            yield close(key)
+
+    pairs = packs.join(blocks, ["cell", "slot"])
+    return pairs.mapInPandas(nearest_in_pairs, f"query_id {query_type}, nn_id {id_type}, distance double")
+
+
+def _best_in_block(vectors: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k nearest block rows (which are in id order) for every vector."""
+    gaps, found = [], []
+    for start in range(0, len(vectors), _SLICE_ROWS):
+        every = _distances(vectors[start : start + _SLICE_ROWS], block)
+        best = _k_smallest(every, k)
+        gaps.append(np.take_along_axis(every, best, 1))
+        found.append(ids[best])
+    return np.concatenate(gaps), np.concatenate(found)
+
+
+def _merge(gaps: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest of two lists side by side, by distance and then id."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    gaps, ids = np.take_along_axis(gaps, order, 1), np.take_along_axis(ids, order, 1)
+    best = _k_smallest(gaps, k)
+    return np.take_along_axis(gaps, best, 1), np.take_along_axis(ids, best, 1)
 
 
 def knn_exact(
     queries: DataFrame, index: DataFrame, k: int, query_id: str = "vec_id", index_id: str = "vec_id",
-    vec: str = "embedding", pivots: int = 64,
+    vec: str = "embedding", pivots: int | None = None,
 ) -> DataFrame:
     """k nearest index vectors by squared distance of unit vectors (= 2 - 2 cos), ascending."""
     return search(build_index(index, index_id, vec, pivots), queries, query_id, vec, k)
@@ -251,7 +311,7 @@ def knn_exact(
 
 def knn_approx(
     queries: DataFrame, index: DataFrame, k: int, probes: int = 8, query_id: str = "vec_id",
-    index_id: str = "vec_id", vec: str = "embedding", pivots: int = 64,
+    index_id: str = "vec_id", vec: str = "embedding", pivots: int | None = None,
 ) -> DataFrame:
     """As ``knn_exact``, but each query looks into its ``probes`` nearest cells only."""
     return search(build_index(index, index_id, vec, pivots), queries, query_id, vec, k, probes)
