@@ -6,6 +6,7 @@ each pair is one matrix product. Distances are those of L2-normalised vectors.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,10 @@ from tileflow.sources.tables import new_path, settle
 
 _BLOCK_BYTES = 8 << 20  # matrix bytes in one block
 _BLOCK_ROWS = 4096
+_PACK_ROWS = 1024  # queries that travel together
 _MOST_PIVOTS = 256
 _ONE_ROUND = 4  # up to this many cells are searched at once
+_KEYS_PER_TASK = 4  # join keys wanted per task
 _OPEN_PACKS = 64  # packs of queries whose best neighbours a task holds
 _SLICE_ROWS = 512  # queries compared with a block at a time
 _SLOT_BLOCKS = 16  # blocks of one cell that share a join key
@@ -56,8 +59,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
     Rounded to 12 digits: equal vectors are then equally far, whichever blocks they came in.
     """
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
-    return np.maximum(np.round(squares - 2.0 * (a @ b.T), 12), 0.0)
+    squares = a @ b.T
+    squares *= -2.0
+    squares += (a * a).sum(1)[:, None]
+    squares += (b * b).sum(1)[None, :]
+    np.round(squares, 12, out=squares)
+    return np.maximum(squares, 0.0, out=squares)
 
 
 def _k_smallest(found: np.ndarray, k: int) -> np.ndarray:
@@ -190,14 +197,19 @@ def _compare(
     A query looks into the cells that are number ``skip`` to ``upto`` by distance and that can hold a
     neighbour within its bound (a null bound: within the k-th smallest distance to a pivot plus radius
     of a vector around it). The hot cells are split into slots; a query goes to every slot of a cell.
+    Where there are few slots, the queries of a slot are split too and its blocks copied, so that there
+    are several times as many join keys as tasks.
     """
+    spark = source.sparkSession
     centres, cell_ids = index.pivots[cells["cell"]], cells["cell"].to_numpy()
     nearest, farthest = cells["nearest"].to_numpy(), cells["farthest"].to_numpy()
     reach = np.concatenate([np.asarray(r, dtype=float) for r in cells["near"]])
     reach_cell = np.repeat(np.arange(len(cells)), [len(r) for r in cells["near"]])
     slots = np.maximum(1, -(-cells["blocks"].to_numpy() // _SLOT_BLOCKS))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    splits = max(1, -(-_KEYS_PER_TASK * tasks // int(slots.sum())))
     dtype, index_dtype = _element(source, "vec"), index.dtype
-    size = _rows_per_block(centres.shape[1], dtype)
+    size = min(_PACK_ROWS, _rows_per_block(centres.shape[1], dtype))
     query_type = source.schema["query_id"].dataType.simpleString()
     id_type = index.blocks.schema["ids"].dataType.elementType.simpleString()
 
@@ -213,6 +225,8 @@ def _compare(
             limit = np.minimum(limit, np.partition(sums, k - 1, axis=1)[:, k - 1])
         return wanted & (least <= limit[:, None] + 1e-6)
 
+    order = ["cell", "slot", "split", "q_ids", "q_bounds", "q_data"]
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
@@ -228,18 +242,19 @@ def _compare(
                 for start in range(0, len(picked), size):
                     part = picked[start : start + size]
                     pack = {
-                        "cell": int(cell_ids[c]), "q_ids": ids[part],
+                        "cell": int(cell_ids[c]), "split": zlib.crc32(str(ids[part[0]]).encode()) % splits, "q_ids": ids[part],
                         "q_bounds": np.where(np.isnan(bounds[part]), np.inf, bounds[part]), "q_data": raw[part].tobytes(),
                     }
-                    yield pd.DataFrame([{**pack, "slot": s} for s in range(int(slots[c]))])
+                    yield pd.DataFrame([{**pack, "slot": s} for s in range(int(slots[c]))])[order]
 
     packs = source.mapInPandas(
-        route, f"cell int, slot int, q_ids array<{query_type}>, q_bounds array<double>, q_data binary"
+        route, f"cell int, slot int, split int, q_ids array<{query_type}>, q_bounds array<double>, q_data binary"
     )
     slot_of = F.create_map(*[F.lit(int(v)) for pair in zip(cell_ids, slots) for v in pair])
     blocks = index.blocks.select(
         "cell",
         F.pmod(F.xxhash64("ids"), slot_of[F.col("cell")]).cast("int").alias("slot"),
+        F.explode(F.array(*[F.lit(i) for i in range(splits)])).alias("split"),
         "ids",
         "data",
     )
@@ -278,7 +293,7 @@ def _compare(
         for key in list(held):
             yield close(key)
 
-    pairs = packs.join(blocks, ["cell", "slot"])
+    pairs = packs.join(blocks, ["cell", "slot", "split"])
     return pairs.mapInPandas(nearest_in_pairs, f"query_id {query_type}, nn_id {id_type}, distance double")
 
 
