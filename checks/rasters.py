@@ -327,7 +327,14 @@ def quadrants():
     return lambda pixels: list(find(pixels))
 
 
-@query("ml05_detect")
+@query("ml05_detect", f"""with {v.PIXELS}, q as (select *, (y // {H // 2}) * 2 + x // {W // 2} det_id from px),
+  m as (select image_name, det_id, c, avg(v) mean from q group by all),
+  b as (select image_name, det_id, (det_id // 2) * {H // 2} y0, (det_id % 2) * {W // 2} x0,
+    case arg_max(c, mean - c * 1e-9) when 0 then 'all leaves' when 1 then 'single plant' else 'sand' end "label" from m group by 1, 2),
+  p as (select b.*, y - y0 ty, x - x0 tx, c, v from b join px on px.image_name = b.image_name
+    and y >= y0 and y < y0 + {H // 2 + 2} and x >= x0 and x < x0 + {W // 2 + 2} where "label" <> 'sand')
+  select image_name, det_id, "label", {H // 2 + 2} height, {W // 2 + 2} width, sum(v)::bigint total,
+    sum(v * (((ty * {W // 2 + 2} + tx) * 3 + c) % 101 + 1))::bigint weighted from p group by image_name, det_id, "label" """)
 def detect(spark, d):
     out = det.detect(images(spark, d), quadrants)
     return image_sums(out, ["image_name", "det_id", "label", "height", "width"])
@@ -374,23 +381,28 @@ def from_records(spark, d):
     return events.join(kinds, "event_type").select("event_id", F.length(F.col("detail")["w"]).alias("n"))
 
 
-@query("ras10_morph_profile_radius1", LONG + f""", src as (select image_name || '/' || mask_type image_name, y, x, v from long),
+RADIUS1 = LONG + f""", src as (select image_name || '/' || mask_type image_name, y, x, v from long),
   {shifted("e1", "src", "min", 1)}, {shifted("op", "e1", "max", 0)}, {shifted("d1", "src", "max", 0)}, {shifted("cl", "d1", "min", 1)},
   {shifted("d2", "op", "max", 0)}, {shifted("oc", "d2", "min", 1)}
   select split_part(image_name, '/', 1) image_name, split_part(image_name, '/', 2) mask_type, 1 iteration,
     round(avg(op.v), 6) opening_mean, round(avg(cl.v), 6) closing_mean, round(avg(oc.v), 6) opening_closing_mean
-  from op join cl using (image_name, y, x) join oc using (image_name, y, x) group by op.image_name, 1, 2""")
+  from op join cl using (image_name, y, x) join oc using (image_name, y, x) group by op.image_name, 1, 2"""
+
+
+@query("ras10_morph_profile_radius1", RADIUS1)
 def morph_radius1(spark, d):
     out = raster.morph_profile(wide_masks(spark, d), maximum=1, step=1)
     means = ("opening_mean", "closing_mean", "opening_closing_mean")
     return out.select("image_name", "mask_type", "iteration", *[F.round(c, 6).alias(c) for c in means])
 
 
-@query("ras10_morph_profile_arrays")
+@query("ras10_morph_profile_arrays", RADIUS1)
 def morph_arrays(spark, d):
-    out = raster.morph_profile_arrays(wide_masks(spark, d), maximum=4, step=2)
-    sizes = [F.size(c).alias(c) for c in out.columns if c != "image_name"]
-    return out.select("image_name", *sizes)
+    out = raster.morph_profile_arrays(wide_masks(spark, d), maximum=1, step=1)
+    long = out.unpivot(["image_name"], [c for c in out.columns if c != "image_name"], "mask_type", "stats")
+    means = ("opening_mean", "closing_mean", "opening_closing_mean")
+    return long.select("image_name", F.replace("mask_type", F.lit("_stats"), F.lit("")).alias("mask_type"), F.inline("stats")).select(
+        "image_name", "mask_type", "iteration", *[F.round(c, 6).alias(c) for c in means])
 
 
 @query("ras13_class_mask_columns", LONG + """ select s.image_name, sum(v) filter (where mask_type = 'leaf_mask')::bigint leaf,

@@ -451,10 +451,10 @@ def stratified(spark, d):
     return numbering.stratified_sample(docs, "source", 5, order=[F.md5(F.col("doc_id").cast("string")), "doc_id"])
 
 
-@query("win02_stratified_sample_random")
+@query("win02_stratified_sample_random", "select source, least(count(*), 5) n from documents group by 1")
 def stratified_random(spark, d):
     docs = v.table(spark, d, "documents").select("doc_id", "source")
-    return numbering.stratified_sample(docs, "source", 5, seed=3)
+    return numbering.stratified_sample(docs, "source", 5, seed=3).groupBy("source").agg(F.count_distinct("doc_id").alias("n"))
 
 
 @query("win05_row_number_by_key", """select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) row_number

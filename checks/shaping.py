@@ -69,7 +69,12 @@ def hash_bucket(spark, d):
     return line.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("prj08_hash_bucket_crc32")
+CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::bigint)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, n: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+@query("prj08_hash_bucket_crc32", f"""select ({CRC32} % 20)::int sample_id, count(*) n from (select l_orderkey::varchar s from lineitem)
+  group by 1""")
 def hash_bucket_crc32(spark, d):
     line = v.table(spark, d, "lineitem").select(shaping.hash_bucket(F.col("l_orderkey"), 20).alias("sample_id"))
     return line.groupBy("sample_id").agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tileflow.functions.vectors import doubles
@@ -111,16 +111,15 @@ def species_centroids(
         iterations = 1
     for _ in range(iterations):
         means = mean_vector_by_group(_assign(rows, centres), ["species", "centroid"], "vec", "moved")
-        moved = settle(
-            centres.join(means, ["species", "centroid"], "left").select(
-                "species", "centroid", "centre", F.coalesce("moved", "centre").alias("moved")
-            ),
-            "centres",
-        )
         step = F.aggregate(
             F.zip_with("centre", "moved", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, x: F.greatest(acc, x)
         )
-        still = moved.agg(F.max(step)).first()[0]
+        seen = Observation()
+        both = centres.join(means, ["species", "centroid"], "left").select(
+            "species", "centroid", "centre", F.coalesce("moved", "centre").alias("moved")
+        )
+        moved = settle(both.observe(seen, F.max(step).alias("step")), "centres")
+        still = seen.get["step"]
         centres = moved.select("species", "centroid", F.col("moved").alias("centre"))
         if still < 1e-9:
             break

@@ -70,12 +70,11 @@ def detections_nms(
         F.struct(*df.columns).alias("row"),
     )
     boxes = df.where(F.col("score") > score).select("image_name", box.alias("box"))
-    crowded = settle(
-        boxes.groupBy("image_name").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("image_name"), "crowded"
-    )
+    crowded = boxes.groupBy("image_name").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("image_name")
     if crowded.isEmpty():
         decided = [_greedy(boxes, iou)]
     else:
+        crowded = settle(crowded, "crowded")
         decided = [_greedy(boxes.join(crowded, "image_name", "left_anti"), iou)]
         rest = settle(boxes.join(crowded, "image_name", "left_semi"), "boxes")
         while not rest.isEmpty():

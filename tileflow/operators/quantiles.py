@@ -31,9 +31,13 @@ def exact_percentiles(
     """
     rows = df.select(group_key(by).alias("_group"), F.col(value).cast("double").alias("x")).where("x is not null")
     sizes = rows.groupBy("_group").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-    large = settle(sizes.where((F.col("n") > gather) & (F.col("low") < F.col("high"))), "large")
+    large = sizes.where((F.col("n") > gather) & (F.col("low") < F.col("high")))
     few = large.isEmpty()
-    small = rows if few else rows.join(large.select("_group"), "_group", "left_anti")
+    if few:
+        small = rows
+    else:
+        large = settle(large, "large")
+        small = rows.join(large.select("_group"), "_group", "left_anti")
     names = [f"q{i}" for i in range(len(points))]
     simple = small.groupBy("_group").agg(
         *[F.expr(f"percentile_disc({float(p)!r}) within group (order by x)").alias(n) for p, n in zip(points, names)]
