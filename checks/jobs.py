@@ -6,12 +6,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.rasters import DET, MASK, W, H, images, long_masks, masks, tiled, wide_masks  # noqa: F401
+from checks.rasters import images, tiled, wide_masks
 from checks.registry import query
 from tileflow.functions import vectors as vec
-from tileflow.operators import clusters, priors, raster, records, scoring, telemetry
+from tileflow.operators import clusters, priors, records, scoring, telemetry
 from tileflow.operators.joins import join_prior
-from tileflow.operators.numbering import top_rows
 from tileflow.plans import submission, tiles as tile_plans
 from tileflow.sources import readers
 from tileflow.sources.tables import new_path, settle

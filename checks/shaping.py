@@ -7,7 +7,6 @@ from checks import views as v
 from checks.registry import query
 from tileflow.functions import lists, names
 from tileflow.operators import numbering, shaping
-from tileflow.plans import submission
 from tileflow.sources import readers, writers
 from tileflow.sources.tables import new_path
 

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.registry import query
+from checks.shaping import REGION_SQL
 from tileflow.functions import lists, vectors as vec
 from tileflow.operators import joins, priors
 from tileflow.operators.numbering import top_rows
-from tileflow.plans import submission
+from tileflow.plans import image_priors, submission
 
 def embedding():
     return F.col("embedding")
@@ -133,6 +134,24 @@ def top_species(spark, d):
     return out.withColumn("probability", F.round("probability", 6))
 
 
+@query("jon12_image_priors", f"""with {v.PROB}, {v.PLOT}, n as (select vec_id, species_id cluster, {REGION_SQL} region
+    from tile_vec join plot_name on o_orderkey = vec_id),
+  c as (select region, cluster, count(*) n from n group by all),
+  dom as (select region, cluster dominant_cluster from (select *, row_number() over (partition by region order by n desc, cluster) r from c) where r = 1),
+  pl as (select vec_id, dominant_cluster from n join dom using (region)),
+  m as (select dominant_cluster, i, avg(p) m from prob join pl using (vec_id) group by all),
+  pr as (select dominant_cluster, i, m / sum(m) over (partition by dominant_cluster) q from m)
+  select vec_id, dominant_cluster, i, round(q, 6) x from pl join pr using (dominant_cluster)""")
+def image_prior(spark, d):
+    named = v.tiles(spark, d).join(v.plots(spark, d), F.expr("o_orderkey = vec_id"))
+    pics = named.select(
+        F.concat_ws("/", "quadrat_id", "vec_id").alias("image_name"), F.col("embedding").alias("logits"),
+        F.col("species_id").alias("cluster"))
+    out = image_priors.image_priors(pics, image_priors.region_clusters(pics))
+    keyed = out.withColumn("vec_id", F.element_at(F.split("image_name", "/"), -1).cast("bigint"))
+    return entries(keyed, ["vec_id", "dominant_cluster"], F.col("prior_probabilities"))
+
+
 CUTS = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,7 +157,8 @@ def _cell_table(index: VectorIndex, k: int) -> pd.DataFrame:
     near = (
         index.blocks.select("cell", F.explode(F.slice("radii", 1, k)).alias("radius"))
     )
-    near = top_rows(near, ["cell"], ["radius"], k).groupBy("cell").agg(F.sort_array(F.collect_list("radius")).alias("near"))
+    near = top_rows(near, ["cell"], ["radius"], k)
+    near = near.groupBy("cell").agg(F.sort_array(F.collect_list("radius")).alias("near"))
     sizes = index.blocks.groupBy("cell").agg(
         F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"), F.count("*").alias("blocks")
     )
@@ -234,16 +235,18 @@ def _compare(
             raw = _matrix(pdf["vec"]).astype(dtype)
             units = _unit(raw.astype(np.float64))
             ids, bounds = pdf["query_id"].to_numpy(), pdf["bound"].to_numpy(dtype=float, na_value=np.nan)
-            wanted = np.concatenate(
-                [candidates(units[i : i + _SLICE_ROWS], bounds[i : i + _SLICE_ROWS]) for i in range(0, len(ids), _SLICE_ROWS)]
-            )
+            cuts = [slice(i, i + _SLICE_ROWS) for i in range(0, len(ids), _SLICE_ROWS)]
+            wanted = np.concatenate([candidates(units[cut], bounds[cut]) for cut in cuts])
             for c in np.flatnonzero(wanted.any(0)):
                 picked = np.flatnonzero(wanted[:, c])
                 for start in range(0, len(picked), size):
                     part = picked[start : start + size]
                     pack = {
-                        "cell": int(cell_ids[c]), "split": zlib.crc32(str(ids[part[0]]).encode()) % splits, "q_ids": ids[part],
-                        "q_bounds": np.where(np.isnan(bounds[part]), np.inf, bounds[part]), "q_data": raw[part].tobytes(),
+                        "cell": int(cell_ids[c]),
+                        "split": zlib.crc32(str(ids[part[0]]).encode()) % splits,
+                        "q_ids": ids[part],
+                        "q_bounds": np.where(np.isnan(bounds[part]), np.inf, bounds[part]),
+                        "q_data": raw[part].tobytes(),
                     }
                     yield pd.DataFrame([{**pack, "slot": s} for s in range(int(slots[c]))])[order]
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tileflow.functions.vectors import (
     doubles,
     entries_needed,
+    entries_to_vector,
     normalise_sum,
     softmax,
     top_entries,
@@ -95,5 +96,5 @@ def id_prob_rows(df: DataFrame, keep: Sequence[str], vec: str) -> DataFrame:
 
 def id_prob_vector(rows: DataFrame, keys: Sequence[str], out: str = "vector") -> DataFrame:
     """``class_idx, score`` rows -> one vector per key; a key holds one row per class."""
-    ordered = F.array_sort(F.collect_list(F.struct("class_idx", "score")))
-    return rows.groupBy(*keys).agg(F.transform(ordered, lambda e: e["score"]).alias(out))
+    entries = F.collect_list(F.struct("class_idx", "score"))
+    return rows.groupBy(*keys).agg(entries_to_vector(entries).alias(out))

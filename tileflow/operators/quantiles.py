@@ -45,7 +45,9 @@ def exact_percentiles(
     if few:
         return simple
 
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)]))
+    wanted = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)])
+    )
     rank = F.greatest(F.ceil(F.col("_p.p") * F.col("n")), F.lit(1)).alias("rank")
     state = large.withColumn("_p", wanted).select("_group", "_p.i", rank, "low", "high", "n")
     unsettled = (F.col("n") > gather) & (F.col("low") < F.col("high"))

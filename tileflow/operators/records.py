@@ -124,4 +124,5 @@ def attempt_summary(batches: DataFrame, attempts: DataFrame, on: str) -> DataFra
     """Batches per state: ``success``, ``failed`` (tried without success) or ``skipped`` (not tried)."""
     best = attempts.groupBy(on).agg(F.max((F.col("status") == "ok").cast("int")).alias("_ok"))
     state = F.when(F.col("_ok") == 1, "success").when(F.col("_ok") == 0, "failed").otherwise("skipped")
-    return batches.select(on).distinct().join(best, on, "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    joined = batches.select(on).distinct().join(best, on, "left")
+    return joined.groupBy(state.alias("state")).agg(F.count("*").alias("n"))

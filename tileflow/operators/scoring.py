@@ -95,7 +95,8 @@ class BatchScorer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
 
 
 def safe_scores(
-    df: DataFrame, input_col: str, make_predict: Callable[[], Callable], result: str = "array<double>", out: str = "output"
+    df: DataFrame, input_col: str, make_predict: Callable[[], Callable], result: str = "array<double>",
+    out: str = "output",
 ) -> DataFrame:
     """Score row by row; a row that fails gets nulls and the text of its ``error``, the job goes on.
 

@@ -48,7 +48,8 @@ def tile_classify(
     ``prior``: ``image_name, prior_probabilities``.
     """
     tiles = tile_image(images, grid_size, order) if grid_size > 1 else images.withColumn("tile", F.lit(0))
-    scored = scorer.transform(tiles).select("image_name", "tile", F.col(f"{scorer.getOutputCol()}.logits").alias("logits"))
+    logits = F.col(f"{scorer.getOutputCol()}.logits").alias("logits")
+    scored = scorer.transform(tiles).select("image_name", "tile", logits)
     probabilities = softmax(F.col("logits"))
     if prior is not None:
         scored = join_prior(scored, prior, "image_name")
