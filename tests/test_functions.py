@@ -125,6 +125,12 @@ def test_top_entries_ties_go_to_lower_index(spark):
     assert [tuple(e) for e in got] == [(1, 0.4), (2, 0.4), (0, 0.2)]
 
 
+def test_top_entries_of_short_empty_and_missing_vectors(spark):
+    df = spark.createDataFrame([([0.5],), ([],), (None,), ([0.1, 0.3, 0.3],)], "v array<double>")
+    got = [r[0] if r[0] is None else [e.class_idx for e in r[0]] for r in df.select(vec.top_entries(F.col("v"), 2)).collect()]
+    assert got == [[0], [], None, [1, 2]]
+
+
 @pytest.mark.parametrize("share, n", [(0.5, 1), (0.51, 2), (0.75, 2), (0.76, 3)])
 def test_entries_needed(spark, share, n):
     df = spark.createDataFrame([([0.25, 0.5, 0.25],)], "v array<double>")
