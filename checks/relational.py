@@ -350,8 +350,8 @@ def list_sizes(spark, d):
 
 @query("agg24_filter_impact_report", f"""with {v.PRED}, {ALLOWED}, n as (select quadrat_id, count(*) b,
   count(*) filter (where species_id in (select s_suppkey from allowed)) a from pred group by 1)
-  select sum(b) total_before, round(avg(b), 6) mean_before, min(b) min_before, max(b) max_before, sum(a) total_after,
-  round(avg(a), 6) mean_after, min(a) min_after, max(a) max_after, sum(b - a) removed, round(sum(b - a) / sum(b), 6) reduction from n""")
+  select sum(b)::bigint total_before, round(avg(b), 6) mean_before, min(b) min_before, max(b) max_before, sum(a)::bigint total_after,
+  round(avg(a), 6) mean_after, min(a) min_after, max(a) max_after, sum(b - a)::bigint removed, round(sum(b - a) / sum(b), 6) reduction from n""")
 def filter_impact(spark, d):
     before = settle(v.pred_lists(spark, d))
     out = ll.filter_impact_report(before, submission.filter_by_area(before, allowed(spark, d)), "quadrat_id")
@@ -371,7 +371,7 @@ def country_counts(spark, d):
 
 
 @query("agg26_country_rollup", UNKNOWN + """select species, string_agg(country, ',' order by country) countries,
-  count(*) n_countries, sum(n) total_count from u group by 1""")
+  count(*) n_countries, sum(n)::bigint total_count from u group by 1""")
 def country_rollup(spark, d):
     rollup = counting.country_rollup(counting.country_counts(nullable_occurrences(spark, d)))
     return rollup.withColumn("countries", F.array_join("countries", ","))
