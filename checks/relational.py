@@ -67,13 +67,13 @@ def left_join_fill(spark, d):
     return out.withColumn("species_ids", joined(F.col("species_ids")))
 
 
-@query("jon08_outer_join_fill_empty", f"""with {v.PRED}, {v.list_sql("a", "in_a and in_b and pos > 2")},
-  ids as (select distinct quadrat_id from plot_name where quadrat_id like 'CBN%')
+@query("jon08_outer_join_fill_empty", f"""with {v.PRED}, {v.list_sql("a", "in_b and pos > 2")},
+  ids as (select distinct quadrat_id from pred where in_a)
   select coalesce(p.quadrat_id, a.quadrat_id) quadrat_id, coalesce(array_to_string(species_ids, ','), '') species_ids
   from ids p full join a on p.quadrat_id = a.quadrat_id""")
 def outer_join_fill(spark, d):
-    preds = v.pred_lists(spark, d, "in_a and in_b and pos > 2")
-    ids = v.plots(spark, d).where(F.col("quadrat_id").startswith("CBN"))
+    preds = v.pred_lists(spark, d, "in_b and pos > 2")
+    ids = v.pred_rows(spark, d).where("in_a")
     out = joins.outer_join_fill_empty(ids, preds, "quadrat_id")
     return out.withColumn("species_ids", joined(F.col("species_ids")))
 

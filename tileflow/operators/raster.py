@@ -256,6 +256,14 @@ def class_mask_columns(
     return joined.select(key, *[F.coalesce(f"{c}_mask", "_zero").alias(f"{c}_mask") for c in classes])
 
 
+def _blanked(pixels: np.ndarray, mask: bytes, fill_mean: bool) -> np.ndarray:
+    inside = decode_mask(mask).astype(bool)
+    out = np.where(inside[:, :, None], pixels, 0).astype(np.uint8)
+    if fill_mean and inside.any():
+        out[~inside] = out[inside].mean(axis=0).astype(np.uint8)
+    return out
+
+
 def apply_mask(df: DataFrame, mask: str = "mask", fill_mean: bool = False) -> DataFrame:
     """Blank out the pixels of an image row outside its mask.
 
@@ -264,19 +272,40 @@ def apply_mask(df: DataFrame, mask: str = "mask", fill_mean: bool = False) -> Da
 
     @F.pandas_udf("binary")
     def blank(image: pd.DataFrame) -> pd.Series:
-        def one(row) -> bytes:
-            inside = decode_mask(row.mask).astype(bool)
-            pixels = np.where(inside[:, :, None], _pixels(row), 0).astype(np.uint8)
-            if fill_mean and inside.any():
-                pixels[~inside] = pixels[inside].mean(axis=0).astype(np.uint8)
-            return pixels.tobytes()
-
-        return pd.Series([one(row) for row in image.itertuples()])
+        return pd.Series([_blanked(_pixels(row), row.mask, fill_mean).tobytes() for row in image.itertuples()])
 
     image = F.struct("height", "width", "channels", "data", F.col(mask).alias("mask"))
     return df.withColumn("data", blank(image)).drop(mask)
 
 
+def masked_tiles(
+    df: DataFrame, types: Sequence[str], n: int, order: str = "columns", fill_mean: bool = False
+) -> DataFrame:
+    """n x n tiles of an image row for each of its mask columns, blanked out by that mask.
+
+    Gives the other columns, ``mask_type, tile, height, width, channels, data``. The pixels of an image
+    go to Python once for all its masks; a null mask gives no tiles.
+    """
+    tile = "mask_type:string, tile:int, height:int, width:int, channels:int, data:binary"
+
+    @F.pandas_udf(f"array<struct<{tile}>>")
+    def cut(image: pd.DataFrame) -> pd.Series:
+        def every(row) -> list[tuple]:
+            pixels = _pixels(row)
+            return [
+                (name, i, *t.shape, t.tobytes())
+                for name in types
+                if getattr(row, name) is not None
+                for i, t in _tiles(_blanked(pixels, getattr(row, name), fill_mean), n, order)
+            ]
+
+        return pd.Series([every(row) for row in image.itertuples()])
+
+    used = ("height", "width", "channels", "data", *types)
+    rest = [c for c in df.columns if c not in used]
+    return df.select(*rest, F.inline(cut(F.struct(*used))))
+
+
 def center_crop_resize(images: DataFrame, size: int) -> DataFrame:
     """Centre square, then shrunk to size x size by area: each pixel is the mean of what it covers."""
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from tileflow.functions.vectors import apply_prior, softmax
 from tileflow.operators.joins import join_mask_image, join_prior
-from tileflow.operators.raster import apply_mask, tile_image
-from tileflow.operators.shaping import unpivot_by_name
+from tileflow.operators.raster import masked_tiles, tile_image
 
 
 def tile_embed(images: DataFrame, scorer: Transformer, grid_size: int = 3, order: str = "columns") -> DataFrame:
@@ -26,17 +25,19 @@ def tile_embed(images: DataFrame, scorer: Transformer, grid_size: int = 3, order
 
 def masked_tile_embed(
     masks: DataFrame, images: DataFrame, scorer: Transformer, grid_size: int = 3,
-    mask_types: Sequence[str] | None = None,
+    mask_types: Sequence[str] | None = None, order: str = "columns",
 ) -> DataFrame:
     """``image_name, tile, mask_type, cls_embedding``: every mask type blanks the image on its own.
 
-    The mask types wanted are chosen as columns, before anything is unpivoted or joined.
+    Masks stay columns of one row through the join, so each image is shuffled and sent to Python once.
     """
-    if mask_types:
-        masks = masks.select("image_name", *mask_types)
-    long = unpivot_by_name(masks, ["image_name"], "mask", "mask_type", "mask")
-    covered = apply_mask(join_mask_image(long, images))
-    return tile_embed(covered, scorer, grid_size).select("image_name", "tile", "mask_type", "cls_embedding")
+    types = list(mask_types or [c for c in masks.columns if "mask" in c])
+    pictures = images.select("image_name", "height", "width", "channels", "data")
+    joined = join_mask_image(masks.select("image_name", *types), pictures)
+    scored = scorer.transform(masked_tiles(joined, types, grid_size, order))
+    return scored.select(
+        "image_name", "tile", "mask_type", F.col(f"{scorer.getOutputCol()}.cls_token").alias("cls_embedding")
+    )
 
 
 def tile_classify(
