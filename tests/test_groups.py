@@ -44,6 +44,16 @@ def test_global_threshold(spark, skewed):
     assert got.count() == sum(r[2] is not None and r[2] <= limit for r in rows)
 
 
+@pytest.mark.parametrize("gather", [50, 10_000])
+def test_threshold_by_group(spark, skewed, gather, monkeypatch):
+    df, rows = skewed
+    monkeypatch.setattr(quantiles.has_large_groups, "__defaults__", (gather,))
+    monkeypatch.setattr(quantiles.exact_percentiles, "__defaults__", (gather,))
+    got = {r["id"] for r in thresholds.percentile_threshold_by_image(df.where("key is not null"), "value", 0.25, "key").collect()}
+    limits = {k: disc([r[2] for r in rows if r[1] == k and r[2] is not None], 0.25) for k in {r[1] for r in rows if r[1]}}
+    assert got == {r[0] for r in rows if r[1] and r[2] is not None and r[2] <= limits[r[1]]}
+
+
 def test_dense_row_id(spark, skewed):
     df, rows = skewed
     got = numbering.dense_row_id(df, ["value", "id"], "n").collect()

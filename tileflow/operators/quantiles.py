@@ -19,19 +19,30 @@ def group_key(by: Sequence[str]) -> Column:
     return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
 
 
+def share_rank(p: Column | float, n: Column) -> Column:
+    """Rank of the smallest of n values that reaches the share p; p * n counts as whole when it is within 1e-9."""
+    exact = (F.lit(p) if isinstance(p, float) else p) * n
+    return F.greatest(F.ceil(F.round(exact, 9)), F.lit(1)).cast("bigint")
+
+
+def has_large_groups(df: DataFrame, by: Sequence[str], gather: int = GATHER) -> bool:
+    sizes = df.groupBy(group_key(by).alias("_group")).agg(F.count("*").alias("n"))
+    return not sizes.where(F.col("n") > gather).isEmpty()
+
+
 def exact_percentiles(
     df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], gather: int = GATHER
 ) -> DataFrame:
     """``_group, q0, q1, ...``: per group the smallest value whose rank reaches each point's share.
 
-    ``_group`` is ``group_key(by)``. Groups of up to ``gather`` rows take one exact aggregate. For larger
+    ``_group`` is ``group_key(by)``. Groups of up to ``gather`` rows are sorted as one array. For larger
     ones every round counts rows in equal-width bins of the range that still holds the wanted rank and
     goes on inside one bin, until few rows (or one single value) are left. Nulls do not count. The rows
     are read more than once, so pass a settled table.
     """
     rows = df.select(group_key(by).alias("_group"), F.col(value).cast("double").alias("x")).where("x is not null")
     sizes = rows.groupBy("_group").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-    large = sizes.where((F.col("n") > gather) & (F.col("low") < F.col("high")))
+    large = sizes.where(F.col("n") > gather)
     few = large.isEmpty()
     if few:
         small = rows
@@ -39,8 +50,10 @@ def exact_percentiles(
         large = settle(large, "large")
         small = rows.join(large.select("_group"), "_group", "left_anti")
     names = [f"q{i}" for i in range(len(points))]
-    simple = small.groupBy("_group").agg(
-        *[F.expr(f"percentile_disc({float(p)!r}) within group (order by x)").alias(n) for p, n in zip(points, names)]
+    values = small.groupBy("_group").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    simple = values.select(
+        "_group",
+        *[F.element_at("xs", share_rank(float(p), F.size("xs")).cast("int")).alias(n) for p, n in zip(points, names)],
     )
     if few:
         return simple
@@ -48,7 +61,7 @@ def exact_percentiles(
     wanted = F.explode(
         F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)])
     )
-    rank = F.greatest(F.ceil(F.col("_p.p") * F.col("n")), F.lit(1)).alias("rank")
+    rank = share_rank(F.col("_p.p"), F.col("n")).alias("rank")
     state = large.withColumn("_p", wanted).select("_group", "_p.i", rank, "low", "high", "n")
     unsettled = (F.col("n") > gather) & (F.col("low") < F.col("high"))
     state = settle(state, "ranks")

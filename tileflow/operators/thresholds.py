@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tileflow.operators.numbering import top_rows
-from tileflow.operators.quantiles import exact_percentiles
+from tileflow.operators.quantiles import exact_percentiles, has_large_groups, share_rank
 
 
 def min_of_medians(
@@ -33,10 +34,19 @@ def percentile_threshold_by_image(
 ) -> DataFrame:
     """Rows at or below the p-percentile of their image.
 
-    The percentile is a grouped aggregate joined back (not a window), so an image with very many rows
-    does not end up in one task. ``accuracy`` takes the approximate percentile of that accuracy instead
-    of the exact one, in one pass.
+    While every image has a bounded number of rows, one sort per image finds it. Otherwise percentiles are
+    computed with large images split and joined back, so that no image has to fit into one task.
+    ``accuracy`` takes the approximate percentile of that accuracy instead of the exact one.
     """
+    known = df.where(F.col(value).isNotNull())
+    if not accuracy and not has_large_groups(known, [by]):
+        image = W.partitionBy(by)
+        place = F.row_number().over(image.orderBy(value))
+        wanted = share_rank(float(p), F.count("*").over(image))
+        placed = known.withColumns({"_place": place, "_wanted": wanted})
+        limit = F.max(F.when(F.col("_place") == F.col("_wanted"), F.col(value))).over(image)
+        kept = placed.withColumn("threshold", limit).where(F.col(value) <= F.col("threshold"))
+        return kept.drop("_place", "_wanted")
     if accuracy:
         limits = df.groupBy(by).agg(F.percentile_approx(value, p, accuracy).alias("threshold"))
     else:
