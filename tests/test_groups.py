@@ -44,6 +44,15 @@ def test_global_threshold(spark, skewed):
     assert got.count() == sum(r[2] is not None and r[2] <= limit for r in rows)
 
 
+def test_percentiles_with_extreme_values(spark):
+    inf, big = float("inf"), 1.7e308
+    values = [-inf] * 3 + [-big, -1.0, 0.0, 5e-324, 1e-323, 1.0, 1.0, 1.0, 2.0, big] + [inf] * 2 + [float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    points = [i / 15 for i in range(1, 16)]
+    row = quantiles.exact_percentiles(df, [], "x", points, gather=2).first()
+    assert [row[f"q{i}"] for i in range(15)] == [disc(values[:15], p) for p in points]
+
+
 @pytest.mark.parametrize("gather", [50, 10_000])
 def test_threshold_by_group(spark, skewed, gather, monkeypatch):
     df, rows = skewed

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from tileflow.sources.tables import settle
 
 GATHER = 100_000  # values that one aggregate may hold
 BINS = 4096
+_LARGEST = sys.float_info.max
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -37,10 +39,11 @@ def exact_percentiles(
 
     ``_group`` is ``group_key(by)``. Groups of up to ``gather`` rows are sorted as one array. For larger
     ones every round counts rows in equal-width bins of the range that still holds the wanted rank and
-    goes on inside one bin, until few rows (or one single value) are left. Nulls do not count. The rows
-    are read more than once, so pass a settled table.
+    goes on inside one bin, until few rows (or one single value) are left. Nulls and nan do not count. The
+    rows are read more than once, so pass a settled table.
     """
-    rows = df.select(group_key(by).alias("_group"), F.col(value).cast("double").alias("x")).where("x is not null")
+    rows = df.select(group_key(by).alias("_group"), F.col(value).cast("double").alias("x"))
+    rows = rows.where("x is not null and not isnan(x)")
     sizes = rows.groupBy("_group").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     large = sizes.where(F.col("n") > gather)
     few = large.isEmpty()
@@ -67,8 +70,12 @@ def exact_percentiles(
     state = settle(state, "ranks")
     while not state.where(unsettled).isEmpty():
         inside = rows.join(state.where(unsettled), "_group").where(F.col("x").between(F.col("low"), F.col("high")))
-        width = (F.col("high") - F.col("low")) / BINS
-        place = F.least(F.floor((F.col("x") - F.col("low")) / width), F.lit(BINS - 1))
+        # infinite ends are cut to the largest number; BINS is a power of two, so the width is exact
+        low, high = (F.greatest(F.least(F.col(c), F.lit(_LARGEST)), F.lit(-_LARGEST)) for c in ("low", "high"))
+        width = high / BINS - low / BINS
+        # a range too narrow for a width is split into its lowest value and the rest
+        narrow = F.when(F.col("x") > F.col("low"), F.lit(BINS - 1)).otherwise(F.lit(0))
+        place = F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - low, width)), narrow), F.lit(BINS - 1))
         bins = inside.groupBy("_group", "i", "rank", place.alias("bin")).agg(
             F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")
         )
