@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tileflow.llm.exact_dedup import ascii_lower, duplicate_groups
 from tileflow.llm.folders import prepare
+from tileflow.llm.jaccard_join import linked_groups
 from tileflow.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,28 @@ select n.doc_id, g.keep_id, g.group_size, n.doc_id is not distinct from g.keep_i
 from norm n join g on n.t = g.t"""
 
 
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_groups(documents(spark, sf_dir), size=4, percent=85).drop("n_links")
+
+
+SQL["op3_jaccard_join"] = f"""
+with recursive words as (select doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) end s from words),
+sized as (select doc_id, len(s) n_shingles, s from sets),
+items as (select doc_id, n_shingles, hash(unnest(s)) h from sized),
+common as (select a.doc_id a, b.doc_id b, any_value(a.n_shingles) na, any_value(b.n_shingles) nb, count(*) n
+    from items a join items b on a.h = b.h and a.doc_id < b.doc_id
+      and 100 * least(a.n_shingles, b.n_shingles) >= 85 * greatest(a.n_shingles, b.n_shingles) group by 1, 2),
+links as (select a, b from common where 100 * n >= 85 * (na + nb - n)),
+ways as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from sized
+    union select r.doc_id, w.b from reach r join ways w on r.other = w.a)
+select s.doc_id, s.n_shingles, (select min(other) from reach r where r.doc_id = s.doc_id) component_id from sized s"""
+
+
 URL_RULES = (
     Rule("allow", "com", "/"),
     Rule("block", "example.com", "/en/"),
