@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tileflow.llm.exact_dedup import ascii_lower, duplicate_groups
 from tileflow.llm.folders import prepare
 from tileflow.llm.jaccard_join import linked_groups
+from tileflow.llm.substring_dedup import remove_repeats
 from tileflow.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,26 @@ reach(doc_id, other) as (select doc_id, doc_id from sized
 select s.doc_id, s.n_shingles, (select min(other) from reach r where r.doc_id = s.doc_id) component_id from sized s"""
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=35)
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op7_substring_dedup"] = """
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+wins as (select doc_id, i, array_to_string(w[i:i + 34], ' ') s
+  from (select doc_id, w, unnest(range(1, len(w) - 33)) i from words)),
+twice as (select s from wins group by s having count(*) > 1),
+hit as (select doc_id, i from wins semi join twice using (s)),
+gone as (select distinct doc_id, i + j p from hit, range(35) r(j)),
+placed as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from words),
+kept as (select doc_id, count(*) n, string_agg(word, ' ' order by p) k from placed anti join gone using (doc_id, p)
+  group by 1)
+select w.doc_id, len(w.w) n_words, len(w.w) - coalesce(k.n, 0) n_removed, sha256(coalesce(k.k, '')) kept_sha256
+from words w left join kept k using (doc_id)"""
+
+
 URL_RULES = (
     Rule("allow", "com", "/"),
     Rule("block", "example.com", "/en/"),

@@ -140,6 +140,30 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before, counts) + np.repeat(starts, counts)
 
 
+def sliding_argmin(values: np.ndarray, width: int, block: int = 1 << 20) -> np.ndarray:
+    """Position of the smallest value of every ``width`` neighbours, of equal ones the rightmost.
+
+    The upper 42 bits of the values are compared.
+    """
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = np.empty(n, np.int64)
+    low = U64((1 << 22) - 1)
+    for lo in range(0, n, block):
+        hi = min(lo + block, n)
+        part = values[lo : hi + width - 1]
+        least = (part & ~low) | (low - np.arange(len(part), dtype=U64))
+        span = 1  # least[i] is the minimum of span neighbours from i
+        while span * 2 <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < width:
+            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+        out[lo:hi] = (low - (least & low)).astype(np.int64) + lo
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return np.ascontiguousarray(x).view(np.int64)
