@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tileflow.llm.bpe import round_trip
 from tileflow.llm.exact_dedup import ascii_lower, duplicate_groups
 from tileflow.llm.folders import prepare
 from tileflow.llm.jaccard_join import linked_groups
+from tileflow.llm.packing import pack_documents
 from tileflow.llm.substring_dedup import remove_repeats
+from tileflow.llm.token_counts import piece_counts
 from tileflow.llm.url_filter import Rule, judge_urls
+from tileflow.llm.winnowing import edit_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,6 +51,11 @@ select n.doc_id, g.keep_id, g.group_size, n.doc_id is not distinct from g.keep_i
 from norm n join g on n.t = g.t"""
 
 
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(documents(spark, sf_dir))
+
+
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_groups(documents(spark, sf_dir), size=4, percent=85).drop("n_links")
@@ -69,6 +78,30 @@ reach(doc_id, other) as (select doc_id, doc_id from sized
 select s.doc_id, s.n_shingles, (select min(other) from reach r where r.doc_id = s.doc_id) component_id from sized s"""
 
 
+def tokenizer_file() -> str:
+    """The public vocabulary file; the package that knows its place is installed beside the tokenizer libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_file(), capacity=2048, close=1)
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = round_trip(documents(spark, sf_dir), tokenizer_file())
+    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    return coded.select("doc_id", "n_tokens", *digests)
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts(documents(spark, sf_dir), tokenizer_file())
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=35)
