@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileflow.llm.bpe import round_trip
 from tileflow.llm.exact_dedup import ascii_lower, duplicate_groups
 from tileflow.llm.folders import prepare
 from tileflow.llm.jaccard_join import linked_groups
+from tileflow.llm.lm_scoring import score_texts
 from tileflow.llm.packing import pack_documents
 from tileflow.llm.substring_dedup import remove_repeats
 from tileflow.llm.token_counts import piece_counts
@@ -58,7 +59,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_groups(documents(spark, sf_dir), size=4, percent=85).drop("n_links")
+    return linked_groups(documents(spark, sf_dir), size=4, percent=85)
 
 
 SQL["op3_jaccard_join"] = f"""
@@ -122,6 +123,17 @@ select w.doc_id, len(w.w) n_words, len(w.w) - coalesce(k.n, 0) n_removed, sha256
 from words w left join kept k using (doc_id)"""
 
 
+def fold_of(n: int) -> Column:
+    """The remainder that decides whether a document is held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(documents(spark, sf_dir), training=fold_of(7) != 2)
+    return scored.withColumn("trained", F.expr("not trained")).withColumnRenamed("trained", "held_out")
+
+
 URL_RULES = (
     Rule("allow", "com", "/"),
     Rule("block", "example.com", "/en/"),
