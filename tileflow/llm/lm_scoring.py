@@ -263,7 +263,7 @@ def score_texts(
     forms: int = 31,
     frequent: int = 131_072,
     discount: float = 0.75,
-    alpha: float = 0.5,
+    alpha: float = 1.0,
 ) -> DataFrame:
     """id, trained (boolean), n_tokens, n_known, train_tokens (long), base_score, score (double, log10) of every text.
 
