@@ -11,6 +11,7 @@ from tileflow.llm.bpe import round_trip
 from tileflow.llm.exact_dedup import ascii_lower, duplicate_groups
 from tileflow.llm.folders import prepare
 from tileflow.llm.jaccard_join import linked_groups
+from tileflow.llm.language_id import identify
 from tileflow.llm.lm_scoring import score_texts
 from tileflow.llm.packing import pack_documents
 from tileflow.llm.substring_dedup import remove_repeats
@@ -128,6 +129,14 @@ def fold_of(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    named = identify(docs, training=fold_of(4) != 2)
+    held_out = F.coalesce(fold_of(4) == 2, F.lit(False)).alias("held_out")
+    return named.select("doc_id", held_out, "lang_pred", "score")
+
+
 @query
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(documents(spark, sf_dir), training=fold_of(7) != 2)
