@@ -4,9 +4,10 @@ Two sets link when 100 * |A n B| >= percent * |A u B|. Sizes fall into bands so
 in neighbouring ones; inside a band level the number of differing elements of a linked pair has a bound k. The
 element domain is cut into parts by hash, and a set gives one signature per part (and per subset of its sub-parts
 for small k); linked sets share at least one signature by the pigeonhole principle. Equal sets are one class from
-the start. In each signature bucket all classes are first compared with the smallest one; only where a comparison
-fails, the members of that bucket that are still in different groups are compared with each other. So no bucket is
-expanded into all its pairs, and no link between groups is lost. Every candidate is checked on the whole sets.
+the start. In each signature bucket all classes are first compared with the smallest one, its hub. Where such a
+comparison fails, the hub's candidates outside its largest group so far are queries: blocks of them are held in
+tasks, all candidates of the hub stream past, and only links between different groups come out. So no bucket is
+expanded into pairs, and no link that joins groups is lost. Every link is checked on the whole sets.
 
 Sets are kept as 64-bit element hashes; equality of classes rests on a 64-bit hash of the set.
 """
@@ -18,13 +19,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tileflow.llm.components import components
 from tileflow.llm.folders import stored
-from tileflow.llm.words import U64, Texts, Words, fold, mix, parts, signed, windows
+from tileflow.llm.words import U64, Texts, Words, fold, mix, parts, ranges, signed, windows
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -245,19 +246,96 @@ def _compare(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, slots: int = 16) -> DataFrame:
+def _cross(percent: int):
+    """Rows hub, block, part, role, key, place, elements, sorted so that the queries (role 0) of a block come first.
+
+    Keeps one link (query, other) for each query and group (place) that the block meets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, queries, index, done = None, [], None, set()
+
+        def indexed() -> tuple[np.ndarray, np.ndarray]:
+            owner = np.repeat(np.arange(len(queries)), [len(v) for _, _, v in queries])
+            values = np.concatenate([v for _, _, v in queries])
+            order = np.argsort(values, kind="stable")
+            return values[order], owner[order]
+
+        for batch in batches:
+            a, b = [], []
+            for hub, block, part, role, key, place, elements in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                values = np.frombuffer(elements, U64)
+                if now != (hub, block, part):
+                    now, queries, index, done = (hub, block, part), [], None, set()
+                if not role:
+                    queries.append((key, place, values))
+                    continue
+                if not queries:
+                    continue
+                if index is None:
+                    index = indexed()
+                    sizes = np.array([len(v) for _, _, v in queries])
+                low = np.searchsorted(index[0], values)
+                times = np.searchsorted(index[0], values, side="right") - low
+                common = np.bincount(index[1][ranges(low, times)], minlength=len(queries))
+                for i in np.flatnonzero(100 * common >= percent * (sizes + len(values) - common)):
+                    other, group, _ = queries[i]
+                    if group != place and (i, place) not in done:
+                        done.add((i, place))
+                        a.append(other)
+                        b.append(key)
+            yield _emit({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _sets_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """key, elements of the wanted classes, from the whole text of one document each."""
+    ids = stored(keys.join(classes, "key").select(F.col("first_id").alias("id")), "ids")
+    sets = docs.join(ids, "id", "left_semi").select("text").mapInArrow(_sets(size), "key bigint, elements binary")
+    return stored(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, slots: int = 16) -> DataFrame:
     """The pairs (hub, key) whose sets link, as a, b. The set of a hub is sent once per slot, not once per pair."""
     pairs = pairs.select("hub", "key", F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int").alias("slot"))
-    needed = stored(pairs.union(pairs.select("hub", F.col("hub").alias("key"), "slot")).distinct(), "needed")
-    ids = needed.select("key").distinct().join(classes, "key").select(F.col("first_id").alias("id"))
-    texts = docs.join(stored(ids, "ids"), "id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(size), "key bigint, elements binary")
-    sets = stored(sets.join(needed.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    needed = stored(pairs.union(pairs.select("hub", F.col("hub").alias("key"), "slot").distinct()), "needed")
     rows = needed.join(sets, "key").select("hub", "slot", "key", "elements")
     dealt = rows.repartition("hub", "slot").sortWithinPartitions("hub", "slot", F.col("key") != F.col("hub"))
     return stored(dealt.mapInArrow(_compare(percent), "a bigint, b bigint"), "links")
 
 
+def _group_links(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, block: int = 200) -> DataFrame:
+    """Links between different groups among the candidates of each hub that has some outside its largest group."""
+    both = pairs.union(pairs.select("hub", F.col("hub").alias("key")).distinct())
+    place = groups.select(F.col("node").alias("key"), F.col("component").alias("place"))
+    family = stored(both.join(place, "key", "left").withColumn("place", F.coalesce("place", "key")), "family")
+    sizes = family.groupBy("hub", "place").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "place"))
+    hubs = sizes.groupBy("hub").agg(F.sum("n").alias("all"), largest.alias("most")).where("all > most.n")
+    hubs = hubs.select(
+        "hub",
+        F.col("most.place").alias("core"),
+        F.ceil((F.col("all") - F.col("most.n")) / block).cast("int").alias("blocks"),
+        F.ceil(F.col("all") / (10 * block)).cast("int").alias("parts"),
+    )
+    rows = family.join(stored(hubs, "hubs"), "hub")
+
+    def slot(n: str) -> Column:
+        return F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    common = ("hub", "key", "place")
+    asking = rows.where("place <> core").select(*common, F.lit(0).alias("role"), slot("blocks").alias("block"), every("parts").alias("part"))
+    asked = rows.select(*common, F.lit(1).alias("role"), every("blocks").alias("block"), slot("parts").alias("part"))
+    sent = stored(asking.unionByName(asked), "sent")
+    rows = sent.join(sets, "key").select("hub", "block", "part", "role", "key", "place", "elements")
+    dealt = rows.repartition("hub", "block", "part").sortWithinPartitions("hub", "block", "part", "role")
+    return stored(dealt.mapInArrow(_cross(percent), "a bigint, b bigint"), "links")
+
+
 def linked_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -267,13 +345,12 @@ def linked_groups(
     crowd: int = 3,
     salts: int = 64,
 ) -> DataFrame:
-    """One row per document: id, n_shingles (long), component_id (smallest id that links reach), n_links (long).
+    """One row per document: id, n_shingles (long), component_id (smallest id that links reach).
 
     A document's set holds its distinct ``size``-word shingles over ASCII-lower-cased words; a shorter text is one
-    shingle. ``n_links`` counts the compared documents' classes that link with its class directly. Signatures that
-    at least ``crowd`` sets of a task's chunk share are counted; the most crowded ones (at most 1,000 times a set's
-    signatures) are dealt over ``salts`` slots, so no task meets all sets of one signature. ``crowd`` and ``salts``
-    place work only.
+    shingle. Signatures that at least ``crowd`` sets of a task's chunk share are counted; the most crowded ones (at
+    most 1,000 times a set's signatures) are dealt over ``salts`` slots, so no task meets all sets of one signature.
+    ``crowd`` and ``salts`` place work only.
     Defined cases: texts that are null or without words have an empty set, link with nothing and are their own
     component; rows without an id get their size but no component; repeated rows and ids get equal results; other
     columns are not read.
@@ -291,48 +368,29 @@ def linked_groups(
     hot = frozenset(r["sig"] for r in crowded.collect())  # few: a set has a bounded share of its signatures here
     made = with_id.mapInArrow(_signatures(size, percent, None, hot, salts), "sig bigint, slot int, key bigint")
     bucket = W.partitionBy("sig", "slot")
-    lows = made.withColumns({"hub": F.min("key").over(bucket), "top": F.max("key").over(bucket)})
-    shared = lows.where("hub < top or slot > 0").select("sig", "slot", "key", "hub")
-    shared = stored(shared, "shared")
-    # Slots of one crowded signature meet through their hubs.
-    hubs = shared.where("slot > 0").select("sig", "hub").distinct()
-    heads = hubs.groupBy("sig").agg(F.min("hub").alias("head"))
-    tops = hubs.join(F.broadcast(heads), "sig")  # one row per crowded signature
-    shared_hubs = tops.select("sig", F.col("hub").alias("key"), F.col("head").alias("hub"))
-    members = shared.select("sig", "key", "hub").unionByName(shared_hubs)
-
-    first = stored(members.where("key <> hub").select("hub", "key").distinct(), "pairs")
-    links = _verified(first, with_id, classes, size, percent)
+    lows = made.withColumn("hub", F.min("key").over(bucket))
+    sig = F.when(F.col("slot") > 0, F.col("sig")).alias("sig")
+    shared = stored(lows.where("key <> hub or slot > 0").select(sig, "key", "hub"), "shared")
+    # The slots of a crowded signature have one hub in common; there is one row for each such signature.
+    heads = shared.where("sig is not null").groupBy("sig").agg(F.min("key").alias("head"))
+    crowds = shared.where("sig is not null").join(F.broadcast(heads), "sig").select(F.col("head").alias("hub"), "key")
+    pairs = shared.where("sig is null").select("hub", "key").union(crowds).where("key <> hub").distinct()
+    pairs = stored(pairs, "pairs")
+    keys = stored(pairs.select("key").union(pairs.select("hub")).distinct(), "keys")
+    sets = _sets_of(keys, with_id, classes, size)
+    links = _star_links(pairs, sets, percent)
     groups = stored(components(links), "components")
+    more = _group_links(pairs, groups, sets, percent)
+    groups = stored(components(links.union(more)), "components")
 
-    def placed(frame: DataFrame, key: str, name: str) -> DataFrame:
-        of = groups.select(F.col("node").alias(key), F.col("component").alias(name))
-        return frame.join(of, key, "left").withColumn(name, F.coalesce(name, key))
-
-    apart = placed(placed(first, "hub", "hub_group"), "key", "key_group").where("hub_group <> key_group")
-    apart = stored(apart.select("hub", "key"), "apart")
-    if not apart.isEmpty():
-        open_sigs = stored(members.join(apart, ["hub", "key"], "left_semi").select("sig").distinct(), "open")
-        inside = members.join(open_sigs, "sig", "left_semi")
-        inside = inside.select("sig", "key").union(inside.select("sig", F.col("hub").alias("key"))).distinct()
-        sides = stored(placed(inside, "key", "place").join(classes.select("key", "n"), "key"), "sides")
-        other = sides.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("key", "place", "n")])
-        near = (F.col("key") < F.col("key_2")) & (F.col("place") != F.col("place_2"))
-        sized = F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent
-        rest = sides.join(other, "sig").where(near & sized).select(F.col("key").alias("hub"), F.col("key_2").alias("key"))
-        rest = stored(rest.distinct().join(first, ["hub", "key"], "left_anti"), "pairs")
-        links = links.union(_verified(rest, with_id, classes, size, percent))
-        groups = stored(components(links), "components")
-
-    degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key")))
-    degree = degree.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    whole = stored(placed(classes, "key", "group"), "placed")
+    group = groups.select(F.col("node").alias("key"), F.col("component").alias("group"))
+    whole = classes.join(group, "key", "left").withColumn("group", F.coalesce("group", "key"))
+    whole = stored(whole, "placed")
     least = stored(whole.groupBy("group").agg(F.min("first_id").alias("component_id")), "least")
-    named = stored(whole.join(least, "group").join(degree, "key", "left").select("key", "component_id", "n_links"), "named")
+    named = stored(whole.join(least, "group").select("key", "component_id"), "named")
     found = rows.join(named, "key", "left")
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
     )
