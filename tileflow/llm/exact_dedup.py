@@ -66,10 +66,10 @@ def duplicate_groups(
         joined = keyed.join(mixed, F.col("text_hash") == F.col("_mixed_hash"), "left_semi")
         split = stored(joined.groupBy("text_hash", "_text").agg(*sizes), "collisions")
         both = plain.withColumn("_text", F.lit(None).cast("string")).unionByName(split)
-        in_mixed = rows.join(mixed, F.col("text_hash") == F.col("_mixed_hash"), "left")
-        in_mixed = in_mixed.withColumn("_own", F.when(F.col("_mixed_hash").isNotNull(), text))
-        same = (in_mixed["text_hash"] == both["text_hash"]) & F.col("_own").eqNullSafe(F.col("_text"))
-        found = in_mixed.join(both, same, "left").drop(both["text_hash"]).drop("_text", "_own", "_mixed_hash")
+        both = both.withColumnsRenamed({"text_hash": "_hash", "_text": "_whole"})
+        marked = rows.join(mixed, F.col("text_hash") == F.col("_mixed_hash"), "left")
+        own = F.when(F.col("_mixed_hash").isNotNull(), text)
+        found = marked.join(both, (F.col("text_hash") == F.col("_hash")) & own.eqNullSafe(F.col("_whole")), "left")
     alone = F.col("group_size").isNull()
     out = found.withColumn("keep_id", F.when(alone, F.col(id_col)).otherwise(F.col("keep_id")))
     return out.select(

@@ -48,7 +48,8 @@ def fits(rule: Rule, host: Column, path: Column) -> Column:
 def first_fitting(rules: Sequence[Rule], host: Column, path: Column, field: str) -> Column:
     """The name or verdict of the longest rule that fits, else null; of equal lengths the first given."""
     ordered = sorted(rules, key=lambda r: -len(r.name))
-    return F.coalesce(*[F.when(fits(r, host, path), F.lit(getattr(r, field))) for r in ordered])
+    tests = [F.when(fits(r, host, path), F.lit(getattr(r, field))) for r in ordered]
+    return F.coalesce(F.lit(None).cast("string"), *tests)
 
 
 def grams(url: Column, order: int) -> Column:

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tileflow.llm.folders import stored
 from tileflow.llm.words import U64, mix, parts, powers, sliding_argmin
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", gram: int = 16, window
     columns pass through; an empty table gives an empty result.
     """
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("positions", "hashes")]).alias("row"), F.col(text_col).alias("text"))
-    out = StructType([rows.schema["row"]]).add("positions", "array<bigint>").add("hashes", "array<bigint>")
+    out = StructType([rows.schema["row"]]).add("positions", ArrayType(LongType())).add("hashes", ArrayType(LongType()))
     return rows.mapInArrow(_fingerprints(gram, window), out).select("row.*", "positions", "hashes")
 
 
