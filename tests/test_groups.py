@@ -54,13 +54,11 @@ def test_percentiles_with_extreme_values(spark):
 
 
 @pytest.mark.parametrize("gather", [50, 10_000])
-def test_threshold_by_group(spark, skewed, gather, monkeypatch):
+def test_threshold_by_group(spark, skewed, gather):
     df, rows = skewed
-    monkeypatch.setattr(quantiles.has_large_groups, "__defaults__", (gather,))
-    monkeypatch.setattr(quantiles.exact_percentiles, "__defaults__", (gather,))
-    got = {r["id"] for r in thresholds.percentile_threshold_by_image(df.where("key is not null"), "value", 0.25, "key").collect()}
-    limits = {k: disc([r[2] for r in rows if r[1] == k and r[2] is not None], 0.25) for k in {r[1] for r in rows if r[1]}}
-    assert got == {r[0] for r in rows if r[1] and r[2] is not None and r[2] <= limits[r[1]]}
+    got = {r["id"] for r in thresholds.percentile_threshold_by_image(df, "value", 0.25, "key", gather=gather).collect()}
+    limits = {k: disc([r[2] for r in rows if r[1] == k and r[2] is not None], 0.25) for k in {r[1] for r in rows}}
+    assert got == {r[0] for r in rows if r[2] is not None and r[2] <= limits[r[1]]}
 
 
 def test_dense_row_id(spark, skewed):
@@ -72,12 +70,11 @@ def test_dense_row_id(spark, skewed):
 
 def test_row_number_by_key(spark, skewed):
     df, rows = skewed
-    got = {r["id"]: r["row_number"] for r in numbering.row_number_by_key(df.where("key is not null"), ["key"], ["id"]).collect()}
+    got = {r["id"]: r["row_number"] for r in numbering.row_number_by_key(df, ["key"], ["id"]).collect()}
     seen = {}
     for i, key, _ in rows:
-        if key is not None:
-            seen[key] = seen.get(key, 0) + 1
-            assert got[i] == seen[key]
+        seen[key] = seen.get(key, 0) + 1
+        assert got[i] == seen[key]
 
 
 def test_batches_cover_everything(spark, skewed):

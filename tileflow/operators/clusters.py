@@ -97,10 +97,12 @@ def species_centroids(
     """k-means inside every species at once: ``<species>, centroid, centre`` with at most n per species.
 
     A species with fewer rows than n has one centre per row. The starting centres are its first n rows
-    in hash order of ``order``. Rows of one species stay spread over the tasks: each round sends the few
+    in hash order of ``order``. Rows without a vector do not count. Rows of one species stay spread over the tasks: each round sends the few
     centres to the rows and adds the rows up per centre before the shuffle. Stops when nothing moves.
     """
-    rows = df.select(F.col(species).alias("species"), F.col(order).alias("_o"), F.col(vec).alias("vec"))
+    # the species travels in a struct, so that rows without one are a species like others
+    known = df.where(F.col(vec).isNotNull())
+    rows = known.select(F.struct(F.col(species).alias("of")).alias("species"), F.col(order).alias("_o"), F.col(vec).alias("vec"))
     start = top_rows(rows, ["species"], [F.xxhash64("_o"), "_o"], n)
     start = start.select(
         "species", (F.col("rank") - 1).cast("int").alias("centroid"), doubles(F.col("vec")).alias("centre")
@@ -123,4 +125,4 @@ def species_centroids(
         centres = moved.select("species", "centroid", F.col("moved").alias("centre"))
         if still < 1e-9:
             break
-    return centres.withColumnRenamed("species", species)
+    return centres.select(F.col("species.of").alias(species), "centroid", "centre")

@@ -90,7 +90,7 @@ def describe_cols(
             out = out.withColumns({f"{c}_{n}": F.col(f"_{c}_q")[i] for i, n in enumerate(names)}).drop(f"_{c}_q")
         else:
             found = exact_percentiles(df, by, c, quantiles)
-            named = [F.col(f"q{i}").alias(f"{c}_{n}") for i, n in enumerate(names)]
+            named = [F.col(f"q{i}").cast("double").alias(f"{c}_{n}") for i, n in enumerate(names)]
             if by:
                 out = out.join(found.select("_group", *named), "_group", "left")
             else:  # one row: a scalar subquery instead of a join without a key
@@ -198,18 +198,22 @@ def taxon_shrinkage(
     A level with n observed values keeps the weight ``n / (n + strength)``; a species without any
     value takes its genus (or family) estimate.
     """
-    sums = df.groupBy(family, genus, species).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    sums = sums.withColumn("s", F.coalesce("s", F.lit(0.0)))
-    genera = sums.groupBy(family, genus).agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
-    families = genera.groupBy(family).agg(F.try_divide(F.sum("gs"), F.sum("gn")).alias("family_mean"))
+    # Taxa travel as one value, so that a missing genus or family is a taxon like others in both joins.
+    taxon = F.struct(F.col(family).alias("family"), F.col(genus).alias("genus"), F.col(species).alias("species"))
+    sums = df.groupBy(taxon.alias("taxon")).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("s"), F.count(value).alias("n"))
+    sums = sums.select(
+        "taxon", "s", "n", F.struct("taxon.family").alias("in_family"), F.struct("taxon.family", "taxon.genus").alias("in_genus")
+    )
+    genera = sums.groupBy("in_family", "in_genus").agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
+    families = genera.groupBy("in_family").agg(F.try_divide(F.sum("gs"), F.sum("gn")).alias("family_mean"))
 
     def shrink(total: str, n: str, parent: Column) -> Column:
         return (F.col(total) + strength * parent) / (F.col(n) + strength)
 
-    genus_est = genera.join(families, family).select(
-        family, genus, shrink("gs", "gn", F.col("family_mean")).alias("genus_estimate")
+    genus_est = genera.join(families, "in_family").select(
+        "in_genus", shrink("gs", "gn", F.col("family_mean")).alias("genus_estimate")
     )
-    return sums.join(genus_est, [family, genus]).select(
-        F.col(species), F.col(genus), F.col(family), F.col("n"),
-        shrink("s", "n", F.col("genus_estimate")).alias("estimate"),
+    return sums.join(genus_est, "in_genus").select(
+        F.col("taxon.species").alias(species), F.col("taxon.genus").alias(genus), F.col("taxon.family").alias(family),
+        F.col("n"), shrink("s", "n", F.col("genus_estimate")).alias("estimate"),
     )

@@ -35,19 +35,19 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared, union), F.lit(0.0))
 
 
-def _greedy(image: DataFrame, iou: float) -> DataFrame:
+def _greedy(boxes: DataFrame, iou: float) -> DataFrame:
     """Kept boxes of each image: best first, a box is dropped when it overlaps a kept one too much.
 
     The images passed in have a bounded number of boxes.
     """
-    boxes = image.groupBy("image_name").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
+    boxes = boxes.groupBy("image").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
     box = boxes.schema["boxes"].dataType.simpleString()
     kept = F.aggregate(
         "boxes",
         F.array().cast(box),
         lambda acc, b: F.when(F.exists(acc, lambda k: _overlap(k, b) > iou), acc).otherwise(F.array_append(acc, b)),
     )
-    return boxes.select("image_name", kept.alias("kept"), F.element_at("boxes", -1).alias("last"))
+    return boxes.select("image", kept.alias("kept"), F.element_at("boxes", -1).alias("last"))
 
 
 def detections_nms(
@@ -69,27 +69,30 @@ def detections_nms(
         (F.col("y1") - F.col("y0")).cast("bigint").alias("h"),
         F.struct(*df.columns).alias("row"),
     )
-    boxes = df.where(F.col("score") > score).select("image_name", box.alias("box"))
-    crowded = boxes.groupBy("image_name").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("image_name")
+    # the name travels in a struct, so that boxes without a name are an image like others
+    boxes = df.where(F.col("score") > score).select(F.struct("image_name").alias("image"), box.alias("box"))
+    crowded = boxes.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("image")
     if crowded.isEmpty():
         decided = [_greedy(boxes, iou)]
     else:
         crowded = settle(crowded, "crowded")
-        decided = [_greedy(boxes.join(crowded, "image_name", "left_anti"), iou)]
-        rest = settle(boxes.join(crowded, "image_name", "left_semi"), "boxes")
+        decided = [_greedy(boxes.join(crowded, "image", "left_anti"), iou)]
+        # repeated boxes differ by a number, so that a round ends between them and not beside them
+        number = F.monotonically_increasing_id().alias("number")
+        rest = boxes.join(crowded, "image", "left_semi").select("image", F.struct("box.*", number).alias("box"))
+        rest = settle(rest, "boxes")
         while not rest.isEmpty():
-            best = top_rows(rest, ["image_name"], ["box"], crowd).drop("rank")
+            best = top_rows(rest, ["image"], ["box"], crowd).drop("rank")
             done = settle(_greedy(best, iou), "kept")
             decided.append(done)
             hit = F.exists("kept", lambda k: _overlap(k, F.col("box")) > iou)
             rest = settle(
-                rest.join(done, "image_name").where((F.col("box") > F.col("last")) & ~hit).select("image_name", "box"),
-                "boxes",
+                rest.join(done, "image").where((F.col("box") > F.col("last")) & ~hit).select("image", "box"), "boxes"
             )
-    rows = decided[0].select("image_name", "kept")
+    rows = decided[0].select(F.explode("kept.row").alias("_row"))
     for more in decided[1:]:
-        rows = rows.unionAll(more.select("image_name", "kept"))
-    return rows.select(F.explode("kept.row").alias("_row")).select("_row.*")
+        rows = rows.unionAll(more.select(F.explode("kept.row").alias("_row")))
+    return rows.select("_row.*")
 
 
 def positive_labels(df: DataFrame, words: Sequence[str] = POSITIVE_WORDS, label: str = "label") -> DataFrame:

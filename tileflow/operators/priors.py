@@ -50,10 +50,11 @@ def cluster_prior(df: DataFrame, cluster: str, logits: str, joint: bool = False)
         probs = df.select(cluster, softmax(F.col(logits)).alias("_p"))
         mean = mean_vector_by_group(probs, [cluster], "_p")
         return mean.select(cluster, normalise_sum(F.col("mean_vector")).alias("prior_probabilities"))
-    tops = df.groupBy(cluster).agg(F.max(F.array_max(logits)).cast("double").alias("_top"))
-    shifted = df.select(cluster, logits).join(tops, cluster)
+    group = F.struct(cluster).alias("_group")  # rows without a cluster are one, as above
+    tops = df.groupBy(group).agg(F.max(F.array_max(logits)).cast("double").alias("_top"))
+    shifted = df.select(group, logits).join(tops, "_group")
     exps = F.transform(doubles(F.col(logits)), lambda x: F.exp(x - F.col("_top")))
-    mean = mean_vector_by_group(shifted.select(cluster, exps.alias("_p")), [cluster], "_p")
+    mean = mean_vector_by_group(shifted.select(f"_group.{cluster}", exps.alias("_p")), [cluster], "_p")
     return mean.select(cluster, normalise_sum(F.col("mean_vector")).alias("prior_probabilities"))
 
 

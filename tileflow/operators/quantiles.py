@@ -21,17 +21,17 @@ def group_key(by: Sequence[str]) -> Column:
     return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
 
 
+def countable(value: str) -> Column:
+    """Neither null nor nan."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
 def share_rank(p: Column | float, n: Column) -> Column:
     """Rank of the smallest of n values that reaches the share p; p * n counts as whole when it is within 1e-9."""
     exact = (F.lit(p) if isinstance(p, float) else p) * n
     return F.greatest(F.ceil(F.round(exact, 9)), F.lit(1)).cast("bigint")
 
 
-def has_large_groups(df: DataFrame, by: Sequence[str], gather: int = GATHER) -> bool:
-    sizes = df.groupBy(group_key(by).alias("_group")).agg(F.count("*").alias("n"))
-    return not sizes.where(F.col("n") > gather).isEmpty()
-
-
 def exact_percentiles(
     df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], gather: int = GATHER
 ) -> DataFrame:
@@ -39,11 +39,11 @@ def exact_percentiles(
 
     ``_group`` is ``group_key(by)``. Groups of up to ``gather`` rows are sorted as one array. For larger
     ones every round counts rows in equal-width bins of the range that still holds the wanted rank and
-    goes on inside one bin, until few rows (or one single value) are left. Nulls and nan do not count. The
-    rows are read more than once, so pass a settled table.
+    goes on inside one bin, until few rows (or one single value) are left. Values keep their type; doubles
+    only choose the bin. Nulls and nan do not count, whatever the size of a group. The rows are read more
+    than once, so pass a settled table.
     """
-    rows = df.select(group_key(by).alias("_group"), F.col(value).cast("double").alias("x"))
-    rows = rows.where("x is not null and not isnan(x)")
+    rows = df.select(group_key(by).alias("_group"), F.col(value).alias("x")).where(countable("x"))
     sizes = rows.groupBy("_group").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     large = sizes.where(F.col("n") > gather)
     few = large.isEmpty()
@@ -71,11 +71,13 @@ def exact_percentiles(
     while not state.where(unsettled).isEmpty():
         inside = rows.join(state.where(unsettled), "_group").where(F.col("x").between(F.col("low"), F.col("high")))
         # infinite ends are cut to the largest number; BINS is a power of two, so the width is exact
-        low, high = (F.greatest(F.least(F.col(c), F.lit(_LARGEST)), F.lit(-_LARGEST)) for c in ("low", "high"))
+        low, high = (
+            F.greatest(F.least(F.col(c).cast("double"), F.lit(_LARGEST)), F.lit(-_LARGEST)) for c in ("low", "high")
+        )
         width = high / BINS - low / BINS
         # a range too narrow for a width is split into its lowest value and the rest
         narrow = F.when(F.col("x") > F.col("low"), F.lit(BINS - 1)).otherwise(F.lit(0))
-        place = F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - low, width)), narrow), F.lit(BINS - 1))
+        place = F.least(F.coalesce(F.floor(F.try_divide(F.col("x").cast("double") - low, width)), narrow), F.lit(BINS - 1))
         bins = inside.groupBy("_group", "i", "rank", place.alias("bin")).agg(
             F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")
         )

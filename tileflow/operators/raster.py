@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import io
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -49,16 +49,22 @@ def _tiles(array: np.ndarray, n: int, order: str) -> Iterator[tuple[int, np.ndar
         yield i, array[row * h : (row + 1) * h, col * w : (col + 1) * w]
 
 
+def _distance(mask: np.ndarray) -> np.ndarray:
+    """City-block distance to the nearest set pixel: along the columns first, then along the rows."""
+    h, w = mask.shape
+    far = np.int32(2**28)
+    y, x = np.arange(h, dtype=np.int32)[:, None], np.arange(w, dtype=np.int32)
+    above = y - np.maximum.accumulate(np.where(mask, y, -far), axis=0)
+    below = np.minimum.accumulate(np.where(mask, y, far)[::-1], axis=0)[::-1] - y
+    near = np.minimum(above, below)
+    left = np.minimum.accumulate(near - x, axis=1) + x
+    right = np.minimum.accumulate((near + x)[:, ::-1], axis=1)[:, ::-1] - x
+    return np.minimum(left, right)
+
+
 def _dilate(mask: np.ndarray, radius: int) -> np.ndarray:
     """Grow by a diamond; outside the image counts as background."""
-    for _ in range(radius):
-        grown = mask.copy()
-        grown[1:] |= mask[:-1]
-        grown[:-1] |= mask[1:]
-        grown[:, 1:] |= mask[:, :-1]
-        grown[:, :-1] |= mask[:, 1:]
-        mask = grown
-    return mask
+    return _distance(mask) <= radius
 
 
 def _erode(mask: np.ndarray, radius: int) -> np.ndarray:
@@ -66,6 +72,11 @@ def _erode(mask: np.ndarray, radius: int) -> np.ndarray:
     return ~_dilate(~mask, radius)
 
 
+def _known(measure: Callable) -> Callable:
+    """The measure of a mask, null for a null mask; one mask is decoded at a time."""
+    return lambda data: None if data is None else measure(decode_mask(data))
+
+
 def _components(mask: np.ndarray) -> int:
     """Number of 8-connected regions: horizontal runs are joined where they touch in the next row."""
     padded = np.pad(mask.astype(np.int8), ((0, 0), (1, 1)))
@@ -123,18 +134,18 @@ def tile_mask(masks: DataFrame, n: int, mask: str = "mask", order: str = "column
 
     @F.pandas_udf("array<struct<tile:int, mask:binary>>")
     def cut(data: pd.Series) -> pd.Series:
-        return data.map(lambda m: [(i, encode_mask(t)) for i, t in _tiles(decode_mask(m), n, order)])
+        return data.map(_known(lambda m: [(i, encode_mask(t)) for i, t in _tiles(m, n, order)]))
 
     rest = [c for c in masks.columns if c != mask]
     return masks.select(*rest, F.inline(cut(F.col(mask)))).withColumnRenamed("mask", mask)
 
 
 def tile_coverage(masks: DataFrame, n: int, mask: str = "mask", order: str = "columns") -> DataFrame:
-    """Share of covered pixels per tile: the other columns, ``tile, pct_covered``."""
+    """Share of covered pixels per tile: the other columns, ``tile, pct_covered``. A null mask has no tiles."""
 
     @F.pandas_udf("array<double>")
     def cover(data: pd.Series) -> pd.Series:
-        return data.map(lambda m: [float(t.mean()) for _, t in _tiles(decode_mask(m), n, order)])
+        return data.map(_known(lambda m: [float(t.mean()) for _, t in _tiles(m, n, order)]))
 
     rest = [c for c in masks.columns if c != mask]
     return masks.select(*rest, F.posexplode(cover(F.col(mask))).alias("tile", "pct_covered"))
@@ -147,11 +158,10 @@ def covered_tile_count(
 
     @F.pandas_udf("array<struct<n:int, covered_tiles:int>>")
     def count(data: pd.Series) -> pd.Series:
-        def per_size(m: bytes) -> list[tuple[int, int]]:
-            array = decode_mask(m)
+        def per_size(array: np.ndarray) -> list[tuple[int, int]]:
             return [(n, sum(t.mean() > threshold for _, t in _tiles(array, n, "rows"))) for n in sizes]
 
-        return data.map(per_size)
+        return data.map(_known(per_size))
 
     rest = [c for c in masks.columns if c != mask]
     return masks.select(*rest, F.inline(count(F.col(mask))))
@@ -162,8 +172,8 @@ def mask_stats(masks: DataFrame, mask: str = "mask") -> DataFrame:
 
     @F.pandas_udf("struct<total:bigint, covered:bigint>")
     def stats(data: pd.Series) -> pd.DataFrame:
-        arrays = data.map(decode_mask)
-        return pd.DataFrame({"total": arrays.map(lambda a: a.size), "covered": arrays.map(lambda a: int(a.sum()))})
+        found = [_known(lambda a: (a.size, int(a.sum())))(m) or (None, None) for m in data]
+        return pd.DataFrame(found, columns=["total", "covered"], dtype="Int64")
 
     rest = [c for c in masks.columns if c != mask]
     out = masks.select(*rest, stats(F.col(mask)).alias("_s")).select(*rest, "_s.*")
@@ -343,13 +353,12 @@ def open_close(masks: DataFrame, radius: int, mask: str = "mask", swapped: bool
 
     @F.pandas_udf("struct<opened:binary, closed:binary>")
     def both(data: pd.Series) -> pd.DataFrame:
-        arrays = [decode_mask(m).astype(bool) for m in data]
-        return pd.DataFrame(
-            {
-                "opened": [encode_mask(_dilate(_erode(a, radius), radius)) for a in arrays],
-                "closed": [encode_mask(_erode(_dilate(a, radius), radius)) for a in arrays],
-            }
-        )
+        def measured(array: np.ndarray) -> tuple[bytes, bytes]:
+            a = array.astype(bool)
+            return encode_mask(_dilate(_erode(a, radius), radius)), encode_mask(_erode(_dilate(a, radius), radius))
+
+        found = [_known(measured)(m) or (None, None) for m in data]
+        return pd.DataFrame(found, columns=["opened", "closed"], dtype=object)
 
     rest = [c for c in masks.columns if c != mask]
     first, second = ("closed", "opened") if swapped else ("opened", "closed")
@@ -363,7 +372,7 @@ def connected_components(masks: DataFrame, mask: str = "mask") -> DataFrame:
 
     @F.pandas_udf("int")
     def count(data: pd.Series) -> pd.Series:
-        return data.map(lambda m: _components(decode_mask(m)))
+        return pd.Series([_known(_components)(m) for m in data], dtype="Int32")
 
     rest = [c for c in masks.columns if c != mask]
     return masks.select(*rest, count(F.col(mask)).alias("components"))
@@ -380,11 +389,9 @@ def _profile_column(mask: Column, maximum: int, step: int, swapped: bool) -> Col
 
     def measures(data: bytes) -> list[tuple]:
         array = decode_mask(data).astype(bool)
-        rows, shrunk, grown = [], array, array
+        rows, inside, outside = [], _distance(~array), _distance(array)
         for r in radii:
-            # erosions by a diamond add up, so each radius goes on from the one before
-            shrunk, grown = _erode(shrunk, step), _dilate(grown, step)
-            opened, closed = _dilate(shrunk, r), _erode(grown, r)
+            opened, closed = _dilate(inside > r, r), _erode(outside <= r, r)
             first, second = (closed, opened) if swapped else (opened, closed)
             third = _dilate(_erode(first, r), r) if swapped else _erode(_dilate(first, r), r)
             row: list = [r]

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tileflow.operators.numbering import top_rows
-from tileflow.operators.quantiles import exact_percentiles, has_large_groups, share_rank
+from tileflow.operators.quantiles import GATHER, countable, exact_percentiles, group_key
 
 
 def min_of_medians(
@@ -30,29 +29,22 @@ def global_percentile(df: DataFrame, value: str, p: float) -> float | None:
 
 
 def percentile_threshold_by_image(
-    df: DataFrame, value: str, p: float = 0.1, by: str = "image_name", accuracy: int | None = None
+    df: DataFrame, value: str, p: float = 0.1, by: str = "image_name", accuracy: int | None = None, gather: int = GATHER
 ) -> DataFrame:
-    """Rows at or below the p-percentile of their image.
+    """Rows at or below the p-percentile of their image, with that value as ``threshold``.
 
-    While every image has a bounded number of rows, one sort per image finds it. Otherwise percentiles are
-    computed with large images split and joined back, so that no image has to fit into one task.
-    ``accuracy`` takes the approximate percentile of that accuracy instead of the exact one.
+    Percentiles are computed with images of more than ``gather`` rows split, and joined back, so that no image
+    has to fit into one task. Rows whose value is null or nan do not count and are not kept; rows without an
+    image are one image. ``accuracy`` takes the approximate percentile of that accuracy instead of the exact one.
     """
-    known = df.where(F.col(value).isNotNull())
-    if not accuracy and not has_large_groups(known, [by]):
-        image = W.partitionBy(by)
-        place = F.row_number().over(image.orderBy(value))
-        wanted = share_rank(float(p), F.count("*").over(image))
-        placed = known.withColumns({"_place": place, "_wanted": wanted})
-        limit = F.max(F.when(F.col("_place") == F.col("_wanted"), F.col(value))).over(image)
-        kept = placed.withColumn("threshold", limit).where(F.col(value) <= F.col("threshold"))
-        return kept.drop("_place", "_wanted")
+    known = df.where(countable(value))
+    group = group_key([by])
     if accuracy:
-        limits = df.groupBy(by).agg(F.percentile_approx(value, p, accuracy).alias("threshold"))
+        limits = known.groupBy(group.alias("_group")).agg(F.percentile_approx(value, p, accuracy).alias("threshold"))
     else:
-        found = exact_percentiles(df, [by], value, [p])
-        limits = found.select(f"_group.{by}", F.col("q0").alias("threshold"))
-    return df.join(limits, by).where(F.col(value) <= F.col("threshold"))
+        limits = exact_percentiles(known, [by], value, [p], gather).select("_group", F.col("q0").alias("threshold"))
+    joined = known.withColumn("_group", group).join(limits, "_group")
+    return joined.where(F.col(value) <= F.col("threshold")).select(*df.columns, "threshold")
 
 
 def global_threshold_topn(

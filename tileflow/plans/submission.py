@@ -29,9 +29,14 @@ def tile_predictions(tiles: DataFrame, classes: DataFrame, probabilities: str =
                      tile_k: int = 10, k: int = 10, tile: str = "tile") -> DataFrame:
     """Probability vectors per tile -> ``quadrat_id, species_ids``.
 
-    ``classes``: ``class_idx, species_id``, one row per class.
+    ``classes``: ``class_idx, species_id``, one row per class; a predicted class that is missing there is an error.
     """
-    scores = merge_tile_topk(tiles, ["image_name", tile], probabilities, tile_k).join(classes, "class_idx")
+    best = merge_tile_topk(tiles, ["image_name", tile], probabilities, tile_k)
+    named = classes.select("class_idx", "species_id", F.lit(True).alias("_named"))
+    missing = F.raise_error(F.concat(F.lit("no species for class "), F.col("class_idx")))
+    scores = best.join(named, "class_idx", "left").withColumn(
+        "species_id", F.when(F.col("_named").isNull(), missing).otherwise(F.col("species_id"))
+    ).drop("_named")
     lists = merge_tiles(scores, k, tile=tile)
     return lists.select(strip_ext_last(F.col("image_name")).alias("quadrat_id"), "species_ids")
 
