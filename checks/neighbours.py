@@ -43,6 +43,12 @@ def knn_exact(spark, d):
     return nn.knn_exact(t, t, 10).withColumn("distance", F.round("distance", 6))
 
 
+@query("jon17_knn_exact_many_cells", f"with {v.KNN} select query_id, rank, nn_id, round(distance, 6) distance from knn")
+def knn_exact_many_cells(spark, d):
+    t = v.tiles(spark, d)
+    return nn.knn_exact(t, t, 10, pivots=32).withColumn("distance", F.round("distance", 6))
+
+
 @query("jon18_knn_approx")
 def knn_approx(spark, d):
     t = v.tiles(spark, d)
@@ -138,10 +144,11 @@ def centroids(spark, d):
     return priors.mean_vector_by_group(v.tiles(spark, d), ["species_id"], "embedding")
 
 
-def distance_job(score, top=None):
+def distance_job(score, top=None, **options):
     def run(spark, d):
         out = nn.distance_table(
-            v.tiles(spark, d), centroids(spark, d), "vec_id", "embedding", "species_id", "mean_vector", score, top
+            v.tiles(spark, d), centroids(spark, d), "vec_id", "embedding", "species_id", "mean_vector", score, top,
+            **options,
         )
         return out.withColumn("score", F.round("score", 6))
 
@@ -150,6 +157,8 @@ def distance_job(score, top=None):
 
 query("jon16_all_pairs_cosine", f"with {CENTROIDS} select vec_id, cid species_id, round(cosine, 6) score from cs")(
     distance_job("cosine"))
+query("jon16_all_pairs_cosine_in_parts", f"with {CENTROIDS} select vec_id, cid species_id, round(cosine, 6) score from cs")(
+    distance_job("cosine", limit_bytes=2000))
 query("jon16_all_pairs_euclidean", f"""with {CENTROIDS}
   select vec_id, cid species_id, round(sqrt(greatest(0, 2 - 2 * cosine)), 6) score from cs""")(distance_job("euclidean"))
 query("arr05_cosine_softmax", f"""with {CENTROIDS}
@@ -185,6 +194,22 @@ def global_percentile(spark, d):
     return found.select(*[F.col(f"q{i}").alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
 
 
+@query("agg09_global_percentile_in_bins", """select quantile_disc(l_extendedprice, 0.05) p05,
+  quantile_disc(l_extendedprice, 0.5) p50, quantile_disc(l_extendedprice, 0.95) p95 from lineitem""")
+def global_percentile_in_bins(spark, d):
+    line = v.table(spark, d, "lineitem")
+    found = quantiles.exact_percentiles(line, [], "l_extendedprice", (0.05, 0.5, 0.95), gather=100)
+    return found.select(*[F.col(f"q{i}").alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+
+
+@query("win03_percentile_by_supplier_in_bins", """select l_suppkey, l_orderkey, l_linenumber, l_extendedprice, lim threshold
+  from lineitem join (select l_suppkey, quantile_disc(l_extendedprice, 0.1) lim from lineitem group by 1) using (l_suppkey)
+  where l_extendedprice <= lim""")
+def percentile_by_supplier_in_bins(spark, d):
+    line = v.table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return thresholds.percentile_threshold_by_image(line, "l_extendedprice", 0.1, by="l_suppkey", gather=20)
+
+
 @query("win03_percentile_by_supplier", """select l_suppkey, l_orderkey, l_linenumber, l_extendedprice from lineitem
   join (select l_suppkey, quantile_disc(l_extendedprice, 0.1) lim from lineitem group by 1) using (l_suppkey)
   where l_extendedprice <= lim""")

@@ -278,7 +278,7 @@ def detections(spark, d):
         (F.col("l_discount") * 10 + F.col("l_tax")).alias("score"), label.alias("label"))
 
 
-@query("ras14_detections_nms", f"""with recursive {DET}, r as (select *, row_number() over (partition by image_name order by score desc, det_id) k
+NMS = f"""with recursive {DET}, r as (select *, row_number() over (partition by image_name order by score desc, det_id) k
     from det where score > 0.15),
   step as (select image_name, 1::bigint k, [{{'id': det_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] kept from r where k = 1
     union all
@@ -289,11 +289,19 @@ def detections(spark, d):
       then s.kept else list_append(s.kept, {{'id': r.det_id, 'x0': r.x0, 'y0': r.y0, 'x1': r.x1, 'y1': r.y1}}) end
     from step s join r on r.image_name = s.image_name and r.k = s.k + 1),
   fin as (select image_name, arg_max(kept, k) kept from step group by 1)
-  select image_name, unnest(kept).id det_id from fin""")
+  select image_name, unnest(kept).id det_id from fin"""
+
+
+@query("ras14_detections_nms", NMS)
 def nms(spark, d):
     return det.detections_nms(detections(spark, d)).select("image_name", "det_id")
 
 
+@query("ras14_detections_nms_crowded", NMS)
+def nms_crowded(spark, d):
+    return det.detections_nms(detections(spark, d), crowd=2).select("image_name", "det_id")
+
+
 @query("ras15_positive_labels", f"""with {DET} select image_name, det_id, "label" from det
   where contains("label", 'leaves') or contains("label", 'plant')""")
 def positive(spark, d):

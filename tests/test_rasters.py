@@ -107,7 +107,7 @@ def test_mask_or_over_many_tasks(spark):
     groups = ["hot" if i % 3 else f"g{i % 90}" for i in range(300)]
     rows = [(g, i, bytearray(raster.encode_mask(a))) for i, (g, a) in enumerate(zip(groups, arrays))]
     df = spark.createDataFrame(rows, "image_name string, i int, mask binary").repartition(6)
-    got = {r.image_name: raster.decode_mask(r.mask) for r in raster.mask_or(df, ["image_name"], held=2).collect()}
+    got = {r.image_name: raster.decode_mask(r.mask) for r in raster.mask_or(df, ["image_name"]).collect()}
     assert got.keys() == set(groups)
     for g in got:
         assert np.array_equal(got[g], np.bitwise_or.reduce([a for a, k in zip(arrays, groups) if k == g]))

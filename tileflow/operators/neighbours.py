@@ -23,7 +23,8 @@ from tileflow.sources.tables import new_path, settle
 _BLOCK_BYTES = 8 << 20  # matrix bytes in one block
 _BLOCK_ROWS = 4096
 _PACK_ROWS = 1024  # queries that travel together
-_MOST_PIVOTS = 256
+_PIVOT_BYTES = 32 << 20  # all pivots together; tasks and the driver hold them
+_HELD_BYTES = 64 << 20  # vectors in open blocks of one task
 _ONE_ROUND = 4  # up to this many cells are searched at once
 _KEYS_PER_TASK = 4  # join keys wanted per task
 _OPEN_PACKS = 64  # packs of queries whose best neighbours a task holds
@@ -99,14 +100,17 @@ def build_index(
     """Write the vectors of ``df`` as blocks, each block holding vectors closest to one pivot.
 
     The pivots are the first rows in hash order, so the same data gives the same index; by default one
-    for about every block of vectors, up to 256. Blocks are packed where the rows are, without a
-    shuffle: a pivot that attracts very many vectors only has more blocks.
+    for about every block of vectors, but not more than the square root of their number or than fit into
+    32 MB. Blocks are packed where the rows are, without a shuffle: a pivot that attracts very many
+    vectors only has more blocks. A task closes its fullest block when the open ones reach 64 MB.
     """
     spark = df.sparkSession
     dtype = _element(df, vec)
     source = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec")).where("vec is not null")
     if pivots is None:
-        pivots = min(_MOST_PIVOTS, max(1, source.count() // _BLOCK_ROWS))
+        n = source.count()
+        width = source.agg(F.max(F.size("vec"))).first()[0] or 1
+        pivots = max(1, min(n // _BLOCK_ROWS, int(n**0.5), _PIVOT_BYTES // (8 * width)))
     chosen = source.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").toPandas()
     if chosen.empty:
         raise ValueError("the index has no vectors")
@@ -115,6 +119,7 @@ def build_index(
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
+        waiting, most = 0, max(1, _HELD_BYTES // (centres.shape[1] * np.dtype(dtype).itemsize))
 
         def block(cell: int, rows: list) -> dict:
             raw = np.stack([r[1] for r in rows])
@@ -134,9 +139,14 @@ def build_index(
             full = []
             for i, cell in enumerate(cells):
                 rows = held.setdefault(int(cell), [])
-                rows.append((pdf["id"].iat[i], raw[i], radii[i]))
-                if len(rows) >= size:
-                    full.append(block(int(cell), held.pop(int(cell))))
+                rows.append((pdf["id"].iat[i], raw[i].copy(), radii[i]))
+                waiting += 1
+                done = int(cell) if len(rows) >= size else None
+                if waiting > most:
+                    done = max(held, key=lambda c: len(held[c]))
+                if done is not None:
+                    waiting -= len(held[done])
+                    full.append(block(done, held.pop(done)))
             if full:
                 yield pd.DataFrame(full)
         if held:
@@ -226,7 +236,8 @@ def _compare(
             limit = np.minimum(limit, np.partition(sums, k - 1, axis=1)[:, k - 1])
         return wanted & (least <= limit[:, None] + 1e-6)
 
-    order = ["cell", "slot", "split", "q_ids", "q_bounds", "q_data"]
+    order = ["cell", "split", "q_ids", "q_bounds", "q_data"]
+    slice_rows = max(1, min(_SLICE_ROWS, _PIVOT_BYTES // (8 * max(len(reach), len(cells)))))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -235,7 +246,7 @@ def _compare(
             raw = _matrix(pdf["vec"]).astype(dtype)
             units = _unit(raw.astype(np.float64))
             ids, bounds = pdf["query_id"].to_numpy(), pdf["bound"].to_numpy(dtype=float, na_value=np.nan)
-            cuts = [slice(i, i + _SLICE_ROWS) for i in range(0, len(ids), _SLICE_ROWS)]
+            cuts = [slice(i, i + slice_rows) for i in range(0, len(ids), slice_rows)]
             wanted = np.concatenate([candidates(units[cut], bounds[cut]) for cut in cuts])
             for c in np.flatnonzero(wanted.any(0)):
                 picked = np.flatnonzero(wanted[:, c])
@@ -248,12 +259,12 @@ def _compare(
                         "q_bounds": np.where(np.isnan(bounds[part]), np.inf, bounds[part]),
                         "q_data": raw[part].tobytes(),
                     }
-                    yield pd.DataFrame([{**pack, "slot": s} for s in range(int(slots[c]))])[order]
+                    yield pd.DataFrame([pack])[order]
 
-    packs = source.mapInPandas(
-        route, f"cell int, slot int, split int, q_ids array<{query_type}>, q_bounds array<double>, q_data binary"
-    )
     slot_of = F.create_map(*[F.lit(int(v)) for pair in zip(cell_ids, slots) for v in pair])
+    packs = source.mapInPandas(
+        route, f"cell int, split int, q_ids array<{query_type}>, q_bounds array<double>, q_data binary"
+    ).withColumn("slot", F.explode(F.sequence(F.lit(0), slot_of[F.col("cell")] - 1)))
     blocks = index.blocks.select(
         "cell",
         F.pmod(F.xxhash64("ids"), slot_of[F.col("cell")]).cast("int").alias("slot"),

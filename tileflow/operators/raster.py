@@ -197,11 +197,11 @@ def merge_masks(wide: DataFrame, types: Sequence[str] = POSITIVE_MASKS, out: str
     return wide.withColumn(out, union(F.struct(*types)))
 
 
-def mask_or(df: DataFrame, keys: Sequence[str], mask: str = "mask", held: int = 64) -> DataFrame:
+def mask_or(df: DataFrame, keys: Sequence[str], mask: str = "mask") -> DataFrame:
     """OR of all masks of a group.
 
-    Every task first merges the masks it has, so a group of any size reaches the shuffle as a few masks
-    per task; behind the shuffle the sorted rows stream through and one group is open at a time.
+    Every task first sorts and merges the masks it has, so a group of any size reaches the shuffle as a few masks
+    per task; behind the shuffle the sorted rows stream through likewise. One group is open at a time.
     """
     names = list(keys)
     rows = df.select(*names, F.col(mask).alias("mask")).where("mask is not null")
@@ -210,29 +210,26 @@ def mask_or(df: DataFrame, keys: Sequence[str], mask: str = "mask", held: int =
     rows = rows.select(F.to_json(ids, {"ignoreNullFields": "false"}).alias("_group"), *names, "mask")
     schema = rows.schema
 
-    def merge(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
-        open_groups: dict[str, list] = {}
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, array = None, None
 
         def close() -> pd.DataFrame:
-            records = [(*head, encode_mask(array)) for head, array in open_groups.values()]
-            open_groups.clear()
-            return pd.DataFrame(records, columns=["_group", *names, "mask"])
+            return pd.DataFrame([(*head, encode_mask(array))], columns=["_group", *names, "mask"])
 
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                group, array = row[0], decode_mask(row[-1])
-                if group in open_groups:
-                    open_groups[group][1] |= array
+                mask = decode_mask(row[-1])
+                if head is not None and row[0] == head[0]:
+                    array |= mask
                     continue
-                if len(open_groups) >= limit:
+                if head is not None:
                     yield close()
-                open_groups[group] = [row[:-1], array]
-        if open_groups:
+                head, array = row[:-1], mask
+        if head is not None:
             yield close()
 
-    partial = rows.mapInPandas(lambda it: merge(it, held), schema)
-    grouped = partial.repartition("_group").sortWithinPartitions("_group")
-    merged = grouped.mapInPandas(lambda it: merge(it, 1), schema)
+    partial = rows.sortWithinPartitions("_group").mapInPandas(merge, schema)
+    merged = partial.repartition("_group").sortWithinPartitions("_group").mapInPandas(merge, schema)
     return merged.select(*names, F.col("mask").alias(mask))
 
 
