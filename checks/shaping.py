@@ -48,14 +48,19 @@ def limit_rows(spark, d):
     return shaping.limit_rows(o, [F.desc("o_totalprice"), "o_orderkey"], 50)
 
 
-@query("prj06_sample_fraction")
+def lots(seed, rest):
+    number = f"('0x' || substr(md5('{seed}-' || doc_id), 1, 8))::bigint"
+    return f"select doc_id, lang from (select *, {number} lot from documents) {rest}"
+
+
+@query("prj06_sample_fraction", lots(42, f"where lot < {int(0.1 * 2**32)} order by lot, doc_id limit 1000"))
 def sample_fraction(spark, d):
-    return shaping.sample_fraction(v.table(spark, d, "documents").select("doc_id", "lang"), 0.1, seed=42, cap=1000)
+    return shaping.sample_fraction(v.table(spark, d, "documents").select("doc_id", "lang"), 0.1, 42, ["doc_id"], cap=1000)
 
 
-@query("prj07_random_rows")
+@query("prj07_random_rows", lots(7, "order by lot, doc_id limit 20"))
 def random_rows(spark, d):
-    return shaping.random_rows(v.table(spark, d, "documents").select("doc_id", "lang"), 20, seed=7)
+    return shaping.random_rows(v.table(spark, d, "documents").select("doc_id", "lang"), 20, 7, ["doc_id"])
 
 
 @query("prj08_hash_bucket", """select sample_id, count(*) n, sum(l_quantity) quantity from (
@@ -398,6 +403,20 @@ def write_twice(df, path):
 query("snk04_write_if_absent", LINES)(round_trip(write_twice))
 
 
+@query("snk03_write_pending_buckets", "select l_orderkey, l_linenumber, (l_suppkey % 4)::int sample_id from lineitem")
+def write_pending_buckets(spark, d):
+    """Half of the buckets, then the rest; the finished half is not made again."""
+    path = new_path(spark, "buckets")
+    line = v.table(spark, d, "lineitem").withColumn("sample_id", (F.col("l_suppkey") % 4).cast("int"))
+
+    def make(rows):
+        return rows.select("l_orderkey", "l_linenumber", "sample_id")
+
+    writers.write_pending_buckets(line, "sample_id", 2, make, path)
+    writers.write_pending_buckets(line, "sample_id", 4, make, path)
+    return spark.read.parquet(path)
+
+
 @query("snk06_write_table_csv", "select l_suppkey, count(*) n from lineitem group by 1")
 def write_table_csv(spark, d):
     path = new_path(spark, "table")

@@ -20,9 +20,12 @@ EDGE = W * H
 
 
 def prepare(spark: SparkSession) -> None:
-    """Give the session a shared folder when the cluster names none (local runs)."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tileflow-"))
+    """Give a local session a shared folder of its own when it names none; a cluster has to name one."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not (spark.sparkContext.master or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tileflow-"))
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -105,6 +105,28 @@ def test_key_stays_in_one_file(spark, tmp_path):
     assert per_key.agg(F.max("n")).first()[0] <= 2
 
 
+def test_pending_buckets_resume_after_a_failure(spark, tmp_path):
+    path = str(tmp_path / "buckets")
+    df = spark.range(100).withColumn("sample_id", (F.col("id") % 5).cast("int"))
+    seen = []
+
+    def make(rows):
+        seen.append(sorted(r.sample_id for r in rows.select("sample_id").distinct().collect()))
+        return rows.where("sample_id <> 4")  # a bucket may come out empty
+
+    assert writers.write_pending_buckets(df, "sample_id", 3, make, path) == [0, 1, 2]
+
+    def fail(rows):
+        return rows.withColumn("id", F.raise_error(F.lit("stopped")))
+
+    with pytest.raises(Exception, match="stopped"):
+        writers.write_pending_buckets(df, "sample_id", 5, fail, path)
+    assert writers.write_pending_buckets(df, "sample_id", 5, make, path) == [3, 4]
+    assert writers.write_pending_buckets(df, "sample_id", 5, make, path) == []
+    assert seen == [[0, 1, 2], [3, 4]]
+    assert spark.read.parquet(path).count() == 80
+
+
 def test_write_if_absent_resumes(spark, tmp_path):
     path = str(tmp_path / "t")
     assert writers.write_if_absent(spark, lambda: spark.range(3), path)

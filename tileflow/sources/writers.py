@@ -59,6 +59,25 @@ def write_if_absent(spark: SparkSession, make: Callable[[], DataFrame], path: st
     return True
 
 
+def write_pending_buckets(
+    df: DataFrame, bucket: str, n: int, make: Callable[[DataFrame], DataFrame], path: str
+) -> list[int]:
+    """Run a job for the buckets 0 to n - 1 of a table that are not finished yet, all in one pass.
+
+    ``make`` turns rows of ``df`` into output rows and keeps the column ``bucket``. Finished buckets are listed
+    beside the data in ``<path>_finished`` once their rows are written, so a job that was stopped begins again with
+    the others; a bucket without rows is finished too. Returns the buckets that this call has run.
+    """
+    spark, log = df.sparkSession, f"{path}_finished"
+    known = spark.read.parquet(log) if is_complete(spark, log) else None
+    finished = {r["bucket"] for r in known.distinct().collect()} if known is not None else set()  # at most n numbers
+    pending = [b for b in range(n) if b not in finished]
+    if pending:
+        write_bucketed_dirs(make(df.where(F.col(bucket).isin(pending))), path, bucket)
+        spark.createDataFrame([(b,) for b in pending], "bucket int").coalesce(1).write.mode("append").parquet(log)
+    return pending
+
+
 def prediction_text(df: DataFrame, id_col: str = "quadrat_id", ids_col: str = "species_ids") -> DataFrame:
     """Label arrays rendered as ``"[1, 2]"``, ready for a prediction file."""
     return df.select(F.col(id_col), format_ids(F.col(ids_col)).alias(ids_col))
