@@ -107,7 +107,7 @@ def species_centroids(
     start = start.select(
         "species", (F.col("rank") - 1).cast("int").alias("centroid"), doubles(F.col("vec")).alias("centre")
     )
-    rows = rows.select("species", "vec")
+    rows = settle(rows.select("species", "vec"), "rows")
     centres = settle(start, "centres")
     if n == 1:
         iterations = 1

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tileflow.operators.quantiles import exact_percentiles, group_key
+from tileflow.sources.tables import settle
+
 
 def count_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per group, largest first, then by key."""
@@ -85,16 +87,20 @@ def describe_cols(
             aggs.append(F.percentile_approx(c, list(quantiles), accuracy).alias(f"_{c}_q"))
     out = df.groupBy(group_key(by).alias("_group")).agg(*aggs)
     names = [f"p{round(q * 100)}" for q in quantiles]
-    for c in cols:
-        if accuracy:
+    if accuracy:
+        for c in cols:
             out = out.withColumns({f"{c}_{n}": F.col(f"_{c}_q")[i] for i, n in enumerate(names)}).drop(f"_{c}_q")
-        else:
-            found = exact_percentiles(df, by, c, quantiles)
-            named = [F.col(f"q{i}").cast("double").alias(f"{c}_{n}") for i, n in enumerate(names)]
-            if by:
-                out = out.join(found.select("_group", *named), "_group", "left")
-            else:  # one row: a scalar subquery instead of a join without a key
-                out = out.withColumn("_q", found.select(F.struct(*named)).scalar()).select("*", "_q.*").drop("_q")
+    else:  # all columns at once: the column's name is part of the group
+        values = [F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols]
+        long = settle(df.select(*by, F.explode(F.array(*values)).alias("_e")).select(*by, "_e.*"), "values")
+        found = exact_percentiles(long, [*by, "_col"], "_x", quantiles)
+        wide = [
+            F.max(F.when(F.col("_group._col") == c, F.col(f"q{i}"))).alias(f"{c}_{n}")
+            for c in cols
+            for i, n in enumerate(names)
+        ]
+        key = F.struct(*[F.col(f"_group.{k}").alias(k) for k in by]) if by else group_key(by)
+        out = out.join(found.groupBy(key.alias("_own")).agg(*wide), F.col("_group") == F.col("_own"), "left").drop("_own")
     return out.select(*[f"_group.{k}" for k in by], *[c for c in out.columns if c != "_group"])
 
 
