@@ -1,9 +1,9 @@
 """Byte-pair encoding and decoding with a tokenizer file's vocabulary and merges.
 
-Texts are cut at special tokens and white space; each piece is put into NFC and lower case, cut by the pattern and
-mapped to byte symbols, the last of which carries the word end. The merges of one word work on a contiguous array of
-part boundaries with the rank of each neighbouring pair: find the least rank, delete the boundary, refresh the
-ranks beside it, until no pair is left. Pieces that come again are taken from a bounded table of the task.
+Texts are cut at special tokens and white space; each piece is put into NFC and lower case, cut by the pattern into
+words of byte symbols, the last of which carries the word end. The merges of one word work on a contiguous array of
+its parts with the rank of each neighbouring pair: find the least rank, delete the boundary, refresh the ranks
+beside it, until no pair is left. Pieces and words that come again are taken from bounded tables of the task.
 
 Characters count as letters or numbers as the installed ``regex`` package knows them.
 """
@@ -15,7 +15,6 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
 from pathlib import Path
 
 import pyarrow as pa
@@ -29,9 +28,9 @@ from tileflow.llm.words import parts
 WORD_END = "</w>"
 # The pattern of the tokenizer file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ODD_SPACES = regex.compile("[\x1c-\x1f]")  # white space for str.split only
+_ODD_SPACES = "\x1c\x1d\x1e\x1f"  # white space for str.split only
 _SHORT = 64  # parts; longer words keep their pairs in a heap
-_REMEMBERED = 200_000
+_REMEMBERED = 400_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -60,68 +59,86 @@ class Vocabulary:
         return Vocabulary(model["vocab"], {m: i for i, m in enumerate(merges)}, specials)
 
 
-def merge_short(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The parts that are left of a word; array scan, quadratic in the word's length."""
-    text = "".join(symbols)
-    bounds = [0, *accumulate(map(len, symbols))]
-    none = len(ranks)
-    get = ranks.get
-    pair = [get(p, none) for p in zip(symbols, symbols[1:])]
-    while pair:
-        least = min(pair)
-        if least == none:
-            break
-        i = pair.index(least)
-        del bounds[i + 1], pair[i]
-        a, b = bounds[i], bounds[i + 1]
-        if i < len(pair):
-            pair[i] = get((text[a:b], text[b : bounds[i + 2]]), none)
-        if i:
-            pair[i - 1] = get((text[bounds[i - 1] : a], text[a:b]), none)
-    return [text[a:b] for a, b in zip(bounds, bounds[1:])]
-
-
-def merge_long(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The same parts for a word of any length: pairs wait in a heap by rank and place."""
-    part: list[str | None] = list(symbols)
-    after = list(range(1, len(symbols) + 1))
-    before = list(range(-1, len(symbols) - 1))
-    heap = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
-    heapq.heapify(heap)
-
-    def push(i: int) -> None:
-        j = after[i]
-        if j < len(part) and (p := (part[i], part[j])) in ranks:
-            heapq.heappush(heap, (ranks[p], i, *p))
-
-    while heap:
-        _, i, left, right = heapq.heappop(heap)
-        j = after[i]
-        if part[i] != left or j >= len(part) or part[j] != right:
-            continue
-        part[i], part[j] = left + right, None
-        after[i] = after[j]
-        if after[i] < len(part):
-            before[after[i]] = i
-        push(i)
-        if before[i] >= 0:
-            push(before[i])
-    return [p for p in part if p is not None]
-
-
-class Pieces(dict):
-    """White-space-free piece of a text -> what ``make`` says of its tokens; forgets all when it is full."""
-
-    def __init__(self, words: Callable[[str], list[list[str]]], make: Callable[[list[list[str]]], tuple]):
+class Merges:
+    """Pairs of token ids by rank. A word is a list of the ids of its parts, from single byte symbols on."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        ids, symbols = vocabulary.ids, byte_symbols()
+        self.size = len(ids)
+        self.inner = [ids[symbols[b]] for b in range(256)]
+        self.last = [ids[symbols[b] + WORD_END] for b in range(256)]
+        self.ranks = {ids[a] * self.size + ids[b]: r for (a, b), r in vocabulary.ranks.items()}
+        self.made = [ids[a + b] for a, b in vocabulary.ranks]
+
+    def word(self, word: str) -> list[int]:
+        """Ids of a word's tokens."""
+        data = word.encode("utf-8")
+        parts = [self.inner[b] for b in data[:-1]]
+        parts.append(self.last[data[-1]])
+        return self.short(parts) if len(parts) <= _SHORT else self.long(parts)
+
+    def short(self, parts: list[int]) -> list[int]:
+        """Array scan: the ranks of neighbouring parts stand beside the parts; quadratic in the word's length.
+
+        Deleting an entry of both arrays deletes the boundary between two parts.
+        """
+        size, get, none = self.size, self.ranks.get, len(self.made)
+        rank = [get(a * size + b, none) for a, b in zip(parts, parts[1:])]
+        while rank:
+            least = min(rank)
+            if least == none:
+                break
+            i = rank.index(least)
+            parts[i] = part = self.made[least]
+            del parts[i + 1], rank[i]
+            if i < len(rank):
+                rank[i] = get(part * size + parts[i + 1], none)
+            if i:
+                rank[i - 1] = get(parts[i - 1] * size + part, none)
+        return parts
+
+    def long(self, parts: list[int]) -> list[int]:
+        """The same for a word of any length: pairs wait in a heap by rank and place."""
+        ranks, size, n = self.ranks, self.size, len(parts)
+        part: list[int] = list(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        keys = (a * size + b for a, b in zip(parts, parts[1:]))
+        heap = [(ranks[k], i, k) for i, k in enumerate(keys) if k in ranks]
+        heapq.heapify(heap)
+
+        def push(i: int) -> None:
+            j = after[i]
+            if j < n and (k := part[i] * size + part[j]) in ranks:
+                heapq.heappush(heap, (ranks[k], i, k))
+
+        while heap:
+            rank, i, key = heapq.heappop(heap)
+            j = after[i]
+            if part[i] < 0 or j >= n or part[i] * size + part[j] != key:
+                continue
+            part[i], part[j] = self.made[rank], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            push(i)
+            if before[i] >= 0:
+                push(before[i])
+        return [p for p in part if p >= 0]
+
+
+class Remembered(dict):
+    """A table of what ``make`` says of a string; it forgets all when it is full, and long strings at once."""
+
+    def __init__(self, make: Callable[[str], object]):
         super().__init__()
-        self.words, self.make = words, make
+        self.make = make
 
-    def __missing__(self, piece: str):
+    def __missing__(self, text: str):
         if len(self) >= _REMEMBERED:
             self.clear()
-        out = self.make(self.words(piece))
-        if len(piece) <= 200:
-            self[piece] = out
+        out = self.make(text)
+        if len(text) <= 100:
+            self[text] = out
         return out
 
 
@@ -136,61 +153,54 @@ class Splitter:
 
     vocabulary: Vocabulary
     pattern: regex.Pattern = field(init=False)
-    special: regex.Pattern | None = field(init=False)
+    special: regex.Pattern = field(init=False)
 
     def __post_init__(self) -> None:
         self.pattern = regex.compile(PATTERN)
         names = sorted(self.vocabulary.specials, key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.symbols = byte_symbols()
+        self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")")
 
     def pieces(self, text: str) -> list[str]:
-        if _ODD_SPACES.search(text):
+        if any(c in text for c in _ODD_SPACES):
             return [p for p in regex.split(r"\s+", text) if p]
         return text.split()
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is a special token, string) from left to right."""
-        if self.special is None or not self.special.search(text):
+        if not any(name in text for name in self.vocabulary.specials):
             yield False, text
             return
         for i, s in enumerate(self.special.split(text)):
             if s:
                 yield i % 2 == 1, s
 
-    def words(self, piece: str) -> list[list[str]]:
-        out = []
-        for word in self.pattern.findall(lower(unicodedata.normalize("NFC", piece))):
-            symbols = [self.symbols[b] for b in word.encode("utf-8")]
-            symbols[-1] += WORD_END
-            out.append(symbols)
-        return out
-
-    def merged(self, piece: str) -> list[list[str]]:
-        """The tokens of each word."""
-        ranks = self.vocabulary.ranks
-        return [merge_short(s, ranks) if len(s) <= _SHORT else merge_long(s, ranks) for s in self.words(piece)]
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece without white space."""
+        if piece.isascii():
+            piece = piece.lower()
+            return [piece] if piece.isalpha() else self.pattern.findall(piece)
+        return self.pattern.findall(lower(unicodedata.normalize("NFC", piece)))
 
 
 class Encoder:
-    """Texts to a sequence of values, one for each piece and special token; ``make`` turns tokens into a value."""
+    """Texts to a sequence of values, one for each piece and special token; ``make`` turns ids into a value."""
 
-    def __init__(self, vocabulary: Vocabulary, make: Callable[[list[str]], tuple]):
-        self.splitter = Splitter(vocabulary)
-        self.make = make
-        self.known = Pieces(self.splitter.merged, lambda words: make([t for w in words for t in w]))
+    def __init__(self, vocabulary: Vocabulary, make: Callable[[list[int]], object]):
+        self.splitter = splitter = Splitter(vocabulary)
+        self.specials = {t: make([i]) for t, i in vocabulary.specials.items()}
+        words = Remembered(Merges(vocabulary).word)
+        self.known = Remembered(lambda piece: make([i for w in splitter.words(piece) for i in words[w]]))
 
-    def values(self, text: str | None) -> list[tuple]:
-        out: list[tuple] = []
+    def values(self, text: str | None) -> list:
+        out: list = []
         for special, part in self.splitter.segments(text or ""):
-            out += [self.make([part])] if special else map(self.known.__getitem__, self.splitter.pieces(part))
+            out += [self.specials[part]] if special else map(self.known.__getitem__, self.splitter.pieces(part))
         return out
 
 
 def encode(text: str | None, vocabulary: Vocabulary) -> list[int]:
     """Token ids of one text."""
-    ids = vocabulary.ids | vocabulary.specials
-    return [i for v in Encoder(vocabulary, lambda tokens: tuple(ids[t] for t in tokens)).values(text) for i in v]
+    return [i for v in Encoder(vocabulary, tuple).values(text) for i in v]
 
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
@@ -202,22 +212,20 @@ def decode(ids: list[int], vocabulary: Vocabulary) -> str:
 def _round_trip(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        ids = vocab.ids | vocab.specials
-        names = {i: t for t, i in ids.items()}
+        names = {i: t for t, i in (vocab.ids | vocab.specials).items()}
 
-        def make(tokens: list[str]) -> tuple:
-            numbers = [ids[t] for t in tokens]
-            return " ".join(map(str, numbers)), " ".join(names[i] for i in numbers)
+        def make(ids: list[int]) -> tuple[str, str]:
+            return " ".join(map(str, ids)), " ".join([names[i] for i in ids])
 
         encoder = Encoder(vocab, make)
         for batch in parts(batches, "text"):
             n, encoded, decoded = [], [], []
             for text in batch.column(1).to_pylist():
-                values = [v for v in encoder.values(text) if v[0]]
-                line = " ".join([v[0] for v in values])
+                lines, tokens = zip(*encoder.values(text)) if text and not text.isspace() else ((), ())
+                line = " ".join(lines)
                 n.append(line.count(" ") + 1 if line else 0)
                 encoded.append(line)
-                decoded.append(" ".join([v[1] for v in values]))
+                decoded.append(" ".join(tokens))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
                 names=["row", "n_tokens", "ids", "decoded"],

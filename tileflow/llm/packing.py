@@ -81,9 +81,7 @@ def _pieces(vocabulary, capacity: int, close: int):
     ending = np.array([close], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary.value
-        ids = vocab.ids | vocab.specials
-        encoder = Encoder(vocab, lambda tokens: np.array([ids[t] for t in tokens], "<u4").tobytes())
+        encoder = Encoder(vocabulary.value, lambda ids: np.array(ids, "<u4").tobytes())
         for batch in parts(batches, "text"):
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

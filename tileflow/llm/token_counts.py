@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tileflow.llm.bpe import WORD_END, Pieces, Splitter, Vocabulary
+from tileflow.llm.bpe import WORD_END, Remembered, Splitter, Vocabulary, byte_symbols
 from tileflow.llm.words import parts
 
 
@@ -80,6 +80,13 @@ def symbols_of(token: str) -> list[str]:
     return list(token)
 
 
+def word_symbols(word: str, table: dict[int, str]) -> list[str]:
+    """A word as byte symbols, the last with the word end."""
+    symbols = [table[b] for b in word.encode("utf-8")]
+    symbols[-1] += WORD_END
+    return symbols
+
+
 def automaton(vocabulary: Vocabulary) -> LongestMatch:
     """The automaton of a vocabulary with every single byte symbol in both its forms."""
     entries = [symbols_of(t) for t in vocabulary.ids if t not in vocabulary.specials]
@@ -92,8 +99,14 @@ def automaton(vocabulary: Vocabulary) -> LongestMatch:
 def _count(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        splitter, match = Splitter(vocab), automaton(vocab)
-        known = Pieces(splitter.words, lambda words: (len(words), sum(map(match.count, words))))
+        splitter, match, table = Splitter(vocab), automaton(vocab), byte_symbols()
+        counts = Remembered(lambda word: match.count(word_symbols(word, table)))
+
+        def measure(piece: str) -> tuple[int, int]:
+            words = splitter.words(piece)
+            return len(words), sum([counts[w] for w in words])
+
+        known = Remembered(measure)
         for batch in parts(batches, "text"):
             n_words, n_pieces = [], []
             for text in batch.column(1).to_pylist():
