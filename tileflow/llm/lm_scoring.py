@@ -144,7 +144,7 @@ class Automaton:
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, classes: int, discount: float):
         self.classes = c = classes
-        levels = [np.bincount(grams // c**2 * 0 + grams % c, counts, c)]
+        levels = [np.bincount(grams % c, counts, c)]
         levels.append(np.bincount(grams % c**2, counts, c**2))
         levels.append(np.bincount(grams, counts, c**3))
         prob = (levels[0] + 1) / (levels[0].sum() + c)
@@ -292,8 +292,8 @@ def score_texts(
             break
         least = s
     chosen = counts.where((F.col("form") >= 0) & (step >= least)) if least is not None else counts.limit(0)
-    table = chosen.toPandas().sort_values("word")
-    word, n = table["word"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
+    table = chosen.orderBy("word").toArrow()
+    word, form_of, n = (table.column(c).to_numpy().astype(np.int64) for c in ("word", "form", "n"))
     own = np.full(len(word), -1, np.int64)
     single = np.lexsort((word, -n))[: classes - 1 - forms]
     own[single] = np.arange(len(single))
@@ -301,13 +301,13 @@ def score_texts(
 
     spark = docs.sparkSession
     grams = learn.mapInArrow(_trigrams(spark.sparkContext.broadcast(known)), "gram bigint, n bigint")
-    grams = grams.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most classes ** 3 rows
-    automaton = Automaton(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64), classes, discount)
+    grams = grams.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most classes ** 3 rows
+    gram, times = (grams.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
+    automaton = Automaton(gram, times, classes, discount)
     by_form = counts.where("form >= 0").groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     form_n, form_v = np.zeros(forms), np.zeros(forms)
     for r in by_form:
         form_n[r["form"]], form_v[r["form"]] = r["n"], r["v"]
-    form_of = table["form"].to_numpy(np.int64)
     np.subtract.at(form_n, form_of[single], n[single])
     np.subtract.at(form_v, form_of[single], 1)
     form_log = np.log10(form_n + alpha * (form_v + 1))
