@@ -26,11 +26,11 @@ REGIONS = (
 
 # The naming schemes of a repeatedly visited plot; group 1 is the plot.
 PLOT_PATTERNS = (
-    r"^(CBN-.*?-.*?)-[0-9]{8}$",
+    r"^(CBN-.*?-.*?)-\d{8}$",
     r"^(GUARDEN-.*?-.*?)-.*$",
-    r"^(LISAH-.*?)-[0-9]{8}$",
-    r"^(OPTMix-[0-9]+)-.*$",
-    r"^(RNNB-[0-9]+-[0-9]+)-[0-9]{8}$",
+    r"^(LISAH-.*?)-\d{8}$",
+    r"^(OPTMix-\d+)-.*$",
+    r"^(RNNB-\d+-\d+)-\d{8}$",
 )
 
 
