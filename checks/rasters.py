@@ -252,6 +252,21 @@ def class_masks(spark, d):
     return mask_pixels(merged, ["image_name", "class"])
 
 
+@query("ras13_final_mask", LONG + f""", inst as (select image_name, y, x, v from long where mask_type in ('leaf_mask', 'rock_mask')),
+  fin as (select image_name, y, x, max(v) v from inst group by all)
+  select image_name, sum(v)::bigint covered, sum(v * ((y * {W} + x) % 101 + 1))::bigint weighted from fin group by 1
+  union all select 'none', null, null""")
+def final_mask(spark, d):
+    """Instances of two chosen classes; one image has none of them."""
+    long = long_masks(spark, d).withColumnRenamed("mask_type", "class_id")
+    ids = long.select("image_name").distinct()
+    one = ids.limit(1).select(F.lit("none").alias("image_name"))
+    out = raster.final_mask(long, ids.union(one), ["leaf_mask", "rock_mask"])
+    pixels = mask_pixels(out.where("mask is not null"), ["image_name"]).groupBy("image_name").agg(
+        F.sum("v").alias("covered"), F.sum(F.col("v") * ((F.col("y") * W + F.col("x")) % 101 + 1)).alias("weighted"))
+    return out.select("image_name").join(pixels, "image_name", "left")
+
+
 # ----------------------------------------------------------------------------------- detections
 
 DET_ID = "(l_partkey * 10000000000 + round(l_extendedprice * 100)::bigint * 10 + l_linenumber)"

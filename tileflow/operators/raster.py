@@ -151,6 +151,22 @@ def tile_coverage(masks: DataFrame, n: int, mask: str = "mask", order: str = "co
     return masks.select(*rest, F.posexplode(cover(F.col(mask))).alias("tile", "pct_covered"))
 
 
+def tile_coverage_grids(
+    masks: DataFrame, sizes: Sequence[int], mask: str = "mask", order: str = "columns"
+) -> DataFrame:
+    """``tile_coverage`` of several grid sizes from one read of the mask: the other columns, ``n, tile, pct_covered``."""
+
+    @F.pandas_udf("array<struct<n:int, tile:int, pct_covered:double>>")
+    def cover(data: pd.Series) -> pd.Series:
+        def shares(array: np.ndarray) -> list[tuple]:
+            return [(n, i, float(t.mean())) for n in sizes for i, t in _tiles(array, n, order)]
+
+        return data.map(_known(shares))
+
+    rest = [c for c in masks.columns if c != mask]
+    return masks.select(*rest, F.inline(cover(F.col(mask))))
+
+
 def covered_tile_count(
     masks: DataFrame, sizes: Sequence[int] = range(3, 11), threshold: float = 0.5, mask: str = "mask"
 ) -> DataFrame:
@@ -244,6 +260,15 @@ def class_mask_merge(
     return mask_or(rows, [*keys, "class"], mask)
 
 
+def final_mask(
+    instances: DataFrame, images: DataFrame, chosen: Sequence, key: str = "image_name",
+    class_id: str = "class_id", mask: str = "mask",
+) -> DataFrame:
+    """One mask per image over all its instances of the chosen classes; null for an image without any."""
+    merged = mask_or(instances.where(F.col(class_id).isin(list(chosen))), [key], mask)
+    return images.select(key).join(merged, key, "left")
+
+
 def class_mask_columns(
     merged: DataFrame, images: DataFrame, key: str = "image_name", classes: Sequence[str] = MASK_CLASSES
 ) -> DataFrame:

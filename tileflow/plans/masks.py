@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tileflow.functions.names import n_to_grid
 from tileflow.operators.joins import join_multi_key
-from tileflow.operators.raster import POSITIVE_MASKS, merge_masks, tile_coverage
+from tileflow.operators.raster import POSITIVE_MASKS, merge_masks, tile_coverage, tile_coverage_grids
 from pyspark.sql import functions as F
 
 
@@ -30,13 +30,10 @@ def filter_by_mask(
 def filter_by_mask_grids(
     embeddings: DataFrame, masks: DataFrame, sizes: Sequence[int], types: Sequence[str] = POSITIVE_MASKS
 ) -> DataFrame:
-    """The same for embeddings of several grids (column ``grid``), ready for one partitioned write."""
-    parts = [
-        filter_by_mask(embeddings.where(F.col("grid") == f"{n}x{n}"), masks, n, types)
-        .withColumn("grid", n_to_grid(F.lit(n)))
-        for n in sizes
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """The same for embeddings of several grids (column ``grid``), ready for one partitioned write.
+
+    The masks are read, merged and measured once for all grids.
+    """
+    merged = merge_masks(masks.select("image_name", *types), types).select("image_name", "mask")
+    covered = tile_coverage_grids(merged, sizes).withColumn("grid", n_to_grid(F.col("n"))).drop("n")
+    return join_multi_key(embeddings, covered, ["image_name", "grid", "tile"]).select(*embeddings.columns, "pct_covered")
