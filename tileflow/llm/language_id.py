@@ -230,14 +230,14 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    sample: int = 250,
-    longest: int = 20_000,
+    sample: int = 800,
+    longest: int = 10_000,
 ) -> DataFrame:
     """``docs`` with lang_pred (string) and score (double, 0 to 1) added.
 
-    The model is fitted on ``sample`` texts of each language at most (rows where ``training`` is true, the language
-    is not null and the text has 1 to ``longest`` characters; those with the smallest hash of id and text); every row
-    is labelled, by its text alone. Defined cases: a null text, one without letters, and every text when there is
+    The model is fitted on ``sample`` texts at most, as many of each language (rows where ``training`` is true, the
+    language is not null and the text has 1 to ``longest`` characters and a letter; those with the smallest hash of id
+    and text); every row is labelled, by its text alone. Defined cases: a null text, one without letters, and every text when there is
     nothing to learn from, are ``und`` with score 0; columns called like an added one are replaced, others pass through;
     an empty table gives an empty result.
     """
@@ -246,7 +246,9 @@ def identify(
     key = F.xxhash64(id_col, text_col).alias("key")
     labelled = docs.where(fits).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key)
     labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
-    chosen = labelled.withColumn("n", F.row_number().over(spread)).where(F.col("n") <= sample).select("lang", "text")
+    languages = labelled.select("lang").distinct().count()
+    each = max(1, sample // max(1, languages))
+    chosen = labelled.withColumn("n", F.row_number().over(spread)).where(F.col("n") <= each).select("lang", "text")
     rows = sorted(chosen.collect(), key=lambda r: (r["lang"], r["text"]))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     if not rows:
