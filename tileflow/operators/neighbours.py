@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -377,17 +377,16 @@ def zip_explode_neighbours(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def distance_table(
     df: DataFrame, centroids: DataFrame, id_col: str, vec: str, centroid_id: str, centroid_vec: str,
-    score: str = "cosine", top: int | None = None, limit_bytes: int = 64 << 20,
+    score: str = "cosine", top: int | None = None, limit_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Every row against every centroid: ``<id_col>, <centroid_id>, score``.
 
     ``score``: ``cosine`` or ``euclidean`` (of unit vectors), or ``cosine_softmax`` and
     ``inv_sq_distance``, which sum to 1 over all centroids of a row (a distance of 0 takes the whole).
-    ``top`` keeps the k nearest centroids of a row, the smaller id first on ties.
+    ``top`` keeps the k nearest centroids of a row, the smaller id first on ties. Rows without a vector are left out.
 
-    The centroids are one row per class. They are counted first: up to ``limit_bytes`` they go to every
-    executor at once; a larger table takes one pass per part of that size, and the parts are put
-    together again.
+    Rows travel in packs and centroids in blocks of about ``limit_bytes``; every pack meets every block in a
+    join, which Spark broadcasts or shuffles by the size of the blocks. Neither passes through the driver.
     """
     normalised = score in ("cosine_softmax", "inv_sq_distance")
     table = settle(
@@ -396,68 +395,80 @@ def distance_table(
     size = table.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     if not size["n"]:
         raise ValueError("no centroids")
+    spark = df.sparkSession
     parts = -(-size["n"] * size["width"] * 8 // limit_bytes)
-    source = df.select(F.col(id_col).alias("row"), F.col(vec).alias("vec"))
+    splits = max(1, -(-_KEYS_PER_TASK * spark.sparkContext.defaultParallelism // parts))
+    source = df.select(F.col(id_col).alias("row"), F.col(vec).alias("vec")).where("vec is not null")
     row_type = source.schema["row"].dataType.simpleString()
     id_type = table.schema["id"].dataType.simpleString()
-    schema = f"row {row_type}, id {id_type}, weight double, total double, hits double"
-
-    def against(part: int) -> DataFrame:
-        chosen = table.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id").toPandas()
-        if chosen.empty:
-            return None
-        ids = chosen["id"].to_numpy()
-        shared = df.sparkSession.sparkContext.broadcast(_unit(_matrix(chosen["vec"])))
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            centres = shared.value
-            step = max(1, (16 << 20) // (8 * len(centres)))
-            for pdf in batches:
-                for start in range(0, len(pdf), step):
-                    rows = pdf.iloc[start : start + step]
-                    yield scored(rows["row"].to_numpy(), _unit(_matrix(rows["vec"]).astype(np.float64)), centres)
-
-        def scored(rows: np.ndarray, vectors: np.ndarray, centres: np.ndarray) -> pd.DataFrame:
-            cosine = vectors @ centres.T
-            hits = np.zeros(len(rows))
-            if score in ("cosine", "cosine_softmax"):
-                weight = np.exp(cosine) if normalised else cosine
-            else:
-                squares = _distances(vectors, centres)
-                weight = np.sqrt(squares)
-                if normalised:
-                    hits = (squares == 0).sum(1).astype(float)
-                    weight = np.where(squares == 0, np.inf, 1.0 / np.where(squares == 0, 1.0, squares))
-            total = np.where(np.isfinite(weight), weight, 0.0).sum(1)
-            if top is not None and top < weight.shape[1]:
-                rank = weight if score == "euclidean" else -weight
-                kept = _k_smallest(rank, top)
-            else:
-                kept = np.broadcast_to(np.arange(weight.shape[1]), weight.shape)
-            n = kept.shape[1]
-            return pd.DataFrame(
-                {
-                    "row": np.repeat(rows, n),
-                    "id": ids[kept.ravel()],
-                    "weight": np.take_along_axis(weight, kept, 1).ravel(),
-                    "total": np.repeat(total, n),
-                    "hits": np.repeat(hits, n),
-                }
-            )
+    dtype = _element(df, vec)
+    pack_rows = min(_PACK_ROWS, _rows_per_block(size["width"], dtype))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), pack_rows):
+                rows = pdf.iloc[start : start + pack_rows]
+                data = _matrix(rows["vec"]).astype(dtype).tobytes()
+                split = zlib.crc32(str(rows["row"].iat[0]).encode()) % splits
+                yield pd.DataFrame([{"split": split, "rows": rows["row"].to_numpy(), "data": data}])
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    packs = source.mapInPandas(pack, f"split int, rows array<{row_type}>, data binary").withColumn("part", every(parts))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
+    blocks = table.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("c"))  # limit_bytes each
+    blocks = blocks.select("part", F.col("c.id").alias("ids"), F.flatten("c.vec").alias("flat"), every(splits).alias("split"))
 
-        return source.mapInPandas(compare, schema).withColumn("part", F.lit(part))
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for pair in pdf.itertuples():
+                ids, rows = np.asarray(pair.ids), np.asarray(pair.rows)
+                centres = _unit(np.asarray(pair.flat, dtype=np.float64).reshape(len(ids), -1))
+                vectors = _from_bytes(pair.data, len(rows), dtype)
+                step = max(1, (16 << 20) // (8 * len(ids)))
+                for start in range(0, len(rows), step):
+                    cut = slice(start, start + step)
+                    yield scored(pair.part, rows[cut], vectors[cut], ids, centres)
+
+    def scored(part: int, rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray, centres: np.ndarray) -> pd.DataFrame:
+        cosine = vectors @ centres.T
+        hits = np.zeros(len(rows))
+        if score in ("cosine", "cosine_softmax"):
+            weight = np.exp(cosine) if normalised else cosine
+        else:
+            squares = _distances(vectors, centres)
+            weight = np.sqrt(squares)
+            if normalised:
+                hits = (squares == 0).sum(1).astype(float)
+                weight = np.where(squares == 0, np.inf, 1.0 / np.where(squares == 0, 1.0, squares))
+        total = np.where(np.isfinite(weight), weight, 0.0).sum(1)
+        if top is not None and top < weight.shape[1]:
+            rank = weight if score == "euclidean" else -weight
+            kept = _k_smallest(rank, top)
+        else:
+            kept = np.broadcast_to(np.arange(weight.shape[1]), weight.shape)
+        n = kept.shape[1]
+        return pd.DataFrame(
+            {
+                "row": np.repeat(rows, n),
+                "id": ids[kept.ravel()],
+                "weight": np.take_along_axis(weight, kept, 1).ravel(),
+                "total": np.repeat(total, n),
+                "hits": np.repeat(hits, n),
+                "part": part,
+            }
+        )
 
-    tables = [t for t in map(against, range(parts)) if t is not None]
-    rows = tables[0]
-    for other in tables[1:]:
-        rows = rows.unionAll(other)
-    if normalised and len(tables) > 1:
+    schema = f"row {row_type}, id {id_type}, weight double, total double, hits double, part int"
+    rows = packs.join(blocks, ["part", "split"]).mapInPandas(compare, schema)
+    if normalised and parts > 1:
         sums = (
             rows.groupBy("row", "part").agg(F.max("total").alias("total"), F.max("hits").alias("hits"))
             .groupBy("row").agg(F.sum("total").alias("total"), F.sum("hits").alias("hits"))
         )
         rows = rows.drop("total", "hits").join(sums, "row")
-    if top is not None and len(tables) > 1:
+    if top is not None and parts > 1:
         best = F.col("weight") if score == "euclidean" else F.desc("weight")
         rows = top_rows(rows, ["row"], [best, "id"], top)
     value = F.col("weight")
