@@ -230,8 +230,8 @@ def test_linked_groups_of_a_large_family(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     want = want_components([(i, t) for i, t in rows], 4, 85)
     assert len({c for _, c in want.values()}) > 70
-    cross = jaccard_join._group_links
-    monkeypatch.setattr(jaccard_join, "_group_links", lambda *a: cross(*a, block=7))
+    across = jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "_across", lambda *a: across(*a, block=7))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_groups(frame, size=4, percent=85).collect()}
     assert got == want
 

@@ -106,6 +106,7 @@ def test_linked_sets_share_a_signature(percent):
             if 100 * common < percent * (len(a) + len(b) - common) or len(a) == len(b) == common:
                 continue
             linked += 1
+            assert jaccard_join.may_link((len(a), jaccard_join.sketch(a)), (len(b), jaccard_join.sketch(b)), percent)
             assert set(made.both(a, sized).tolist()) & set(made.both(b, sized).tolist())
     assert linked > 50
 
@@ -121,6 +122,18 @@ def test_sets_with_too_many_empty_parts_share_nested_signatures():
     assert len(a) > n1 and set(a.tolist()) & set(b.tolist())
 
 
+def test_sketches_rule_out_distant_sets():
+    rng = np.random.default_rng(5)
+    a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (500, 520))
+    c = np.concatenate((a[:250], b[:300]))
+    drawn = {k: (len(v), jaccard_join.sketch(v)) for k, v in {"a": a, "b": b, "c": np.unique(c), "e": a[:60]}.items()}
+    assert jaccard_join.may_link(drawn["a"], drawn["a"], 100)
+    assert not jaccard_join.may_link(drawn["a"], drawn["b"], 80)
+    assert not jaccard_join.may_link(drawn["a"], drawn["c"], 80)
+    assert not jaccard_join.may_link(drawn["a"], drawn["e"], 80)
+    assert len(jaccard_join.sketch(a)) == 128 and len(jaccard_join.sketch(a[:0])) == 8
+
+
 def test_suffix_automaton_counts():
     rng = random.Random(3)
     for _ in range(60):

@@ -7,13 +7,16 @@ for small k); linked sets share at least one signature by the pigeonhole princip
 the start. In each signature bucket all classes are first compared with the smallest one, its hub. Where such a
 comparison fails, the hub's candidates outside its largest group so far are queries: blocks of them are held in
 tasks, all candidates of the hub stream past, and only links between different groups come out. So no bucket is
-expanded into pairs, and no link that joins groups is lost. Every link is checked on the whole sets.
+expanded into pairs, and no link that joins groups is lost. Sketches (parities of element counts) first rule out what
+cannot link; every link is checked on the whole sets.
 
 Sets are kept as 64-bit element hashes; equality of classes rests on a 64-bit hash of the set.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -52,6 +55,28 @@ def set_keys(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         return mix(fold(mix(values), cuts) + np.diff(cuts).astype(U64) * U64(_GOLD))
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Parity of the number of elements at each of a power of two of places, about two places an element."""
+    places = max(64, 1 << (2 * len(values) - 1).bit_length()) if len(values) else 64
+    at = mix(values ^ U64(_GOLD)) & U64(places - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=places) & 1, bitorder="little").tobytes()
+
+
+def may_link(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> bool:
+    """False only if two sets, given by size and sketch, cannot link.
+
+    Places with different parity hold an element of just one set, so there are at least as many of those elements.
+    """
+    (n, x), (m, y) = a, b
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    while len(x) != len(y):  # halves of a sketch add up to the next smaller one
+        x, y = sorted((x, y), key=len)
+        half = len(y) // 2
+        y = (int.from_bytes(y[:half]) ^ int.from_bytes(y[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= (100 - percent) * (n + m) // (100 + percent)
+
+
 def bands(percent: int, most: int) -> list[tuple[int, int]]:
     """(smallest, largest) size of each band up to the one that holds ``most``, and one more."""
     out, low = [], 1
@@ -67,16 +92,21 @@ def differing(percent: int, size: int) -> int:
     return 2 * (100 - percent) * size // (100 + percent)
 
 
-def layout(k: int) -> tuple[int, int, int, int]:
-    """Parts, sub-parts, sub-parts that may differ, and parts that may be empty in both sets, for k differences.
+def layout(k: int, low: int) -> tuple[int, int, int, int]:
+    """Parts, sub-parts, sub-parts that may differ, and spare parts, for k differences of sets from ``low`` elements on.
 
-    parts - spare parts hold the pigeonhole: (parts - spare) * (loose + 1) > k. Spare parts let a set leave out the
-    signatures of its empty parts, unless more than ``spare`` of them are empty.
+    parts - spare parts hold the pigeonhole: (parts - spare) * (loose + 1) > k. Linked sets agree in more than
+    ``spare`` parts, so a set with at most ``spare`` empty ones can leave out their signatures; there are enough
+    spare parts for nearly all sets.
     """
     if k <= 24:
         return -(-(k + 1) // 2), 3, 1, 0
-    spare = 3 + k // 50
-    return k + 1 + spare, 1, 0, spare
+    for spare in range(k):
+        n = k + 1 + spare
+        empty = n * math.exp(-low / n)
+        if empty + 3 * math.sqrt(empty) + 1 <= spare:
+            break
+    return n, 1, 0, spare
 
 
 def _bounds(n: int) -> np.ndarray:
@@ -98,10 +128,10 @@ class Signatures:
         self.percent = percent
         self.levels: dict[int, tuple] = {}
 
-    def level(self, i: int, high: int) -> tuple:
+    def level(self, i: int, low: int, high: int) -> tuple:
         if i not in self.levels:
             k = differing(self.percent, high)
-            n1, n2, loose, spare = layout(k)
+            n1, n2, loose, spare = layout(k, low)
             chosen = list(combinations(range(n2), n2 - loose))
             pick = np.zeros((len(chosen), n2), bool)
             for row, c in zip(pick, chosen):
@@ -110,11 +140,11 @@ class Signatures:
             self.levels[i] = k, n1, n2, spare, _bounds(n1 * n2), pick, tags, _bounds(k + 1)
         return self.levels[i]
 
-    def of(self, values: np.ndarray, i: int, high: int) -> np.ndarray:
-        """Signatures of one set (sorted hashes) at one level; none where linked sets must be equal."""
+    def of(self, values: np.ndarray, i: int, low: int, high: int) -> np.ndarray:
+        """Signatures of one set (sorted hashes) at the level of sizes low to high; none where linked sets must be equal."""
         if not differing(self.percent, high):
             return np.zeros(0, U64)
-        k, n1, n2, spare, bounds, pick, tags, nested = self.level(i, high)
+        k, n1, n2, spare, bounds, pick, tags, nested = self.level(i, low, high)
         with np.errstate(over="ignore"):
             inner = np.searchsorted(values, bounds)
             cuts = np.concatenate(([0], inner, [len(values)]))
@@ -133,10 +163,11 @@ class Signatures:
             more = [mix(second + mix(np.array([_tag(i, int(p), int(c), 7)], U64))) for p, c in empty]
             return np.concatenate([out[filled], *more])
 
-    def both(self, values: np.ndarray, edges: np.ndarray, sized: list[tuple[int, int]]) -> np.ndarray:
-        """Signatures of a set at the level of its band and at the next one."""
-        i = int(np.searchsorted(edges, len(values), side="right")) - 1
-        return np.concatenate([self.of(values, j, sized[j][1]) for j in (i, i + 1)])
+    def both(self, values: np.ndarray, sized: list[tuple[int, int]], turn: int | None = None) -> np.ndarray:
+        """Signatures of a set at the level of its band and at the next one; ``turn`` takes even or odd levels only."""
+        i = bisect_right(sized, (len(values), math.inf)) - 1
+        levels = [j for j in (i, i + 1) if turn is None or j % 2 == turn]
+        return np.concatenate([self.of(values, j, sized[max(j - 1, 0)][0], sized[j][1]) for j in levels])
 
 
 def _emit(arrays: dict) -> pa.RecordBatch:
@@ -149,15 +180,18 @@ def _classes(size: int):
             values, cuts = shingle_sets(Texts(batch.column(1)), size)
             n = np.diff(cuts)
             key = pa.array(signed(set_keys(values, cuts)), mask=n == 0)
-            yield _emit({"id": batch.column(0), "n": pa.array(n), "key": key})
+            drawn = [sketch(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+            yield _emit({"id": batch.column(0), "n": pa.array(n), "key": key, "sketch": pa.array(drawn, pa.binary())})
 
     return run
 
 
-def _signatures(size: int, percent: int, crowd: int | None, hot: frozenset, salts: int, chunk: int = 400_000):
+def _signatures(
+    size: int, percent: int, crowd: int | None, hot: frozenset, salts: int, turn: int | None = None, chunk: int = 400_000
+):
     """Rows sig, slot, key of a task's sets; with ``crowd`` instead rows sig, n of signatures that many sets share.
 
-    Copies of a set inside a task are skipped. ``hot`` signatures are dealt over slots.
+    Copies of a set inside a task are skipped. ``hot`` signatures are dealt over slots. ``turn``: see ``both``.
     """
     hot_sigs = np.sort(np.array(list(hot), np.int64))
 
@@ -183,14 +217,13 @@ def _signatures(size: int, percent: int, crowd: int | None, hot: frozenset, salt
             most = int(np.diff(cuts).max(initial=1))
             if sized[-1][0] <= most:
                 sized = bands(percent, most)
-            edges = np.array([low for low, _ in sized])
             if len(seen) > 500_000:
                 seen.clear()
             for key, a, b in zip(own.tolist(), cuts[:-1], cuts[1:]):
                 if a == b or key in seen:
                     continue
                 seen.add(key)
-                got = signed(np.unique(made.both(values[a:b], edges, sized)))
+                got = signed(np.unique(made.both(values[a:b], sized, turn)))
                 sigs.append(got)
                 keys.append(np.full(len(got), key))
                 held += len(got)
@@ -246,6 +279,45 @@ def _compare(percent: int):
     return run
 
 
+def _likely(percent: int):
+    """Rows hub, key, n, sketch, hub_n, hub_sketch: the pairs that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            keep = [may_link((n, x), (m, y), percent) for n, x, m, y in zip(*columns)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _likely_across(percent: int):
+    """Rows hub, block, part, role, key, place, n, sketch in the order of ``_cross``: hub and key of what may link.
+
+    Each row says that a key may link with one of another place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, queries, told = None, [], set()
+        for batch in batches:
+            hubs, keys = [], []
+            for hub, block, part, role, key, place, n, drawn in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if now != (hub, block, part):
+                    now, queries, told = (hub, block, part), [], set()
+                if not role:
+                    queries.append((key, place, (n, drawn)))
+                    continue
+                for other, group, own in queries:
+                    if group != place and may_link(own, (n, drawn), percent):
+                        new = [k for k in (other, key) if k not in told]
+                        told.update(new)
+                        hubs += [hub] * len(new)
+                        keys += new
+            yield _emit({"hub": pa.array(hubs, pa.int64()), "key": pa.array(keys, pa.int64())})
+
+    return run
+
+
 def _cross(percent: int):
     """Rows hub, block, part, role, key, place, elements, sorted so that the queries (role 0) of a block come first.
 
@@ -293,7 +365,7 @@ def _sets_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, size: int) ->
     """key, elements of the wanted classes, from the whole text of one document each."""
     ids = stored(keys.join(classes, "key").select(F.col("first_id").alias("id")), "ids")
     sets = docs.join(ids, "id", "left_semi").select("text").mapInArrow(_sets(size), "key bigint, elements binary")
-    return stored(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    return stored(sets, "sets")  # a repeated id may add sets that no pair asks for, or one of them twice
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, slots: int = 16) -> DataFrame:
@@ -305,11 +377,14 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, slots: int = 16
     return stored(dealt.mapInArrow(_compare(percent), "a bigint, b bigint"), "links")
 
 
-def _group_links(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, block: int = 200) -> DataFrame:
-    """Links between different groups among the candidates of each hub that has some outside its largest group."""
-    both = pairs.union(pairs.select("hub", F.col("hub").alias("key")).distinct())
+def _across(pairs: DataFrame, groups: DataFrame, with_key: DataFrame, columns: list[str], block: int = 200) -> DataFrame:
+    """Rows hub, block, part, role, key, place and ``columns`` of ``with_key``, dealt and sorted for ``_cross``.
+
+    The candidates of a hub outside its largest group are queries (role 0), in blocks; all its candidates (role 1)
+    meet every block. The hub itself has met them all.
+    """
     place = groups.select(F.col("node").alias("key"), F.col("component").alias("place"))
-    family = stored(both.join(place, "key", "left").withColumn("place", F.coalesce("place", "key")), "family")
+    family = stored(pairs.join(place, "key", "left").withColumn("place", F.coalesce("place", "key")), "family")
     sizes = family.groupBy("hub", "place").agg(F.count(F.lit(1)).alias("n"))
     largest = F.max(F.struct("n", "place"))
     hubs = sizes.groupBy("hub").agg(F.sum("n").alias("all"), largest.alias("most")).where("all > most.n")
@@ -331,9 +406,8 @@ def _group_links(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     asking = rows.where("place <> core").select(*common, F.lit(0).alias("role"), slot("blocks").alias("block"), every("parts").alias("part"))
     asked = rows.select(*common, F.lit(1).alias("role"), every("blocks").alias("block"), slot("parts").alias("part"))
     sent = stored(asking.unionByName(asked), "sent")
-    rows = sent.join(sets, "key").select("hub", "block", "part", "role", "key", "place", "elements")
-    dealt = rows.repartition("hub", "block", "part").sortWithinPartitions("hub", "block", "part", "role")
-    return stored(dealt.mapInArrow(_cross(percent), "a bigint, b bigint"), "links")
+    rows = sent.join(with_key, "key").select("hub", "block", "part", "role", "key", "place", *columns)
+    return rows.repartition("hub", "block", "part").sortWithinPartitions("hub", "block", "part", "role")
 
 
 def linked_groups(
@@ -357,38 +431,52 @@ def linked_groups(
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = stored(docs.mapInArrow(_classes(size), f"id {kind}, n bigint, key bigint"), "shingles")
+    rows = stored(docs.mapInArrow(_classes(size), f"id {kind}, n bigint, key bigint, sketch binary"), "shingles")
     known = rows.where("key is not null and id is not null")
-    classes = stored(known.groupBy("key").agg(F.min("id").alias("first_id"), F.min("n").alias("n")), "classes")
+    classes = known.groupBy("key").agg(F.min("id").alias("first_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    classes = stored(classes, "classes")
 
     with_id = docs.where("id is not null")
     counted = with_id.mapInArrow(_signatures(size, percent, crowd, frozenset(), salts), "sig bigint, n bigint")
     total = classes.count()
     crowded = counted.groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1000, total // 1000))
     hot = frozenset(r["sig"] for r in crowded.collect())  # few: a set has a bounded share of its signatures here
-    made = with_id.mapInArrow(_signatures(size, percent, None, hot, salts), "sig bigint, slot int, key bigint")
     bucket = W.partitionBy("sig", "slot")
-    lows = made.withColumn("hub", F.min("key").over(bucket))
     sig = F.when(F.col("slot") > 0, F.col("sig")).alias("sig")
-    shared = stored(lows.where("key <> hub or slot > 0").select(sig, "key", "hub"), "shared")
+    turns = []
+    for turn in (0, 1):  # even levels, then odd ones: only half of the signatures are on disk at a time
+        run = _signatures(size, percent, None, hot, salts, turn)
+        made = with_id.mapInArrow(run, "sig bigint, slot int, key bigint")
+        lows = made.withColumn("hub", F.min("key").over(bucket))
+        turns.append(stored(lows.where("key <> hub or slot > 0").select(sig, "key", "hub"), "shared"))
+    shared = turns[0].union(turns[1])
     # The slots of a crowded signature have one hub in common; there is one row for each such signature.
     heads = shared.where("sig is not null").groupBy("sig").agg(F.min("key").alias("head"))
     crowds = shared.where("sig is not null").join(F.broadcast(heads), "sig").select(F.col("head").alias("hub"), "key")
     pairs = shared.where("sig is null").select("hub", "key").union(crowds).where("key <> hub").distinct()
     pairs = stored(pairs, "pairs")
-    keys = stored(pairs.select("key").union(pairs.select("hub")).distinct(), "keys")
-    sets = _sets_of(keys, with_id, classes, size)
-    links = _star_links(pairs, sets, percent)
+    drawn = classes.select("key", "n", "sketch")
+    of_hub = drawn.select(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
+    both = pairs.join(drawn, "key").join(of_hub, "hub").select("hub", "key", "n", "sketch", "hub_n", "hub_sketch")
+    likely = stored(both.mapInArrow(_likely(percent), "hub bigint, key bigint"), "likely")
+    keys = stored(likely.select("key").union(likely.select("hub")).distinct(), "keys")
+    links = _star_links(likely, _sets_of(keys, with_id, classes, size), percent)
     groups = stored(components(links), "components")
-    more = _group_links(pairs, groups, sets, percent)
+
+    ways = "hub bigint, key bigint"
+    rest = _across(pairs, groups, drawn, ["n", "sketch"]).mapInArrow(_likely_across(percent), ways)
+    rest = stored(rest.distinct(), "rest")
+    sets = _sets_of(stored(rest.select("key").distinct(), "keys"), with_id, classes, size)
+    met = _across(rest, groups, sets, ["elements"]).mapInArrow(_cross(percent), "a bigint, b bigint")
+    more = stored(met, "links")
     groups = stored(components(links.union(more)), "components")
 
     group = groups.select(F.col("node").alias("key"), F.col("component").alias("group"))
-    whole = classes.join(group, "key", "left").withColumn("group", F.coalesce("group", "key"))
+    whole = classes.drop("sketch").join(group, "key", "left").withColumn("group", F.coalesce("group", "key"))
     whole = stored(whole, "placed")
     least = stored(whole.groupBy("group").agg(F.min("first_id").alias("component_id")), "least")
     named = stored(whole.join(least, "group").select("key", "component_id"), "named")
-    found = rows.join(named, "key", "left")
+    found = rows.drop("sketch").join(named, "key", "left")
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
