@@ -212,7 +212,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 40, size: int = 1 << 1
 def _label(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
-        for batch in parts(batches, "text", 8 << 20):
+        for batch in parts(batches, "text", 3 << 20):
             best, mean = own.label(Texts(batch.column(1)))
             there = best >= 0
             names = [own.labels[j] if ok else UNKNOWN for j, ok in zip(best, there)]
