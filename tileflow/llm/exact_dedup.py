@@ -81,7 +81,21 @@ def duplicate_groups(
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns as they are (options of ``duplicate_groups``)."""
+def drop_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    normalise: Callable[[Column], Column] = ascii_lower,
+    **options,
+) -> DataFrame:
+    """Exactly one row of ``docs`` for each text, with all its columns as they are (options of ``duplicate_groups``).
+
+    Rows that tie, since they repeat the id that stays or no row of the group has one, go by a hash of the row; every
+    task first reduces its own to one.
+    """
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
-    return duplicate_groups(whole, "id", "text", **options).where("kept").select("row.*")
+    groups = duplicate_groups(whole, "id", "text", normalise=normalise, **options).where("kept")
+    alone = groups.where("group_size = 1").select("row")
+    ties = groups.where("group_size > 1").select("text_hash", normalise(F.col("text")).alias("own"), "row")
+    one = ties.groupBy("text_hash", "own").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return alone.unionByName(one.select("row")).select("row.*")
