@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tileflow.llm.exact_dedup import drop_copies
 from tileflow.llm.folders import prepare, stored
 from tileflow.llm.jaccard_join import linked_groups
-from tileflow.llm.language_id import UNKNOWN, identify
+from tileflow.llm.language_id import LETTER, UNKNOWN, identify
 from tileflow.llm.packing import pack_documents
 from tileflow.llm.queries import documents, tokenizer_file
 from tileflow.llm.substring_dedup import remove_repeats
@@ -21,11 +21,15 @@ LEAST_SCORE = 0.4  # a text whose best language holds less of its words is rejec
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language: no letters, or no language that holds ``LEAST_SCORE`` of the words."""
+    """Drops texts without a language: no letters, or no language that holds ``LEAST_SCORE`` of the words.
+
+    When there is nothing to learn from (score 0), all texts with letters stay.
+    """
     prepare(spark)
     whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
     named = identify(whole, training=F.lit(True))
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return named.where(F.col("text").rlike(LETTER) & (known | (F.col("score") == 0))).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -377,6 +377,29 @@ def test_identify(docs, none, spark):
     assert [tuple(r) for r in unlearned] == [("und", 0.0)]
 
 
+def lettered(rng, letters, n):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n))
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    """One language has labelled books only, one of them with its letters far from most places."""
+    rng = random.Random(22)
+    rows = [(i, lettered(rng, "abcdef", 60), "aa") for i in range(12)]
+    rows += [(100 + i, lettered(rng, "uvwxyz", 4000), "zz") for i in range(4)]
+    rows += [(200, "1 " * 90_000 + lettered(rng, "uvwxyz", 300), "zz"), (201, lettered(rng, "uvwxyz", 40), None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(frame, training=F.lit(True)).collect()}
+    assert got == {i: "aa" if i < 100 else "zz" for i, _, _ in rows}
+    books = language_id.identify(frame.where("doc_id >= 100"), training=F.lit(True))
+    assert {r.lang_pred for r in books.collect()} == {"zz"}
+
+
+def test_pipeline_keeps_texts_when_nothing_is_labelled(spark):
+    rows = [(1, "clean words of some text", None), (2, "12 34 !", None), (3, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert [tuple(r) for r in corpus_pipeline.language(spark, frame, "").collect()] == rows[:1]
+
+
 def test_held_out_accuracy(spark):
     rows = queries.QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")

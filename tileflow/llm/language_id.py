@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 from tileflow.llm.words import U64, Texts, Words, mix, parts, ranges
 
 UNKNOWN = "und"
+LETTER = r"\p{L}"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -224,6 +225,14 @@ def _label(model):
     return run
 
 
+def _slice(text: Column, key: Column, longest: int) -> Column:
+    """``text`` itself, or ``longest`` characters of a longer one, with a letter if it has one."""
+    size = F.lit(longest)
+    placed = F.substr(text, (F.pmod(key, F.length(text) - size + 1) + 1).cast("int"), size)
+    lettered = F.substr(text, F.regexp_instr(text, F.lit(f"({LETTER})")), size)
+    return F.when(F.length(text) <= size, text).when(placed.rlike(LETTER), placed).otherwise(lettered)
+
+
 def identify(
     docs: DataFrame,
     training: Column,
@@ -236,16 +245,16 @@ def identify(
     """``docs`` with lang_pred (string) and score (double, 0 to 1) added.
 
     The model is fitted on ``sample`` texts at most, as many of each language (rows where ``training`` is true, the
-    language is not null and the text has 1 to ``longest`` characters and a letter; those with the smallest hash of id
-    and text); every row is labelled, by its text alone. Defined cases: a null text, one without letters, and every text when there is
-    nothing to learn from, are ``und`` with score 0; columns called like an added one are replaced, others pass through;
-    an empty table gives an empty result.
+    language is not null and the text has a letter; those with the smallest hash of id and text). Of a text above
+    ``longest`` characters it reads a slice of that length, placed by the hash, or from the first letter on if that
+    slice has none. Every row is labelled, by its text alone. Defined cases: a null text, one without letters, and
+    every text when there is nothing to learn from, are ``und`` with score 0; columns called like an added one are
+    replaced, others pass through; an empty table gives an empty result.
     """
-    fits = F.coalesce(training, F.lit(False)) & F.col(lang_col).isNotNull() & F.length(text_col).between(1, longest)
+    fits = F.coalesce(training, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)
     spread = W.partitionBy("lang").orderBy("key", "text")
     key = F.xxhash64(id_col, text_col).alias("key")
-    labelled = docs.where(fits).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key)
-    labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
+    labelled = docs.where(fits).select(F.col(lang_col).alias("lang"), _slice(F.col(text_col), key, longest).alias("text"), key)
     languages = labelled.select("lang").distinct().count()
     each = max(1, sample // max(1, languages))
     chosen = labelled.withColumn("n", F.row_number().over(spread)).where(F.col("n") <= each).select("lang", "text")
@@ -255,7 +264,7 @@ def identify(
         return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     model = fit([r["text"] for r in rows], [r["lang"] for r in rows])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text")
+    text = F.when(F.col(text_col).rlike(LETTER), F.col(text_col)).alias("text")
     packed = docs.select(F.struct(*kept).alias("row"), text)
     out = StructType([packed.schema["row"]]).add("lang_pred", "string").add("score", "double")
     return packed.mapInArrow(_label(shared), out).select("row.*", "lang_pred", "score")
