@@ -437,6 +437,64 @@ def test_scores_do_not_depend_on_what_is_sent(docs):
     assert runs[0] == runs[1]
 
 
+def want_scores(rows, classes, forms, discount=0.75, alpha=1.0):
+    """Scores of texts under the model of these texts, word by word."""
+    words = [split(ascii_lower(t)) for t in rows]
+    number = {}
+    for w in {w for t in words for w in t}:
+        cut = lm_scoring.Words(lm_scoring.Texts(lm_scoring.pa.array([w])), lower=True)
+        number[w] = int(lm_scoring.signed(cut.hashes())[0]), int(lm_scoring.endings(cut, forms)[0])
+    n = Counter(w for t in words for w in t)
+    own = sorted(n, key=lambda w: (-n[w], number[w][0]))[: classes - 1 - forms]
+    low = classes - 1 - forms
+    klass = {w: own.index(w) if w in own else low + number[w][1] for w in n} | {None: classes - 1}
+    sizes, kinds = Counter(), Counter()
+    for w in n:
+        sizes[klass[w]] += n[w]
+        kinds[klass[w]] += 1
+    inner = {w: 1.0 if w in own else (n[w] + alpha) / (sizes[klass[w]] + alpha * (kinds[klass[w]] + 1)) for w in n} | {None: 1.0}
+    grams = [list(zip([None, None, *t], [None, *t, None][: len(t) + 1], [*t, None])) for t in words]
+
+    def chain(lists, bottom):
+        c3 = Counter(g for line in lists for g in line)
+        c2, after2, after1, kinds2, kinds1 = Counter(), Counter(), Counter(), Counter(), Counter()
+        for (u, v, w), k in c3.items():
+            c2[v, w] += k
+            after2[u, v] += k
+            kinds2[u, v] += 1
+        for (v, w), k in c2.items():
+            after1[v] += k
+            kinds1[v] += 1
+
+        def p(u, v, w):
+            one = max(c2[v, w] - discount, 0) / after1[v] + discount * kinds1[v] / after1[v] * bottom(u, v, w)
+            return max(c3[u, v, w] - discount, 0) / after2[u, v] + discount * kinds2[u, v] / after2[u, v] * one
+
+        return p
+
+    classed = [[tuple(klass[x] for x in g) for g in line] for line in grams]
+    c1 = Counter(g[2] for line in classed for g in line)
+    outer = chain(classed, lambda u, v, w: (c1[w] + 1) / (sum(c1.values()) + classes))
+    whole = chain(grams, lambda u, v, w: outer(klass[u], klass[v], klass[w]) * inner[w])
+    return [sum(math.log10(whole(*g)) for g in line) for line in grams]
+
+
+def test_scores_count_word_pairs_and_triples(spark):
+    """Texts that exchange two rare words of one ending differ; scores are those of a plain computation."""
+    rng = random.Random(23)
+    rows = [prose(rng, rng.randrange(1, 60)) for _ in range(30)] + ["", "the greyling and the yearling met", "the yearling and the greyling met"]
+    rows += ["one greyling and the yearling"] * 3
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    for frequent in (131072, 0):
+        got = {r.doc_id: r.score for r in lm_scoring.score_texts(frame, F.lit(True), classes=12, forms=7, frequent=frequent).collect()}
+        for i, want in enumerate(want_scores(rows, 12, 7)):
+            assert got[i] == pytest.approx(want, abs=1e-6)
+    held = frame.where("doc_id in (31, 32)")
+    both = frame.where("doc_id > 32").unionAll(held)
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(both, F.col("doc_id") > 32, classes=12, forms=11).collect()}
+    assert abs(got[31] - got[32]) > 0.01
+
+
 def test_scores_without_training(docs):
     rows = lm_scoring.score_texts(docs, F.lit(False)).collect()
     assert len(rows) == len(ROWS) and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in rows)

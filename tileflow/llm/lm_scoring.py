@@ -1,15 +1,17 @@
-"""Language-model scores of texts by a weighted backoff automaton.
-
-Words are predicted in two steps: the class of the next word by a trigram model over classes, then the word within
-its class. The most frequent words are classes of their own; all others share classes by their ending. The smoothed
-class n-grams are an automaton: a state for each seen context, an arc for each seen continuation, and a failure arc
-to the next shorter context that carries the backoff weight. A text is read from left to right, the state moves
-along and the log-probabilities of the arcs add up. The class count is fixed, so the automaton has a proven size
-(``classes`` ** 3 arcs) and can be sent to all tasks.
-
-Word counts are a table that grows with the corpus. The most frequent words, a fixed number at most, travel with
-the automaton; what a text says in other words is looked up by a join, and no word of that join is frequent.
-Words are known by a 64-bit hash.
+"""Language-model scores of texts by word trigrams that back off to a weighted automaton over classes.
+
+Bigrams and trigrams of words are counted over all training texts and stay Spark tables, with discounts and backoff
+weights; they grow with the corpus. The n-grams of the texts meet them in joins level by level: what the trigrams do
+not hold fails over to the bigrams, and so on. Below the bigrams words are predicted in two steps: the class of the
+next word by a trigram model over classes, then the word within its class. The most frequent words are classes of
+their own; all others share classes by their ending. The smoothed class n-grams are an automaton: a state for each
+seen context, an arc for each seen continuation, and a failure arc to the next shorter context that carries the
+backoff weight. The class count is fixed, so the automaton has a proven size (``classes`` ** 3 arcs) and is sent to
+all tasks, which attach its weight to each n-gram of a text.
+
+A batch sends each of its n-grams once, with the texts that hold it, so no n-gram is frequent in a join. The most
+frequent words, a fixed number at most, travel with the automaton; counts of others are looked up by a join. Words
+are known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -198,60 +200,132 @@ class Automaton:
         return self.step(self.state_of[2][two * self.classes + one], line)
 
 
+def _distinct(two: np.ndarray, one: np.ndarray, line: np.ndarray, **options):
+    """np.unique of the trigrams at all places, by a 64-bit hash."""
+    words = (np.ascontiguousarray(x).view(U64) for x in (two, one, line))
+    h = np.zeros(len(line), U64)
+    for x in words:
+        h = mix(h * U64(3) + x)
+    return np.unique(h, return_index=True, **options)
+
+
+def _word_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows u, v, w, n of a task's texts, ends included; before a text stand ends."""
+    for batch in parts(batches, "text"):
+        words = Words(Texts(batch.column(0)), lower=True)
+        line, begin = sequences(words, signed(words.hashes()), END_WORD)
+        two, one = contexts(line, begin, END_WORD)
+        _, at, n = _distinct(two, one, line, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"u": two[at], "v": one[at], "w": line[at], "n": n})
+
+
+def _rows(names: list[str], kinds: list[pa.DataType], columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of the given columns and nulls in the others."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds)], names=names)
+
+
 def _scores(model):
-    """Rows of texts -> a row per text (word null), and one per text and infrequent word of it."""
+    """Rows of texts -> a row per text, one per text and infrequent word of it, and one per trigram of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, automaton, form_log, end_n, alpha = model.value
-        low = frequent.end - frequent.forms
+        frequent, automaton, end_n = model.value
         number = TaskContext.get().partitionId() << 36
+        long, lists = pa.int64(), pa.list_(pa.int64())
         for batch in parts(batches, "text"):
+            kinds = [long, batch.column(0).type, long, long, pa.float64(), *[long] * 6, pa.float64(), lists, lists]
             words = Words(Texts(batch.column(1)), lower=True)
             keys = signed(words.hashes())
             classes, there, at = frequent.classed(words, keys)
             n_text = words.counts()
             text = np.repeat(np.arange(len(n_text)), n_text)
             c = frequent.n[at] if len(frequent.n) else np.zeros(len(keys), np.int64)
-            formed = classes >= low
             base = np.where(there, np.log10(c + 1.0), 0.0)
-            inner = np.where(formed, np.where(there, np.log10(c + alpha), np.log10(alpha)) - form_log[np.maximum(classes - low, 0)], 0.0)
 
             def sums(values: np.ndarray) -> np.ndarray:
                 return np.bincount(text, values, len(n_text))
 
-            line, begin = sequences(words, classes, frequent.end)
-            outer = np.add.reduceat(automaton.read(line, begin, frequent.end), begin) if len(begin) else np.zeros(0)
             rid = number + np.arange(len(n_text))
             number += len(n_text)
-            none = pa.nulls(len(n_text), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rid),
-                    batch.column(0),
-                    pa.array(n_text + 1),
-                    pa.array(sums(there).astype(np.int64) + (end_n > 0)),
-                    pa.array(sums(base) + np.log10(end_n + 1.0)),
-                    pa.array(outer + sums(inner)),
-                    none,
-                    none,
-                ],
-                names=_NAMES,
-            )
+            whole = {
+                "rid": pa.array(rid),
+                "row": batch.column(0),
+                "n_tokens": pa.array(n_text + 1),
+                "known": pa.array(sums(there).astype(np.int64) + (end_n > 0)),
+                "base": pa.array(sums(base) + np.log10(end_n + 1.0)),
+            }
+            yield _rows(_NAMES, kinds, whole)
             rare = np.flatnonzero(~there)
             order = rare[np.lexsort((keys[rare], text[rare]))]
-            if not len(order):
+            if len(order):
+                new = np.flatnonzero(np.concatenate(([True], (np.diff(keys[order]) != 0) | (np.diff(text[order]) != 0))))
+                times = np.diff(np.concatenate((new, [len(order)])))
+                found = {"rid": rid[text[order[new]]], "word": keys[order[new]], "times": times}
+                yield _rows(_NAMES, kinds, {k: pa.array(x) for k, x in found.items()})
+
+            line, begin = sequences(words, classes, frequent.end)
+            if not len(line):
                 continue
-            new = np.flatnonzero(np.concatenate(([True], (np.diff(keys[order]) != 0) | (np.diff(text[order]) != 0))))
+            outer = automaton.read(line, begin, frequent.end)
+            form, _ = sequences(words, endings(words, frequent.forms), -1)
+            line, _ = sequences(words, keys, END_WORD)
+            two, one = contexts(line, begin, END_WORD)
+            _, at, back = _distinct(two, one, line, return_inverse=True)
+            holder = np.repeat(np.arange(len(n_text)), n_text + 1)
+            order = np.lexsort((holder, back))
+            gram, holder = back[order], holder[order]
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(gram) != 0) | (np.diff(holder) != 0))))
             times = np.diff(np.concatenate((new, [len(order)])))
-            nulls = [pa.nulls(len(new), batch.column(0).type), *(pa.nulls(len(new), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[text[order[new]]]), *nulls, pa.array(keys[order[new]]), pa.array(times)], names=_NAMES
-            )
+            cuts = pa.array(np.searchsorted(gram[new], np.arange(len(at) + 1)).astype(np.int32))
+            found = {"u": two[at], "v": one[at], "w": line[at], "form": form[at], "outer": outer[at]}
+            found = {k: pa.array(x) for k, x in found.items()}
+            found["rids"] = pa.ListArray.from_arrays(cuts, pa.array(rid[holder[new]]))
+            found["counts"] = pa.ListArray.from_arrays(cuts, pa.array(times))
+            yield _rows(_NAMES, kinds, found)
 
     return run
 
 
-_NAMES = ["rid", "row", "n_tokens", "known", "base", "model", "word", "times"]
+_NAMES = ["rid", "row", "n_tokens", "known", "base", "word", "times", "u", "v", "w", "form", "outer", "rids", "counts"]
+
+
+def _model_scores(grams: DataFrame, asked: DataFrame, within: DataFrame, unseen: Column, discount: float) -> DataFrame:
+    """rid, model: the log10 probability of all trigrams of each text.
+
+    ``grams`` (u, v, w, n) are the counts; ``asked`` the trigrams of the texts; ``within`` (w, inner) the probability
+    of counted words in their class and ``unseen`` that of others. A trigram has the probability
+    held + rest * (that of its class by the automaton): held is what bigrams and trigrams give, rest what they leave.
+    """
+    total, kinds = F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")
+    share = F.greatest(F.col("n") - F.lit(discount), F.lit(0.0)) / F.col("total")
+    left = F.lit(discount) * F.col("kinds") / F.col("total")
+    pairs = stored(grams.groupBy("v", "w").agg(F.sum("n").alias("n")), "pairs")
+    after_one = stored(pairs.groupBy("v").agg(total, kinds).withColumn("left_one", left), "after_one")
+    after_two = stored(grams.groupBy("u", "v").agg(total, kinds).withColumn("left_two", left), "after_two")
+    low = pairs.join(after_one, "v").join(within, "w")
+    low = stored(low.select("v", "w", share.alias("held"), (F.col("left_one") * F.col("inner")).alias("rest")), "bigrams")
+    high = grams.join(after_two, ["u", "v"]).join(low, ["v", "w"]).select(
+        "u", "v", "w", (share + F.col("left_two") * F.col("held")).alias("p"), (F.col("left_two") * F.col("rest")).alias("q")
+    )
+    met = stored(asked.join(high, ["u", "v", "w"], "left"), "met")
+
+    failed = met.where("p is null").drop("p", "q").join(after_two.select("u", "v", "left_two"), ["u", "v"], "left")
+    failed = stored(failed.join(low, ["v", "w"], "left"), "failed")
+    two = F.coalesce("left_two", F.lit(1.0))
+    last = failed.where("held is null").join(after_one.select("v", "left_one"), "v", "left").join(within, "w", "left")
+    rest = F.coalesce("left_one", F.lit(1.0)) * F.coalesce(F.col("inner"), unseen)
+    levels = [
+        (met.where("p is not null"), F.col("p"), F.col("q")),
+        (failed.where("held is not null"), two * F.col("held"), two * F.col("rest")),
+        (last, F.lit(0.0), two * rest),
+    ]
+    logs = None
+    for rows, p, q in levels:
+        log = F.log10(p + q * F.pow(F.lit(10.0), F.col("outer"))).alias("log")
+        rows = rows.select(log, F.explode(F.arrays_zip("rids", "counts")).alias("t"))
+        rows = rows.select(F.col("t.rids").alias("rid"), (F.col("log") * F.col("t.counts")).alias("log"))
+        logs = rows if logs is None else logs.unionAll(rows)
+    return logs.groupBy("rid").agg(F.sum("log").alias("model"))
 
 
 def score_texts(
@@ -268,10 +342,11 @@ def score_texts(
     """id, trained (boolean), n_tokens, n_known, train_tokens (long), base_score, score (double, log10) of every text.
 
     Tokens are the ASCII-lower-cased words and one end. Rows where ``training`` is true are counted. base_score adds
-    up log10((c + 1) / (N + V + 1)). The model: ``classes`` - 1 - ``forms`` words with most tokens, the end and
-    ``forms`` endings are classes; classes follow each other by interpolated absolute ``discount``; a word of an
-    ending has probability (c + alpha) / (tokens + alpha * (words + 1)) in it. ``frequent`` bounds how many counts
-    are sent to tasks and changes no result.
+    up log10((c + 1) / (N + V + 1)). The model: word trigrams and bigrams with interpolated absolute ``discount``,
+    all that were counted, and below them classes: ``classes`` - 1 - ``forms`` words with most tokens, the end and
+    ``forms`` endings; classes follow each other by interpolated absolute ``discount`` too; a word of an ending has
+    probability (c + alpha) / (tokens + alpha * (words + 1)) in it. ``frequent`` bounds how many counts are sent to
+    tasks besides those of the words with a class of their own, and changes no result.
     Defined cases: a null text is the empty text; null ids, repeated ids and rows are scored each for itself; a null
     ``training`` is false; without training rows all counts are 0; other columns are not read.
     """
@@ -291,12 +366,14 @@ def score_texts(
         if held > frequent:
             break
         least = s
-    chosen = counts.where((F.col("form") >= 0) & (step >= least)) if least is not None else counts.limit(0)
-    table = chosen.orderBy("word").toArrow()
-    word, form_of, n = (table.column(c).to_numpy().astype(np.int64) for c in ("word", "form", "n"))
+    words = counts.where("form >= 0")
+    top = words.orderBy(F.desc("n"), "word").limit(max(0, classes - 1 - forms))
+    sent = words.where(step >= least).unionByName(top).distinct() if least is not None else top
+    single, table = top.toArrow(), sent.orderBy("word").toArrow()
+    single, single_form, single_n = (single.column(c).to_numpy().astype(np.int64) for c in ("word", "form", "n"))
+    word, n = (table.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
     own = np.full(len(word), -1, np.int64)
-    single = np.lexsort((word, -n))[: classes - 1 - forms]
-    own[single] = np.arange(len(single))
+    own[np.searchsorted(word, single)] = np.lexsort((single, -single_n)).argsort()
     known = Frequent(word, n, own, classes, forms)
 
     spark = docs.sparkSession
@@ -308,24 +385,35 @@ def score_texts(
     form_n, form_v = np.zeros(forms), np.zeros(forms)
     for r in by_form:
         form_n[r["form"]], form_v[r["form"]] = r["n"], r["v"]
-    np.subtract.at(form_n, form_of[single], n[single])
-    np.subtract.at(form_v, form_of[single], 1)
-    form_log = np.log10(form_n + alpha * (form_v + 1))
+    np.subtract.at(form_n, single_form, single_n)
+    np.subtract.at(form_v, single_form, 1)
+    form_size = F.array(*[F.lit(float(x)) for x in form_n + alpha * (form_v + 1)])[F.greatest("form", F.lit(0)).cast("int")]
     end = counts.where(F.col("word") == END_WORD).first()
-    model = spark.sparkContext.broadcast((known, automaton, form_log, end["n"] if end else 0, alpha))
+    model = spark.sparkContext.broadcast((known, automaton, end["n"] if end else 0))
 
     kinds = StructType.fromDDL("rid bigint").add("row", rows.schema["row"].dataType, True)
-    for f in StructType.fromDDL("n_tokens bigint, known bigint, base double, model double, word bigint, times bigint"):
+    for f in StructType.fromDDL("n_tokens bigint, known bigint, base double, word bigint, times bigint"):
+        kinds = kinds.add(f)
+    for f in StructType.fromDDL("u bigint, v bigint, w bigint, form bigint, outer double, rids array<bigint>, counts array<bigint>"):
         kinds = kinds.add(f)
     made = stored(rows.mapInArrow(_scores(model), kinds), "scores")
     rare = made.where("word is not null").select("rid", "word", "times")
     rare = rare.join(counts.select("word", "n"), "word").groupBy("rid").agg(
         F.sum("times").alias("more_known"),
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"),
-        F.sum(F.col("times") * (F.log10(F.col("n") + alpha) - F.log10(F.lit(alpha)))).alias("more_model"),
     )
-    whole = made.where("word is null").join(rare, "rid", "left")
-    more = {c: F.coalesce(f"more_{c}", F.lit(0)) for c in ("known", "base", "model")}
+
+    trigrams = learn.mapInArrow(_word_trigrams, "u bigint, v bigint, w bigint, n bigint")
+    trigrams = stored(trigrams.groupBy("u", "v", "w").agg(F.sum("n").alias("n")), "trigrams")
+    alone = (F.col("form") < 0) | F.col("word").isin(single.tolist())
+    inner = F.when(alone, 1.0).otherwise((F.col("n") + alpha) / form_size)
+    within = stored(counts.select(F.col("word").alias("w"), inner.alias("inner")), "within")
+    unseen = F.when(F.col("form") < 0, 1.0).otherwise(F.lit(alpha) / form_size)
+    asked = made.where("rids is not null").select("u", "v", "w", "form", "outer", "rids", "counts")
+    model = _model_scores(trigrams, asked, within, unseen, discount)
+
+    whole = made.where("row is not null").join(rare, "rid", "left").join(model, "rid", "left")
+    more = {c: F.coalesce(f"more_{c}", F.lit(0)) for c in ("known", "base")}
     norm = float(np.log10(total["n"] + total["v"] + 1))
     return whole.select(
         F.col("row.id").alias(id_col),
@@ -334,5 +422,5 @@ def score_texts(
         (F.col("known") + more["known"]).alias("n_known"),
         F.lit(total["n"]).cast("bigint").alias("train_tokens"),
         (F.col("base") + more["base"] - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        (F.col("model") + more["model"]).alias("score"),
+        F.col("model").alias("score"),
     )
