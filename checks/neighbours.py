@@ -52,7 +52,7 @@ def knn_exact_many_cells(spark, d):
 @query("jon18_knn_approx")
 def knn_approx(spark, d):
     t = v.tiles(spark, d)
-    return nn.knn_approx(t, t, 10, probes=16, pivots=64).withColumn("distance", F.round("distance", 6))
+    return nn.knn_approx(t, t, 10, pivots=64).withColumn("distance", F.round("distance", 6))
 
 
 @query("jon04_join_id_map", f"""with {NAMED}

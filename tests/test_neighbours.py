@@ -72,6 +72,21 @@ def test_approximate_is_exact_with_all_cells(spark, data):
     assert len(some & exact) / len(exact) > 0.7
 
 
+@pytest.mark.parametrize("width,spread", [(16, 1.0), (8, 0.1)])
+def test_approximate_reaches_its_recall_with_many_cells(spark, width, spread):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, width))[rng.integers(0, 40, 6000)] * (1 - spread) + rng.normal(size=(6000, width)) * spread
+    t = table(spark, x).persist()
+    asked = t.where("id % 20 = 0")
+    exact = set(map(tuple, nn.knn_exact(asked, t, 10, "id", "id", "v", 300).select("query_id", "nn_id").collect()))
+    found = set(map(tuple, nn.knn_approx(t, t, 10, query_id="id", index_id="id", vec="v", pivots=300).where("query_id % 20 = 0").select("query_id", "nn_id").collect()))
+    eight = set(map(tuple, nn.knn_approx(asked, t, 10, 8, "id", "id", "v", 300).select("query_id", "nn_id").collect()))
+    print("recall", width, spread, len(found & exact) / len(exact), "with 8 probes", len(eight & exact) / len(exact))
+    assert len(exact) == 3000
+    assert len(found & exact) / len(exact) >= 0.9
+    t.unpersist()
+
+
 @pytest.mark.parametrize("score", ["cosine", "euclidean", "cosine_softmax", "inv_sq_distance"])
 @pytest.mark.parametrize("top", [None, 2])
 def test_distance_table_in_parts(spark, data, score, top):

@@ -338,12 +338,42 @@ def knn_exact(
     return search(build_index(index, index_id, vec, pivots), queries, query_id, vec, k)
 
 
+def probes_for(
+    index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int, recall: float, sample: int = 256
+) -> int:
+    """How many nearest cells hold the share ``recall`` of the k true neighbours of a sample of the queries.
+
+    The exact neighbours of the sample (its rows come first in the order of a hash, another one than that of the
+    pivots) are searched, and each counts by the place of its cell among the cells by distance from the query.
+    """
+    source = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("vec")).where("vec is not null")
+    chosen = settle(source.orderBy(F.xxhash64(F.lit("sample"), "query_id"), "query_id").limit(sample), "sample")
+    found = settle(search(index, chosen, "query_id", "vec", k), "sampled")
+    held = index.blocks.select("cell", F.explode("ids").alias("nn_id"))
+    rows = held.join(found, "nn_id").select("query_id", "rank", "cell").toPandas()
+    if rows.empty:
+        return 1
+    vectors = chosen.toPandas().set_index("query_id")["vec"]
+    cells = np.sort([r["cell"] for r in index.blocks.select("cell").distinct().collect()])
+    gaps = np.sqrt(_distances(_unit(_matrix(vectors).astype(np.float64)), index.pivots[cells]))
+    place = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1)
+    rows["place"] = place[vectors.index.get_indexer(rows["query_id"]), np.searchsorted(cells, rows["cell"])]
+    places = np.sort(rows.groupby(["query_id", "rank"])["place"].min().to_numpy())
+    return int(places[max(0, int(np.ceil(recall * len(places))) - 1)]) + 1
+
+
 def knn_approx(
-    queries: DataFrame, index: DataFrame, k: int, probes: int = 8, query_id: str = "vec_id",
-    index_id: str = "vec_id", vec: str = "embedding", pivots: int | None = None,
+    queries: DataFrame, index: DataFrame, k: int, probes: int | None = None, query_id: str = "vec_id",
+    index_id: str = "vec_id", vec: str = "embedding", pivots: int | None = None, recall: float = 0.95,
 ) -> DataFrame:
-    """As ``knn_exact``, but each query looks into its ``probes`` nearest cells only."""
-    return search(build_index(index, index_id, vec, pivots), queries, query_id, vec, k, probes)
+    """As ``knn_exact``, but each query looks into its ``probes`` nearest cells only.
+
+    By default as many as ``recall`` takes on a sample of the queries (``probes_for``), however many cells there are.
+    """
+    built = build_index(index, index_id, vec, pivots)
+    if probes is None:
+        probes = probes_for(built, queries, query_id, vec, k, recall)
+    return search(built, queries, query_id, vec, k, probes)
 
 
 def neighbour_arrays(neighbours: DataFrame, keep: DataFrame, on: str = "query_id") -> DataFrame:
