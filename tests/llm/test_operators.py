@@ -323,6 +323,18 @@ def test_round_trip_and_counts(docs, none):
     assert token_counts.piece_counts(none, FILE).count() == 0
 
 
+def test_separators_are_not_white_space(spark):
+    """Python calls U+001C to U+001F space, the pattern does not."""
+    library = Tokenizer.from_file(FILE)
+    texts = ["\x1c", " \x1d\x1e ", "\x1f\n", " \t\n", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in bpe.round_trip(frame, FILE).collect()}
+    packed = {r.doc_id: r.doc_tokens for r in packing.pack_documents(frame, FILE).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i] == " ".join(map(str, ids)) and packed[i] == len(ids) + 1
+
+
 # passages
 
 

@@ -221,7 +221,8 @@ def _round_trip(vocabulary):
         for batch in parts(batches, "text"):
             n, encoded, decoded = [], [], []
             for text in batch.column(1).to_pylist():
-                lines, tokens = zip(*encoder.values(text)) if text and not text.isspace() else ((), ())
+                values = list(encoder.values(text)) if text else []
+                lines, tokens = zip(*values) if values else ((), ())
                 line = " ".join(lines)
                 n.append(line.count(" ") + 1 if line else 0)
                 encoded.append(line)
