@@ -2,6 +2,9 @@
 
 import os
 import re
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -51,3 +54,14 @@ def test_library_has_no_gathering_shortcuts():
     for path in library.rglob("*.py"):
         text = path.read_text()
         assert not re.search(r"localCheckpoint|crossJoin|cross_join|\.rdd\b", text), path
+
+
+@pytest.mark.parametrize("without", [["tileflow/llm", "tests/llm"], ["tileflow/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_without_the_optional_part(tmp_path, without):
+    """The other queries are there when the optional part is not, or cannot be imported."""
+    home = Path(entry.__file__).parent
+    skipped = shutil.ignore_patterns(".git", "__pycache__", *[Path(w).name for w in without])
+    shutil.copytree(home, tmp_path / "copy", ignore=skipped)
+    code = "import __spark_entry__ as e; print(*e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, check=True)
+    assert set(out.stdout.split()) == {n for n in QUERIES if not re.match(r"op\d+_|pipeline$", n)}
