@@ -23,9 +23,12 @@ def prepare(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tileflow-"))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame into the shared folder and read it back; its lineage ends at the written files."""
+def stored(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a frame into the shared folder and read it back; its lineage ends at the written files.
+
+    ``by`` names columns that have a folder for each value.
+    """
     prepare(df.sparkSession)
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from tileflow.llm.bpe import round_trip
 from tileflow.llm.exact_dedup import ascii_lower, duplicate_groups
+from tileflow.llm.filter_audit import audit_filters
 from tileflow.llm.folders import prepare
 from tileflow.llm.jaccard_join import linked_groups
 from tileflow.llm.language_id import identify
 from tileflow.llm.lm_scoring import score_texts
+from tileflow.llm.merkle import fold, merkle_proofs, record_digest, siblings
+from tileflow.llm.mixing import mix_sources
 from tileflow.llm.packing import pack_documents
 from tileflow.llm.substring_dedup import remove_repeats
 from tileflow.llm.token_counts import piece_counts
@@ -199,3 +202,149 @@ from scored, middle"""
 
 
 SQL["op10_url_filter"] = _url_sql()
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", UPPER, LOWER)
+    altered = F.when(fold_of(3) == 0, record_digest([*map(F.col, names[:-1]), lowered]))
+    leaves = docs.select("doc_id", "lang", record_digest([*map(F.col, names)]).alias("leaf"), altered.alias("altered"))
+    proofs = merkle_proofs(leaves)
+    folded = fold(F.coalesce("altered", "leaf"), F.col("proof"))
+    proofs = proofs.withColumn("proof_sha256", F.sha2(siblings(F.col("proof")), 256)).withColumn("folded_root", folded)
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def _merkle_sql(fanout: int = 8) -> str:
+    def leaf(text: str) -> str:
+        fields = ["doc_id", "source", "lang", "n_chars", text]
+        shown = [f"coalesce(strlen({f}::varchar) || ':' || {f}::varchar, '-')" for f in fields]
+        return f"sha256({' || '.join(shown)})"
+
+    step = "xor(a >> 1, 3988292384 * (a & 1))"
+    eight = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: {step})"
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), "
+        f"lambda x: ord(x)::bigint)), lambda c, b: {eight}))"
+    )
+    lowered = f"translate(text, '{UPPER}', '{LOWER}')"
+    grow = (
+        f"select part, level + 1, pos // {fanout}, sha256(string_agg(h, '' order by pos)), (max(n) + {fanout - 1}) // {fanout}"
+    )
+    return f"""
+with recursive leaves as (select row_number() over () rid, doc_id, lang, {leaf('text')} leaf,
+    case when {crc} % 3 = 0 then {leaf(lowered)} end altered from documents),
+parts as (select lang, row_number() over (order by lang nulls first) - 1 part from (select distinct lang from leaves)),
+placed as (select l.*, part, row_number() over (partition by part order by doc_id nulls first, leaf) - 1 pos
+    from leaves l join parts p on l.lang is not distinct from p.lang),
+tree(part, level, pos, h, n) as (select part, 0, pos, leaf, count(*) over (partition by part) from placed
+    union all {grow} from tree where n > 1 group by part, level, pos // {fanout}),
+subroots as (select part, h subroot from tree where n = 1),
+top(part, level, pos, h, n) as (select 0, 0, part, subroot, count(*) over () from subroots
+    union all {grow} from top where n > 1 group by part, level, pos // {fanout}),
+runs as (select rid, t.level step, t.pos, h, t.pos = p.pos // ({fanout} ** t.level)::bigint own from placed p join tree t
+      on p.part = t.part and n > 1 and t.pos // {fanout} = p.pos // ({fanout} ** (t.level + 1))::bigint
+    union all select rid, 1000 + t.level, t.pos, h, t.pos = p.part // ({fanout} ** t.level)::bigint from placed p join top t
+      on n > 1 and t.pos // {fanout} = p.part // ({fanout} ** (t.level + 1))::bigint),
+steps as (select *, dense_rank() over (partition by rid order by step) k from runs),
+proofs as (select rid, string_agg(h, '' order by k, pos) filter (not own) proof from steps group by rid),
+folded(rid, k, h) as (select rid, 0, coalesce(altered, leaf) from placed
+    union all select f.rid, f.k + 1, sha256(string_agg(case when own then f.h else s.h end, '' order by pos))
+      from folded f join steps s on f.rid = s.rid and s.k = f.k + 1 group by f.rid, f.k),
+last as (select rid, arg_max(h, k) h from folded group by rid)
+select doc_id, leaf, subroot, t.h root, sha256(coalesce(proof, '')) proof_sha256, l.h folded_root, l.h = t.h verified
+from placed p join subroots s on p.part = s.part join top t on t.n = 1 join last l on p.rid = l.rid
+  left join proofs f on p.rid = f.rid"""
+
+
+SQL["op11_merkle"] = _merkle_sql()
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op12_mixing"] = """
+with recursive sized as (select row_number() over () rid, doc_id, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size,
+    md5(concat_ws(':', '0', coalesce(doc_id::varchar, '-'), md5(coalesce(text, '')))) place from documents),
+sources as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 number
+    from sized group by source),
+weighted as (select *, [5, 2, 1][number % 3 + 1] weight, 2 * source_size cap from sources),
+levels(i, level, still) as (select 0, sum(source_size) * 1.5 / sum(weight), sum(weight) from weighted
+    union all select i + 1, l, w from (select i, ((select sum(source_size) * 1.5 from weighted)
+        - coalesce(sum(cap) filter (cap < weight * level), 0)) / sum(weight) filter (cap >= weight * level) l,
+        sum(weight) filter (cap >= weight * level) w, any_value(still) still from levels, weighted group by i)
+      where w <> still),
+targets as (select number, source, source_size, least(cap, weight * level)::double target
+    from weighted, (select arg_max(level, i) level from levels)),
+seats as (select number, q from (select number, target / (2 * k + 1) q,
+      row_number() over (order by target / (2 * k + 1) desc, number) r
+      from (select number, target, unnest(range(0, (target / 8)::bigint + 4)) k from targets))
+    where r <= (select round_even(sum(target) / 16, 0) from targets)),
+quotas as (select number, count(*) source_quota from seats group by number),
+known as (select d.*, t.number, t.source_size, t.target, coalesce(source_quota, 0) source_quota,
+    case when size > 0 then ('0x' || substr(place, 1, 8))::bigint % ceil(t.source_size / 4194304)::bigint end shard
+    from sized d join targets t on d.source is not distinct from t.source left join quotas q on t.number = q.number),
+cells as (select number, shard, sum(size)::bigint length, max(source_quota) source_quota,
+    ceil(sum(size) / 16)::bigint blocks from known where size > 0 group by number, shard),
+given as (select number, shard, count(*) quota from (select number, shard, source_quota,
+      row_number() over (partition by number order by length::double / (2 * k + 1) desc, shard) r
+      from (select *, unnest(range(0, source_quota)) k from cells)) where r <= source_quota group by number, shard),
+shards as (select c.number, c.shard, blocks, least(coalesce(quota, 0), 2 * blocks) quota
+    from cells c left join given g on c.number = g.number and c.shard = g.shard),
+drawn as (select number, shard, b, row_number() over (partition by number, shard
+      order by md5(concat_ws(':', '0', number, shard, b)), b) <= quota % blocks chosen
+    from (select *, unnest(range(0, blocks)) b from shards)),
+placed as (select k.*, quota // blocks passes, sum(size) over (partition by k.number, k.shard order by place, doc_id, size, rid)
+      - size start from known k left join shards s on k.number = s.number and k.shard = s.shard),
+more as (select rid, sum(least((b + 1) * 16, start + size) - greatest(b * 16, start))::bigint more
+    from placed p join drawn d on p.number = d.number and p.shard = d.shard and chosen
+      and b between start // 16 and (start + size - 1) // 16 where size > 0 group by rid)
+select doc_id, size, source_size, target, (coalesce(passes, 0) * size + coalesce(more, 0))::bigint taken
+from placed left join more using (rid)"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, text = F.col("words"), F.col("text")
+    filters = {
+        "A": F.size(words) < 200,
+        "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words),
+        "C": 100 * F.length(F.regexp_replace(text, "[^A-Z]+", "")) > 3 * F.length(text),
+        "D": text.rlike("[#$%&*|]"),
+    }
+    return audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), filters, repeated="E")
+
+
+SQL["op13_filter_audit"] = """
+with words as (select row_number() over () rid, doc_id, coalesce(lang, '') part, coalesce(text, '') t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+judged as (select rid, part, doc_id in (select doc_id from labels where quality = 1) good,
+    doc_id in (select doc_id from labels where toxic = 1) toxic,
+    list_filter([case when len(w) < 200 then 'A' end, case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' end,
+      case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) then 'C' end,
+      case when regexp_matches(t, '[#$%&*|]') then 'D' end,
+      case when doc_id > min(doc_id) over (partition by t) then 'E' end], lambda x: x is not null) fails from words),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) f),
+orders as (select a.f || b.f || c.f || d.f || e.f o from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+failed as (select rid, part, good, toxic, f, fails from judged, letters where list_contains(fails, f)),
+steps as (select o filter_order, s step, o[s] f, substr(o, 1, s - 1) earlier from orders, range(1, 6) r(s)),
+hits as (select part, filter_order, step, f, good, toxic,
+      len(list_filter(fails, lambda x: contains(earlier, x))) > 0 gone, len(fails) = 1 lone from failed join steps using (f)),
+sums as (select part, filter_order, step, f, count(*) filter (not gone) removed, count(*) filter (gone) redundant,
+    count(*) filter (lone) unique_fails, count(*) filter (not gone and good) good_lost,
+    count(*) filter (not gone and toxic) toxic_lost from hits group by all),
+parts as (select part, count(*) n from judged group by part),
+report as (select part, n, filter_order, step, f, coalesce(removed, 0) removed, coalesce(redundant, 0) redundant,
+    coalesce(unique_fails, 0) unique_fails, coalesce(good_lost, 0) good_lost, coalesce(toxic_lost, 0) toxic_lost
+    from parts cross join steps left join sums using (part, filter_order, step, f))
+select part, filter_order, step, n - sum(removed) over (partition by part, filter_order order by step) kept, removed,
+  redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, f) shapley from report"""
