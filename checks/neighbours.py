@@ -49,12 +49,35 @@ def knn_exact_many_cells(spark, d):
     return nn.knn_exact(t, t, 10, pivots=32).withColumn("distance", F.round("distance", 6))
 
 
+@query("jon17_knn_exact_two_levels", f"with {v.KNN} select query_id, rank, nn_id, round(distance, 6) distance from knn")
+def knn_exact_two_levels(spark, d):
+    t = v.tiles(spark, d)
+    return nn.knn_exact(t, t, 10, pivots=150).withColumn("distance", F.round("distance", 6))
+
+
 @query("jon18_knn_approx")
 def knn_approx(spark, d):
     t = v.tiles(spark, d)
     return nn.knn_approx(t, t, 10, pivots=64).withColumn("distance", F.round("distance", 6))
 
 
+@query("jon18_knn_recall", f"""with {v.KNN}
+  select count(*) neighbours, true two_levels, true reached from knn where query_id % 20 = 0""")
+def knn_recall(spark, d):
+    """The approximate search over many cells against the exact one, for the queries whose id 20 divides."""
+    t = v.tiles(spark, d)
+    asked = t.where("vec_id % 20 = 0")
+    index = nn.build_index(t, "vec_id", "embedding", pivots=150, codes=True)
+    exact = nn.search(index, asked, "vec_id", "embedding", 10).select("query_id", "nn_id")
+    found = nn.search_codes(index, asked, "vec_id", "embedding", 10).select("query_id", "nn_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "nn_id"], "left")
+    return both.agg(
+        F.count("*").alias("neighbours"),
+        F.lit(index.n_leaves > len(index.centres)).alias("two_levels"),
+        (F.count("hit") / F.count("*") >= 0.9).alias("reached"),
+    )
+
+
 @query("jon04_join_id_map", f"""with {NAMED}
   select image_name, tile, nn_id, species_id, round(distance, 6) distance from named""")
 def join_id_map(spark, d):

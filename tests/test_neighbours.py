@@ -51,42 +51,74 @@ def test_fewer_rows_than_k(spark):
     assert len(got) == 9
 
 
-def test_cells_are_pruned(spark, data):
-    """A query does not travel to cells that cannot hold a neighbour."""
+def test_cells_are_pruned(spark):
+    """A query does not travel to cells that cannot hold a neighbour, and full packs meet the blocks."""
     rng = np.random.default_rng(1)
     centres = unit(rng.normal(size=(4, 16))) * 5
     index = np.concatenate([c + rng.normal(scale=0.01, size=(50, 16)) for c in centres])
     built = nn.build_index(table(spark, index), "id", "v", pivots=40)
-    got = nn.search(built, table(spark, index[:10]), "id", "v", 3)
-    assert got.count() == 30
+    asked = nn._queries(table(spark, index[:10]), "id", "v")
+    assert nn.search(built, table(spark, index[:10]), "id", "v", 3).count() == 30
     assert built.blocks.agg(F.sum("n")).first()[0] == 200
+    routed = nn._route(built, asked.withColumn("bound", F.lit(0.01)), 3).join(built.blocks.select("leaf", "upper"), "leaf")
+    own = {u for u, *_ in routed.select("upper").collect()}
+    for u in own:
+        assert ((built.centres[u] - unit(centres)[0]) ** 2).sum() < 0.01
 
 
-def test_approximate_is_exact_with_all_cells(spark, data):
-    queries, index = data
-    q, i = table(spark, queries), table(spark, index)
-    exact = set(map(tuple, nn.knn_exact(q, i, 5, "id", "id", "v", 8).select("query_id", "nn_id").collect()))
-    every = set(map(tuple, nn.knn_approx(q, i, 5, 8, "id", "id", "v", 8).select("query_id", "nn_id").collect()))
-    some = set(map(tuple, nn.knn_approx(q, i, 5, 2, "id", "id", "v", 8).select("query_id", "nn_id").collect()))
-    assert every == exact
-    assert len(some & exact) / len(exact) > 0.7
-
-
-@pytest.mark.parametrize("width,spread", [(16, 1.0), (8, 0.1)])
-def test_approximate_reaches_its_recall_with_many_cells(spark, width, spread):
+@pytest.fixture(scope="module")
+def many(spark):
+    """4,000 vectors around 40 centres in two levels of pivots; a third of all rows are one point."""
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(40, width))[rng.integers(0, 40, 6000)] * (1 - spread) + rng.normal(size=(6000, width)) * spread
+    x = rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] + rng.normal(scale=0.3, size=(4000, 8))
+    x[: len(x) // 3] = x[0]
     t = table(spark, x).persist()
-    asked = t.where("id % 20 = 0")
-    exact = set(map(tuple, nn.knn_exact(asked, t, 10, "id", "id", "v", 300).select("query_id", "nn_id").collect()))
-    found = set(map(tuple, nn.knn_approx(t, t, 10, query_id="id", index_id="id", vec="v", pivots=300).where("query_id % 20 = 0").select("query_id", "nn_id").collect()))
-    eight = set(map(tuple, nn.knn_approx(asked, t, 10, 8, "id", "id", "v", 300).select("query_id", "nn_id").collect()))
-    print("recall", width, spread, len(found & exact) / len(exact), "with 8 probes", len(eight & exact) / len(exact))
-    assert len(exact) == 3000
-    assert len(found & exact) / len(exact) >= 0.9
+    yield x, t, nn.build_index(t, "id", "v", pivots=300, codes=True, recall=0.98)
     t.unpersist()
 
 
+def test_two_levels_match_brute_force(spark, many, monkeypatch):
+    x, t, built = many
+    assert len(built.centres) == 18 and built.n_leaves > 150
+    assert built.blocks.agg(F.sum("n")).first()[0] == len(x) and built.held.sum() == len(x)
+    asked = t.where("id % 20 = 7")
+    want = brute(x[7::20], x, 10)
+    for chunk, slots in [(1024, 16), (4, 1)]:  # lower pivots in several chunks, hot ones in several slots
+        monkeypatch.setattr(nn, "_CHUNK_LEAVES", chunk)
+        monkeypatch.setattr(nn, "_SLOT_BLOCKS", slots)
+        monkeypatch.setattr(nn, "_BLOCK_ROWS", 4096 if slots > 1 else 64)
+        tree = built if slots > 1 else nn.build_index(t, "id", "v", pivots=300)
+        assert (tree.n_slots > tree.n_leaves) == (slots == 1)
+        got = {(r.query_id, r["rank"]): (r.nn_id, r.distance) for r in nn.search(tree, asked, "id", "v", 10).collect()}
+        assert len(got) == len(want)
+        for (q, rank), (i, d) in want.items():
+            assert got[7 + 20 * q, rank] == (i, pytest.approx(d, abs=1e-8))
+
+
+def test_codes_reach_their_recall(spark, many):
+    """In the distinct two thirds, at most the recall asked for is lost, and few cells are looked into."""
+    x, t, built = many
+    built = nn.load_index(spark, built.path)
+    uppers, leaves = built.probes
+    assert uppers < len(built.centres) and uppers * leaves < built.n_leaves / 2
+    asked = t.where("id % 20 = 0 and id >= 1400")
+    want = {(q, i) for (q, _), (i, _) in brute(x[1400::20], x, 10).items()}
+    got = nn.search_codes(built, asked, "id", "v", 10).collect()
+    hits = sum(((r.query_id - 1400) // 20, r.nn_id) in want for r in got)
+    print("recall", hits / len(want), "probes", built.probes, "of", len(built.centres), built.n_leaves)
+    assert len(got) == len(want) and hits / len(want) >= 0.9
+    gaps = ((unit(x)[[r.query_id for r in got]] - unit(x)[[r.nn_id for r in got]]) ** 2).sum(1)
+    assert np.allclose([r.distance for r in got], gaps, atol=1e-9)
+
+
+def test_codes_with_all_cells_and_a_whole_list_are_exact(spark, data):
+    queries, index = data
+    q, i = table(spark, queries), table(spark, index)
+    exact = set(map(tuple, nn.knn_exact(q, i, 5, "id", "id", "v", 8).select("query_id", "nn_id").collect()))
+    every = nn.knn_approx(q, i, 5, (8, 1), "id", "id", "v", 8, short=400)
+    assert set(map(tuple, every.select("query_id", "nn_id").collect())) == exact
+
+
 @pytest.mark.parametrize("score", ["cosine", "euclidean", "cosine_softmax", "inv_sq_distance"])
 @pytest.mark.parametrize("top", [None, 2])
 def test_distance_table_in_parts(spark, data, score, top):

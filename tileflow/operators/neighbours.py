@@ -6,13 +6,14 @@ each pair is one matrix product. Distances are those of L2-normalised vectors.
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +24,11 @@ from tileflow.sources.tables import new_path, settle
 _BLOCK_BYTES = 8 << 20  # matrix bytes in one block
 _BLOCK_ROWS = 4096
 _PACK_ROWS = 1024  # queries that travel together
-_PIVOT_BYTES = 32 << 20  # all pivots together; tasks and the driver hold them
+_PIVOT_BYTES = 32 << 20  # all upper pivots together; tasks and the driver hold them
+_ONE_LEVEL = 64  # up to this many pivots need no upper ones
+_CHUNK_LEAVES = 1024  # lower pivots in one row of the table
+_PART_WIDTH = 4  # numbers of a vector that one byte of its code stands for
+_BOOK_SAMPLE = 16_384  # vectors that code books are fitted to
 _HELD_BYTES = 64 << 20  # vectors in open blocks of one task
 _ONE_ROUND = 4  # up to this many cells are searched at once
 _KEYS_PER_TASK = 4  # join keys wanted per task
@@ -82,196 +87,407 @@ def _k_smallest(found: np.ndarray, k: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------------------------------------------
-# Exact nearest neighbours
+# The index: a tree of two levels of pivots, and blocks of vectors around the lower ones
 
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """Vectors grouped around pivots and written as blocks; the pivots are few and known to the driver."""
+    """Vectors grouped around pivots and written as blocks; all but the upper pivots are tables.
 
+    ``blocks``: block, upper, leaf, n, nearest, farthest, ids, data and, if asked for, codes. ``leaves``: the lower
+    pivots of an upper one in chunks, with what is known of their vectors. ``centres``, ``near``, ``far`` and ``held``:
+    the upper pivots, the radii around them and the number of vectors. ``books``: the code books of the codes, ``probes``:
+    how many upper pivots, and lower ones below each, hold the neighbours with the recall asked for.
+    """
+
+    path: str
     blocks: DataFrame
-    pivots: np.ndarray
+    leaves: DataFrame
+    centres: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    held: np.ndarray
+    n_leaves: int
+    n_slots: int
     dtype: str
+    books: np.ndarray | None = None
+    probes: tuple[int, int] | None = None
+
+
+def _first_vectors(source: DataFrame, n: int, salt: str) -> np.ndarray:
+    """Unit vectors of the first n rows in hash order; the same data gives the same rows."""
+    rows = source.orderBy(F.xxhash64(F.lit(salt), "id"), "id").limit(n).select("vec").toPandas()
+    return _unit(_matrix(rows["vec"]).astype(np.float64))
+
+
+def _pivot_table(source: DataFrame, centres: np.ndarray, share: float) -> tuple[DataFrame, np.ndarray]:
+    """(upper, chunk, leaf, vec) of the lower pivots, and the number of chunks of every upper pivot.
+
+    Lower pivots are the upper ones and, below each, the vectors nearest to it among a share of all vectors.
+    """
+    spark = source.sparkSession
+    own = pd.DataFrame({"upper": np.arange(len(centres), dtype=np.int32), "vec": [c.tobytes() for c in centres]})
+    table = spark.createDataFrame(own, "upper int, vec binary")
+    if not share:
+        return table.select("upper", F.lit(0).alias("chunk"), F.col("upper").cast("bigint").alias("leaf"), "vec"), np.ones(len(centres), int)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                units = _unit(_matrix(pdf["vec"]).astype(np.float64))
+                upper = _distances(units, centres).argmin(1).astype(np.int32)
+                yield pd.DataFrame({"upper": upper, "vec": [u.tobytes() for u in units]})
+
+    lot = F.pmod(F.xxhash64(F.lit("leaf"), "id"), F.lit(1 << 30))
+    drawn = source.where(lot < F.lit(int(share * (1 << 30)))).mapInPandas(nearest, "upper int, vec binary")
+    table = table.unionByName(drawn).distinct().withColumn("leaf", F.monotonically_increasing_id())
+    table = settle(table, "pivots")
+    sizes = table.groupBy("upper").agg(F.ceil(F.count("*") / _CHUNK_LEAVES).cast("int").alias("chunks"))
+    chunks = np.ones(len(centres), int)
+    for upper, n in sizes.where("chunks > 1").collect():  # upper pivots only
+        chunks[upper] = n
+    return table.join(sizes, "upper").withColumn("chunk", (F.col("leaf") % F.col("chunks")).cast("int")).drop("chunks"), chunks
+
+
+def _chunked(table: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for a chunk of at most about ``_CHUNK_LEAVES`` lower pivots, its columns as arrays."""
+    rows = table.groupBy("upper", "chunk").agg(F.sort_array(F.collect_list(F.struct("leaf", *columns))).alias("p"))
+    return rows.select("upper", "chunk", *[F.col(f"p.{c}").alias(c) for c in ("leaf", *columns)])
+
+
+def _code_books(sample: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Code books (part, code, width of a part) by k-means in each part of the vectors; zeros fill the last part."""
+    parts = -(-sample.shape[1] // _PART_WIDTH)
+    padded = np.pad(sample, ((0, 0), (0, parts * _PART_WIDTH - sample.shape[1]))).reshape(len(sample), parts, _PART_WIDTH)
+    books = np.zeros((parts, min(256, len(sample)), _PART_WIDTH), dtype=np.float32)
+    for p in range(parts):
+        x = padded[:, p].astype(np.float32)
+        book = x[: books.shape[1]].copy()
+        for _ in range(rounds):
+            at = ((book * book).sum(1)[None, :] - 2 * x @ book.T).argmin(1)
+            sums = np.stack([np.bincount(at, x[:, j], len(book)) for j in range(_PART_WIDTH)], axis=1)
+            n = np.bincount(at, minlength=len(book))
+            book = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], book).astype(np.float32)
+        books[p] = book
+    return books
+
+
+def _encode(units: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """One byte for each part of each vector."""
+    parts, _, width = books.shape
+    padded = np.pad(units, ((0, 0), (0, parts * width - units.shape[1]))).astype(np.float32).reshape(len(units), parts, width)
+    codes = [((b * b).sum(1)[None, :] - 2 * padded[:, p] @ b.T).argmin(1) for p, b in enumerate(books)]
+    return np.stack(codes, axis=1).astype(np.uint8)
+
+
+def _decode(codes: bytes, n: int, books: np.ndarray) -> np.ndarray:
+    """What codes stand for: one look-up in the books for each part."""
+    table = np.frombuffer(codes, dtype=np.uint8).reshape(n, len(books))
+    return np.concatenate([books[p][table[:, p]] for p in range(len(books))], axis=1)
 
 
 def build_index(
-    df: DataFrame, id_col: str, vec: str, pivots: int | None = None, path: str | None = None
+    df: DataFrame, id_col: str, vec: str, pivots: int | None = None, path: str | None = None, codes: bool = False,
+    k: int = 10, recall: float = 0.95,
 ) -> VectorIndex:
-    """Write the vectors of ``df`` as blocks, each block holding vectors closest to one pivot.
-
-    The pivots are the first rows in hash order, so the same data gives the same index; by default one
-    for about every block of vectors, but not more than the square root of their number or than fit into
-    32 MB. Blocks are packed where the rows are, without a shuffle: a pivot that attracts very many
-    vectors only has more blocks. A task closes its fullest block when the open ones reach 64 MB.
+    """Write the vectors of ``df`` as blocks, each block holding vectors closest to one lower pivot.
+
+    There is about one lower pivot for every block of vectors (or ``pivots``), a table of any size. Up to 64 of them are
+    a single level; above, the square root of their number are upper pivots, which tasks and the driver hold (at most
+    32 MB). A vector goes to its nearest upper pivot, meets the lower pivots below it in a join, and is packed into
+    blocks behind a shuffle that Spark rebalances, so a pivot that attracts very many vectors only has more blocks.
+    ``codes`` adds product-quantised codes, whose books are fitted to at most 16,384 vectors, and the number of probes
+    that ``recall`` of ``k`` neighbours takes (``measure_probes``), measured once and kept with the index.
     """
     spark = df.sparkSession
     dtype = _element(df, vec)
     source = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec")).where("vec is not null")
-    if pivots is None:
-        n = source.count()
-        width = source.agg(F.max(F.size("vec"))).first()[0] or 1
-        pivots = max(1, min(n // _BLOCK_ROWS, int(n**0.5), _PIVOT_BYTES // (8 * width)))
-    chosen = source.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").toPandas()
-    if chosen.empty:
+    n, width = source.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if not n:
         raise ValueError("the index has no vectors")
-    centres = _unit(_matrix(chosen["vec"]).astype(np.float64))
-    size = _rows_per_block(centres.shape[1], dtype)
+    wanted = pivots or max(1, n // _BLOCK_ROWS)
+    uppers = wanted if wanted <= _ONE_LEVEL else min(int(np.ceil(wanted**0.5)), max(1, _PIVOT_BYTES // (8 * width)))
+    sample = _first_vectors(source, max(uppers, _BOOK_SAMPLE if codes else 0), "upper")
+    centres, books = sample[:uppers], _code_books(sample) if codes else None
+    lower, chunks = _pivot_table(source, centres, max(0, wanted - uppers) / n)
+    size, id_type = _rows_per_block(width, dtype), source.schema["id"].dataType.simpleString()
+
+    def to_uppers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            packs = []
+            raw = _matrix(pdf["vec"]).astype(dtype) if len(pdf) else np.empty((0, 1))
+            for first in range(0, len(raw), _SLICE_ROWS):
+                part, ids = raw[first : first + _SLICE_ROWS], pdf["id"].to_numpy()[first : first + _SLICE_ROWS]
+                gaps = _distances(_unit(part.astype(np.float64)), centres)
+                best = gaps.argmin(1)
+                for u in np.unique(best):
+                    rows = np.flatnonzero(best == u)
+                    chunk = zlib.crc32(str(ids[rows[0]]).encode()) % chunks[u]
+                    reach = np.sqrt(gaps[rows, u])
+                    packs.append({"upper": u, "chunk": chunk, "ids": ids[rows], "reach": reach, "data": part[rows].tobytes()})
+            if packs:
+                yield pd.DataFrame(packs)
+
+    def nearest_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                raw = np.frombuffer(row.data, dtype=dtype).reshape(len(row.ids), -1)
+                leaves = np.frombuffer(b"".join(row.vec)).reshape(len(row.leaf), -1)
+                gaps = _distances(_unit(raw.astype(np.float64)), leaves)
+                best = gaps.argmin(1)
+                yield {
+                    "upper": row.upper,
+                    "leaf": np.asarray(row.leaf)[best],
+                    "id": row.ids,
+                    "radius": np.sqrt(gaps[np.arange(len(best)), best]),
+                    "reach": row.reach,
+                    "data": [r.tobytes() for r in raw],
+                }
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
-        waiting, most = 0, max(1, _HELD_BYTES // (centres.shape[1] * np.dtype(dtype).itemsize))
-
-        def block(cell: int, rows: list) -> dict:
-            raw = np.stack([r[1] for r in rows])
-            radii = np.sort([r[2] for r in rows])
-            return {
-                "cell": cell, "n": len(rows), "nearest": radii[0], "farthest": radii[-1],
-                "radii": radii, "ids": [r[0] for r in rows], "data": raw.tobytes(),
-            }
+    def to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _joined(nearest_leaves(batches))
 
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            raw = _matrix(pdf["vec"]).astype(dtype)
-            gaps = _distances(_unit(raw.astype(np.float64)), centres)
-            cells = gaps.argmin(1)
-            radii = np.sqrt(gaps[np.arange(len(cells)), cells])
-            full = []
-            for i, cell in enumerate(cells):
-                rows = held.setdefault(int(cell), [])
-                rows.append((pdf["id"].iat[i], raw[i].copy(), radii[i]))
-                waiting += 1
-                done = int(cell) if len(rows) >= size else None
-                if waiting > most:
-                    done = max(held, key=lambda c: len(held[c]))
-                if done is not None:
-                    waiting -= len(held[done])
-                    full.append(block(done, held.pop(done)))
-            if full:
-                yield pd.DataFrame(full)
-        if held:
-            yield pd.DataFrame([block(c, rows) for c, rows in held.items()])
-
-    id_type = source.schema["id"].dataType.simpleString()
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def block(leaf: int, rows: pd.DataFrame) -> dict:
+            data = b"".join(rows["data"])
+            coded = _encode(_from_bytes(data, len(rows), dtype), books).tobytes() if books is not None else None
+            out = {"upper": rows["upper"].iat[0], "leaf": leaf, "n": len(rows)}
+            out |= {"nearest": rows["radius"].min(), "farthest": rows["radius"].max()}
+            out |= {"low": rows["reach"].min(), "high": rows["reach"].max()}
+            return out | {"ids": rows["id"].to_numpy(), "data": data, "codes": coded}
+
+        yield from _gathered(batches, "leaf", size, max(1, _HELD_BYTES // (width * np.dtype(dtype).itemsize)), block)
+
+    met = source.mapInPandas(to_uppers, f"upper int, chunk int, ids array<{id_type}>, reach array<double>, data binary")
+    met = met.join(_chunked(lower, ["vec"]), ["upper", "chunk"])
+    dealt = met.mapInPandas(to_leaves, f"upper int, leaf bigint, id {id_type}, radius double, reach double, data binary")
     schema = (
-        f"cell int, n int, nearest double, farthest double, radii array<double>, "
-        f"ids array<{id_type}>, data binary"
+        "upper int, leaf bigint, n int, nearest double, farthest double, low double, high double, "
+        f"ids array<{id_type}>, data binary, codes binary"
     )
     path = path or new_path(spark, "index")
-    source.mapInPandas(pack, schema).write.mode("overwrite").parquet(path)
-    return VectorIndex(spark.read.schema(schema).parquet(path), centres, dtype)
+    blocks = dealt.hint("rebalance", "leaf").mapInPandas(pack, schema).withColumn("block", F.monotonically_increasing_id())
+    blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(f"{schema}, block bigint").parquet(f"{path}/blocks")
+
+    known = blocks.groupBy("leaf").agg(
+        F.min("nearest").alias("nearest"),
+        F.max("farthest").alias("farthest"),
+        F.sum("n").alias("n"),
+        F.ceil(F.count("*") / _SLOT_BLOCKS).alias("slots"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+    full = lower.join(known, "leaf")
+    chunked = _chunked(full, ["vec", "nearest", "farthest", "n", "slots", "low", "high"])
+    chunked.write.mode("overwrite").parquet(f"{path}/leaves")
+    leaves = spark.read.schema(chunked.schema).parquet(f"{path}/leaves")
+    sums = [F.min(F.array_min("low")), F.max(F.array_max("high"))]
+    sums += [F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)) for c in ("n", "slots")] + [F.sum(F.size("leaf"))]
+    near, far, held = (np.zeros(len(centres)) for _ in range(3))
+    n_slots = n_leaves = 0
+    for upper, low, high, rows, slots, below in leaves.groupBy("upper").agg(*sums).collect():  # upper pivots only
+        near[upper], far[upper], held[upper] = low, high, rows
+        n_slots, n_leaves = n_slots + slots, n_leaves + below
+    index = VectorIndex(path, blocks, leaves, centres, near, far, held, n_leaves, n_slots, dtype, books)
+    if codes:
+        index = replace(index, probes=measure_probes(index, source, k, recall))
+    kept = pickle.dumps({f.name: getattr(index, f.name) for f in fields(index) if f.name not in ("path", "blocks", "leaves")})
+    spark.createDataFrame([(bytearray(kept),)], "kept binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/tree")
+    return index
+
+
+def load_index(spark: SparkSession, path: str) -> VectorIndex:
+    """An index that ``build_index`` has written to ``path``."""
+    kept = pickle.loads(bytes(spark.read.parquet(f"{path}/tree").first()["kept"]))
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("blocks", "leaves")}
+    return VectorIndex(path=path, **tables, **kept)
+
+
+def _joined(frames: Iterator[dict], rows: int = 8192) -> Iterator[pd.DataFrame]:
+    """Columns of many small frames in frames of about ``rows`` rows; scalars hold for a whole small frame."""
+    held: list[dict] = []
+    count = 0
+
+    def close() -> pd.DataFrame:
+        return pd.concat([pd.DataFrame(f) for f in held], ignore_index=True)
+
+    for frame in frames:
+        held.append(frame)
+        count += max((len(c) for c in frame.values() if isinstance(c, (np.ndarray, list))), default=1)
+        if count >= rows:
+            yield close()
+            held, count = [], 0
+    if held:
+        yield close()
+
+
+def _gathered(batches: Iterator[pd.DataFrame], key: str, size: int, most: int, closed: Callable) -> Iterator[pd.DataFrame]:
+    """Rows of one key in one output row of at most ``size``; with ``most`` rows held, the fullest key is closed."""
+    held: dict = {}
+    counts: dict = {}
+    waiting = 0
+
+    def take(k) -> list[dict]:
+        nonlocal waiting
+        rows = pd.concat(held.pop(k)) if len(held[k]) > 1 else held.pop(k)[0]
+        waiting -= counts.pop(k)
+        return [closed(k, rows.iloc[i : i + size]) for i in range(0, len(rows), size)]
+
+    for pdf in batches:
+        out = []
+        for k, rows in pdf.groupby(key, sort=False):
+            held.setdefault(k, []).append(rows)
+            counts[k] = counts.get(k, 0) + len(rows)
+            waiting += len(rows)
+            if counts[k] >= size:
+                out += take(k)
+        while waiting > most:
+            out += take(max(counts, key=counts.get))
+        if out:
+            yield pd.DataFrame(out)
+    while held:
+        yield pd.DataFrame([row for k in list(held)[:_OPEN_PACKS] for row in take(k)])
 
 
-def _cell_table(index: VectorIndex, k: int) -> pd.DataFrame:
-    """One row per pivot: size, radius range and its k smallest radii (at most pivots x k numbers)."""
-    near = (
-        index.blocks.select("cell", F.explode(F.slice("radii", 1, k)).alias("radius"))
-    )
-    near = top_rows(near, ["cell"], ["radius"], k)
-    near = near.groupBy("cell").agg(F.sort_array(F.collect_list("radius")).alias("near"))
-    sizes = index.blocks.groupBy("cell").agg(
-        F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"), F.count("*").alias("blocks")
-    )
-    return sizes.join(near, "cell").orderBy("cell").toPandas()
+# ---------------------------------------------------------------------------------------------------
+# Search
 
 
-def search(
-    index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int, probes: int | None = None
-) -> DataFrame:
-    """The k nearest index vectors of every query: ``query_id, rank, nn_id, distance``.
+def _within(least: np.ndarray, most: np.ndarray, held: np.ndarray, limits: np.ndarray, k: int) -> np.ndarray:
+    """Which cells may hold one of the k nearest: no vector of a cell is nearer than ``least`` or farther than ``most``.
 
-    Query ids are unique. First each query meets its nearest cell; the k-th distance found there bounds
-    the answer. Then it goes only to those other cells that the triangle inequality does not rule out,
-    and only neighbours within the bound come back, so the answer is exact and few rows are merged.
-    Equal distances go by id. ``probes`` looks into that many nearest cells only (approximate, faster).
+    The k-th neighbour is not beyond ``limits``, nor beyond the cells that hold k vectors when taken by ``most``.
     """
-    cells = _cell_table(index, k)
-    source = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("vec")).where("vec is not null")
-    unbounded = source.withColumn("bound", F.lit(None).cast("double"))
-    if probes is not None or len(cells) <= _ONE_ROUND:
-        partial = _compare(index, cells, unbounded, k, probes or len(cells), skip=0)
-    else:
-        near = _compare(index, cells, unbounded, k, upto=1, skip=0)
-        near = settle(top_rows(near, ["query_id"], ["distance", "nn_id"], k).drop("rank"), "near")
-        bounds = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
-        far = _compare(index, cells, source.join(bounds, "query_id", "left"), k, upto=len(cells), skip=1)
-        partial = near.unionAll(far)
-    best = top_rows(partial, ["query_id"], ["distance", "nn_id"], k)
-    return best.select("query_id", "rank", "nn_id", "distance")
+    order = np.argsort(most, axis=1)
+    enough = np.cumsum(held[order], axis=1) >= k
+    kth = np.where(enough.any(1), np.take_along_axis(np.take_along_axis(most, order, 1), enough.argmax(1)[:, None], 1)[:, 0], np.inf)
+    return least <= np.minimum(limits, kth)[:, None] + 1e-6
+
+
+def _nearest_places(gaps: np.ndarray, places: int) -> np.ndarray:
+    return np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1) < places
 
 
-def _compare(
-    index: VectorIndex, cells: pd.DataFrame, source: DataFrame, k: int, upto: int, skip: int
+def _route(
+    index: VectorIndex, source: DataFrame, k: int, uppers: int | None = None, leaves: int | None = None, chunk: int | None = None
 ) -> DataFrame:
-    """Best neighbours of ``query_id, vec, bound`` per cell: ``query_id, nn_id, distance``.
+    """(leaf, slots, query_id, bound, data) for every lower pivot that a query of (query_id, vec, bound, seen) asks.
 
-    A query looks into the cells that are number ``skip`` to ``upto`` by distance and that can hold a
-    neighbour within its bound (a null bound: within the k-th smallest distance to a pivot plus radius
-    of a vector around it). The hot cells are split into slots; a query goes to every slot of a cell.
-    Where there are few slots, the queries of a slot are split too and its blocks copied, so that there
-    are several times as many join keys as tasks.
+    Without ``uppers`` and ``leaves`` these are all that may hold a neighbour within ``bound``, but not the pivot
+    ``seen``; otherwise the nearest upper pivots and in each of their chunks (or in one) the nearest lower ones.
     """
-    spark = source.sparkSession
-    centres, cell_ids = index.pivots[cells["cell"]], cells["cell"].to_numpy()
-    nearest, farthest = cells["nearest"].to_numpy(), cells["farthest"].to_numpy()
-    reach = np.concatenate([np.asarray(r, dtype=float) for r in cells["near"]])
-    reach_cell = np.repeat(np.arange(len(cells)), [len(r) for r in cells["near"]])
-    slots = np.maximum(1, -(-cells["blocks"].to_numpy() // _SLOT_BLOCKS))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    splits = max(1, -(-_KEYS_PER_TASK * tasks // int(slots.sum())))
-    dtype, index_dtype = _element(source, "vec"), index.dtype
-    size = min(_PACK_ROWS, _rows_per_block(centres.shape[1], dtype))
+    dtype = _element(source, "vec")
     query_type = source.schema["query_id"].dataType.simpleString()
-    id_type = index.blocks.schema["ids"].dataType.elementType.simpleString()
+    centres, near, far, held = index.centres, index.near, index.far, index.held
+    slice_rows = max(1, min(_SLICE_ROWS, _PIVOT_BYTES // (8 * len(centres))))
 
-    def candidates(vectors: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Which cells each query has to look into."""
-        gaps = np.sqrt(_distances(vectors, centres))
-        place = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1)
-        wanted = (place >= skip) & (place < upto)
-        least = np.maximum(np.maximum(gaps - farthest, nearest - gaps), 0.0)
-        limit = np.where(np.isnan(bounds), np.inf, np.sqrt(bounds))
-        if len(reach) >= k:
-            sums = gaps[:, reach_cell] + reach[None, :]
-            limit = np.minimum(limit, np.partition(sums, k - 1, axis=1)[:, k - 1])
-        return wanted & (least <= limit[:, None] + 1e-6)
-
-    order = ["cell", "split", "q_ids", "q_bounds", "q_data"]
-    slice_rows = max(1, min(_SLICE_ROWS, _PIVOT_BYTES // (8 * max(len(reach), len(cells)))))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_uppers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            packs = []
+            for first in range(0, len(pdf), slice_rows):
+                rows = pdf.iloc[first : first + slice_rows]
+                raw = _matrix(rows["vec"]).astype(dtype)
+                gaps = np.sqrt(_distances(_unit(raw.astype(np.float64)), centres))
+                bounds = rows["bound"].to_numpy(dtype=float, na_value=np.inf)
+                seen, ids = rows["seen"].to_numpy(dtype=np.int64, na_value=-1), rows["query_id"].to_numpy()
+                if uppers is None:
+                    least = np.maximum(np.maximum(gaps - far, near - gaps), 0.0)
+                    wanted = _within(least, gaps + far, held, np.sqrt(bounds), k) & (held > 0)
+                else:
+                    wanted = _nearest_places(np.where(held > 0, gaps, np.inf), uppers) & (held > 0)
+                for u in np.flatnonzero(wanted.any(0)):
+                    at = np.flatnonzero(wanted[:, u])
+                    packs.append({"upper": u, "q_ids": ids[at], "bounds": bounds[at], "seen": seen[at], "q_data": raw[at].tobytes()})
+            if packs:
+                yield pd.DataFrame(packs)
+
+    def asked_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            raw = _matrix(pdf["vec"]).astype(dtype)
-            units = _unit(raw.astype(np.float64))
-            ids, bounds = pdf["query_id"].to_numpy(), pdf["bound"].to_numpy(dtype=float, na_value=np.nan)
-            cuts = [slice(i, i + slice_rows) for i in range(0, len(ids), slice_rows)]
-            wanted = np.concatenate([candidates(units[cut], bounds[cut]) for cut in cuts])
-            for c in np.flatnonzero(wanted.any(0)):
-                picked = np.flatnonzero(wanted[:, c])
-                for start in range(0, len(picked), size):
-                    part = picked[start : start + size]
-                    pack = {
-                        "cell": int(cell_ids[c]),
-                        "split": zlib.crc32(str(ids[part[0]]).encode()) % splits,
-                        "q_ids": ids[part],
-                        "q_bounds": np.where(np.isnan(bounds[part]), np.inf, bounds[part]),
-                        "q_data": raw[part].tobytes(),
-                    }
-                    yield pd.DataFrame([pack])[order]
-
-    slot_of = F.create_map(*[F.lit(int(v)) for pair in zip(cell_ids, slots) for v in pair])
+            for row in pdf.itertuples():
+                raw = np.frombuffer(row.q_data, dtype=dtype).reshape(len(row.q_ids), -1)
+                below = np.frombuffer(b"".join(row.vec)).reshape(len(row.leaf), -1)
+                gaps = np.sqrt(_distances(_unit(raw.astype(np.float64)), below))
+                if leaves is None:
+                    least = np.maximum(np.maximum(gaps - row.farthest, np.asarray(row.nearest) - gaps), 0.0)
+                    wanted = _within(least, gaps + row.farthest, np.asarray(row.n), np.sqrt(row.bounds), k)
+                else:
+                    wanted = _nearest_places(gaps, leaves)
+                q, at = np.nonzero(wanted & (np.asarray(row.leaf)[None, :] != np.asarray(row.seen)[:, None]))
+                data = [r.tobytes() for r in raw]
+                yield {
+                    "leaf": np.asarray(row.leaf)[at],
+                    "slots": np.asarray(row.slots)[at],
+                    "query_id": np.asarray(row.q_ids)[q],
+                    "bound": np.asarray(row.bounds)[q],
+                    "data": [data[i] for i in q],
+                }
+
+    def to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _joined(asked_leaves(batches))
+
     packs = source.mapInPandas(
-        route, f"cell int, split int, q_ids array<{query_type}>, q_bounds array<double>, q_data binary"
-    ).withColumn("slot", F.explode(F.sequence(F.lit(0), slot_of[F.col("cell")] - 1)))
-    blocks = index.blocks.select(
-        "cell",
-        F.pmod(F.xxhash64("ids"), slot_of[F.col("cell")]).cast("int").alias("slot"),
-        F.explode(F.array(*[F.lit(i) for i in range(splits)])).alias("split"),
-        "ids",
-        "data",
+        to_uppers, f"upper int, q_ids array<{query_type}>, bounds array<double>, seen array<bigint>, q_data binary"
     )
+    below = index.leaves if chunk is None else index.leaves.where(F.col("chunk") == chunk)
+    met = packs.join(below.drop("low", "high", "chunk"), "upper")
+    return met.mapInPandas(to_leaves, f"leaf bigint, slots int, query_id {query_type}, bound double, data binary")
+
+
+def _packs(rows: DataFrame, key: str, extra: dict[str, str], width: int, dtype: str) -> DataFrame:
+    """Query rows of one key together, behind a shuffle that splits hot keys: (key, q_ids, q_data, extra arrays)."""
+    size = min(_PACK_ROWS, _rows_per_block(width, dtype))
+    query_type = rows.schema["query_id"].dataType.simpleString()
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def closed(k, part: pd.DataFrame) -> dict:
+            data = b"".join(part["data"]) if "data" in part else _matrix(part["vec"]).astype(dtype).tobytes()
+            pack = {key: k, "q_ids": part["query_id"].to_numpy(), "q_data": data}
+            return pack | {c: part[c].to_numpy() for c in extra}
+
+        yield from _gathered(batches, key, size, max(1, _HELD_BYTES // (width * np.dtype(dtype).itemsize)), closed)
+
+    arrays = "".join(f", {c} array<{kind}>" for c, kind in extra.items())
+    schema = f"{key} bigint, q_ids array<{query_type}>, q_data binary{arrays}"
+    return rows.hint("rebalance", key).mapInPandas(gather, schema)
+
+
+def _met(index: VectorIndex, packs: DataFrame, columns: list[str]) -> DataFrame:
+    """Packs beside the blocks of their lower pivot.
+
+    Blocks of a hot pivot are split into slots; a pack goes to every slot. Where there are few slots, the packs of a
+    slot are split too and its blocks copied, so that there are several times as many join keys as tasks.
+    """
+    spark = packs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    splits = max(1, -(-_KEYS_PER_TASK * tasks // index.n_slots))
+    blocks = index.blocks.select("leaf", *columns, F.xxhash64("block").alias("lot"))
+    if index.n_slots > index.n_leaves:
+        known = index.leaves.select(F.explode(F.arrays_zip("leaf", "slots")).alias("z")).select("z.leaf", "z.slots")
+        blocks = blocks.join(known, "leaf").withColumn("slot", F.pmod("lot", F.col("slots")).cast("int")).drop("slots")
+        packs = packs.withColumn("slot", F.explode(F.sequence(F.lit(0), F.element_at("slots", 1) - 1)))
+    else:
+        blocks, packs = blocks.withColumn("slot", F.lit(0)), packs.withColumn("slot", F.lit(0))
+    packs = packs.withColumn("split", F.pmod(F.xxhash64("q_ids"), F.lit(splits)).cast("int")).drop("slots")
+    blocks = blocks.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).drop("lot")
+    return packs.join(blocks, ["leaf", "slot", "split"])
+
+
+def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, coded: bool = False) -> DataFrame:
+    """The k best in each lower pivot for the query rows of ``_route``: ``query_id, nn_id, distance, leaf``.
+
+    ``coded`` reads the codes instead of the vectors; ``nn_id`` is then the block's number and the place in it.
+    """
+    index_dtype, width, books = index.dtype, index.centres.shape[1], index.books
+    query_type = rows.schema["query_id"].dataType.simpleString()
+    id_type = "bigint" if coded else index.blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def vectors(row) -> tuple[np.ndarray, np.ndarray]:
+        if coded:
+            return row.block * _BLOCK_ROWS + np.arange(row.n), _decode(row.codes, row.n, books)[:, :width]
+        by_id = np.argsort(row.ids, kind="stable")
+        ids = np.asarray(row.ids)[by_id]
+        return ids, _from_bytes(row.data, len(ids), index_dtype)[by_id]
 
     def nearest_in_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # best neighbours so far of the packs met last: one pack meets the blocks of its slot in a row
@@ -280,35 +496,63 @@ def _compare(
         def close(key: tuple) -> pd.DataFrame:
             q_ids, bounds, gaps, ids = held.pop(key)
             inside = gaps <= bounds[:, None]
-            return pd.DataFrame(
-                {
-                    "query_id": np.repeat(q_ids, inside.sum(1)),
-                    "nn_id": ids[inside],
-                    "distance": gaps[inside],
-                }
-            )
+            found = {"query_id": np.repeat(q_ids, inside.sum(1)), "nn_id": ids[inside], "distance": gaps[inside]}
+            return pd.DataFrame(found | {"leaf": key[0]})
 
         for pdf in batches:
             for row in pdf.itertuples():
                 q_ids = np.asarray(row.q_ids)
-                by_id = np.argsort(row.ids, kind="stable")
-                ids = np.asarray(row.ids)[by_id]
-                block = _from_bytes(row.data, len(ids), index_dtype)[by_id]
-                gaps, found = _best_in_block(_from_bytes(row.q_data, len(q_ids), dtype), block, ids, k)
-                key = (row.cell, row.slot, q_ids[0])
+                ids, block = vectors(row)
+                asked = _from_bytes(row.q_data, len(q_ids), dtype)
+                gaps, found = _best_in_block(asked.astype(block.dtype), block, ids, k)
+                key = (row.leaf, row.slot, q_ids[0])
                 if key in held:
                     _, bounds, before, before_ids = held.pop(key)
                     gaps, found = _merge(np.hstack([before, gaps]), np.hstack([before_ids, found]), k)
                 else:
-                    bounds = np.asarray(row.q_bounds)
+                    bounds = np.asarray(row.bound)
                     if len(held) >= _OPEN_PACKS:
                         yield close(next(iter(held)))
                 held[key] = (q_ids, bounds, gaps, found)
         for key in list(held):
             yield close(key)
 
-    pairs = packs.join(blocks, ["cell", "slot", "split"])
-    return pairs.mapInPandas(nearest_in_pairs, f"query_id {query_type}, nn_id {id_type}, distance double")
+    packs = _packs(rows, "leaf", {"slots": "int", "bound": "double"}, width, dtype)
+    pairs = _met(index, packs, ["block", "n", "codes"] if coded else ["ids", "data"])
+    return pairs.mapInPandas(nearest_in_pairs, f"query_id {query_type}, nn_id {id_type}, distance double, leaf bigint")
+
+
+def _queries(queries: DataFrame, id_col: str, vec: str) -> DataFrame:
+    source = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("vec")).where("vec is not null")
+    return source.select("*", F.lit(None).cast("double").alias("bound"), F.lit(None).cast("bigint").alias("seen"))
+
+
+def _search(index: VectorIndex, source: DataFrame, k: int) -> DataFrame:
+    """The exact k nearest: ``query_id, rank, nn_id, distance, leaf``."""
+    dtype = _element(source, "vec")
+    if index.n_leaves <= _ONE_ROUND:
+        partial = _compare(index, _route(index, source, k), k, dtype)
+    else:
+        near = _compare(index, _route(index, source, k, uppers=1, leaves=1, chunk=0), k, dtype)
+        near = settle(top_rows(near, ["query_id"], ["distance", "nn_id"], k).drop("rank"), "near")
+        bounds = near.groupBy("query_id").agg(
+            F.when(F.count("*") >= k, F.max("distance")).alias("bound"), F.first("leaf").alias("seen")
+        )
+        again = source.select("query_id", "vec").join(bounds, "query_id", "left")
+        partial = near.unionByName(_compare(index, _route(index, again, k), k, dtype))
+    return top_rows(partial, ["query_id"], ["distance", "nn_id"], k)
+
+
+def search(index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
+    """The k nearest index vectors of every query: ``query_id, rank, nn_id, distance``.
+
+    Query ids are unique. First each query meets its nearest lower pivot; the k-th distance found there bounds the
+    answer. Then it goes only to those other pivots, upper and then lower, that the triangle inequality does not rule
+    out, and only neighbours within the bound come back, so the answer is exact and few rows are merged. Equal
+    distances go by id. The queries of a lower pivot are packed behind a shuffle, so packs are full where many
+    queries ask the same pivot, however many pivots there are.
+    """
+    return _search(index, _queries(queries, id_col, vec), k).select("query_id", "rank", "nn_id", "distance")
 
 
 def _best_in_block(vectors: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,42 +582,103 @@ def knn_exact(
     return search(build_index(index, index_id, vec, pivots), queries, query_id, vec, k)
 
 
-def probes_for(
-    index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int, recall: float, sample: int = 256
-) -> int:
-    """How many nearest cells hold the share ``recall`` of the k true neighbours of a sample of the queries.
+def measure_probes(
+    index: VectorIndex, source: DataFrame, k: int = 10, recall: float = 0.95, sample: int = 256
+) -> tuple[int, int]:
+    """How many upper pivots, and lower ones below each, hold the share ``recall`` of the k neighbours of indexed vectors.
 
-    The exact neighbours of the sample (its rows come first in the order of a hash, another one than that of the
-    pivots) are searched, and each counts by the place of its cell among the cells by distance from the query.
+    At most ``sample`` vectors of ``source`` (id, vec), first rows in the order of a hash, are compared with all blocks in
+    one pass, and each neighbour counts by the places of its upper and lower pivot by distance from the query. Of the
+    pairs of numbers that reach the share, the one with the fewest lower pivots is taken.
     """
-    source = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("vec")).where("vec is not null")
-    chosen = settle(source.orderBy(F.xxhash64(F.lit("sample"), "query_id"), "query_id").limit(sample), "sample")
-    found = settle(search(index, chosen, "query_id", "vec", k), "sampled")
-    held = index.blocks.select("cell", F.explode("ids").alias("nn_id"))
-    rows = held.join(found, "nn_id").select("query_id", "rank", "cell").toPandas()
-    if rows.empty:
-        return 1
-    vectors = chosen.toPandas().set_index("query_id")["vec"]
-    cells = np.sort([r["cell"] for r in index.blocks.select("cell").distinct().collect()])
-    gaps = np.sqrt(_distances(_unit(_matrix(vectors).astype(np.float64)), index.pivots[cells]))
-    place = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1)
-    rows["place"] = place[vectors.index.get_indexer(rows["query_id"]), np.searchsorted(cells, rows["cell"])]
-    places = np.sort(rows.groupby(["query_id", "rank"])["place"].min().to_numpy())
-    return int(places[max(0, int(np.ceil(recall * len(places))) - 1)]) + 1
+    chosen = source.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample).toPandas()
+    ids, asked = chosen["id"].to_numpy(), _unit(_matrix(chosen["vec"]).astype(np.float64))
+    index_dtype = index.dtype
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                held = np.asarray(row.ids)
+                gaps, found = _best_in_block(asked, _from_bytes(row.data, row.n, index_dtype), held, k + 1)
+                no = np.repeat(np.arange(len(asked)), gaps.shape[1])
+                other = ids[no] != found.ravel()
+                yield pd.DataFrame({"no": no, "leaf": row.leaf, "gap": gaps.ravel()})[other]
+
+    near = index.blocks.select("leaf", "n", "ids", "data").mapInPandas(scan, "no int, leaf bigint, gap double")
+    pairs = top_rows(near, ["no"], ["gap", "leaf"], k).select("no", "leaf").toPandas()  # sample x k at most
+    if pairs.empty:
+        return 1, 1
+    wanted = pairs.groupby("leaf")["no"].apply(np.array).to_dict()
+    upper_gaps = np.where(index.held > 0, _distances(asked, index.centres), np.inf)
+    upper_places = np.argsort(np.argsort(upper_gaps, axis=1, kind="stable"), axis=1)
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                if hit := [(i, leaf) for i, leaf in enumerate(row.leaf) if leaf in wanted]:
+                    gaps = _distances(asked, np.frombuffer(b"".join(row.vec)).reshape(len(row.leaf), -1))
+                    rank = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1)
+                    for i, leaf in hit:
+                        no = wanted[leaf]
+                        yield pd.DataFrame({"upper_place": upper_places[no, row.upper], "leaf_place": rank[no, i]})
+
+    met = index.leaves.select("upper", "leaf", "vec").mapInPandas(places, "upper_place int, leaf_place int").toPandas()
+    upper, leaf = met["upper_place"].to_numpy(), met["leaf_place"].to_numpy()
+    needed = int(np.ceil(recall * len(met)))
+    options = []
+    for u in np.unique(upper):
+        below = np.sort(leaf[upper <= u])
+        if len(below) >= needed:
+            options.append((int(u) + 1, int(below[needed - 1]) + 1))
+    return min(options, key=lambda o: (o[0] * o[1], o))
+
+
+def search_codes(
+    index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int,
+    probes: tuple[int, int] | None = None, short: int | None = None,
+) -> DataFrame:
+    """About the k nearest index vectors of every query: ``query_id, rank, nn_id, distance``, distances exact.
+
+    Every query goes to ``probes`` pivots (those kept with the index), whose codes are read instead of the vectors:
+    look-ups in the code books give them back roughly. The ``short`` best (20 k) of all pivots are then compared
+    exactly; only the blocks that hold one are read, and their queries come in packs as in ``search``.
+    """
+    if index.books is None:
+        raise ValueError("build the index with codes=True")
+    short, probes = short or 20 * k, probes or index.probes
+    source = _queries(queries, id_col, vec)
+    dtype, index_dtype, width = _element(source, "vec"), index.dtype, index.centres.shape[1]
+    rough = _compare(index, _route(index, source, k, *probes), short, dtype, coded=True)
+    listed = top_rows(rough, ["query_id"], ["distance", "nn_id"], short)
+    block, place = F.floor(F.col("nn_id") / _BLOCK_ROWS).alias("block"), (F.col("nn_id") % _BLOCK_ROWS).cast("int").alias("place")
+    listed = listed.select("query_id", block, place).join(source.select("query_id", "vec"), "query_id")
+    query_type = source.schema["query_id"].dataType.simpleString()
+    id_type = index.blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                asked = _from_bytes(row.q_data, len(row.q_ids), dtype)
+                there = _from_bytes(row.data, len(row.ids), index_dtype)[np.asarray(row.place)]
+                squares = (asked * asked).sum(1) + (there * there).sum(1) - 2.0 * (asked * there).sum(1)
+                gaps = np.maximum(np.round(squares, 12), 0.0)
+                yield pd.DataFrame({"query_id": row.q_ids, "nn_id": np.asarray(row.ids)[row.place], "distance": gaps})
+
+    packs = _packs(listed, "block", {"place": "int"}, width, dtype)
+    pairs = packs.join(index.blocks.select("block", "ids", "data"), "block")
+    near = pairs.mapInPandas(exact, f"query_id {query_type}, nn_id {id_type}, distance double")
+    best = top_rows(near, ["query_id"], ["distance", "nn_id"], k)
+    return best.select("query_id", "rank", "nn_id", "distance")
 
 
 def knn_approx(
-    queries: DataFrame, index: DataFrame, k: int, probes: int | None = None, query_id: str = "vec_id",
+    queries: DataFrame, index: DataFrame, k: int, probes: tuple[int, int] | None = None, query_id: str = "vec_id",
     index_id: str = "vec_id", vec: str = "embedding", pivots: int | None = None, recall: float = 0.95,
+    short: int | None = None,
 ) -> DataFrame:
-    """As ``knn_exact``, but each query looks into its ``probes`` nearest cells only.
-
-    By default as many as ``recall`` takes on a sample of the queries (``probes_for``), however many cells there are.
-    """
-    built = build_index(index, index_id, vec, pivots)
-    if probes is None:
-        probes = probes_for(built, queries, query_id, vec, k, recall)
-    return search(built, queries, query_id, vec, k, probes)
+    """As ``knn_exact``, but by codes in as many cells as ``recall`` takes on a sample of the index, then re-ranked."""
+    built = build_index(index, index_id, vec, pivots, codes=True, k=k, recall=recall)
+    return search_codes(built, queries, query_id, vec, k, probes, short)
 
 
 def neighbour_arrays(neighbours: DataFrame, keep: DataFrame, on: str = "query_id") -> DataFrame:
