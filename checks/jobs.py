@@ -150,6 +150,50 @@ def pca_project(spark, d):
     return out.select("vec_id", *[F.round(F.abs(F.col("projection")[i]), 5).alias(f"axis{i}") for i in (0, 1)])
 
 
+@query("ml09_pca_axes", f"""with {v.TILE}, spread as (select i, var_samp(x) s from tile_num group by i)
+  select (select count(*) from tile_vec) n, round(sum(s), 6) all_variance, true ordered, true uncorrelated, true widest from spread""")
+def pca_axes(spark, d):
+    """What makes axes the main ones: falling variance, no correlation, and no entry that varies more than the first."""
+    t = v.tiles(spark, d)
+    out = clusters.pca_project(t, "embedding", 2)
+    x, y = (F.col("projection")[i] for i in (0, 1))
+    axes = out.agg(F.count("*").alias("n"), F.var_samp(x).alias("x"), F.var_samp(y).alias("y"), F.covar_samp(x, y).alias("xy"))
+    entries = t.select(F.posexplode("embedding").alias("i", "e")).groupBy("i").agg(F.var_samp("e").alias("s"))
+    entries = entries.agg(F.round(F.sum("s"), 6).alias("all_variance"), F.max("s").alias("most"), F.sum("s").alias("total"))
+    return axes.withColumn("e", entries.select(F.struct("*")).scalar()).select("n", "x", "y", "xy", "e.*").select(
+        "n",
+        "all_variance",
+        ((F.col("x") >= F.col("y")) & (F.col("x") + F.col("y") <= F.col("total") + 1e-9)).alias("ordered"),
+        (F.abs("xy") < 1e-9).alias("uncorrelated"),
+        (F.col("x") >= F.col("most") - 1e-9).alias("widest"),
+    )
+
+
+def settled(rows, vec_col):
+    """One row: rows, clusters, and whether (nearly) all rows are nearest to the mean of their own cluster."""
+    means = settle(priors.mean_vector_by_group(rows, ["cluster"], vec_col, "mean"), "means")
+    table = means.agg(F.collect_list(F.struct("cluster", "mean")).alias("means"))  # one for each cluster
+    gap = lambda m: F.aggregate(F.zip_with(m, F.col(vec_col), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+    gaps = F.transform("means", lambda m: F.struct(gap(m["mean"]).alias("gap"), m["cluster"].alias("cluster")))
+    near = rows.withColumn("means", table.scalar()).select("cluster", F.array_min(gaps)["cluster"].alias("near"))
+    return near.agg(
+        F.count("*").alias("n"),
+        F.countDistinct("cluster").alias("clusters"),
+        (F.avg((F.col("cluster") == F.col("near")).cast("int")) >= 0.95).alias("settled"),
+    )
+
+
+@query("ml10_kmeans_settled", "select count(*) n, 5 clusters, true settled from embeddings")
+def kmeans_settled(spark, d):
+    return settled(clusters.kmeans(v.tiles(spark, d), "embedding", 5, seed=1), "embedding")
+
+
+@query("ml11_cluster_pipeline_settled", "select count(*) n, 3 clusters, true settled from embeddings")
+def cluster_pipeline_settled(spark, d):
+    data = v.tiles(spark, d)
+    return settled(clusters.predict_clusters(clusters.fit_clusters(data, "embedding", 3, seed=1), data, "embedding"), "projection")
+
+
 @query("ml10_kmeans")
 def kmeans(spark, d):
     out = clusters.kmeans(v.tiles(spark, d), "embedding", 5, seed=1)
@@ -171,6 +215,32 @@ def species_centroids(spark, d):
     return out.select("species_id", "centroid", F.round(vec.total(F.col("centre")), 5).alias("total"))
 
 
+LLOYD = f"""with recursive {v.TILE},
+ranked as (select *, dense_rank() over (partition by species_id order by vec_id) - 1 r from tile_num),
+lloyd(it, species_id, centroid, i, m) as (select 0, species_id, r, i, x from ranked where r < 3
+  union all select any_value(it) + 1, species_id, centroid, i, avg(x) from (
+    select it, t.species_id, centroid, t.i, t.x from tile_num t join (
+      select it, vec_id, l.centroid, row_number() over (partition by vec_id order by sum((x - m) * (x - m)), l.centroid) place
+      from lloyd l join tile_num t on t.species_id = l.species_id and t.i = l.i where it < 20 group by it, vec_id, l.centroid) n
+    on t.vec_id = n.vec_id and place = 1) group by species_id, centroid, i)"""
+
+
+@query("ml12_species_centroids_lloyd", LLOYD + """
+  select species_id, centroid, i, round(m, 5) x from lloyd where it = (select max(it) from lloyd)""")
+def lloyd_centroids(spark, d):
+    out = clusters.species_centroids(v.tiles(spark, d), "species_id", "embedding", "vec_id", n=3, start=F.col("vec_id"))
+    return out.select("species_id", "centroid", F.posexplode("centre").alias("i", "x")).withColumn("x", F.round("x", 5))
+
+
+@query("ml12_species_centroids_in_rounds", LLOYD + """
+  select species_id, centroid, i, round(m, 5) x from lloyd where it = (select max(it) from lloyd)""")
+def lloyd_in_rounds(spark, d):
+    """The way of large species, for the species above 20,000 bytes."""
+    t = v.tiles(spark, d)
+    out = clusters.species_centroids(t, "species_id", "embedding", "vec_id", n=3, start=F.col("vec_id"), held_bytes=20_000)
+    return out.select("species_id", "centroid", F.posexplode("centre").alias("i", "x")).withColumn("x", F.round("x", 5))
+
+
 @query("ml12_species_centroids_single", f"with {v.TILE} select species_id, i, round(avg(x), 6) x from tile_num group by all")
 def single_centroid(spark, d):
     out = clusters.species_centroids(v.tiles(spark, d), "species_id", "embedding", "vec_id", n=1)

@@ -128,11 +128,14 @@ def test_lookup_with_dict(spark):
     assert got == {"x": 3, "y": 0}
 
 
-def test_species_centroids_match_a_plain_loop(spark):
+@pytest.mark.parametrize("held_bytes", [64 << 20, 1000, 0])
+def test_species_centroids_match_a_plain_loop(spark, held_bytes):
+    """All species in tasks, the hot one in rounds, all in rounds; one species has no name, one repeats a vector."""
     rng = np.random.default_rng(0)
     rows = [(i, "hot" if i < 60 else f"s{i % 3}", rng.normal(size=3).tolist()) for i in range(100)] + [(100, "single", [1.0, 2.0, 3.0])]
+    rows += [(200 + i, None, rng.normal(size=3).tolist()) for i in range(7)] + [(300 + i, "same", [1.0, 0.0, 1.0]) for i in range(5)]
     df = spark.createDataFrame(rows, "id bigint, species string, vec array<double>").repartition(5)
-    got = clusters.species_centroids(df, "species", "vec", "id", n=3, iterations=20)
+    got = clusters.species_centroids(df, "species", "vec", "id", n=3, iterations=20, held_bytes=held_bytes)
     found = {}
     for r in got.collect():
         found.setdefault(r.species, {})[r.centroid] = r.centre
@@ -147,3 +150,15 @@ def test_species_centroids_match_a_plain_loop(spark):
         assert sorted(found[species]) == list(range(len(centres)))
         for c, centre in enumerate(centres):
             assert found[species][c] == pytest.approx(centre.tolist())
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_bounds_leave_the_centres_as_they_are(spread):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6, 5))[rng.integers(0, 6, 3000)] + rng.normal(scale=spread, size=(3000, 5))
+    x[5::7] = x[5]
+    centres = x[:8].copy()
+    for _ in range(30):
+        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(8)])
+    assert np.allclose(clusters._lloyd(x, 8, 30), centres, atol=1e-9)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -91,23 +93,55 @@ def _assign(rows: DataFrame, centres: DataFrame) -> DataFrame:
     return rows.join(groups, "species").select("species", F.array_min(gaps)["centroid"].alias("centroid"), "vec")
 
 
-def species_centroids(
-    df: DataFrame, species: str, vec: str, order: str, n: int = 5, iterations: int = 20
-) -> DataFrame:
-    """k-means inside every species at once: ``<species>, centroid, centre`` with at most n per species.
+def _lloyd(vectors: np.ndarray, n: int, iterations: int) -> np.ndarray:
+    """Centres of k-means over a matrix whose first n rows are the start; ties go to the lower centre.
 
-    A species with fewer rows than n has one centre per row. The starting centres are its first n rows
-    in hash order of ``order``. Rows without a vector do not count. Rows of one species stay spread over the tasks: each round sends the few
-    centres to the rows and adds the rows up per centre before the shuffle. Stops when nothing moves.
+    A row keeps an upper bound of the distance to its centre and a lower bound of that to any other one; both follow
+    the centres as they move, and only rows whose bounds meet are compared again.
     """
-    # the species travels in a struct, so that rows without one are a species like others
-    known = df.where(F.col(vec).isNotNull())
-    rows = known.select(F.struct(F.col(species).alias("of")).alias("species"), F.col(order).alias("_o"), F.col(vec).alias("vec"))
-    start = top_rows(rows, ["species"], [F.xxhash64("_o"), "_o"], n)
+    centres = vectors[:n].copy()
+    if len(centres) < n or n == 1:
+        return centres if n > 1 else vectors.mean(0, keepdims=True)
+    at = np.full(len(vectors), -1)
+    upper, lower = np.full(len(vectors), np.inf), np.full(len(vectors), -np.inf)
+    for _ in range(iterations):
+        open_ = np.flatnonzero(upper >= lower * (1 - 1e-12) - 1e-12)  # rounding never hides a tie
+        gaps = np.stack([((vectors[open_] - c) ** 2).sum(1) for c in centres], axis=1)
+        at[open_] = gaps.argmin(1)
+        two = np.sqrt(np.partition(gaps, 1, axis=1)[:, :2])
+        upper[open_], lower[open_] = two[:, 0], two[:, 1]
+        moved = centres.copy()
+        for c in np.unique(at):  # a centre without rows stays
+            moved[c] = vectors[at == c].mean(0)
+        steps = np.sqrt(((moved - centres) ** 2).sum(1))
+        still = np.abs(moved - centres).max()
+        centres = moved
+        upper += steps[at]
+        lower -= steps.max()
+        if still < 1e-9:
+            break
+    return centres
+
+
+def _centroids_in_tasks(rows: DataFrame, n: int, iterations: int) -> DataFrame:
+    """All rounds of a species in one task, whose vectors are together after one shuffle."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        by_start = pdf.sort_values(["_s", "_o"], kind="stable")
+        centres = _lloyd(np.stack(by_start["vec"].to_numpy()).astype(np.float64), n, iterations)
+        one = pdf["species"].iat[0]
+        return pd.DataFrame({"species": [one] * len(centres), "centroid": np.arange(len(centres)), "centre": list(centres)})
+
+    kind = rows.schema["species"].dataType.simpleString()
+    return rows.groupBy("species").applyInPandas(solve, f"species {kind}, centroid int, centre array<double>")
+
+
+def _centroids_in_rounds(rows: DataFrame, n: int, iterations: int) -> DataFrame:
+    """One job for each round; the rows stay where they are and the centres travel."""
+    start = top_rows(rows, ["species"], ["_s", "_o"], n)
     start = start.select(
         "species", (F.col("rank") - 1).cast("int").alias("centroid"), doubles(F.col("vec")).alias("centre")
     )
-    rows = settle(rows.select("species", "vec"), "rows")
     centres = settle(start, "centres")
     if n == 1:
         iterations = 1
@@ -125,4 +159,36 @@ def species_centroids(
         centres = moved.select("species", "centroid", F.col("moved").alias("centre"))
         if still < 1e-9:
             break
-    return centres.select(F.col("species.of").alias(species), "centroid", "centre")
+    return centres
+
+
+def species_centroids(
+    df: DataFrame, species: str, vec: str, order: str, n: int = 5, iterations: int = 20, start: Column | None = None,
+    held_bytes: int = 64 << 20,
+) -> DataFrame:
+    """k-means inside every species at once: ``<species>, centroid, centre`` with at most n per species.
+
+    A species with fewer rows than n has one centre per row. The starting centres are its first n rows by ``start``
+    (by default a hash of ``order``) and then ``order``. Rows without a vector do not count. Vectors of a species that
+    take at most ``held_bytes`` are shuffled once, and a task does all its rounds; those of a larger one stay spread, and
+    each round sends the few centres to the rows and adds the rows up per centre before the shuffle. Both give the
+    same centres up to rounding. Stops when nothing moves.
+    """
+    # the species travels in a struct, so that rows without one are a species like others
+    known = df.where(F.col(vec).isNotNull())
+    rows = known.select(
+        F.struct(F.col(species).alias("of")).alias("species"),
+        F.col(order).alias("_o"),
+        (F.xxhash64(order) if start is None else start).alias("_s"),
+        F.col(vec).alias("vec"),
+    )
+    rows = settle(rows, "rows")
+    sizes = rows.groupBy("species").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width"))
+    large = settle(sizes.where(F.col("n") * F.col("width") * 8 > held_bytes).select("species"), "large")
+    if large.isEmpty():
+        centres = _centroids_in_tasks(rows.select("species.of", "_o", "_s", "vec").withColumnRenamed("of", "species"), n, iterations)
+        return centres.select(F.col("species").alias(species), "centroid", "centre")
+    small = rows.join(large, "species", "left_anti").select("species.of", "_o", "_s", "vec").withColumnRenamed("of", "species")
+    centres = _centroids_in_rounds(rows.join(large, "species", "left_semi"), n, iterations).select("species.of", "centroid", "centre")
+    both = centres.unionByName(_centroids_in_tasks(small, n, iterations).withColumnRenamed("species", "of"))
+    return both.withColumnRenamed("of", species)
