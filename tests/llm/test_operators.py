@@ -600,3 +600,35 @@ def test_pipeline_leaves_clean_texts_alone(spark):
     texts = {r.doc_id: r.text for r in before.collect()}
     for r in made.collect():
         assert r.text == (want[r.doc_id][2] if want[r.doc_id][1] else texts[r.doc_id])
+
+
+def test_pipeline_drops_rows_not_ids(spark):
+    """A near copy goes, and another text that shares its id, or has no id either, stays."""
+    rng = random.Random(22)
+    many = [f"{a}{b}" for a in ("stone", "river", "light", "cloud", "house") for b in "abcdefghijklmnopqrstuvw"]
+    a, b, c = (prose(rng, 150, many) for _ in range(3))
+    rows = [(1, a, "en"), (2, a + " end", "en"), (2, b, "en"), (None, a + " last", "en"), (None, c, "en"), (3, None, "en")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    made = corpus_pipeline.near_copies(spark, frame, "")
+    assert Counter(map(tuple, made.collect())) == Counter([rows[0], rows[2], rows[4], rows[5]])
+
+
+def test_pipeline_keeps_a_text_of_several_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    some = docs.where("lang is not null and n_chars > 1500").orderBy("doc_id").collect()
+    words = {r.lang: r.text.split()[:60] for r in some}
+    assert len(words) >= 3
+    row = some[0].asDict() | {"doc_id": -1, "text": " ".join(w for ws in words.values() for w in ws)}
+    frame = docs.limit(400).unionByName(spark.createDataFrame([row], docs.schema))
+    assert corpus_pipeline.language(spark, frame, "").where("doc_id = -1").count() == 1
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("weak", [False, True])
+def test_drop_copies_of_rows_that_repeat(spark, keep, weak):
+    rows = [(1, "A b", 1), (1, "a B", 2), (1, "A b", 1), (2, "a b", 1), (None, "a b", 3), (None, "c", 1), (None, "c", 1), (5, None, 1), (6, "", 1)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, hash int").repartition(3)
+    options = {"hashed": lambda t: F.substring(t, 1, 0).cast("binary")} if weak else {}
+    got = [tuple(r) for r in exact_dedup.drop_copies(frame, keep=keep, **options).collect()]
+    assert Counter(ascii_lower(r[1]) for r in got) == {"a b": 1, "c": 1, "": 1} and set(got) <= set(rows)
+    assert {ascii_lower(r[1]): r[0] for r in got} == {"a b": 1 if keep == "smallest" else 2, "c": None, "": 5 if keep == "smallest" else 6}

@@ -85,17 +85,46 @@ def drop_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: str = "smallest",
     normalise: Callable[[Column], Column] = ascii_lower,
-    **options,
+    hashed: Callable[[Column], Column] = content_hash,
 ) -> DataFrame:
-    """Exactly one row of ``docs`` for each text, with all its columns as they are (options of ``duplicate_groups``).
+    """Exactly one row of ``docs`` for each text, with all its columns as they are.
 
-    Rows that tie, since they repeat the id that stays or no row of the group has one, go by a hash of the row; every
-    task first reduces its own to one.
+    It is the row with the smallest or largest id; a row without an id stays only where no row of the text has one, and
+    rows of one id go by a hash of the row. Rows that repeat in all columns are reduced to one. Texts go through one
+    shuffle for the groups, where each task first reduces its own, and, if the groups are too large for a broadcast,
+    through one more.
     """
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
-    groups = duplicate_groups(whole, "id", "text", normalise=normalise, **options).where("kept")
-    alone = groups.where("group_size = 1").select("row")
-    ties = groups.where("group_size > 1").select("text_hash", normalise(F.col("text")).alias("own"), "row")
-    one = ties.groupBy("text_hash", "own").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return alone.unionByName(one.select("row")).select("row.*")
+    if keep not in ("smallest", "largest"):
+        raise ValueError(f"keep is smallest or largest, not {keep!r}")
+    best, known = (F.min, F.col(id_col).isNull()) if keep == "smallest" else (F.max, F.col(id_col).isNotNull())
+    text = normalise(F.col(text_col))
+    place = F.struct(known.alias("a"), F.col(id_col).alias("b"), F.xxhash64(*docs.columns).alias("c"))
+    keyed = docs.select(hashed(text).alias("hash"), text.alias("text"), place.alias("place"))
+    groups = keyed.groupBy("hash").agg(
+        best("place").alias("best"), F.count(F.lit(1)).alias("n"), (F.min("text") != F.max("text")).alias("mixed")
+    )
+    groups = stored(groups.where("mixed or n > 1"), "groups")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), hashed(text).alias("hash"), place.alias("place"))
+    if groups.where("mixed").isEmpty():
+        found = whole.join(groups.select("hash", "best"), "hash", "left")
+    else:  # texts that collide form groups of their own
+        mixed = groups.where("mixed").select("hash")
+        split = keyed.join(mixed, "hash", "left_semi").groupBy("hash", "text").agg(best("place").alias("best"))
+        plain = groups.where("not mixed").select("hash", F.lit(None).cast("string").alias("own"), "best")
+        both = plain.unionByName(stored(split, "collisions").withColumnRenamed("text", "own"))
+        marked = whole.join(mixed.withColumn("two", F.lit(True)), "hash", "left")
+        own = F.when(F.col("two"), normalise(F.col("row").getField(text_col)))
+        both = both.withColumnsRenamed({"hash": "_hash", "own": "_own"})
+        found = marked.join(both, (F.col("hash") == F.col("_hash")) & own.eqNullSafe(F.col("_own")), "left")
+    kept = found.where(F.col("best").isNull() | F.col("place").eqNullSafe(F.col("best"))).select("row", "hash", "place")
+    twice = keyed.groupBy("hash", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = stored(twice.select(F.col("hash").alias("_hash"), F.col("place").alias("_place")), "repeats")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    # rows that repeat in all columns: their hashes are the same, so all of them or none are here
+    there = (F.col("hash") == F.col("_hash")) & F.col("place").eqNullSafe(F.col("_place"))
+    rest = kept.join(twice, there, "left_anti").select("row")
+    one = kept.join(twice, there, "left_semi").groupBy("hash", "place").agg(F.first("row").alias("row"))
+    return rest.unionByName(one.select("row")).select("row.*")

@@ -271,13 +271,11 @@ def remove_repeats(
     if not 0 < gram <= window or window - gram > 61:
         raise ValueError("gram is at least 1, at most window, and window - gram at most 61")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(
-        F.xxhash64(id_col, text_col).alias("key"),
-        text.alias("text"),
-        F.struct(*[c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]).alias("row"),
-    )
-    spans = repeated_spans(keyed.select("key", "text"), window, gram, most)
-    joined = keyed.join(stored(spans, "spans"), "key", "left").select("text", "spans", "row")
+    row = F.struct(*[c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]).alias("row")
+    key = F.xxhash64(id_col, text_col).alias("key")
+    spans = repeated_spans(docs.select(key, text.alias("text")), window, gram, most)
+    joined = docs.select(key, row).join(stored(spans, "spans"), "key", "left")
+    joined = joined.select(F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"), "spans", "row")
     out = StructType.fromDDL("n_words bigint, n_removed bigint, kept string").add(joined.schema["row"])
     made = joined.mapInArrow(_strip(window), out)
     return made.select("row.*", "n_words", "n_removed", "kept")
