@@ -632,3 +632,17 @@ def test_drop_copies_of_rows_that_repeat(spark, keep, weak):
     got = [tuple(r) for r in exact_dedup.drop_copies(frame, keep=keep, **options).collect()]
     assert Counter(ascii_lower(r[1]) for r in got) == {"a b": 1, "c": 1, "": 1} and set(got) <= set(rows)
     assert {ascii_lower(r[1]): r[0] for r in got} == {"a b": 1 if keep == "smallest" else 2, "c": None, "": 5 if keep == "smallest" else 6}
+
+
+def test_packing_of_rows_that_nothing_tells_apart(spark):
+    """Rows without an id, or repeated as a whole, are spread over shards, and all windows stay gapless."""
+    rows = [(None, "same words here") for _ in range(300)] + [(None, f"other {k}") for k in range(100)] + [(7, "x")] * 200
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = packing.pack_documents(frame, FILE, capacity=64, shard_rows=20).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in got)[7, 2] == 200 and len(got) == 600
+    windows = defaultdict(list)
+    for r in got:
+        windows[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in w) <= 64 and sorted(a for a, _ in w) == [sum(n for _, n in sorted(w)[:i]) for i in range(len(w))] for w in windows.values())
+    shards = Counter(r.sequence_id >> 24 for r in got)
+    assert len(shards) > 20 and max(shards.values()) < 80

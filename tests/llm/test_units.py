@@ -300,3 +300,16 @@ def test_backoff_automaton_is_a_distribution():
     p2 = (trigram[g] - 0.75) / n_ab + 0.75 * kinds / n_ab * p1
     got = automaton.step(np.array([automaton.state_of[2][a * c + b]]), np.array([w]))[0]
     assert np.isclose(10**got, p2)
+
+
+def test_runs_of_ids_are_those_of_the_library(vocabulary):
+    library = Tokenizer.from_file(FILE)
+    rng = random.Random(9)
+    spaces = [" ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000"]
+    words_ = ["The", "ÀÉ", "日本", "it's", "<|endoftext|>", "<|startoftext|>x", "123", "co-op", "ΣΑΣ", "…", "a" * 90]
+    texts = [*ODD, *["".join(rng.choice(words_) + rng.choice(spaces) for _ in range(rng.randint(0, 12))) for _ in range(300)]]
+    runs = bpe.IdRuns(vocabulary)
+    for column in (pa.array(texts), pa.array(["skip", *texts]).slice(1), pa.array(texts[:1]), pa.array([], pa.string())):
+        ids, ends = runs(column)
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want

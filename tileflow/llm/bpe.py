@@ -17,13 +17,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tileflow.llm.words import parts
+from tileflow.llm.words import parts, ranges
 
 WORD_END = "</w>"
 # The pattern of the tokenizer file.
@@ -198,6 +200,44 @@ class Encoder:
         return out
 
 
+_WIDE_SPACES = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # fixed values: white space beyond ASCII
+
+
+class IdRuns:
+    """Token ids of all texts of an array in one buffer: text i has ids[ends[i]:ends[i + 1]].
+
+    Pieces are found and told apart by Arrow, and each distinct one of an array is encoded once; texts that hold special
+    tokens or white space beyond ASCII go through the ``Encoder`` one by one, with the same result.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.encoder = Encoder(vocabulary, tuple)
+        self.odd = "|".join([_WIDE_SPACES, *map(regex.escape, vocabulary.specials)])
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(column, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, self.odd)
+        lists = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        coded = lists.flatten().dictionary_encode()
+        known = self.encoder.known
+        values = [known[p] for p in coded.dictionary.to_pylist()]
+        sizes = np.array([len(v) for v in values], np.int64)
+        table = np.array([i for v in values for i in v], np.uint32)
+        at = coded.indices.to_numpy()
+        counts = sizes[at]
+        ids = table[ranges((np.cumsum(sizes) - sizes)[at], counts)]
+        places = np.concatenate([[0], np.cumsum(counts)])
+        cuts = lists.offsets.to_numpy()
+        ends = places[cuts - cuts[0]]
+        alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(alone):
+            return ids, ends
+        runs = np.split(ids, ends[1:-1]) if len(texts) > 1 else [ids]
+        for i in alone:
+            runs[i] = np.array([t for v in self.encoder.values(texts[i].as_py()) for t in v], np.uint32)
+        return np.concatenate(runs), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+
+
 def encode(text: str | None, vocabulary: Vocabulary) -> list[int]:
     """Token ids of one text."""
     return [i for v in Encoder(vocabulary, tuple).values(text) for i in v]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tileflow.llm.bpe import Encoder, Vocabulary
+from tileflow.llm.bpe import IdRuns, Vocabulary
 from tileflow.llm.folders import stored
 from tileflow.llm.words import parts
 
@@ -78,15 +78,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(vocabulary, capacity: int, close: int):
-    ending = np.array([close], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value, lambda ids: np.array(ids, "<u4").tobytes())
+        coded = IdRuns(vocabulary.value)
+        ending = np.array([close], "<u4").tobytes()
         for batch in parts(batches, "text"):
             row, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = b"".join(encoder.values(text)) + ending
-                n = len(data) // 4
+            ids, ends = coded(batch.column(1))
+            ids = ids.astype("<u4", copy=False)
+            for i, (first, last) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                data = ids[first:last].tobytes() + ending
+                n = last - first + 1
                 for a, size in cut(n, capacity):
                     row.append(i)
                     start.append(a)
@@ -148,14 +149,23 @@ def pack_documents(
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long but the id).
 
     A document's tokens are the ids of its text and one ``close`` id; pieces of more than ``capacity`` are cut.
-    ``shard_rows`` is how many pieces a shard holds on average. The packing depends on the rows alone, not on how
-    Spark has dealt them, as long as ids differ. Defined cases: a null or empty text is a document of one token;
-    null ids and repeated rows are packed like others; other columns are not read; an empty table gives no pieces.
+    ``shard_rows`` is how many pieces a shard holds on average. A shard that is four times as large, since very many
+    pieces are equal in id, place and tokens, is dealt again by their numbers in the written table. Else the packing
+    depends on the rows alone, not on how Spark has dealt them. Defined cases: a null or empty text is a document of
+    one token; null ids, repeated ids and repeated rows are packed like others; a text of any length is cut into
+    pieces by its one task; other columns are not read; an empty table gives no pieces.
     """
-    pieces = stored(token_pieces(docs, path, capacity, close, id_col, text_col), "pieces")
+    pieces = token_pieces(docs, path, capacity, close, id_col, text_col).withColumn("no", F.monotonically_increasing_id())
+    pieces = stored(pieces, "pieces")
     shards = max(1, round(pieces.count() / shard_rows))
-    shard = F.pmod(F.xxhash64("row.id", "start"), F.lit(shards)).alias("shard")
-    dealt = pieces.select(shard, F.col("start"), F.col("length"), "ids_crc32", "doc_tokens", "row").repartition("shard")
+    shard = F.pmod(F.xxhash64("row.id", "start", "length", "ids_crc32"), F.lit(shards)).alias("shard")
+    dealt = pieces.select(shard, "start", "length", "ids_crc32", "doc_tokens", "row", "no")
+    large = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * shard_rows)
+    large = stored(large, "large")
+    if not large.isEmpty():
+        again = F.pmod(F.xxhash64("no"), F.ceil(F.col("n") / shard_rows)) + 1
+        dealt = dealt.join(large, "shard", "left").withColumn("shard", F.col("shard") + shards * F.coalesce(again, F.lit(0)))
+    dealt = dealt.select("shard", "start", "length", "ids_crc32", "doc_tokens", "row").repartition("shard")
     dealt = dealt.sortWithinPartitions("shard", F.desc("length"), "row.id", "start", "ids_crc32")
     out = StructType([f for f in dealt.schema if f.name != "shard"]).add("sequence_id", "long").add("offset", "long")
     packed = dealt.mapInArrow(_pack(capacity), out)
