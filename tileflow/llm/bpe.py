@@ -15,6 +15,8 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +34,7 @@ WORD_END = "</w>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"  # white space for str.split only
 _SHORT = 64  # parts; longer words keep their pairs in a heap
-_REMEMBERED = 400_000
+_REMEMBERED = 800_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -72,6 +74,13 @@ class Merges:
         self.ranks = {ids[a] * self.size + ids[b]: r for (a, b), r in vocabulary.ranks.items()}
         self.made = [ids[a + b] for a, b in vocabulary.ranks]
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs in order, their ranks, and the id that each rank makes."""
+        keys = np.fromiter(self.ranks.keys(), np.int64, len(self.ranks))
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(self.ranks.values(), np.int64, len(keys))[order], np.array(self.made)
+
     def word(self, word: str) -> list[int]:
         """Ids of a word's tokens."""
         data = word.encode("utf-8")
@@ -99,6 +108,61 @@ class Merges:
                 rank[i - 1] = get(parts[i - 1] * size + part, none)
         return parts
 
+    def many(self, words: list[str]) -> list[list[int]]:
+        """``word`` for many words: those of one length are scanned together, a row of the arrays for each."""
+        out: list = [None] * len(words)
+        by_length: dict[int, list[int]] = {}
+        coded = [w.encode("utf-8") for w in words]
+        for i, data in enumerate(coded):
+            by_length.setdefault(len(data), []).append(i)
+        for length, at in by_length.items():
+            if length > _SHORT:
+                found = [self.word(words[i]) for i in at]
+            else:
+                data = np.frombuffer(b"".join([coded[i] for i in at]), np.uint8).reshape(len(at), length)
+                parts = np.array(self.inner)[data]
+                parts[:, -1] = np.array(self.last)[data[:, -1]]
+                rows, left = self._scan(parts)
+                found = [row[:n] for row, n in zip(rows.tolist(), left.tolist())]
+            for i, ids in zip(at, found):
+                out[i] = ids
+        return out
+
+    def _scan(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least rank first in every row; a row's parts move up when a boundary goes. Also how many parts are left."""
+        n, width = parts.shape
+        left, none = np.full(n, width), len(self.made)
+        if width < 2:
+            return parts, left
+        keys, values, made = self.table
+
+        def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            pair = a * self.size + b
+            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            return np.where((keys[at] == pair) & (b >= 0), values[at], none)
+
+        rank = rank_of(parts[:, :-1], parts[:, 1:])
+        open_ = np.arange(n)
+        columns = np.arange(width)[None, :]
+        while True:
+            place = rank[open_].argmin(1)
+            live = rank[open_, place] < none
+            open_, i = open_[live], place[live]
+            if not len(open_):
+                return parts, left
+            p, r = parts[open_], rank[open_]
+            every = np.arange(len(open_))
+            p[every, i] = made[r[every, i]]
+            p = np.take_along_axis(p, np.minimum(columns + (columns > i[:, None]), width - 1), 1)
+            r = np.take_along_axis(r, np.minimum(columns[:, :-1] + (columns[:, :-1] >= i[:, None]), width - 2), 1)
+            p[:, -1], r[:, -1] = -1, none
+            before = np.flatnonzero(i > 0)
+            r[before, i[before] - 1] = rank_of(p[before, i[before] - 1], p[before, i[before]])
+            after = np.flatnonzero(i < width - 1)
+            r[after, i[after]] = rank_of(p[after, i[after]], p[after, i[after] + 1])
+            parts[open_], rank[open_] = p, r
+            left[open_] -= 1
+
     def long(self, parts: list[int]) -> list[int]:
         """The same for a word of any length: pairs wait in a heap by rank and place."""
         ranks, size, n = self.ranks, self.size, len(parts)
@@ -213,16 +277,31 @@ class IdRuns:
     def __init__(self, vocabulary: Vocabulary):
         self.encoder = Encoder(vocabulary, tuple)
         self.odd = "|".join([_WIDE_SPACES, *map(regex.escape, vocabulary.specials)])
+        self.splitter, self.merges = Splitter(vocabulary), Merges(vocabulary)
+        self.words: dict[str, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {}
+
+    def _values(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece; new words are encoded together. Forgets all when it has met very many."""
+        if len(self.pieces) + len(pieces) > _REMEMBERED:
+            self.pieces, self.words = {}, {}
+        known, words = self.pieces, self.words
+        new = [p for p in pieces if p not in known]
+        split = [self.splitter.words(p) for p in new]
+        fresh = list({w for ws in split for w in ws if w not in words})
+        words.update(zip(fresh, self.merges.many(fresh)))
+        for piece, ws in zip(new, split):
+            known[piece] = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
+        return [known[p] for p in pieces]
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(column, "").cast(pa.large_string())
         odd = pc.match_substring_regex(texts, self.odd)
         lists = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
         coded = lists.flatten().dictionary_encode()
-        known = self.encoder.known
-        values = [known[p] for p in coded.dictionary.to_pylist()]
-        sizes = np.array([len(v) for v in values], np.int64)
-        table = np.array([i for v in values for i in v], np.uint32)
+        values = self._values(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        table = np.fromiter(chain.from_iterable(values), np.uint32, int(sizes.sum()))
         at = coded.indices.to_numpy()
         counts = sizes[at]
         ids = table[ranges((np.cumsum(sizes) - sizes)[at], counts)]
