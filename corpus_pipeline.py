@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileflow.llm.exact_dedup import content_hash, drop_copies
+from tileflow.llm.exact_dedup import drop_copies
 from tileflow.llm.folders import prepare, stored
 from tileflow.llm.jaccard_join import linked_groups
 from tileflow.llm.language_id import LETTER, UNKNOWN, identify
@@ -58,12 +58,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It is that with the smallest id, and a text with an id goes before those without. A row is known by its id and its
     text, so texts that share an id, or have none, are kept or dropped each for itself; rows equal in both stay or go
-    together. Texts without words are in no group and stay; an empty table stays empty.
+    together (64 bits of the text tell apart what shares an id). Texts without words are in no group and stay; an empty table stays empty.
     """
     prepare(spark)
-    none = F.col("doc_id").isNull().alias("none")
-    text = content_hash(F.coalesce("text", F.lit(""))).alias("text")
-    key = F.struct(none, F.coalesce("doc_id", F.lit(0)).alias("id"), text).alias("_key")
+    last = F.lit(2**63 - 1).cast("bigint")  # after all ids
+    key = F.struct(F.coalesce("doc_id", last).alias("id"), F.xxhash64("text").alias("text")).alias("_key")
     groups = linked_groups(docs.select(key, "text"), id_col="_key", size=5, percent=80)
     gone = groups.where("component_id <> _key").select("_key").distinct()
     return docs.select("*", key).join(stored(gone, "gone"), "_key", "left_anti").select(*docs.columns)
