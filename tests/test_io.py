@@ -227,3 +227,26 @@ def test_late_records_are_dropped(spark, tmp_path):
         run.awaitTermination()
     got = sorted((r.start.strftime("%H:%M"), r.interval_count) for r in spark.read.parquet(out).collect())
     assert got == [("10:00", 2), ("10:40", 1)]
+
+
+def test_hot_bucket_is_split_and_small_ones_are_one_file(spark, tmp_path):
+    """A third of the rows are in one bucket; it gets several files, every other bucket one."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "400k", "spark.sql.shuffle.partitions": "200"}
+    rows = spark.range(60_000).repartition(16).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 40 + 1).cast("int").alias("bucket"),
+        "id",
+        F.sha2(F.col("id").cast("string"), 512).alias("data"),
+    )
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        writers.write_bucketed_dirs(rows, str(tmp_path / "out"), "bucket")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "out").glob("bucket=*")}
+    hot = files.pop("bucket=0")
+    assert hot > 3 and len(files) == 40
+    assert sum(n == 1 for n in files.values()) >= 36  # but for those that share a partition with the hot one
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60_000

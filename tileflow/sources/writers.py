@@ -29,14 +29,19 @@ def write_parquet_by_key(df: DataFrame, path: str, files: int, key: str, salts:
     out.write.mode("overwrite").parquet(path)
 
 
-def write_bucketed_dirs(df: DataFrame, path: str, by: str | Sequence[str]) -> None:
+def write_bucketed_dirs(df: DataFrame, path: str, by: str | Sequence[str], spread: bool = True) -> None:
     """Write every bucket (``sample_id=3/``, ``grid=4x4/``) in one pass.
 
-    Only the buckets present in ``df`` are replaced, so a rerun of one bucket leaves the others.
+    Only the buckets present in ``df`` are replaced, so a rerun of one bucket leaves the others. Rows are first brought
+    together by bucket in tasks that Spark balances by their measured size: a small bucket is one file, unless it
+    shares a shuffle partition with a hot one, which is split into files of about
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``. ``spread=False`` leaves out that
+    shuffle, for rows that are already together; every task then writes a file for each bucket it holds.
     """
     keys = [by] if isinstance(by, str) else list(by)
+    rows = df.hint("rebalance", *keys) if spread else df
     (
-        df.write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)
         .parquet(path)
