@@ -5,9 +5,9 @@ in neighbouring ones; inside a band level the number of differing elements of a
 element domain is cut into parts by hash, and a set gives one signature per part (and per subset of its sub-parts
 for small k); linked sets share at least one signature by the pigeonhole principle. Equal sets are one class from
 the start. In each signature bucket all classes are first compared with the smallest one, its hub. Where such a
-comparison fails, the hub's candidates outside its largest group so far are queries: blocks of them are held in
-tasks, all candidates of the hub stream past, and only links between different groups come out. So no bucket is
-expanded into pairs, and no link that joins groups is lost. Sketches (parities of element counts) first rule out what
+comparison fails, the hub's candidates outside its largest group so far are queries: blocks of them, bounded in
+bytes, are held in tasks, all candidates of the hub stream past, and only links that join groups come out, fewer than
+there are groups. So no bucket is expanded into pairs, and no link that joins groups is lost. Sketches (parities of element counts) first rule out what
 cannot link; every link is checked on the whole sets.
 
 Sets are kept as 64-bit element hashes; equality of classes rests on a 64-bit hash of the set.
@@ -31,6 +31,7 @@ from tileflow.llm.folders import stored
 from tileflow.llm.words import U64, Texts, Words, fold, mix, parts, ranges, signed, windows
 
 _GOLD = 0x9E3779B97F4A7C15
+_ROOM = 8 << 20  # bytes of the sets, or of their sketches, that a block of queries holds
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,6 +292,46 @@ def _likely(percent: int):
     return run
 
 
+class _Block:
+    """Sizes, groups and sketches of the queries of a block; one more sketch is compared with all of them at once."""
+
+    def __init__(self, queries: list[tuple[int, int, int, bytes]], percent: int):
+        self.percent = percent
+        self.keys = [q[0] for q in queries]
+        self.place = np.array([q[1] for q in queries], np.int64)
+        self.n = np.array([q[2] for q in queries], np.int64)
+        lengths = np.array([len(q[3]) for q in queries])
+        self.drawn: dict[int, tuple[np.ndarray, dict[int, np.ndarray]]] = {}
+        for length in set(lengths.tolist()):
+            at = np.flatnonzero(lengths == length)
+            words = np.frombuffer(b"".join(queries[i][3] for i in at), U64).reshape(len(at), -1)
+            self.drawn[length] = at, {length: words}
+
+    def _folded(self, length: int, to: int) -> np.ndarray:
+        made = self.drawn[length][1]
+        if to not in made:
+            wide = self._folded(length, 2 * to)
+            half = wide.shape[1] // 2
+            made[to] = wide[:, :half] ^ wide[:, half:]
+        return made[to]
+
+    def likely(self, place: int, n: int, drawn: bytes) -> np.ndarray:
+        """Numbers of the queries of other groups that may link, as ``may_link`` says."""
+        found, own = [], {len(drawn): np.frombuffer(drawn, U64)}
+        for length, (at, _) in self.drawn.items():
+            m = self.n[at]
+            sized = (self.place[at] != place) & (100 * np.minimum(m, n) >= self.percent * np.maximum(m, n))
+            if not sized.any():
+                continue
+            to = min(length, len(drawn))
+            while to not in own:
+                least = own[min(own)]
+                own[min(own) // 2] = least[: len(least) // 2] ^ least[len(least) // 2 :]
+            apart = np.bitwise_count(self._folded(length, to)[sized] ^ own[to]).sum(axis=1, dtype=np.int64)
+            found.append(at[sized][apart <= (100 - self.percent) * (m[sized] + n) // (100 + self.percent)])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def _likely_across(percent: int):
     """Rows hub, block, part, role, key, place, n, sketch in the order of ``_cross``: hub and key of what may link.
 
@@ -298,34 +339,58 @@ def _likely_across(percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, queries, told = None, [], set()
+        now, queries, held, told = None, [], None, np.zeros(0, bool)
         for batch in batches:
             hubs, keys = [], []
             for hub, block, part, role, key, place, n, drawn in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if now != (hub, block, part):
-                    now, queries, told = (hub, block, part), [], set()
+                    now, queries, held = (hub, block, part), [], None
                 if not role:
-                    queries.append((key, place, (n, drawn)))
+                    queries.append((key, place, n, drawn))
+                    continue
+                if not queries:
                     continue
-                for other, group, own in queries:
-                    if group != place and may_link(own, (n, drawn), percent):
-                        new = [k for k in (other, key) if k not in told]
-                        told.update(new)
-                        hubs += [hub] * len(new)
-                        keys += new
+                if held is None:
+                    held, told = _Block(queries, percent), np.zeros(len(queries), bool)
+                met = held.likely(place, n, drawn)
+                if len(met):
+                    fresh = met[~told[met]]
+                    told[fresh] = True
+                    keys += [key, *(held.keys[i] for i in fresh)]
+                    hubs += [hub] * (1 + len(fresh))
             yield _emit({"hub": pa.array(hubs, pa.int64()), "key": pa.array(keys, pa.int64())})
 
     return run
 
 
+class _Forest:
+    """Which of the groups met so far have been joined."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Joins the groups of x and y; False if they are one already."""
+        x, y = self.root(x), self.root(y)
+        self.above[x] = y
+        return x != y
+
+
 def _cross(percent: int):
     """Rows hub, block, part, role, key, place, elements, sorted so that the queries (role 0) of a block come first.
 
-    Keeps one link (query, other) for each query and group (place) that the block meets.
+    Keeps the links (query, other) that join groups (places) not yet joined in the block, so there are fewer links
+    than groups.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, queries, index, done = None, [], None, set()
+        now, queries, index, joined = None, [], None, _Forest()
 
         def indexed() -> tuple[np.ndarray, np.ndarray]:
             owner = np.repeat(np.arange(len(queries)), [len(v) for _, _, v in queries])
@@ -338,7 +403,7 @@ def _cross(percent: int):
             for hub, block, part, role, key, place, elements in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 values = np.frombuffer(elements, U64)
                 if now != (hub, block, part):
-                    now, queries, index, done = (hub, block, part), [], None, set()
+                    now, queries, index, joined = (hub, block, part), [], None, _Forest()
                 if not role:
                     queries.append((key, place, values))
                     continue
@@ -352,8 +417,7 @@ def _cross(percent: int):
                 common = np.bincount(index[1][ranges(low, times)], minlength=len(queries))
                 for i in np.flatnonzero(100 * common >= percent * (sizes + len(values) - common)):
                     other, group, _ = queries[i]
-                    if group != place and (i, place) not in done:
-                        done.add((i, place))
+                    if joined.join(group, place):
                         a.append(other)
                         b.append(key)
             yield _emit({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -377,22 +441,32 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, slots: int = 16
     return stored(dealt.mapInArrow(_compare(percent), "a bigint, b bigint"), "links")
 
 
-def _across(pairs: DataFrame, groups: DataFrame, with_key: DataFrame, columns: list[str], block: int = 200) -> DataFrame:
+def _across(
+    pairs: DataFrame,
+    groups: DataFrame,
+    with_key: DataFrame,
+    columns: list[str],
+    classes: DataFrame,
+    width: float,
+    block: int | None = None,
+) -> DataFrame:
     """Rows hub, block, part, role, key, place and ``columns`` of ``with_key``, dealt and sorted for ``_cross``.
 
     The candidates of a hub outside its largest group are queries (role 0), in blocks; all its candidates (role 1)
-    meet every block. The hub itself has met them all.
+    meet every block. The hub itself has met them all. A block holds as many queries as fit into ``_ROOM`` bytes when
+    a set takes ``width`` bytes for each element of the hub (or ``block`` queries).
     """
     place = groups.select(F.col("node").alias("key"), F.col("component").alias("place"))
     family = stored(pairs.join(place, "key", "left").withColumn("place", F.coalesce("place", "key")), "family")
     sizes = family.groupBy("hub", "place").agg(F.count(F.lit(1)).alias("n"))
     largest = F.max(F.struct("n", "place"))
     hubs = sizes.groupBy("hub").agg(F.sum("n").alias("all"), largest.alias("most")).where("all > most.n")
-    hubs = hubs.select(
+    held = F.lit(block) if block else F.greatest(F.floor(_ROOM / (F.col("hub_n") * width + 100)), F.lit(1))
+    hubs = hubs.join(classes.select(F.col("key").alias("hub"), F.col("n").alias("hub_n")), "hub").select(
         "hub",
         F.col("most.place").alias("core"),
-        F.ceil((F.col("all") - F.col("most.n")) / block).cast("int").alias("blocks"),
-        F.ceil(F.col("all") / (10 * block)).cast("int").alias("parts"),
+        F.ceil((F.col("all") - F.col("most.n")) / held).cast("int").alias("blocks"),
+        F.ceil(F.col("all") / (4 * held)).cast("int").alias("parts"),
     )
     rows = family.join(stored(hubs, "hubs"), "hub")
 
@@ -464,10 +538,12 @@ def linked_groups(
     groups = stored(components(links), "components")
 
     ways = "hub bigint, key bigint"
-    rest = _across(pairs, groups, drawn, ["n", "sketch"]).mapInArrow(_likely_across(percent), ways)
+    # A hub and its candidates lie in two bands. A sketch has at most half a byte for each element of its set.
+    largest = (100 / percent) ** 2
+    rest = _across(pairs, groups, drawn, ["n", "sketch"], classes, largest / 2).mapInArrow(_likely_across(percent), ways)
     rest = stored(rest.distinct(), "rest")
     sets = _sets_of(stored(rest.select("key").distinct(), "keys"), with_id, classes, size)
-    met = _across(rest, groups, sets, ["elements"]).mapInArrow(_cross(percent), "a bigint, b bigint")
+    met = _across(rest, groups, sets, ["elements"], classes, largest * 8).mapInArrow(_cross(percent), "a bigint, b bigint")
     more = stored(met, "links")
     groups = stored(components(links.union(more)), "components")
 
