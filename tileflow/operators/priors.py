@@ -17,10 +17,18 @@ from tileflow.functions.vectors import (
     softmax,
     top_entries,
 )
+from tileflow.operators.group_sums import plain_keys, sums_by_group
 
 
 def mean_vector_by_group(df: DataFrame, keys: Sequence[str], vec: str, out: str = "mean_vector") -> DataFrame:
-    """Element-wise mean of a group's vectors, added up in every task before the shuffle."""
+    """Element-wise mean of a group's vectors, added up in every task before the shuffle.
+
+    Null vectors do not count; a group of null vectors only has no mean.
+    """
+    if plain_keys(df, keys):
+        sums = sums_by_group(df, keys, F.col(vec))
+        mean = F.when(F.col("n") > 0, F.transform("total", lambda x: x / F.col("n")))
+        return sums.select(*keys, mean.alias(out))
     mean = Summarizer.mean(array_to_vector(doubles(F.col(vec))))
     return df.groupBy(*keys).agg(vector_to_array(mean).alias(out))
 
