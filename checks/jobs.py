@@ -316,11 +316,31 @@ def three_valued(spark, d):
   s as (select s_suppkey, unnest([s_nationkey, (s_nationkey + 1) % 25]) h from supplier)
   select c_custkey plot, count(distinct s_suppkey) n, sum(distinct s_suppkey)::bigint total from h join s using (h) group by 1""")
 def candidates(spark, d):
+    plots, species = habitat_tables(spark, d)
+    out = records.candidates_by_habitat(plots, species, "plot", "s_suppkey", "habitats")
+    return out.groupBy("plot").agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("total"))
+
+
+def habitat_tables(spark, d):
     plots = v.table(spark, d, "customer").select(
         F.col("c_custkey").alias("plot"), F.array("c_nationkey", (F.col("c_nationkey") + 5) % 25).alias("habitats"))
     species = v.table(spark, d, "supplier").select("s_suppkey", F.array("s_nationkey", (F.col("s_nationkey") + 1) % 25).alias("habitats"))
-    out = records.candidates_by_habitat(plots, species, "plot", "s_suppkey", "habitats")
-    return out.groupBy("plot").agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("total"))
+    return plots, species
+
+
+@query("rec04_candidates_by_habitat_set", """with p as (select list_sort([c_nationkey, (c_nationkey + 5) % 25]) hs, count(*) plots from customer group by 1),
+  sets as (select row_number() over (order by hs) - 1 set_id, * from p),
+  h as (select set_id, plots, unnest(hs) h from sets),
+  s as (select s_suppkey, unnest([s_nationkey, (s_nationkey + 1) % 25]) h from supplier)
+  select set_id, plots, count(distinct s_suppkey) n, coalesce(sum(distinct s_suppkey), 0)::bigint total
+  from h left join s using (h) group by all""")
+def candidate_sets(spark, d):
+    plots, species = habitat_tables(spark, d)
+    sets, members = records.habitat_sets(plots, "plot", "habitats")
+    found = records.candidates_by_set(sets, species, "s_suppkey", "habitats")
+    of_set = found.groupBy("set_id").agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("total"))
+    counted = members.groupBy("set_id").agg(F.count("*").alias("plots"))
+    return counted.join(of_set, "set_id", "left").fillna(0, ["n", "total"])
 
 
 @query("rec05_missing_batches", "select doc_id from documents where doc_id not in (select doc_id from labels)")

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tileflow.operators.numbering import dense_row_id
+from tileflow.sources.tables import settle
+
 # Fields of a species filter response (the answers may be null = not known).
 FILTER_SCHEMA = (
     "species_id int, scientific_name string, filter_is_vascular boolean, filter_is_quadrat_relevant boolean, "
@@ -102,17 +105,35 @@ def three_valued_filter(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumn("rejected", ~keep)
 
 
+def habitat_sets(plots: DataFrame, plot: str, habitats: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct habitat sets, ``set_id, <habitats>`` (sorted), and the plots with theirs, ``<plot>, set_id``.
+
+    Sets are numbered from 0 in their order; an empty set is one. Plots without habitats (null) have no ``set_id``.
+    """
+    rows = plots.select(plot, F.array_sort(F.array_distinct(habitats)).alias("_set"))
+    distinct = rows.where("_set is not null").select("_set").distinct()
+    sets = settle(dense_row_id(distinct, ["_set"], "set_id"), "sets")
+    members = rows.join(sets, "_set", "left").select(plot, "set_id")
+    return sets.select("set_id", F.col("_set").alias(habitats)), members
+
+
+def candidates_by_set(sets: DataFrame, species: DataFrame, item: str, habitats: str) -> DataFrame:
+    """Species that share at least one habitat with a set: ``set_id, <item>``, each once.
+
+    With ``habitat_sets`` this is the whole answer in sets x species rows; plots join it by ``set_id``.
+    """
+    wanted = sets.select("set_id", F.explode(habitats).alias("_h"))
+    offered = species.select(item, F.explode(habitats).alias("_h")).distinct()
+    return wanted.join(offered, "_h").select("set_id", item).distinct()
+
+
 def candidates_by_habitat(plots: DataFrame, species: DataFrame, plot: str, item: str, habitats: str) -> DataFrame:
     """Species that share at least one habitat with a plot: ``plot, item``.
 
-    Habitat sets are joined once per distinct set, not once per plot.
+    The pairs written out; ``habitat_sets`` and ``candidates_by_set`` hold the same in far fewer rows.
     """
-    sets = plots.select(F.array_sort(F.array_distinct(habitats)).alias("_set")).distinct()
-    wanted = sets.select("_set", F.explode("_set").alias("_h"))
-    offered = species.select(item, F.explode(habitats).alias("_h")).distinct()
-    matches = wanted.join(offered, "_h").select("_set", item).distinct()
-    named = plots.select(plot, F.array_sort(F.array_distinct(habitats)).alias("_set"))
-    return named.join(matches, "_set").select(plot, item).distinct()
+    sets, members = habitat_sets(plots, plot, habitats)
+    return members.join(candidates_by_set(sets, species, item, habitats), "set_id").select(plot, item).distinct()
 
 
 def missing_batches(batches: DataFrame, outputs: DataFrame, on: str) -> DataFrame:
