@@ -45,6 +45,14 @@ def batch_scorer_saved(spark, d):
     return out.select("vec_id", F.posexplode("o.logits").alias("class_idx", "logit")).withColumn("logit", F.round("logit", 5))
 
 
+@query("ml01_batch_scorer_float", f"with {LOGITS} select vec_id, class_idx, l::float::double logit from logit")
+def batch_scorer_float(spark, d):
+    scorer = scoring.BatchScorer(
+        inputCol="embedding", outputCol="o", modelPath=json.dumps(WEIGHTS), inputWidth=64, outputType="float")
+    out = scorer.transform(v.tiles(spark, d)).select("vec_id", F.posexplode("o.logits").alias("class_idx", "logit"))
+    return out.withColumn("logit", F.col("logit").cast("double"))
+
+
 COLOUR = "tileflow.operators.scoring:colour_scorer"
 
 

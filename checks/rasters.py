@@ -8,7 +8,7 @@ from checks import views as v
 from checks.registry import query
 from tileflow.operators import counting, detections as det, raster
 from tileflow.operators.joins import join_mask_image
-from tileflow.plans import masks as mask_plans
+from tileflow.plans import ingest, masks as mask_plans, morphology
 from tileflow.sources import readers, writers
 from tileflow.sources.tables import new_path, settle
 
@@ -465,3 +465,63 @@ def filter_by_mask_grids(spark, d):
     path = new_path(spark, "filtered")
     writers.write_bucketed_dirs(mask_plans.filter_by_mask_grids(e, wide_masks(spark, d), (2, 3)), path, "grid")
     return readers.scan_parquet(spark, path).withColumn("pct_covered", F.round("pct_covered", 6))
+
+
+@query("ras16_detection_chunks", f"""with {DET}, k as (select * from det where contains("label", 'leaves') or contains("label", 'plant')),
+  n as (select *, (row_number() over (partition by image_name order by score desc, det_id, x0, y0, x1, y1) - 1) // 2 chunk from k)
+  select image_name, chunk, string_agg("label", ',' order by score desc, det_id) labels,
+    string_agg(x0 || ' ' || y0 || ' ' || x1 || ' ' || y1, ',' order by score desc, det_id) boxes from n group by 1, 2""")
+def detection_chunks(spark, d):
+    rows = det.positive_labels(detections(spark, d)).withColumn("data", F.lit(None).cast("binary"))
+    out = det.detection_chunks(rows, size=2)
+    boxes = F.transform("boxes", lambda b: F.array_join(b.cast("array<string>"), " "))
+    return out.select("image_name", "chunk", F.array_join("text_labels", ",").alias("labels"), F.array_join(boxes, ",").alias("boxes"))
+
+
+@query("ras10_snk03_profile_masks", RADIUS1)
+def profile_masks(spark, d):
+    """The job over buckets: a second call finds nothing to do, what it wrote is read back."""
+    path = new_path(spark, "profiles")
+    run = [morphology.profile_masks(wide_masks(spark, d), path, buckets=4, maximum=1, step=1) for _ in range(2)]
+    assert run == [[0, 1, 2, 3], []]
+    out = spark.read.parquet(path).drop("sample_id")
+    long = out.unpivot(["image_name"], [c for c in out.columns if c != "image_name"], "mask_type", "stats")
+    means = ("opening_mean", "closing_mean", "opening_closing_mean")
+    return long.select("image_name", F.replace("mask_type", F.lit("_stats"), F.lit("")).alias("mask_type"), F.inline("stats")).select(
+        "image_name", "mask_type", "iteration", *[F.round(c, 6).alias(c) for c in means])
+
+
+def ingest_inputs(spark, d):
+    """The images as files and a metadata file in which names repeat and some have no image."""
+    line = v.table(spark, d, "lineitem").where("l_suppkey % 3 > 0")
+    name = F.concat(F.lit("m"), (F.col("l_suppkey") + F.col("l_linenumber")).cast("string"), F.lit(".bmp"))
+    meta = line.select(name.alias("image_name"), F.col("l_partkey").cast("int").alias("species_id"), F.col("l_returnflag").alias("organ"))
+    folder, table = new_path(spark, "bitmaps").removeprefix("file:"), new_path(spark, "meta")
+    write_bitmaps(spark, d, folder)
+    meta.write.csv(table, header=True, sep=";")
+    return folder, table, "image_name string, species_id int, organ string"
+
+
+INGEST_META = """meta as (select 'm' || (l_suppkey + l_linenumber) || '.bmp' image_name, l_partkey::int species_id, l_returnflag organ
+  from lineitem where l_suppkey % 3 > 0), file as (select 'm' || s_suppkey || '.bmp' image_name from supplier)"""
+
+
+@query("src01_jon01_ingest_folder", f"""with {INGEST_META}, pick as (select * from meta qualify row_number() over
+  (partition by image_name order by species_id, organ) = 1)
+  select image_name, '/' || image_name path, species_id, organ, 54 + {H} * ({W} * 3 + (-{W} * 3) % 4 + 4 * ((({W} * 3) % 4) > 0)::int) bytes
+  from file join pick using (image_name)""")
+def ingest_folder(spark, d):
+    folder, table, schema = ingest_inputs(spark, d)
+    out = ingest.ingest_folder(spark, folder, table, schema, new_path(spark, "images"), "*.bmp", base=folder)
+    return out.select("image_name", "path", "species_id", "organ", F.length("data").alias("bytes"))
+
+
+@query("src01_jon01_ingest_report", f"""with {INGEST_META}, m as (select image_name, count(*) n from meta group by 1)
+  select count(f.image_name) files, count(f.image_name) "names", count(*) filter (where n > 0 and f.image_name is not null) with_metadata,
+    count(*) filter (where n is null) without_metadata, coalesce(sum(n), 0)::bigint metadata_rows,
+    coalesce(sum(n - 1), 0)::bigint repeated_rows, count(*) filter (where f.image_name is null) without_file
+  from file f full join m using (image_name)""")
+def ingest_report(spark, d):
+    folder, table, schema = ingest_inputs(spark, d)
+    files = readers.image_table(readers.scan_binary_dir(spark, folder, "*.bmp"))
+    return ingest.ingest_report(files, readers.scan_metadata_csv(spark, table, schema))

@@ -317,6 +317,14 @@ def group_list(spark, d):
     return counting.group_list(regions(spark, d), "cluster", "region").withColumn("items", F.array_join("items", ","))
 
 
+@query("agg20_group_list_chunks", REG + """, d as (select distinct region, quadrat_id from reg where quadrat_id is not null),
+  n as (select *, (row_number() over (partition by region order by quadrat_id) - 1) // 7 chunk from d)
+  select region, chunk, string_agg(quadrat_id, ',' order by quadrat_id) items from n group by 1, 2""")
+def group_list_chunks(spark, d):
+    out = counting.group_list_chunks(regions(spark, d), "region", "quadrat_id", size=7)
+    return out.withColumn("items", F.array_join("items", ","))
+
+
 @query("str07_unmatched_regions", REG + " select count(*) filter (where region = '') unmatched, count(*) \"rows\" from reg")
 def unmatched(spark, d):
     return counting.unmatched_regions(regions(spark, d), "region")

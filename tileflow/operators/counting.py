@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tileflow.operators.numbering import bounded_chunks
 from tileflow.operators.quantiles import exact_percentiles, group_key
 from tileflow.sources.tables import settle
 
@@ -136,6 +137,19 @@ def group_list(df: DataFrame, group: str, item: str, distinct: bool = True) -> D
     return rows.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
+def group_list_chunks(
+    df: DataFrame, group: str, item: str, distinct: bool = True, size: int = 10_000
+) -> DataFrame:
+    """``group_list`` for groups of any size: ``group, chunk, items``, at most ``size`` members in a row.
+
+    Chunks are numbered from 0 and the members are sorted across them. Nulls are no members; a group without members
+    has no row.
+    """
+    rows = df.select(group, item).where(F.col(item).isNotNull())
+    rows = bounded_chunks(rows.distinct() if distinct else rows, [group], [item], size)
+    return rows.groupBy(group, "chunk").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
 def crosstab_zero_filled(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
     """Counts of ``row`` x ``column`` with 0 for absent pairs; ``values`` are the columns wanted."""
     return df.groupBy(row).pivot(column, list(values)).count().na.fill(0)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tileflow.operators.numbering import top_rows
+from tileflow.operators.numbering import bounded_chunks, top_rows
 from tileflow.sources.tables import settle
 
 # Words that mark a detection as a plant, and the detector's cut-offs.
@@ -140,13 +140,12 @@ def crop_boxes(images: DataFrame, detections: DataFrame, together: int = 256) ->
     return cut.select("box.*", "crop.*")
 
 
-def detection_arrays(df: DataFrame) -> DataFrame:
-    """Detection rows -> one row per image with parallel arrays, best score first."""
+def _parallel_arrays(df: DataFrame, *keys: str) -> DataFrame:
     entry = F.struct((-F.col("score")).alias("neg"), "det_id", "x0", "y0", "x1", "y1", "label", "data")
-    lists = df.groupBy("image_name").agg(F.array_sort(F.collect_list(entry)).alias("_d"))
+    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_d"))
     corners = ("x0", "y0", "x1", "y1")
     return lists.select(
-        "image_name",
+        *keys,
         F.transform("_d", lambda e: e["data"]).alias("extracted_bbox"),
         F.transform("_d", lambda e: F.array(*[e[c].cast("int") for c in corners])).alias("boxes"),
         F.transform("_d", lambda e: -e["neg"]).alias("scores"),
@@ -154,6 +153,20 @@ def detection_arrays(df: DataFrame) -> DataFrame:
     )
 
 
+def detection_arrays(df: DataFrame) -> DataFrame:
+    """Detection rows -> one row per image with parallel arrays, best score first."""
+    return _parallel_arrays(df, "image_name")
+
+
+def detection_chunks(df: DataFrame, size: int = 1000, most: int = 64 << 20) -> DataFrame:
+    """The same in rows ``image_name, chunk, ...`` of at most ``size`` boxes and about ``most`` bytes of crops.
+
+    Scores fall from chunk to chunk as inside one. So an image may have any number of boxes.
+    """
+    order = [F.desc("score"), "det_id", "x0", "y0", "x1", "y1"]
+    return _parallel_arrays(bounded_chunks(df, ["image_name"], order, size, F.length("data"), most), "image_name", "chunk")
+
+
 def detect(
     images: DataFrame, make_detector: Callable[[], Callable], score: float = BOX_THRESHOLD, iou: float = NMS_THRESHOLD,
     words: Sequence[str] = POSITIVE_WORDS,

@@ -51,6 +51,45 @@ def fixed_batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     return rows.withColumn("batch", F.floor(F.col("_id") / size)).drop("_id")
 
 
+def bounded_chunks(
+    df: DataFrame, key: Sequence[str], order: Sequence[Column | str], size: int = 10_000,
+    weight: Column | None = None, most: int = 64 << 20, name: str = "chunk",
+) -> DataFrame:
+    """Cut each key's rows, in a stated order, into chunks 0, 1, ... of at most ``size`` rows.
+
+    With ``weight`` (the bytes of a row, say) a chunk ends once its rows reach ``most``, so it weighs at most that plus
+    its last row. Keys with more than ``size`` rows are numbered by a parallel sort; no task holds a key as a whole. A
+    null key is a key like others, and a null weight is 0.
+    """
+    rows = df.withColumn("_group", F.struct(*key))
+    counts = rows.groupBy("_group").agg(F.count("*").alias("_n"))
+    crowded = settle(counts.where(F.col("_n") > size).select("_group"), "crowded")
+    none = crowded.isEmpty()
+    few = rows if none else rows.join(crowded, "_group", "left_anti")
+    few = few.withColumn("_block", F.lit(0).cast("bigint"))
+    if weight is not None:
+        run = W.partitionBy("_group", "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        stretch = F.floor(F.coalesce(F.sum(F.coalesce(weight, F.lit(0))).over(run), F.lit(0)) / most)
+        within = F.dense_rank().over(W.partitionBy("_group", "_block").orderBy("_stretch")).cast("bigint") - 1
+    else:
+        stretch, within = F.lit(0), F.lit(0).cast("bigint")
+
+    def cut(part: DataFrame) -> DataFrame:
+        return part.withColumn("_stretch", stretch).withColumn("_within", within).drop("_stretch")
+
+    out = cut(few).withColumn(name, F.col("_within"))
+    if not none:
+        many = row_number_by_key(rows.join(crowded, "_group", "left_semi").drop("_group"), key, order, "_n")
+        block = F.floor((F.col("_n") - 1) / size).cast("bigint")
+        many = settle(cut(many.withColumn("_group", F.struct(*key)).withColumn("_block", block)), "blocks")
+        blocks = many.groupBy("_group", "_block").agg((F.max("_within") + 1).alias("_chunks"))
+        start = F.sum("_chunks").over(W.partitionBy("_group").orderBy("_block")) - F.col("_chunks")
+        starts = blocks.select("_group", "_block", start.alias("_start"))  # a row for ``size`` rows
+        many = many.join(starts, ["_group", "_block"]).withColumn(name, F.col("_start") + F.col("_within"))
+        out = out.select(*df.columns, name).unionByName(many.select(*df.columns, name))
+    return out.select(*df.columns, name)
+
+
 def top_rows(
     df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank"
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EMBEDDING = "struct<cls_token: array<double>, logits: array<double>>"
+EMBEDDING = "struct<cls_token: array<{0}>, logits: array<{0}>>"
 
 Predict = Callable[[np.ndarray], dict[str, np.ndarray]]
 
@@ -60,6 +60,7 @@ class BatchScorer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
 
     ``scorer`` names a factory as ``module:function``; the factory gets ``modelPath`` and ``modelName``,
     is called once per Python worker and returns ``f(batch) -> {"cls_token": ..., "logits": ...}``.
+    ``outputType`` is the type of their numbers: ``double``, or ``float``, which takes half the bytes.
     """
 
     scorer = Param(Params._dummy(), "scorer", "factory as module:function", TypeConverters.toString)
@@ -67,16 +68,17 @@ class BatchScorer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
     modelName = Param(Params._dummy(), "modelName", "which model it is", TypeConverters.toString)
     batchSize = Param(Params._dummy(), "batchSize", "rows per model call", TypeConverters.toInt)
     inputWidth = Param(Params._dummy(), "inputWidth", "length of input vectors, 0 for binaries", TypeConverters.toInt)
+    outputType = Param(Params._dummy(), "outputType", "float or double", TypeConverters.toString)
 
     @keyword_only
     def __init__(
         self, *, inputCol=None, outputCol=None, scorer=None, modelPath=None, modelName=None, batchSize=None,
-        inputWidth=None,
+        inputWidth=None, outputType=None,
     ):
         super().__init__()
         self._setDefault(
             inputCol="input", outputCol="output", scorer="tileflow.operators.scoring:linear_scorer",
-            modelPath="", modelName="", batchSize=32, inputWidth=0,
+            modelPath="", modelName="", batchSize=32, inputWidth=0, outputType="double",
         )
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
@@ -84,10 +86,12 @@ class BatchScorer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         column = self.getInputCol()
         factory = _load(self.getOrDefault(self.scorer))
         path, name = self.getOrDefault(self.modelPath), self.getOrDefault(self.modelName)
-        width = self.getOrDefault(self.inputWidth)
+        width, kind = self.getOrDefault(self.inputWidth), self.getOrDefault(self.outputType)
+        if kind not in ("float", "double"):
+            raise ValueError(f"outputType is float or double, not {kind!r}")
         score = predict_batch_udf(
             lambda: factory(path, name),
-            return_type=T._parse_datatype_string(EMBEDDING),
+            return_type=T._parse_datatype_string(EMBEDDING.format(kind)),
             batch_size=self.getOrDefault(self.batchSize),
             input_tensor_shapes=[[width]] if width else None,
         )
