@@ -53,6 +53,21 @@ def test_percentiles_with_extreme_values(spark):
     assert [row[f"q{i}"] for i in range(15)] == [disc(values[:15], p) for p in points]
 
 
+@pytest.mark.parametrize("miss", [False, True])
+def test_percentiles_by_a_rough_sketch(spark, monkeypatch, miss):
+    """A sketch that is off by a hundredth of the rows, and brackets that miss, give the same values."""
+    n = 60_000
+    x = (F.col("id") * 7919 % n / 3).cast("double")
+    df = spark.range(n).repartition(5).select((F.col("id") % 3 == 0).alias("key"), F.when(F.col("id") % 10 == 1, 7.0).otherwise(x).alias("x"))
+    if miss:
+        made = quantiles._brackets
+        monkeypatch.setattr(quantiles, "_brackets", lambda *a: made(*a).withColumn("high", F.col("low")))
+    points = [0.001, 0.3, 0.5, 0.999]
+    got = {r["_group"]["key"]: [r[f"q{i}"] for i in range(4)] for r in quantiles.exact_percentiles(df, ["key"], "x", points, 100, 100).collect()}
+    values = {k: [7.0 if i % 10 == 1 else i * 7919 % n / 3 for i in range(n) if (i % 3 == 0) == k] for k in (False, True)}
+    assert got == {k: [disc(v, p) for p in points] for k, v in values.items()}
+
+
 @pytest.mark.parametrize("gather", [50, 10_000])
 def test_threshold_by_group(spark, skewed, gather):
     df, rows = skewed

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tileflow.operators.numbering import bounded_chunks
 from tileflow.operators.quantiles import exact_percentiles, group_key
-from tileflow.sources.tables import settle
 
 
 def count_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -72,8 +71,8 @@ def describe_cols(
 ) -> DataFrame:
     """Count, mean, deviation, extremes and quantiles per column, overall or per group.
 
-    Quantiles are exact; with ``accuracy`` they are approximate (rank off by at most rows / accuracy)
-    and all columns take one pass.
+    Quantiles are exact, and ``df`` is read up to four times, so pass a table that is cheap to read; with ``accuracy``
+    they are approximate (rank off by at most rows / accuracy) and all columns take one pass.
     """
     aggs: list[Column] = []
     for c in cols:
@@ -93,7 +92,7 @@ def describe_cols(
             out = out.withColumns({f"{c}_{n}": F.col(f"_{c}_q")[i] for i, n in enumerate(names)}).drop(f"_{c}_q")
     else:  # all columns at once: the column's name is part of the group
         values = [F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols]
-        long = settle(df.select(*by, F.explode(F.array(*values)).alias("_e")).select(*by, "_e.*"), "values")
+        long = df.select(*by, F.explode(F.array(*values)).alias("_e")).select(*by, "_e.*")
         found = exact_percentiles(long, [*by, "_col"], "_x", quantiles)
         wide = [
             F.max(F.when(F.col("_group._col") == c, F.col(f"q{i}"))).alias(f"{c}_{n}")

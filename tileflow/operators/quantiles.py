@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +11,7 @@ from pyspark.sql import Window as W
 from tileflow.sources.tables import settle
 
 GATHER = 100_000  # values that one aggregate may hold
-BINS = 4096
-_LARGEST = sys.float_info.max
+ACCURACY = 100_000  # of the sketch that brackets a rank
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -32,16 +30,51 @@ def share_rank(p: Column | float, n: Column) -> Column:
     return F.greatest(F.ceil(F.round(exact, 9)), F.lit(1)).cast("bigint")
 
 
+def _brackets(large: DataFrame, rows: DataFrame, points: Sequence[float], accuracy: int) -> DataFrame:
+    """``_group, i, rank, low, high``: a range of values around each point, by a sketch that tasks fill and Spark merges.
+
+    The sketch is off by at most a share 1 / accuracy of the rows, so two shares on either side leave room.
+    """
+    margin = 2 / accuracy
+    shares = sorted({min(max(p + d, 0.0), 1.0) for p in points for d in (-margin, margin)})
+    sketch = F.percentile_approx("x", shares, accuracy).alias("sketch")
+    found = rows.join(large.select("_group"), "_group").groupBy("_group").agg(sketch).join(large, "_group")
+
+    def bracket(i: int, p: float) -> Column:
+        low = F.col("sketch")[shares.index(p - margin)] if p > margin else F.col("low")
+        high = F.col("sketch")[shares.index(p + margin)] if p + margin < 1 else F.col("high")
+        return F.struct(F.lit(i).alias("i"), share_rank(p, F.col("n")).alias("rank"), low.alias("low"), high.alias("high"))
+
+    return found.select("_group", F.inline(F.array(*[bracket(i, float(p)) for i, p in enumerate(points)])))
+
+
+def _ranked(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    """``_group, i, q``: the value of the wanted rank, or no row where it is not inside the bracket.
+
+    One pass counts the rows below each bracket and the values inside; tasks count before the shuffle, so a bracket
+    costs as many rows as it has different values.
+    """
+    sides = F.collect_list(F.struct("i", "rank", "low", "high")).alias("sides")  # one for each point
+    met = rows.join(brackets.groupBy("_group").agg(sides), "_group")
+    met = met.select("_group", "x", F.explode(F.filter("sides", lambda b: F.col("x") <= b["high"])).alias("b"))
+    inside = F.when(F.col("x") >= F.col("b.low"), F.col("x"))
+    counts = met.groupBy("_group", "b.i", "b.rank", inside.alias("q")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("_group", "i").orderBy(F.asc_nulls_first("q")))
+    placed = counts.withColumn("upto", upto).where("q is not null and rank <= upto and rank > upto - n")
+    return settle(placed.select("_group", "i", "q"), "ranked")
+
+
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], gather: int = GATHER
+    df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], gather: int = GATHER, accuracy: int = ACCURACY
 ) -> DataFrame:
     """``_group, q0, q1, ...``: per group the smallest value whose rank reaches each point's share.
 
-    ``_group`` is ``group_key(by)``. Groups of up to ``gather`` rows are sorted as one array. For larger
-    ones every round counts rows in equal-width bins of the range that still holds the wanted rank and
-    goes on inside one bin, until few rows (or one single value) are left. Values keep their type; doubles
-    only choose the bin. Nulls and nan do not count, whatever the size of a group. The rows are read more
-    than once, so pass a settled table.
+    ``_group`` is ``group_key(by)``. Groups of up to ``gather`` rows are sorted as one array. In larger ones a mergeable
+    sketch brackets each wanted rank, and an exact count of what lies below and inside the bracket finds the value, so
+    there are three passes over the rows whatever the size of a group. A bracket holds about 4 / ``accuracy`` of its
+    group's values; should one miss its rank, which the count shows, that point is counted over the whole group.
+    Values keep their type. Nulls and nan do not count, whatever the size of a group. The rows are read more than
+    once, so pass a table that is cheap to read, a settled one say.
     """
     rows = df.select(group_key(by).alias("_group"), F.col(value).alias("x")).where(countable("x"))
     sizes = rows.groupBy("_group").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
@@ -61,39 +94,11 @@ def exact_percentiles(
     if few:
         return simple
 
-    wanted = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)])
-    )
-    rank = share_rank(F.col("_p.p"), F.col("n")).alias("rank")
-    state = large.withColumn("_p", wanted).select("_group", "_p.i", rank, "low", "high", "n")
-    unsettled = (F.col("n") > gather) & (F.col("low") < F.col("high"))
-    state = settle(state, "ranks")
-    while not state.where(unsettled).isEmpty():
-        inside = rows.join(state.where(unsettled), "_group").where(F.col("x").between(F.col("low"), F.col("high")))
-        # infinite ends are cut to the largest number; BINS is a power of two, so the width is exact
-        low, high = (
-            F.greatest(F.least(F.col(c).cast("double"), F.lit(_LARGEST)), F.lit(-_LARGEST)) for c in ("low", "high")
-        )
-        width = high / BINS - low / BINS
-        # a range too narrow for a width is split into its lowest value and the rest
-        narrow = F.when(F.col("x") > F.col("low"), F.lit(BINS - 1)).otherwise(F.lit(0))
-        place = F.least(F.coalesce(F.floor(F.try_divide(F.col("x").cast("double") - low, width)), narrow), F.lit(BINS - 1))
-        bins = inside.groupBy("_group", "i", "rank", place.alias("bin")).agg(
-            F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")
-        )
-        upto = F.sum("n").over(W.partitionBy("_group", "i").orderBy("bin"))  # at most BINS rows each
-        hit = (
-            bins.withColumn("upto", upto)
-            .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-            .select("_group", "i", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "low", "high", "n")
-        )
-        state = settle(state.where(~unsettled).unionByName(hit), "ranks")
-
-    spread = F.col("low") < F.col("high")
-    rest = rows.join(state.where(spread), "_group").where(F.col("x").between(F.col("low"), F.col("high")))
-    picked = rest.groupBy("_group", "i", "rank").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    found = picked.select("_group", "i", F.element_at("xs", F.col("rank").cast("int")).alias("q")).unionByName(
-        state.where(~spread).select("_group", "i", F.col("low").alias("q"))
-    )
+    brackets = settle(_brackets(large, rows, points, accuracy), "brackets")
+    found = _ranked(rows, brackets)
+    missed = settle(brackets.join(found, ["_group", "i"], "left_anti"), "missed")
+    if not missed.isEmpty():
+        whole = missed.drop("low", "high").join(large.select("_group", "low", "high"), "_group")
+        found = found.unionByName(_ranked(rows, whole))
     columns = [F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
     return simple.unionByName(found.groupBy("_group").agg(*columns))
