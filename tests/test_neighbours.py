@@ -137,3 +137,20 @@ def test_distance_table_in_parts(spark, data, score, top):
     if top is None and score in ("cosine_softmax", "inv_sq_distance"):
         for q_id in range(len(queries)):
             assert sum(s for i, _, s in a if i == q_id) == pytest.approx(1)
+
+
+def test_copied_blocks_are_not_broadcast(spark, data):
+    """Copies of blocks make join keys for many tasks; they stay in proportion to the queries and out of the driver."""
+    queries, index = data
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        found = nn.knn_exact(table(spark, queries), table(spark, index), 3, "id", "id", "v", pivots=2)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "split" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+        assert found.count() == 180
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert nn._copies(n_slots=2, tasks=200, n_queries=10_256, n_vectors=10_256, vector_bytes=256) == 11
+    assert nn._copies(n_slots=25, tasks=200, n_queries=10**5, n_vectors=10**9, vector_bytes=256) == 1

@@ -35,6 +35,7 @@ _KEYS_PER_TASK = 4  # join keys wanted per task
 _OPEN_PACKS = 64  # packs of queries whose best neighbours a task holds
 _SLICE_ROWS = 512  # queries compared with a block at a time
 _SLOT_BLOCKS = 16  # blocks of one cell that share a join key
+_COPY_BYTES = 256 << 20  # copies of an index's blocks that may be made for more join keys
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -452,15 +453,28 @@ def _packs(rows: DataFrame, key: str, extra: dict[str, str], width: int, dtype:
     return rows.hint("rebalance", key).mapInPandas(gather, schema)
 
 
-def _met(index: VectorIndex, packs: DataFrame, columns: list[str]) -> DataFrame:
+def _copies(n_slots: int, tasks: int, n_queries: int, n_vectors: int, vector_bytes: int) -> int:
+    """How many times the blocks of an index of ``n_slots`` join keys are copied.
+
+    As often as gives several keys to every task, but not more often than one slot has packs of queries, and no more
+    bytes than ``_COPY_BYTES`` or, with many queries, than they have.
+    """
+    packs = -(-n_queries // _PACK_ROWS)
+    room = max(_COPY_BYTES, n_queries * vector_bytes) // max(1, n_vectors * vector_bytes)
+    return max(1, min(-(-_KEYS_PER_TASK * tasks // n_slots), packs, room))
+
+
+def _met(index: VectorIndex, packs: DataFrame, columns: list[str], n_queries: int) -> DataFrame:
     """Packs beside the blocks of their lower pivot.
 
     Blocks of a hot pivot are split into slots; a pack goes to every slot. Where there are few slots, the packs of a
-    slot are split too and its blocks copied, so that there are several times as many join keys as tasks.
+    slot are split too and its blocks copied (``_copies``), so that there are several times as many join keys as tasks.
+    Spark's estimate of the copied side leaves the copies out, so the join is asked to merge: neither side is broadcast.
     """
     spark = packs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    splits = max(1, -(-_KEYS_PER_TASK * tasks // index.n_slots))
+    vector_bytes = len(index.books) if "codes" in columns else index.centres.shape[1] * np.dtype(index.dtype).itemsize
+    splits = _copies(index.n_slots, tasks, n_queries, int(index.held.sum()), vector_bytes)
     blocks = index.blocks.select("leaf", *columns, F.xxhash64("block").alias("lot"))
     if index.n_slots > index.n_leaves:
         known = index.leaves.select(F.explode(F.arrays_zip("leaf", "slots")).alias("z")).select("z.leaf", "z.slots")
@@ -470,10 +484,10 @@ def _met(index: VectorIndex, packs: DataFrame, columns: list[str]) -> DataFrame:
         blocks, packs = blocks.withColumn("slot", F.lit(0)), packs.withColumn("slot", F.lit(0))
     packs = packs.withColumn("split", F.pmod(F.xxhash64("q_ids"), F.lit(splits)).cast("int")).drop("slots")
     blocks = blocks.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).drop("lot")
-    return packs.join(blocks, ["leaf", "slot", "split"])
+    return packs.join(blocks.hint("merge"), ["leaf", "slot", "split"])
 
 
-def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, coded: bool = False) -> DataFrame:
+def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, n_queries: int, coded: bool = False) -> DataFrame:
     """The k best in each lower pivot for the query rows of ``_route``: ``query_id, nn_id, distance, leaf``.
 
     ``coded`` reads the codes instead of the vectors; ``nn_id`` is then the block's number and the place in it.
@@ -518,7 +532,7 @@ def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, coded: boo
             yield close(key)
 
     packs = _packs(rows, "leaf", {"slots": "int", "bound": "double"}, width, dtype)
-    pairs = _met(index, packs, ["block", "n", "codes"] if coded else ["ids", "data"])
+    pairs = _met(index, packs, ["block", "n", "codes"] if coded else ["ids", "data"], n_queries)
     return pairs.mapInPandas(nearest_in_pairs, f"query_id {query_type}, nn_id {id_type}, distance double, leaf bigint")
 
 
@@ -529,17 +543,17 @@ def _queries(queries: DataFrame, id_col: str, vec: str) -> DataFrame:
 
 def _search(index: VectorIndex, source: DataFrame, k: int) -> DataFrame:
     """The exact k nearest: ``query_id, rank, nn_id, distance, leaf``."""
-    dtype = _element(source, "vec")
+    dtype, n_queries = _element(source, "vec"), source.count()
     if index.n_leaves <= _ONE_ROUND:
-        partial = _compare(index, _route(index, source, k), k, dtype)
+        partial = _compare(index, _route(index, source, k), k, dtype, n_queries)
     else:
-        near = _compare(index, _route(index, source, k, uppers=1, leaves=1, chunk=0), k, dtype)
+        near = _compare(index, _route(index, source, k, uppers=1, leaves=1, chunk=0), k, dtype, n_queries)
         near = settle(top_rows(near, ["query_id"], ["distance", "nn_id"], k).drop("rank"), "near")
         bounds = near.groupBy("query_id").agg(
             F.when(F.count("*") >= k, F.max("distance")).alias("bound"), F.first("leaf").alias("seen")
         )
         again = source.select("query_id", "vec").join(bounds, "query_id", "left")
-        partial = near.unionByName(_compare(index, _route(index, again, k), k, dtype))
+        partial = near.unionByName(_compare(index, _route(index, again, k), k, dtype, n_queries))
     return top_rows(partial, ["query_id"], ["distance", "nn_id"], k)
 
 
@@ -648,7 +662,7 @@ def search_codes(
     short, probes = short or 20 * k, probes or index.probes
     source = _queries(queries, id_col, vec)
     dtype, index_dtype, width = _element(source, "vec"), index.dtype, index.centres.shape[1]
-    rough = _compare(index, _route(index, source, k, *probes), short, dtype, coded=True)
+    rough = _compare(index, _route(index, source, k, *probes), short, dtype, source.count(), coded=True)
     listed = top_rows(rough, ["query_id"], ["distance", "nn_id"], short)
     block, place = F.floor(F.col("nn_id") / _BLOCK_ROWS).alias("block"), (F.col("nn_id") % _BLOCK_ROWS).cast("int").alias("place")
     listed = listed.select("query_id", block, place).join(source.select("query_id", "vec"), "query_id")
