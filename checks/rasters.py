@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -50,17 +51,43 @@ def images(spark, d):
         build("s_suppkey").alias("data"))
 
 
-def mask_pixels(df, keep, mask="mask"):
-    """Mask rows -> one row per pixel."""
-    @F.pandas_udf("array<struct<y:int, x:int, v:int>>")
-    def spread(data: pd.Series) -> pd.Series:
-        def one(m):
-            a = raster.decode_mask(m)
-            return [(y, x, int(a[y, x])) for y in range(a.shape[0]) for x in range(a.shape[1])]
-
-        return data.map(one)
-
-    return df.select(*keep, F.inline(spread(F.col(mask))))
+def mask_pixels(df, keep, **masks):
+    """Mask rows -> one row per pixel: ``y, x`` and the pixel of each mask column (``v`` of ``mask``, or as named).
+
+    The masks of a row have one shape. Pixels leave Python in batches of about a quarter of a million.
+    """
+    masks = masks or {"v": "mask"}
+    source = df.select(*keep, *[F.col(c).alias(f"_{n}") for n, c in masks.items()])
+    schema = source.select(*keep).schema
+    for name in ("y", "x", *masks):
+        schema = schema.add(name, "integer")
+
+    def spread(batches):
+        for batch in batches:
+            kept = [batch.column(i) for i in range(len(keep))]
+            at, held, count = [], [], 0
+
+            def close():
+                rows = pa.array(np.repeat(at, [len(p[0]) for p in held]))
+                pixels = [pa.array(np.concatenate(c)) for c in zip(*held)]
+                return pa.RecordBatch.from_arrays([*[k.take(rows) for k in kept], *pixels], schema.names)
+
+            for i in range(batch.num_rows):
+                found = [batch.column(j)[i].as_py() for j in range(len(keep), batch.num_columns)]
+                if None in found:
+                    continue
+                arrays = [raster.decode_mask(m) for m in found]
+                y, x = np.indices(arrays[0].shape, dtype=np.int32)
+                at.append(i)
+                held.append([y.ravel(), x.ravel(), *[a.ravel().astype(np.int32) for a in arrays]])
+                count += y.size
+                if count >= 1 << 18:
+                    yield close()
+                    at, held, count = [], [], 0
+            if held:
+                yield close()
+
+    return source.mapInArrow(spread, schema)
 
 
 def image_sums(df, keep):
@@ -195,9 +222,7 @@ def shifted(name, source, how, outside):
   select op.image_name, op.y, op.x, op.v opened, cl.v closed from op join cl using (image_name, y, x)""")
 def open_close(spark, d):
     out = raster.open_close(masks(spark, d), 1)
-    opened = mask_pixels(out, ["image_name"], "opened").withColumnRenamed("v", "opened")
-    closed = mask_pixels(out, ["image_name"], "closed").withColumnRenamed("v", "closed")
-    return opened.join(closed, ["image_name", "y", "x"])
+    return mask_pixels(out, ["image_name"], opened="opened", closed="closed")
 
 
 @query("ras09_connected_components", f"""with recursive {MASK}, on_px as (select image_name, y, x, y * {W} + x id from mask_px where v = 1),

@@ -193,3 +193,35 @@ def test_class_masks_fill_absent_classes(spark):
     assert list(wide["a"].asDict()) == ["image_name", *[f"{c}_mask" for c in raster.MASK_CLASSES]]
     assert raster.decode_mask(wide["a"].leaf_mask).sum() == 12
     assert raster.decode_mask(wide["b"].rock_mask).shape == (2, 2) and raster.decode_mask(wide["b"].leaf_mask).sum() == 0
+
+
+def test_rows_made_in_python_come_back_in_bounded_batches(spark, monkeypatch):
+    """Tiles and crops of many images do not gather in one batch, and each stays beside its own row."""
+    monkeypatch.setattr(raster, "_OUT_ROWS", 5)
+    pixels = [np.random.default_rng(i).integers(0, 256, (4, 6, 3), dtype=np.uint8) for i in range(7)]
+    rows = [(f"i{i}", 4, 6, 3, bytearray(p.tobytes())) for i, p in enumerate(pixels)]
+    images = spark.createDataFrame(rows, "image_name string, height int, width int, channels int, data binary").coalesce(1)
+    tiles = raster.tile_image(images, 2)
+    found = tiles.collect()
+    assert len(found) == 28
+    for r in found:
+        y, x = 2 * (r.tile % 2), 3 * (r.tile // 2)
+        assert bytes(r.data) == pixels[int(r.image_name[1:])][y : y + 2, x : x + 3].tobytes()
+    boxes = [(f"i{i}", j, j % 3, j % 2, j % 3 + 2, j % 2 + 3, 0.5, f"b{j}") for i in range(7) for j in range(20)]
+    boxes.append((None, 1, 0, 0, 1, 1, 0.5, None))
+    df = spark.createDataFrame(boxes, "image_name string, det_id bigint, x0 int, y0 int, x1 int, y1 int, score double, label string")
+    crops = det.crop_boxes(images, df, together=8).collect()
+    assert len(crops) == 140
+    for r in crops:
+        assert r.label == f"b{r.det_id}" and (r.height, r.width) == (3, 2)
+        assert bytes(r.data) == pixels[int(r.image_name[1:])][r.y0 : r.y1, r.x0 : r.x1].tobytes()
+
+
+def test_pixels_of_opened_and_closed_come_from_one_row(spark):
+    """No join of pixels: the plan of the open-close job has neither a broadcast nor a shuffle of them."""
+    from checks import rasters as jobs
+
+    made = spark.createDataFrame([("a", bytearray(raster.encode_mask(np.eye(4)))), ("b", None)], "image_name string, mask binary")
+    out = jobs.mask_pixels(raster.open_close(made, 1), ["image_name"], opened="opened", closed="closed")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["image_name", "y", "x", "opened", "closed"] and out.count() == 16

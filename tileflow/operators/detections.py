@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tileflow.operators.numbering import bounded_chunks, top_rows
+from tileflow.operators.raster import exploded
 from tileflow.sources.tables import settle
 
 # Words that mark a detection as a plant, and the detector's cut-offs.
@@ -110,20 +111,16 @@ def crop_boxes(images: DataFrame, detections: DataFrame, together: int = 256) ->
     with more than about ``together`` boxes is split into several such arrays.
     """
 
-    @F.pandas_udf("array<struct<height:int, width:int, channels:int, data:binary>>")
-    def crop(rows: pd.DataFrame) -> pd.Series:
-        def one(pixels: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> tuple:
-            out = np.zeros((max(y1 - y0, 0), max(x1 - x0, 0), pixels.shape[2]), np.uint8)
-            top, left, bottom, right = max(y0, 0), max(x0, 0), min(y1, pixels.shape[0]), min(x1, pixels.shape[1])
-            if bottom > top and right > left:
-                out[top - y0 : bottom - y0, left - x0 : right - x0] = pixels[top:bottom, left:right]
-            return (*out.shape, out.tobytes())
+    def crop(pixels: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> tuple:
+        out = np.zeros((max(y1 - y0, 0), max(x1 - x0, 0), pixels.shape[2]), np.uint8)
+        top, left, bottom, right = max(y0, 0), max(x0, 0), min(y1, pixels.shape[0]), min(x1, pixels.shape[1])
+        if bottom > top and right > left:
+            out[top - y0 : bottom - y0, left - x0 : right - x0] = pixels[top:bottom, left:right]
+        return (*out.shape, out.tobytes())
 
-        def every(r) -> list[tuple]:
-            pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
-            return [one(pixels, *corners) for corners in r.corners]
-
-        return pd.Series([every(r) for r in rows.itertuples()])
+    def every(height: int, width: int, channels: int, data: bytes, corners: list[list[int]]) -> Iterator[tuple]:
+        pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+        return (crop(pixels, *box) for box in corners)
 
     names = detections.columns
     counts = detections.groupBy("image_name").agg(F.count("*").alias("_n"))
@@ -135,9 +132,10 @@ def crop_boxes(images: DataFrame, detections: DataFrame, together: int = 256) ->
     )
     joined = grouped.join(images.select("image_name", "height", "width", "channels", "data"), "image_name")
     corners = F.transform("_boxes", lambda b: F.array(*[b[c].cast("int") for c in ("x0", "y0", "x1", "y1")]))
-    crops = crop(F.struct("height", "width", "channels", "data", corners.alias("corners")))
-    cut = joined.select(F.inline(F.arrays_zip(F.col("_boxes").alias("box"), crops.alias("crop"))))
-    return cut.select("box.*", "crop.*")
+    used = ("height", "width", "channels", "data", "_corners")
+    made = "height int, width int, channels int, data binary"
+    cut = exploded(joined.select("_boxes", *used[:-1], corners.alias("_corners")), used, made, every, "_boxes")
+    return cut.select("_boxes.*", "height", "width", "channels", "data")
 
 
 def _parallel_arrays(df: DataFrame, *keys: str) -> DataFrame:

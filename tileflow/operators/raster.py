@@ -14,8 +14,10 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tileflow.operators.shaping import unpivot_by_name
 
@@ -24,6 +26,10 @@ MASK_CLASSES = ("leaf", "flower", "plant", "sand", "wood", "tape", "tree", "rock
 POSITIVE_MASKS = ("plant_mask", "flower_mask", "leaf_mask")
 
 
+_OUT_BYTES = 8 << 20  # bytes that rows made in Python take before they go back to Spark
+_OUT_ROWS = 4096
+_ARROW = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
 # -------------------------------------------------------------------------------- array helpers
 
 
@@ -37,6 +43,62 @@ def decode_mask(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(zlib.decompress(data)))
 
 
+def exploded(
+    df: DataFrame, used: Sequence[str], made: str, make: Callable[..., Iterable[tuple]], along: str | None = None
+) -> DataFrame:
+    """The rows that ``make`` gives for the ``used`` columns of a row, beside the row's other columns.
+
+    ``made`` names the new columns (``tile int, data binary``). Of an array column ``along`` every made row gets its own
+    element. Rows are read one at a time and go back to Spark in bounded batches, so Python's memory does not depend on
+    how many rows a task has or a row becomes.
+    """
+    rest = [c for c in df.columns if c not in used and c != along]
+    fields = [f.strip().split(" ") for f in made.split(",")]
+    own = [T.StructField(along, df.schema[along].dataType.elementType)] if along else []
+    kept = [*own, *df.select(*rest).schema.fields]
+    schema = T.StructType([*kept, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]])
+    names = schema.names
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [batch.column(batch.schema.get_field_index(c)) for c in rest]
+            source = [batch.column(batch.schema.get_field_index(c)) for c in used]
+            elements, first = None, np.zeros(batch.num_rows, np.int64)
+            if along:
+                arrays = batch.column(batch.schema.get_field_index(along))
+                elements = arrays.flatten()
+                lengths = np.asarray(arrays.value_lengths().fill_null(0), np.int64)
+                first = np.cumsum(lengths) - lengths
+            held: list[tuple] = []
+            at: list[int] = []
+            place: list[int] = []
+            size = 0
+
+            def close() -> pa.RecordBatch:
+                columns = [] if elements is None else [elements.take(pa.array(place, pa.int64()))]
+                columns += [o.take(pa.array(at, pa.int64())) for o in others]
+                columns += [pa.array([row[i] for row in held], _ARROW[t]) for i, (_, t) in enumerate(fields)]
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            for i in range(batch.num_rows):
+                for j, row in enumerate(make(*[c[i].as_py() for c in source])):
+                    held.append(row)
+                    at.append(i)
+                    place.append(int(first[i]) + j)
+                    size += sum(len(x) for x in row if isinstance(x, bytes))
+                    if size >= _OUT_BYTES or len(held) >= _OUT_ROWS:
+                        yield close()
+                        held, at, place, size = [], [], [], 0
+            if held:
+                yield close()
+
+    return df.select(*([along] if along else []), *rest, *used).mapInArrow(spread, schema)
+
+
+def _image(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(height, width, channels)
+
+
 def _pixels(row) -> np.ndarray:
     return np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
 
@@ -115,29 +177,20 @@ def tile_image(images: DataFrame, n: int, order: str = "columns") -> DataFrame:
     ``order``: tiles are numbered down the columns (``columns``) or along the rows (``rows``).
     """
 
-    @F.pandas_udf("array<struct<tile:int, height:int, width:int, channels:int, data:binary>>")
-    def cut(image: pd.DataFrame) -> pd.Series:
-        return pd.Series(
-            [
-                [(i, *t.shape, t.tobytes()) for i, t in _tiles(_pixels(row), n, order)]
-                for row in image.itertuples()
-            ]
-        )
+    def cut(*image) -> Iterator[tuple]:
+        return ((i, *t.shape, t.tobytes()) for i, t in _tiles(_image(*image), n, order))
 
-    rest = [c for c in images.columns if c not in ("height", "width", "channels", "data")]
-    image = F.struct("height", "width", "channels", "data")
-    return images.select(*rest, F.inline(cut(image)))
+    used = ("height", "width", "channels", "data")
+    return exploded(images, used, "tile int, height int, width int, channels int, data binary", cut)
 
 
 def tile_mask(masks: DataFrame, n: int, mask: str = "mask", order: str = "columns") -> DataFrame:
     """n x n tiles of every mask: the other columns, ``tile`` and the tile's mask."""
 
-    @F.pandas_udf("array<struct<tile:int, mask:binary>>")
-    def cut(data: pd.Series) -> pd.Series:
-        return data.map(_known(lambda m: [(i, encode_mask(t)) for i, t in _tiles(m, n, order)]))
+    def cut(data: bytes | None) -> Iterator[tuple]:
+        return ((i, encode_mask(t)) for i, t in (() if data is None else _tiles(decode_mask(data), n, order)))
 
-    rest = [c for c in masks.columns if c != mask]
-    return masks.select(*rest, F.inline(cut(F.col(mask)))).withColumnRenamed("mask", mask)
+    return exploded(masks, [mask], f"tile int, {mask} binary", cut)
 
 
 def tile_coverage(masks: DataFrame, n: int, mask: str = "mask", order: str = "columns") -> DataFrame:
@@ -318,24 +371,15 @@ def masked_tiles(
     Gives the other columns, ``mask_type, tile, height, width, channels, data``. The pixels of an image
     go to Python once for all its masks; a null mask gives no tiles.
     """
-    tile = "mask_type:string, tile:int, height:int, width:int, channels:int, data:binary"
-
-    @F.pandas_udf(f"array<struct<{tile}>>")
-    def cut(image: pd.DataFrame) -> pd.Series:
-        def every(row) -> list[tuple]:
-            pixels = _pixels(row)
-            return [
-                (name, i, *t.shape, t.tobytes())
-                for name in types
-                if getattr(row, name) is not None
-                for i, t in _tiles(_blanked(pixels, getattr(row, name), fill_mean), n, order)
-            ]
-
-        return pd.Series([every(row) for row in image.itertuples()])
+    def cut(height: int, width: int, channels: int, data: bytes, *masks: bytes | None) -> Iterator[tuple]:
+        pixels = _image(height, width, channels, data)
+        for name, mask in zip(types, masks):
+            if mask is not None:
+                for i, t in _tiles(_blanked(pixels, mask, fill_mean), n, order):
+                    yield (name, i, *t.shape, t.tobytes())
 
     used = ("height", "width", "channels", "data", *types)
-    rest = [c for c in df.columns if c not in used]
-    return df.select(*rest, F.inline(cut(F.struct(*used))))
+    return exploded(df, used, "mask_type string, tile int, height int, width int, channels int, data binary", cut)
 
 
 def center_crop_resize(images: DataFrame, size: int) -> DataFrame:
