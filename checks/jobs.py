@@ -325,8 +325,8 @@ def three_valued(spark, d):
   select c_custkey plot, count(distinct s_suppkey) n, sum(distinct s_suppkey)::bigint total from h join s using (h) group by 1""")
 def candidates(spark, d):
     plots, species = habitat_tables(spark, d)
-    out = records.candidates_by_habitat(plots, species, "plot", "s_suppkey", "habitats")
-    return out.groupBy("plot").agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("total"))
+    measures = [F.count("*").alias("n"), F.sum("s_suppkey").alias("total")]
+    return records.candidates_by_habitat(plots, species, "plot", "s_suppkey", "habitats", measures)
 
 
 def habitat_tables(spark, d):

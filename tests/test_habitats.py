@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tileflow.operators import records
 
 
@@ -23,3 +25,17 @@ def test_habitat_sets_and_their_candidates(spark):
     want = [("a", 1), ("a", 2), ("b", 1), ("b", 2), (None, 2)]
     assert sorted(map(tuple, pairs.collect()), key=str) == sorted(want, key=str)
     assert records.candidates_by_habitat(plots.limit(0), species, "plot", "species", "habitats").count() == 0
+
+
+def test_measures_of_candidates_without_the_pairs(spark):
+    plots = spark.createDataFrame(
+        [("a", ["wood"]), ("a", ["moor", "wood"]), ("b", ["moor"]), ("c", ["wood", "moor"]), ("d", ["sea"]), ("e", None), (None, ["moor"])],
+        "plot string, habitats array<string>",
+    )
+    species = spark.createDataFrame([(1, ["moor", "wood"]), (2, ["wood"]), (4, ["moor"])], "species int, habitats array<string>")
+    pairs = records.candidates_by_habitat(plots, species, "plot", "species", "habitats")
+    want = [("a", 1), ("a", 2), ("a", 4), ("b", 1), ("b", 4), ("c", 1), ("c", 2), ("c", 4), (None, 1), (None, 4)]
+    assert sorted(map(tuple, pairs.collect()), key=str) == sorted(want, key=str)
+    measures = [F.count("*").alias("n"), F.sum("species").alias("total")]
+    got = records.candidates_by_habitat(plots, species, "plot", "species", "habitats", measures)
+    assert {tuple(r) for r in got.collect()} == {("a", 3, 7), ("b", 2, 5), ("c", 3, 7), (None, 2, 5)}

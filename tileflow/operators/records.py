@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tileflow.operators.numbering import dense_row_id
@@ -127,13 +127,24 @@ def candidates_by_set(sets: DataFrame, species: DataFrame, item: str, habitats:
     return wanted.join(offered, "_h").select("set_id", item).distinct()
 
 
-def candidates_by_habitat(plots: DataFrame, species: DataFrame, plot: str, item: str, habitats: str) -> DataFrame:
+def candidates_by_habitat(
+    plots: DataFrame, species: DataFrame, plot: str, item: str, habitats: str, measures: Sequence[Column] = ()
+) -> DataFrame:
     """Species that share at least one habitat with a plot: ``plot, item``.
 
-    The pairs written out; ``habitat_sets`` and ``candidates_by_set`` hold the same in far fewer rows.
+    The pairs written out; ``habitat_sets`` and ``candidates_by_set`` hold the same in far fewer rows. A plot that is
+    listed more than once has the habitats of all its rows. With ``measures`` (aggregates over the species of a plot)
+    there is one row for each plot with candidates: plots of one set share their species, so these are aggregated once
+    for each set, and the pairs of plots and species are not written out.
     """
-    sets, members = habitat_sets(plots, plot, habitats)
-    return members.join(candidates_by_set(sets, species, item, habitats), "set_id").select(plot, item).distinct()
+    # one row and so one set for each plot: no pair comes twice, and the pairs need no shuffle
+    whole = plots.groupBy(plot).agg(F.flatten(F.collect_list(habitats)).alias(habitats))
+    sets, members = habitat_sets(whole, plot, habitats)
+    found = candidates_by_set(sets, species, item, habitats)
+    if measures:
+        of_set = found.groupBy("set_id").agg(*measures)
+        return members.join(of_set, "set_id").drop("set_id")
+    return members.join(found, "set_id").select(plot, item)
 
 
 def missing_batches(batches: DataFrame, outputs: DataFrame, on: str) -> DataFrame:
