@@ -424,7 +424,7 @@ def utilisation(spark, d):
 @query("ext01_stream_files", "select 's_suppkey=' || s_suppkey folder, s_name text from supplier")
 def stream_files(spark, d):
     source, out, state = (new_path(spark, x) for x in ("drop", "ingested", "state"))
-    v.table(spark, d, "supplier").select("s_suppkey", "s_name").write.partitionBy("s_suppkey").text(source)
+    v.write_folders(spark, d, source)
     run = feeds.ingest_files(feeds.stream_files(spark, source, "*.txt"), out, state, 4)
     run.awaitTermination()
     got = spark.read.parquet(out)

@@ -271,7 +271,7 @@ def grid_label(spark, d):
 @query("src01_scan_binary_dir", "select 's_suppkey=' || s_suppkey folder, s_name text, length(s_name) + 1 bytes from supplier")
 def scan_binary_dir(spark, d):
     path = new_path(spark, "files")
-    v.table(spark, d, "supplier").select("s_suppkey", "s_name").write.partitionBy("s_suppkey").text(path)
+    v.write_folders(spark, d, path)
     files = readers.image_table(readers.scan_binary_dir(spark, path, "*.txt"), "/nowhere")
     return files.select(
         F.element_at(F.split("path", "/"), -2).alias("folder"),

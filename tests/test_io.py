@@ -250,3 +250,14 @@ def test_hot_bucket_is_split_and_small_ones_are_one_file(spark, tmp_path):
     assert hot > 3 and len(files) == 40
     assert sum(n == 1 for n in files.values()) >= 36  # but for those that share a partition with the hot one
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60_000
+
+
+def test_folders_of_suppliers_are_written_by_tasks(spark, tmp_path):
+    """One folder for each key; an absent name is an empty line, as Spark's text writer gives it."""
+    from checks import views
+
+    rows = [(i, f"name {i}" if i else None) for i in range(30)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    views.write_folders(spark, str(tmp_path), f"file:{tmp_path}/out")
+    found = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
+    assert found == {f"s_suppkey={i}": f"{name or ''}\n" for i, name in rows}
