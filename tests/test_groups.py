@@ -177,3 +177,12 @@ def test_bounds_leave_the_centres_as_they_are(spread):
         near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
         centres = np.array([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(8)])
     assert np.allclose(clusters._lloyd(x, 8, 30), centres, atol=1e-9)
+
+
+def test_row_numbers_write_their_rows_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(numbering, "settle", lambda df, label="table", real=numbering.settle: written.append(label) or real(df, label))
+    df = spark.createDataFrame([(k, i) for i in range(40) for k in ("a", "b", None)], "key string, i int").repartition(4)
+    rows = numbering.row_number_by_key(df, ["key"], ["i"]).collect()
+    assert {(r.key, r.row_number) for r in rows} == {(k, i + 1) for i in range(40) for k in ("a", "b", None)}
+    assert all(r.row_number == r.i + 1 for r in rows) and written == ["rows"]

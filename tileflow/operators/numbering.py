@@ -36,7 +36,8 @@ def row_number_by_key(
     df: DataFrame, key: Sequence[str], order: Sequence[Column | str], name: str = "row_number"
 ) -> DataFrame:
     """Number the rows of each key from 1, however many rows one key holds."""
-    numbered = settle(dense_row_id(df, [*key, *order], "_id"), "numbered").withColumn("_group", F.struct(*key))
+    # the rows are settled once, inside: what follows only reads them twice
+    numbered = dense_row_id(df, [*key, *order], "_id").withColumn("_group", F.struct(*key))
     first = numbered.groupBy("_group").agg(F.min("_id").alias("_first"))  # a null key is a key like others
     return (
         numbered.join(first, "_group")
