@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tileflow.operators import neighbours as nn
+from tileflow.operators.numbering import top_rows
 
 
 def unit(x):
@@ -154,3 +155,22 @@ def test_copied_blocks_are_not_broadcast(spark, data):
         spark.conf.set("spark.sql.shuffle.partitions", kept)
     assert nn._copies(n_slots=2, tasks=200, n_queries=10_256, n_vectors=10_256, vector_bytes=256) == 11
     assert nn._copies(n_slots=25, tasks=200, n_queries=10**5, n_vectors=10**9, vector_bytes=256) == 1
+
+
+def test_codes_send_k_rows_of_a_pivot(spark, many, monkeypatch):
+    """Vectors are compared where their codes are read: no short list of 20 k rows leaves a pivot."""
+    _, t, built = many
+    merged = []
+    monkeypatch.setattr(nn, "top_rows", lambda rows, *rest: merged.append(rows) or top_rows(rows, *rest))
+    found = nn.search_codes(built, t.where("id % 20 = 0"), "id", "v", 10)
+    most = merged[0].groupBy("query_id", "leaf").count().agg(F.max("count")).first()[0]
+    assert len(merged) == 1 and most == 10
+    assert found.count() == 2000
+
+
+def test_best_by_codes_is_exact_where_the_list_holds_the_best(data):
+    queries, index = data
+    asked, block, ids = unit(queries), unit(index), np.arange(len(index)) * 3
+    gaps, found = nn._best_in_block(asked, block, ids, 5)
+    by_codes, listed = nn._best_by_codes(asked, block, block.astype(np.float32), ids, 5, 20)
+    assert (found == listed).all() and np.allclose(gaps, by_codes, atol=1e-11)

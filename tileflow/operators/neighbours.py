@@ -473,7 +473,7 @@ def _met(index: VectorIndex, packs: DataFrame, columns: list[str], n_queries: in
     """
     spark = packs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    vector_bytes = len(index.books) if "codes" in columns else index.centres.shape[1] * np.dtype(index.dtype).itemsize
+    vector_bytes = index.centres.shape[1] * np.dtype(index.dtype).itemsize + (len(index.books) if "codes" in columns else 0)
     splits = _copies(index.n_slots, tasks, n_queries, int(index.held.sum()), vector_bytes)
     blocks = index.blocks.select("leaf", *columns, F.xxhash64("block").alias("lot"))
     if index.n_slots > index.n_leaves:
@@ -487,21 +487,23 @@ def _met(index: VectorIndex, packs: DataFrame, columns: list[str], n_queries: in
     return packs.join(blocks.hint("merge"), ["leaf", "slot", "split"])
 
 
-def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, n_queries: int, coded: bool = False) -> DataFrame:
+def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, n_queries: int, short: int | None = None) -> DataFrame:
     """The k best in each lower pivot for the query rows of ``_route``: ``query_id, nn_id, distance, leaf``.
 
-    ``coded`` reads the codes instead of the vectors; ``nn_id`` is then the block's number and the place in it.
+    ``short`` reads the codes of a block first and compares its vectors only with the ``short`` best of each query.
     """
     index_dtype, width, books = index.dtype, index.centres.shape[1], index.books
     query_type = rows.schema["query_id"].dataType.simpleString()
-    id_type = "bigint" if coded else index.blocks.schema["ids"].dataType.elementType.simpleString()
+    id_type = index.blocks.schema["ids"].dataType.elementType.simpleString()
 
-    def vectors(row) -> tuple[np.ndarray, np.ndarray]:
-        if coded:
-            return row.block * _BLOCK_ROWS + np.arange(row.n), _decode(row.codes, row.n, books)[:, :width]
+    def best(row, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         by_id = np.argsort(row.ids, kind="stable")
         ids = np.asarray(row.ids)[by_id]
-        return ids, _from_bytes(row.data, len(ids), index_dtype)[by_id]
+        block = _from_bytes(row.data, len(ids), index_dtype)[by_id]
+        if short is None or len(ids) <= short:
+            return _best_in_block(asked, block, ids, k)
+        rough = _decode(row.codes, len(ids), books)[by_id, :width]
+        return _best_by_codes(asked, block, rough, ids, k, short)
 
     def nearest_in_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # best neighbours so far of the packs met last: one pack meets the blocks of its slot in a row
@@ -516,9 +518,7 @@ def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, n_queries:
         for pdf in batches:
             for row in pdf.itertuples():
                 q_ids = np.asarray(row.q_ids)
-                ids, block = vectors(row)
-                asked = _from_bytes(row.q_data, len(q_ids), dtype)
-                gaps, found = _best_in_block(asked.astype(block.dtype), block, ids, k)
+                gaps, found = best(row, _from_bytes(row.q_data, len(q_ids), dtype))
                 key = (row.leaf, row.slot, q_ids[0])
                 if key in held:
                     _, bounds, before, before_ids = held.pop(key)
@@ -532,7 +532,7 @@ def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, n_queries:
             yield close(key)
 
     packs = _packs(rows, "leaf", {"slots": "int", "bound": "double"}, width, dtype)
-    pairs = _met(index, packs, ["block", "n", "codes"] if coded else ["ids", "data"], n_queries)
+    pairs = _met(index, packs, ["ids", "data"] if short is None else ["ids", "data", "codes"], n_queries)
     return pairs.mapInPandas(nearest_in_pairs, f"query_id {query_type}, nn_id {id_type}, distance double, leaf bigint")
 
 
@@ -580,6 +580,25 @@ def _best_in_block(vectors: np.ndarray, block: np.ndarray, ids: np.ndarray, k: i
     return np.concatenate(gaps), np.concatenate(found)
 
 
+def _best_by_codes(
+    vectors: np.ndarray, block: np.ndarray, rough: np.ndarray, ids: np.ndarray, k: int, short: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_best_in_block``, but among the ``short`` block rows whose decoded codes ``rough`` are nearest."""
+    step = max(1, min(_SLICE_ROWS, _BLOCK_BYTES // (8 * short * block.shape[1])))
+    squares, gaps, found = (block * block).sum(1), [], []
+    for start in range(0, len(vectors), _SLICE_ROWS):
+        asked = vectors[start : start + _SLICE_ROWS]
+        listed = np.sort(_k_smallest(_distances(asked.astype(np.float32), rough), short), axis=1)  # in id order
+        for first in range(0, len(asked), step):
+            part, at = asked[first : first + step], listed[first : first + step]
+            exact = (part * part).sum(1)[:, None] + squares[at] - 2.0 * np.matmul(block[at], part[:, :, None])[:, :, 0]
+            exact = np.maximum(np.round(exact, 12), 0.0)
+            best = _k_smallest(exact, k)
+            gaps.append(np.take_along_axis(exact, best, 1))
+            found.append(ids[np.take_along_axis(at, best, 1)])
+    return np.concatenate(gaps), np.concatenate(found)
+
+
 def _merge(gaps: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k smallest of two lists side by side, by distance and then id."""
     order = np.argsort(ids, axis=1, kind="stable")
@@ -653,36 +672,16 @@ def search_codes(
 ) -> DataFrame:
     """About the k nearest index vectors of every query: ``query_id, rank, nn_id, distance``, distances exact.
 
-    Every query goes to ``probes`` pivots (those kept with the index), whose codes are read instead of the vectors:
-    look-ups in the code books give them back roughly. The ``short`` best (20 k) of all pivots are then compared
-    exactly; only the blocks that hold one are read, and their queries come in packs as in ``search``.
+    Every query goes to ``probes`` pivots (those kept with the index). In each of their blocks the codes are read first:
+    look-ups in the code books give the vectors back roughly. The ``short`` best (20 k) of a block are compared exactly
+    in the same place, so at most k rows of a query leave a pivot, and its vector travels once to each pivot.
     """
     if index.books is None:
         raise ValueError("build the index with codes=True")
-    short, probes = short or 20 * k, probes or index.probes
+    short, probes = max(k, short or 20 * k), probes or index.probes
     source = _queries(queries, id_col, vec)
-    dtype, index_dtype, width = _element(source, "vec"), index.dtype, index.centres.shape[1]
-    rough = _compare(index, _route(index, source, k, *probes), short, dtype, source.count(), coded=True)
-    listed = top_rows(rough, ["query_id"], ["distance", "nn_id"], short)
-    block, place = F.floor(F.col("nn_id") / _BLOCK_ROWS).alias("block"), (F.col("nn_id") % _BLOCK_ROWS).cast("int").alias("place")
-    listed = listed.select("query_id", block, place).join(source.select("query_id", "vec"), "query_id")
-    query_type = source.schema["query_id"].dataType.simpleString()
-    id_type = index.blocks.schema["ids"].dataType.elementType.simpleString()
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
-                asked = _from_bytes(row.q_data, len(row.q_ids), dtype)
-                there = _from_bytes(row.data, len(row.ids), index_dtype)[np.asarray(row.place)]
-                squares = (asked * asked).sum(1) + (there * there).sum(1) - 2.0 * (asked * there).sum(1)
-                gaps = np.maximum(np.round(squares, 12), 0.0)
-                yield pd.DataFrame({"query_id": row.q_ids, "nn_id": np.asarray(row.ids)[row.place], "distance": gaps})
-
-    packs = _packs(listed, "block", {"place": "int"}, width, dtype)
-    pairs = packs.join(index.blocks.select("block", "ids", "data"), "block")
-    near = pairs.mapInPandas(exact, f"query_id {query_type}, nn_id {id_type}, distance double")
-    best = top_rows(near, ["query_id"], ["distance", "nn_id"], k)
-    return best.select("query_id", "rank", "nn_id", "distance")
+    near = _compare(index, _route(index, source, k, *probes), k, _element(source, "vec"), source.count(), short)
+    return top_rows(near, ["query_id"], ["distance", "nn_id"], k).select("query_id", "rank", "nn_id", "distance")
 
 
 def knn_approx(
