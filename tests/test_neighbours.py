@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,16 @@ def test_best_by_codes_is_exact_where_the_list_holds_the_best(data):
     gaps, found = nn._best_in_block(asked, block, ids, 5)
     by_codes, listed = nn._best_by_codes(asked, block, block.astype(np.float32), ids, 5, 20)
     assert (found == listed).all() and np.allclose(gaps, by_codes, atol=1e-11)
+
+
+def test_arrow_rows_are_views_of_their_batch():
+    """A batch of pairs is not copied to be read; text ids and an empty list work too."""
+    ids = pa.array([[3, 1], [], [7]], pa.list_(pa.int64()))
+    names = pa.array([["b", "a"], [], ["c"]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_pydict({"leaf": [4, 5, 6], "ids": ids, "names": names, "data": pa.array([b"xy", b"", b"z"])})
+    rows = list(nn._arrow_rows(iter([batch])))
+    assert [(r.leaf, r.ids.tolist(), list(r.names), bytes(r.data)) for r in rows] == [
+        (4, [3, 1], ["b", "a"], b"xy"), (5, [], [], b""), (6, [7], ["c"], b"z")]
+    assert np.shares_memory(rows[0].ids, batch.column("ids").flatten().to_numpy())
+    start, data = batch.column("data").buffers()[2].address, rows[2].data.address
+    assert data == start + 2

@@ -10,12 +10,15 @@ import pickle
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields, replace
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tileflow.functions.vectors import doubles
 from tileflow.operators.numbering import top_rows
@@ -34,6 +37,7 @@ _ONE_ROUND = 4  # up to this many cells are searched at once
 _KEYS_PER_TASK = 4  # join keys wanted per task
 _OPEN_PACKS = 64  # packs of queries whose best neighbours a task holds
 _SLICE_ROWS = 512  # queries compared with a block at a time
+_GAP_BYTES = 4 << 20  # distances of a slice of queries to a block
 _SLOT_BLOCKS = 16  # blocks of one cell that share a join key
 _COPY_BYTES = 256 << 20  # copies of an index's blocks that may be made for more join keys
 
@@ -487,6 +491,24 @@ def _met(index: VectorIndex, packs: DataFrame, columns: list[str], n_queries: in
     return packs.join(blocks.hint("merge"), ["leaf", "slot", "split"])
 
 
+def _arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[SimpleNamespace]:
+    """Rows of Arrow batches without a copy: lists as numpy arrays and binaries as buffers, which are the batch's own."""
+
+    def cells(column: pa.Array) -> Callable:
+        if pa.types.is_binary(column.type):
+            _, ends, data = column.buffers()
+            ends = np.frombuffer(ends, np.int32)[column.offset :]
+            return lambda i: data.slice(ends[i], ends[i + 1] - ends[i])
+        if pa.types.is_list(column.type):
+            return lambda i: column[i].values.to_numpy(zero_copy_only=False)
+        return lambda i: column[i].as_py()
+
+    for batch in batches:
+        read = {c: cells(batch.column(at)) for at, c in enumerate(batch.schema.names)}
+        for i in range(batch.num_rows):
+            yield SimpleNamespace(**{c: cell(i) for c, cell in read.items()})
+
+
 def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, n_queries: int, short: int | None = None) -> DataFrame:
     """The k best in each lower pivot for the query rows of ``_route``: ``query_id, nn_id, distance, leaf``.
 
@@ -505,35 +527,37 @@ def _compare(index: VectorIndex, rows: DataFrame, k: int, dtype: str, n_queries:
         rough = _decode(row.codes, len(ids), books)[by_id, :width]
         return _best_by_codes(asked, block, rough, ids, k, short)
 
-    def nearest_in_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def nearest_in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # best neighbours so far of the packs met last: one pack meets the blocks of its slot in a row
         held: dict[tuple, tuple] = {}
 
-        def close(key: tuple) -> pd.DataFrame:
+        def close(key: tuple) -> pa.RecordBatch:
             q_ids, bounds, gaps, ids = held.pop(key)
             inside = gaps <= bounds[:, None]
-            found = {"query_id": np.repeat(q_ids, inside.sum(1)), "nn_id": ids[inside], "distance": gaps[inside]}
-            return pd.DataFrame(found | {"leaf": key[0]})
-
-        for pdf in batches:
-            for row in pdf.itertuples():
-                q_ids = np.asarray(row.q_ids)
-                gaps, found = best(row, _from_bytes(row.q_data, len(q_ids), dtype))
-                key = (row.leaf, row.slot, q_ids[0])
-                if key in held:
-                    _, bounds, before, before_ids = held.pop(key)
-                    gaps, found = _merge(np.hstack([before, gaps]), np.hstack([before_ids, found]), k)
-                else:
-                    bounds = np.asarray(row.bound)
-                    if len(held) >= _OPEN_PACKS:
-                        yield close(next(iter(held)))
-                held[key] = (q_ids, bounds, gaps, found)
+            n = inside.sum(1)
+            columns = [np.repeat(q_ids, n), ids[inside], gaps[inside], np.full(n.sum(), key[0])]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        for row in _arrow_rows(batches):
+            q_ids = np.array(row.q_ids)  # what is held is copied, else it would keep its batch
+            gaps, found = best(row, _from_bytes(row.q_data, len(q_ids), dtype))
+            key = (row.leaf, row.slot, q_ids[0])
+            if key in held:
+                _, bounds, before, before_ids = held.pop(key)
+                gaps, found = _merge(np.hstack([before, gaps]), np.hstack([before_ids, found]), k)
+            else:
+                bounds = np.array(row.bound)
+                if len(held) >= _OPEN_PACKS:
+                    yield close(next(iter(held)))
+            held[key] = (q_ids, bounds, gaps, found)
         for key in list(held):
             yield close(key)
 
     packs = _packs(rows, "leaf", {"slots": "int", "bound": "double"}, width, dtype)
     pairs = _met(index, packs, ["ids", "data"] if short is None else ["ids", "data", "codes"], n_queries)
-    return pairs.mapInPandas(nearest_in_pairs, f"query_id {query_type}, nn_id {id_type}, distance double, leaf bigint")
+    schema = T.StructType.fromDDL(f"query_id {query_type}, nn_id {id_type}, distance double, leaf bigint")
+    names, types = schema.names, [f.type for f in to_arrow_schema(schema)]
+    return pairs.mapInArrow(nearest_in_pairs, schema)
 
 
 def _queries(queries: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -572,8 +596,9 @@ def search(index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int
 def _best_in_block(vectors: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distances and ids of the k nearest block rows (which are in id order) for every vector."""
     gaps, found = [], []
-    for start in range(0, len(vectors), _SLICE_ROWS):
-        every = _distances(vectors[start : start + _SLICE_ROWS], block)
+    step = max(1, min(_SLICE_ROWS, _GAP_BYTES // (8 * len(block))))
+    for start in range(0, len(vectors), step):
+        every = _distances(vectors[start : start + step], block)
         best = _k_smallest(every, k)
         gaps.append(np.take_along_axis(every, best, 1))
         found.append(ids[best])
