@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tileflow.operators import detections as det, raster
+from tileflow.sources.tables import settle
 
 
 def mask_table(spark, arrays, **extra):
@@ -225,3 +226,19 @@ def test_pixels_of_opened_and_closed_come_from_one_row(spark):
     out = jobs.mask_pixels(raster.open_close(made, 1), ["image_name"], opened="opened", closed="closed")
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.columns == ["image_name", "y", "x", "opened", "closed"] and out.count() == 16
+
+
+def test_crowded_boxes_travel_once_and_narrow(spark, monkeypatch):
+    """A round writes the boxes without a second copy of their name, id and score; no table of crowded images is joined."""
+    rng = np.random.default_rng(3)
+    rows = [(f"i{i % 5}", i, *map(float, (x := rng.integers(0, 60, 2))), *map(float, x + 30), float(rng.random()), "leaves")
+            for i in range(60)]
+    df = spark.createDataFrame(rows, det.DETECTION)
+    written = []
+    monkeypatch.setattr(det, "settle", lambda df, label: written.append((label, df.schema)) or settle(df, label))
+    few = sorted(map(tuple, det.detections_nms(df, crowd=2).collect()))
+    assert few == sorted(map(tuple, det.detections_nms(df).collect())) and len(few) > 10
+    label, schema = written[0]
+    assert label == "boxes" and "crowded" not in {label for label, _ in written}
+    assert schema["box"].dataType.names == ["neg", "det_id", "row", "number"]
+    assert schema["box"].dataType["row"].dataType.names == ["x0", "y0", "x1", "y1", "label"]

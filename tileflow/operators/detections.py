@@ -6,6 +6,7 @@ A detection is one row ``image_name, det_id, x0, y0, x1, y1, score, label``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,14 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared, union), F.lit(0.0))
 
 
+def _pixels(box: Column) -> Column:
+    """``x, y, w, h`` of a box in whole pixels; they are not carried along, the corners give them."""
+    row = box["row"]
+    width, height = (row["x1"] - row["x0"]).cast("bigint"), (row["y1"] - row["y0"]).cast("bigint")
+    corner = (row["x0"].cast("bigint").alias("x"), row["y0"].cast("bigint").alias("y"))
+    return F.struct(*corner, width.alias("w"), height.alias("h"))
+
+
 def _greedy(boxes: DataFrame, iou: float) -> DataFrame:
     """Kept boxes of each image: best first, a box is dropped when it overlaps a kept one too much.
 
@@ -46,9 +55,9 @@ def _greedy(boxes: DataFrame, iou: float) -> DataFrame:
     kept = F.aggregate(
         "boxes",
         F.array().cast(box),
-        lambda acc, b: F.when(F.exists(acc, lambda k: _overlap(k, b) > iou), acc).otherwise(F.array_append(acc, b)),
+        lambda acc, b: F.when(F.exists(acc, lambda k: _overlap(_pixels(k), _pixels(b)) > iou), acc).otherwise(F.array_append(acc, b)),
     )
-    return boxes.select("image", kept.alias("kept"), F.element_at("boxes", -1).alias("last"))
+    return boxes.select("image", kept.alias("kept"), F.element_at("boxes", -1).alias("last"), F.size("boxes").alias("n"))
 
 
 def detections_nms(
@@ -61,39 +70,35 @@ def detections_nms(
     than ``crowd`` boxes is settled in rounds: the best ``crowd`` open boxes are decided, everything
     that overlaps a kept one is dropped, and the next best follow, so no image is held at once.
     """
+    others = [c for c in df.columns if c not in ("image_name", "det_id", "score")]
     box = F.struct(
         (-F.col("score")).alias("neg"),
         "det_id",
-        F.col("x0").cast("bigint").alias("x"),
-        F.col("y0").cast("bigint").alias("y"),
-        (F.col("x1") - F.col("x0")).cast("bigint").alias("w"),
-        (F.col("y1") - F.col("y0")).cast("bigint").alias("h"),
-        F.struct(*df.columns).alias("row"),
+        F.struct(*others).alias("row"),
     )
     # the name travels in a struct, so that boxes without a name are an image like others
     boxes = df.where(F.col("score") > score).select(F.struct("image_name").alias("image"), box.alias("box"))
-    crowded = boxes.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("image")
+    crowded = boxes.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
     if crowded.isEmpty():
         decided = [_greedy(boxes, iou)]
     else:
-        crowded = settle(crowded, "crowded")
-        decided = [_greedy(boxes.join(crowded, "image", "left_anti"), iou)]
+        decided = []
         # repeated boxes differ by a number, so that a round ends between them and not beside them
         number = F.monotonically_increasing_id().alias("number")
-        rest = boxes.join(crowded, "image", "left_semi").select("image", F.struct("box.*", number).alias("box"))
-        rest = settle(rest, "boxes")
+        rest = settle(boxes.select("image", F.struct("box.*", number).alias("box")), "boxes")
         while not rest.isEmpty():
             best = top_rows(rest, ["image"], ["box"], crowd).drop("rank")
             done = settle(_greedy(best, iou), "kept")
             decided.append(done)
-            hit = F.exists("kept", lambda k: _overlap(k, F.col("box")) > iou)
-            rest = settle(
-                rest.join(done, "image").where((F.col("box") > F.col("last")) & ~hit).select("image", "box"), "boxes"
-            )
-    rows = decided[0].select(F.explode("kept.row").alias("_row"))
-    for more in decided[1:]:
-        rows = rows.unionAll(more.select(F.explode("kept.row").alias("_row")))
-    return rows.select("_row.*")
+            corners = F.transform("kept", _pixels).alias("kept")
+            full = done.where(F.col("n") == crowd).select("image", corners, "last")  # only these have more boxes
+            hit = F.exists("kept", lambda k: _overlap(k, _pixels(F.col("box"))) > iou)
+            rest = rest.join(full, "image").where((F.col("box") > F.col("last")) & ~hit)
+            rest = settle(rest.select("image", "box"), "boxes")
+    named = {"image_name": "image.image_name", "det_id": "b.det_id"} | {c: f"b.row.`{c}`" for c in others}
+    columns = [F.col(named[c]).alias(c) if c in named else (-F.col("b.neg")).alias(c) for c in df.columns]
+    rows = [d.select("image", F.explode("kept").alias("b")).select(*columns) for d in decided]
+    return reduce(DataFrame.unionAll, rows)
 
 
 def positive_labels(df: DataFrame, words: Sequence[str] = POSITIVE_WORDS, label: str = "label") -> DataFrame:
