@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(checks)
 
 H, W = 20, 24  # height and width of derived masks and images
 EDGE = W * H
+LIST_ROWS = 500_000  # predicted rows that one task makes into lists
 
 
 def prepare(spark: SparkSession) -> None:
@@ -140,7 +141,9 @@ PRED = PLOT + """, pred as (
 def pred_lists(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
     """One ordered label list per plot."""
     rows = pred_rows(spark, d)
-    rows = rows.where(flag) if flag else rows
+    # by default Spark keeps the number of its shuffle partitions, and what a task holds grows with the table
+    tasks = -(-table(spark, d, "lineitem").count() // LIST_ROWS)
+    rows = (rows.where(flag) if flag else rows).repartition(max(tasks, spark.sparkContext.defaultParallelism), "quadrat_id")
     ordered = F.array_sort(F.collect_list(F.struct("visit", "pos", "species_id")))
     return rows.groupBy("quadrat_id").agg(
         F.transform(ordered, lambda e: e["species_id"]).alias("species_ids")

@@ -261,3 +261,15 @@ def test_folders_of_suppliers_are_written_by_tasks(spark, tmp_path):
     views.write_folders(spark, str(tmp_path), f"file:{tmp_path}/out")
     found = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
     assert found == {f"s_suppkey={i}": f"{name or ''}\n" for i, name in rows}
+
+
+def test_lists_are_made_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """The number of tasks that collect lists follows the table, not Spark's number of shuffle partitions."""
+    from checks import views
+
+    d = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, views.pred_lists(spark, d).collect()))
+    monkeypatch.setattr(views, "LIST_ROWS", 500)
+    lists = views.pred_lists(spark, d)
+    assert lists.rdd.getNumPartitions() == -(-views.table(spark, d, "lineitem").count() // 500) > 4
+    assert sorted(map(tuple, lists.collect())) == whole
