@@ -507,6 +507,23 @@ def test_scores_count_word_pairs_and_triples(spark):
     assert abs(got[31] - got[32]) > 0.01
 
 
+@pytest.mark.parametrize("held", [3, 40, 400])
+def test_scores_do_not_depend_on_shards(spark, held):
+    """Small shards crowd their words: the pairs behind these are counted apart, and places are read in many runs."""
+    rng = random.Random(29)
+    rows = [prose(rng, rng.randrange(1, 60)) for _ in range(20)] + ["", "", "of the " * 40, "the yearling of the greyling"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    for frequent in (131072, 0):
+        got = lm_scoring.score_texts(frame, F.col("doc_id") != 23, classes=12, forms=7, frequent=frequent).collect()
+        cut = lm_scoring.score_texts(frame, F.col("doc_id") != 23, classes=12, forms=7, frequent=frequent, held=held).collect()
+        cut = {r.doc_id: r for r in cut}
+        for r in got:
+            assert r[:5] == cut[r.doc_id][:5] and r[5:] == pytest.approx(cut[r.doc_id][5:], abs=1e-9)
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(frame, F.lit(True), classes=12, forms=7, held=held).collect()}
+    for i, want in enumerate(want_scores(rows, 12, 7)):
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
 def test_scores_without_training(docs):
     rows = lm_scoring.score_texts(docs, F.lit(False)).collect()
     assert len(rows) == len(ROWS) and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in rows)

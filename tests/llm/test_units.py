@@ -302,6 +302,22 @@ def test_backoff_automaton_is_a_distribution():
     assert np.isclose(10**got, p2)
 
 
+def test_places_are_sent_in_few_bytes():
+    """Three words of a place take less than a row of three keys, and come back as they were."""
+    rng = np.random.default_rng(11)
+    end, n = 4000, 20_000
+    numbers = np.minimum(rng.zipf(1.3, (3, n)), end)
+    numbers[:, ::20] = end + 1 + rng.integers(0, 900, (3, n // 20))
+    key = np.concatenate((np.arange(end + 1), np.sort(rng.integers(-(2**63), 2**63, 900))))
+    other, blob = lm_scoring.coded(numbers, key, end)
+    assert sum(map(len, blob)) < 6 * n
+    keys, back = lm_scoring.decoded(blob)
+    assert np.array_equal(keys, key[other])
+    assert np.array_equal(lm_scoring.renumbered(back, keys, key[end + 1 :], end), numbers)
+    keys, back = lm_scoring.decoded(lm_scoring.coded(numbers[:, :0], key, end)[1])
+    assert len(keys) == 0 and back.shape == (3, 0)
+
+
 def test_runs_of_ids_are_those_of_the_library(vocabulary):
     library = Tokenizer.from_file(FILE)
     rng = random.Random(9)
