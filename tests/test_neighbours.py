@@ -188,3 +188,40 @@ def test_arrow_rows_are_views_of_their_batch():
     assert np.shares_memory(rows[0].ids, batch.column("ids").flatten().to_numpy())
     start, data = batch.column("data").buffers()[2].address, rows[2].data.address
     assert data == start + 2
+
+
+@pytest.mark.parametrize("k", [1, 7, 150])
+def test_queries_that_ask_most_pivots_are_sent_once(spark, k, monkeypatch):
+    """Where no pivot can be ruled out, copies of a query for each would grow with the square of the table."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 24))
+    x[100:300] = x[100]  # equal vectors go by id
+    x[5] = 0
+    sent, packs = [], nn._packs
+    monkeypatch.setattr(nn, "_ROUTED_BYTES", 0, raising=False)  # a small table may send copies otherwise
+    monkeypatch.setattr(nn, "_packs", lambda rows, *rest: sent.append(rows) or packs(rows, *rest))
+    t = table(spark, x)
+    got = nn.knn_exact(t, t, k, "id", "id", "v", pivots=40)
+    found = {(r.query_id, r["rank"]): (r.nn_id, r.distance) for r in got.collect()}
+    want = brute(x, x, k)
+    assert found.keys() == want.keys()
+    for key, (i, d) in want.items():
+        assert found[key] == (i, pytest.approx(d, abs=1e-8))
+    assert sum(rows.count() for rows in sent) <= 8 * len(x)
+
+
+def test_scan_takes_text_ids_and_missing_vectors(spark, monkeypatch):
+    monkeypatch.setattr(nn, "_ROUTED_BYTES", 0)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 24))
+    x[7, 3] = np.nan  # no neighbour of any row, and without neighbours
+    rows = [(f"t{i}", v.tolist()) for i, v in enumerate(x)] + [("none", None)]
+    t = spark.createDataFrame(rows, "id string, v array<float>").repartition(3)
+    index = nn.build_index(t.where("id <> 't7'"), "id", "v", pivots=30)
+    got = nn.search(index, t, "id", "v", 4).collect()
+    y = np.delete(x, 7, 0).astype(np.float32).astype(np.float64)
+    want = {(i, n) for (i, _), (n, _) in brute(y, y, 4).items()}
+    names = [i + (i > 6) for i in range(299)]
+    assert {(r.query_id, r.nn_id) for r in got} == {(f"t{names[i]}", f"t{names[n]}") for i, n in want}
+    plan = nn.search(index, t, "id", "v", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan

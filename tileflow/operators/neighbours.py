@@ -40,6 +40,12 @@ _SLICE_ROWS = 512  # queries compared with a block at a time
 _GAP_BYTES = 4 << 20  # distances of a slice of queries to a block
 _SLOT_BLOCKS = 16  # blocks of one cell that share a join key
 _COPY_BYTES = 256 << 20  # copies of an index's blocks that may be made for more join keys
+_FEW_COPIES = 8  # so many lower pivots a query may ask on average and still be sent to each
+_ROUTED_BYTES = 32 << 20  # queries are sent in any case while their copies have no more bytes
+_ASKED_SAMPLE = 64  # queries that tell how many lower pivots are asked
+_SCAN_ROWS = 2048  # queries in a pack that meets all blocks
+_SCAN_BYTES = 16 << 20  # queries of one task that meet all blocks
+_EXACT_PAIRS = 8192  # pairs whose exact distance is taken at once
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -566,8 +572,12 @@ def _queries(queries: DataFrame, id_col: str, vec: str) -> DataFrame:
 
 
 def _search(index: VectorIndex, source: DataFrame, k: int) -> DataFrame:
-    """The exact k nearest: ``query_id, rank, nn_id, distance, leaf``."""
+    """The exact k nearest: ``query_id, rank, nn_id, distance``."""
     dtype, n_queries = _element(source, "vec"), source.count()
+    sent = max(1, n_queries) * index.centres.shape[1] * np.dtype(dtype).itemsize
+    few = max(_FEW_COPIES, _ROUTED_BYTES / sent)
+    if index.n_leaves > few and _asked(index, source, k) > few:
+        return _scan(index, source, k, dtype, n_queries, sent)
     if index.n_leaves <= _ONE_ROUND:
         partial = _compare(index, _route(index, source, k), k, dtype, n_queries)
     else:
@@ -578,7 +588,76 @@ def _search(index: VectorIndex, source: DataFrame, k: int) -> DataFrame:
         )
         again = source.select("query_id", "vec").join(bounds, "query_id", "left")
         partial = near.unionByName(_compare(index, _route(index, again, k), k, dtype, n_queries))
-    return top_rows(partial, ["query_id"], ["distance", "nn_id"], k)
+    return top_rows(partial, ["query_id"], ["distance", "nn_id"], k).select("query_id", "rank", "nn_id", "distance")
+
+
+def _asked(index: VectorIndex, source: DataFrame, k: int) -> float:
+    """How many lower pivots a query asks on average, by ``_ASKED_SAMPLE`` queries: the first in the order of a hash.
+
+    One pass over the blocks finds their k-th distance. Only how the search goes hangs on this, not what it finds.
+    """
+    first = source.orderBy(F.xxhash64(F.lit("asked"), "query_id"), "query_id").limit(_ASKED_SAMPLE)
+    vectors, index_dtype = [r["vec"] for r in first.select("vec").collect()], index.dtype
+    units = _unit(_matrix(vectors).astype(np.float64))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                gaps, _ = _best_in_block(units, _from_bytes(row.data, row.n, index_dtype), np.arange(row.n), k)
+                yield pd.DataFrame({"no": np.repeat(np.arange(len(units)), gaps.shape[1]), "gap": gaps.ravel()})
+
+    near = top_rows(index.blocks.select("n", "data").mapInPandas(scan, "no int, gap double"), ["no"], ["gap"], k)
+    bounds = near.groupBy("no").agg(F.when(F.count("*") >= k, F.max("gap"))).collect()  # one row for a sampled query
+    rows = [(no, vectors[no], bound, None) for no, bound in bounds]
+    kind = source.schema["vec"].dataType.simpleString()
+    sample = source.sparkSession.createDataFrame(rows, f"query_id int, vec {kind}, bound double, seen bigint")
+    return _route(index, sample, k).count() / max(1, len(rows))
+
+
+def _scan(index: VectorIndex, source: DataFrame, k: int, dtype: str, n_queries: int, sent: int) -> DataFrame:
+    """As ``_search``, for queries that few pivots can be ruled out for: all packs of queries beside all blocks.
+
+    Each query is sent once, to a task that holds about ``_SCAN_BYTES`` of them; every task reads the blocks one after
+    the other and keeps the k best of its queries, so that neither copies of queries nor partial results are written.
+    """
+    spark = source.sparkSession
+    width, index_dtype = index.centres.shape[1], index.dtype
+    size = min(_SCAN_ROWS, _rows_per_block(width, dtype))
+    query_type = source.schema["query_id"].dataType.simpleString()
+    id_type = index.blocks.schema["ids"].dataType.elementType.simpleString()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _KEYS_PER_TASK * spark.sparkContext.defaultParallelism)
+    tasks = max(min(tasks, -(-n_queries // size)), -(-sent // _SCAN_BYTES))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for first in range(0, len(pdf), size):
+                rows = pdf.iloc[first : first + size]
+                data = _matrix(rows["vec"]).astype(dtype).tobytes()
+                yield pd.DataFrame([{"q_ids": rows["query_id"].to_numpy(), "q_data": data}])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, SimpleNamespace] = {}  # packs of this task with their k best so far
+        at, block = None, None
+        for row in _arrow_rows(batches):
+            if row.block != at:
+                at, block = row.block, _opened(row.ids, row.data, index_dtype)
+            if row.pack not in held:
+                held[row.pack] = _opened(row.q_ids, row.q_data, dtype)
+            _closer(held[row.pack], block, k)
+        for pack in held.values():
+            if "gaps" in vars(pack):
+                known = np.isfinite(pack.gaps)
+                rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), known.shape)
+                columns = [np.repeat(pack.ids, known.sum(1)), rank[known], pack.found[known], pack.gaps[known]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    packs = source.select("query_id", "vec").mapInPandas(pack, f"q_ids array<{query_type}>, q_data binary")
+    packs = packs.withColumn("pack", F.monotonically_increasing_id()).repartition(tasks)
+    # one partition of blocks: it is not gathered, each task reads it row by row beside the packs that it holds
+    blocks = index.blocks.select("block", "ids", "data").coalesce(1)
+    schema = T.StructType.fromDDL(f"query_id {query_type}, rank int, nn_id {id_type}, distance double")
+    names, types = schema.names, [f.type for f in to_arrow_schema(schema)]
+    return blocks.crossJoin(packs.hint("shuffle_replicate_nl")).mapInArrow(nearest, schema)
 
 
 def search(index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
@@ -589,8 +668,11 @@ def search(index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int
     out, and only neighbours within the bound come back, so the answer is exact and few rows are merged. Equal
     distances go by id. The queries of a lower pivot are packed behind a shuffle, so packs are full where many
     queries ask the same pivot, however many pivots there are.
+
+    Where the inequality rules out too little (a sample tells, ``_asked``), copies of queries for every pivot would grow
+    with the square of the table. Then each query is sent once, and its task reads all blocks (``_scan``).
     """
-    return _search(index, _queries(queries, id_col, vec), k).select("query_id", "rank", "nn_id", "distance")
+    return _search(index, _queries(queries, id_col, vec), k)
 
 
 def _best_in_block(vectors: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -605,6 +687,74 @@ def _best_in_block(vectors: np.ndarray, block: np.ndarray, ids: np.ndarray, k: i
     return np.concatenate(gaps), np.concatenate(found)
 
 
+def _opened(ids: np.ndarray, data: bytes, dtype: str) -> SimpleNamespace:
+    """Vectors of a block or a pack in double precision, with what ``_closer`` compares them by."""
+    units = _from_bytes(data, len(ids), dtype)
+    known = np.isfinite(units).all(1)  # a vector with nan is no neighbour and has none
+    units, squares = units[known], (units[known] ** 2).sum(1)
+    rounded = units.astype(np.float32)
+    centre = units.mean(0) if len(units) else np.zeros(units.shape[1])
+    gaps = np.sqrt(((units - centre) ** 2).sum(1))
+    near, far = (gaps.min(), gaps.max()) if len(units) else (np.inf, np.inf)
+    return SimpleNamespace(
+        ids=np.array(ids)[known], units=units, squares=squares, rounded=rounded, centre=centre, near=near, far=far
+    )
+
+
+def _closer(pack: SimpleNamespace, block: SimpleNamespace, k: int) -> None:
+    """Bring ``gaps`` and ``found``, the k best of each vector of ``pack`` by distance and then id, up to a block.
+
+    Products in single precision, with room for their error, leave out pairs that are beyond the k-th distance so far;
+    the distances of the others are taken in double precision and rounded as in ``_distances``.
+    """
+    if not len(pack.ids) or not len(block.ids):
+        return
+    if "gaps" not in vars(pack):
+        pack.gaps = np.full((len(pack.ids), k), np.inf)
+        pack.found = np.full((len(pack.ids), k), block.ids[0], dtype=block.ids.dtype)  # read only where the distance is finite
+    room = (block.units.shape[1] + 8) * 2.0**-22
+    half = (block.squares / 2).astype(np.float32)
+    to_centre = np.sqrt(np.maximum(pack.squares + (block.centre**2).sum() - 2.0 * pack.units @ block.centre, 0.0))
+    least = np.maximum(np.maximum(to_centre - block.far, block.near - to_centre), 0.0)
+    # beside k vectors at distance 0 only smaller ids matter
+    full = (pack.gaps[:, k - 1] == 0) & (pack.found[:, k - 1] < block.ids.min())
+    asks = np.flatnonzero((least <= np.sqrt(pack.gaps[:, k - 1]) + 1e-6) & ~full.astype(bool))
+    for first in range(0, len(asks), _SLICE_ROWS):
+        rows = asks[first : first + _SLICE_ROWS]
+        limits, last = pack.gaps[rows, k - 1], pack.found[rows, k - 1]
+        products = pack.rounded[rows] @ block.rounded.T
+        products -= half
+        floor = (pack.squares[rows] - limits - room) / 2
+        unknown = np.flatnonzero(np.isinf(floor))
+        if len(unknown) and products.shape[1] > k:
+            kth = products.shape[1] - k
+            floor[unknown] = np.partition(products[unknown], kth, axis=1)[:, kth] - room
+        pairs = np.flatnonzero((products >= floor.astype(np.float32)[:, None]).ravel())
+        q, at = np.divmod(pairs, products.shape[1])
+        sooner = (limits[q] > 0) | (block.ids[at] < last[q]).astype(bool)
+        q, at = q[sooner], at[sooner]
+        gaps = np.empty(len(q))
+        for i in range(0, len(q), _EXACT_PAIRS):
+            cut = slice(i, i + _EXACT_PAIRS)
+            a, b = rows[q[cut]], at[cut]
+            dots = np.einsum("ij,ij->i", pack.units[a], block.units[b])
+            gaps[cut] = np.maximum(np.round(pack.squares[a] + block.squares[b] - 2.0 * dots, 12), 0.0)
+        inside = gaps <= limits[q]
+        q, at, gaps = q[inside], at[inside], gaps[inside]
+        better, counts = np.unique(q, return_counts=True)
+        if not len(better):
+            continue
+        # the k best so far and the new ones of each row, in order; the first k of a row stay
+        n, better = np.arange(len(better)), rows[better]
+        row = np.concatenate([np.repeat(n, k), np.repeat(n, counts)])
+        every = np.concatenate([pack.gaps[better].ravel(), gaps])
+        ids = np.concatenate([pack.found[better].ravel(), block.ids[at]])
+        order = np.lexsort((ids, every, row))
+        start = np.cumsum(counts + k) - counts - k
+        kept = order[start[:, None] + np.arange(k)]
+        pack.gaps[better], pack.found[better] = every[kept], ids[kept]
+
+
 def _best_by_codes(
     vectors: np.ndarray, block: np.ndarray, rough: np.ndarray, ids: np.ndarray, k: int, short: int
 ) -> tuple[np.ndarray, np.ndarray]:
