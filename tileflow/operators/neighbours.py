@@ -41,6 +41,7 @@ _GAP_BYTES = 4 << 20  # distances of a slice of queries to a block
 _SLOT_BLOCKS = 16  # blocks of one cell that share a join key
 _COPY_BYTES = 256 << 20  # copies of an index's blocks that may be made for more join keys
 _FEW_COPIES = 8  # so many lower pivots a query may ask on average and still be sent to each
+_FEW_SHARE = 1 / 128  # and this share of them; above it, reading all blocks takes less time as well
 _ROUTED_BYTES = 32 << 20  # queries are sent in any case while their copies have no more bytes
 _ASKED_SAMPLE = 64  # queries that tell how many lower pivots are asked
 _SCAN_ROWS = 2048  # queries in a pack that meets all blocks
@@ -575,7 +576,7 @@ def _search(index: VectorIndex, source: DataFrame, k: int) -> DataFrame:
     """The exact k nearest: ``query_id, rank, nn_id, distance``."""
     dtype, n_queries = _element(source, "vec"), source.count()
     sent = max(1, n_queries) * index.centres.shape[1] * np.dtype(dtype).itemsize
-    few = max(_FEW_COPIES, _ROUTED_BYTES / sent)
+    few = max(1, min(_FEW_COPIES, _FEW_SHARE * index.n_leaves), _ROUTED_BYTES / sent)
     if index.n_leaves > few and _asked(index, source, k) > few:
         return _scan(index, source, k, dtype, n_queries, sent)
     if index.n_leaves <= _ONE_ROUND:
