@@ -1,8 +1,10 @@
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from checks import all_queries, compare
 from tileflow.operators import neighbours as nn
 from tileflow.operators.numbering import top_rows
 
@@ -225,3 +227,23 @@ def test_scan_takes_text_ids_and_missing_vectors(spark, monkeypatch):
     assert {(r.query_id, r.nn_id) for r in got} == {(f"t{names[i]}", f"t{names[n]}") for i, n in want}
     plan = nn.search(index, t, "id", "v", 4)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan
+
+
+@pytest.mark.parametrize("name", ["jon04_join_id_map"])
+def test_queries_on_neighbours_send_each_tile_once(spark, name, tmp_path, monkeypatch):
+    """The search below these queries makes no copy of a tile for every pivot, and the rows are those of the SQL."""
+    x = np.random.default_rng(6).normal(size=(640, 24))
+    x[:80] = x[0]
+    rows = [(i, v.tolist(), i % 7) for i, v in enumerate(x)]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(path)
+    sent, packs = [], nn._packs
+    monkeypatch.setattr(nn, "_BLOCK_ROWS", 16)  # 40 pivots
+    monkeypatch.setattr(nn, "_ROUTED_BYTES", 0, raising=False)
+    monkeypatch.setattr(nn, "_packs", lambda rows, *rest: sent.append(rows) or packs(rows, *rest))
+    got = all_queries.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    want = con.execute(all_queries.SQL[name])
+    assert compare.rows(got.columns, got.collect()) == compare.rows([c[0] for c in want.description], want.fetchall())
+    assert sum(rows.count() for rows in sent) <= 8 * len(x)
