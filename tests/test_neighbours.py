@@ -229,7 +229,7 @@ def test_scan_takes_text_ids_and_missing_vectors(spark, monkeypatch):
     assert "CartesianProduct" in plan
 
 
-@pytest.mark.parametrize("name", ["jon04_join_id_map"])
+@pytest.mark.parametrize("name", ["jon04_join_id_map", "win03_percentile_threshold_by_image"])
 def test_queries_on_neighbours_send_each_tile_once(spark, name, tmp_path, monkeypatch):
     """The search below these queries makes no copy of a tile for every pivot, and the rows are those of the SQL."""
     x = np.random.default_rng(6).normal(size=(640, 24))
