@@ -41,11 +41,12 @@ _GAP_BYTES = 4 << 20  # distances of a slice of queries to a block
 _SLOT_BLOCKS = 16  # blocks of one cell that share a join key
 _COPY_BYTES = 256 << 20  # copies of an index's blocks that may be made for more join keys
 _FEW_COPIES = 8  # so many lower pivots a query may ask on average and still be sent to each
-_FEW_SHARE = 1 / 128  # and this share of them; above it, reading all blocks takes less time as well
+_FEW_SHARE = 1 / 128  # and this share of them; above it, comparing with all blocks takes less time
 _ROUTED_BYTES = 32 << 20  # queries are sent in any case while their copies have no more bytes
 _ASKED_SAMPLE = 64  # queries that tell how many lower pivots are asked
 _SCAN_ROWS = 2048  # queries in a pack that meets all blocks
-_SCAN_BYTES = 16 << 20  # queries of one task that meet all blocks
+_SCAN_BYTES = 32 << 20  # queries that a task holds beside all blocks
+_CELLS_PER_CORE = 2  # join keys where all packs meet all blocks
 _EXACT_PAIRS = 8192  # pairs whose exact distance is taken at once
 
 
@@ -578,8 +579,8 @@ def _search(index: VectorIndex, source: DataFrame, k: int) -> DataFrame:
     sent = max(1, n_queries) * index.centres.shape[1] * np.dtype(dtype).itemsize
     few = max(1, min(_FEW_COPIES, _FEW_SHARE * index.n_leaves), _ROUTED_BYTES / sent)
     if index.n_leaves > few and _asked(index, source, k) > few:
-        return _scan(index, source, k, dtype, n_queries, sent)
-    if index.n_leaves <= _ONE_ROUND:
+        partial = _scan(index, source, k, dtype, sent)
+    elif index.n_leaves <= _ONE_ROUND:
         partial = _compare(index, _route(index, source, k), k, dtype, n_queries)
     else:
         near = _compare(index, _route(index, source, k, uppers=1, leaves=1, chunk=0), k, dtype, n_queries)
@@ -615,19 +616,23 @@ def _asked(index: VectorIndex, source: DataFrame, k: int) -> float:
     return _route(index, sample, k).count() / max(1, len(rows))
 
 
-def _scan(index: VectorIndex, source: DataFrame, k: int, dtype: str, n_queries: int, sent: int) -> DataFrame:
-    """As ``_search``, for queries that few pivots can be ruled out for: all packs of queries beside all blocks.
+def _scan(index: VectorIndex, source: DataFrame, k: int, dtype: str, sent: int) -> DataFrame:
+    """``query_id, nn_id, distance`` for queries that few pivots can be ruled out for: all packs beside all blocks.
 
-    Each query is sent once, to a task that holds about ``_SCAN_BYTES`` of them; every task reads the blocks one after
-    the other and keeps the k best of its queries, so that neither copies of queries nor partial results are written.
+    Queries are dealt to ``splits`` and blocks to ``parts``, and each pair of a split and a part is one join key. So a
+    query is sent ``parts`` times and a block ``splits`` times, whatever the number of pivots: both follow the number of
+    cores, and ``splits`` also the queries, as a task holds ``_SCAN_BYTES`` of them. It reads the blocks of its part one
+    after the other and keeps the k best of each query.
     """
     spark = source.sparkSession
     width, index_dtype = index.centres.shape[1], index.dtype
     size = min(_SCAN_ROWS, _rows_per_block(width, dtype))
     query_type = source.schema["query_id"].dataType.simpleString()
     id_type = index.blocks.schema["ids"].dataType.elementType.simpleString()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _KEYS_PER_TASK * spark.sparkContext.defaultParallelism)
-    tasks = max(min(tasks, -(-n_queries // size)), -(-sent // _SCAN_BYTES))
+    cells = _CELLS_PER_CORE * spark.sparkContext.defaultParallelism
+    # a part costs the queries and k neighbours of each, a split costs the blocks
+    splits = max(int(np.ceil((2 * cells) ** 0.5)), -(-sent // _SCAN_BYTES))
+    parts = -(-cells // splits)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -637,28 +642,41 @@ def _scan(index: VectorIndex, source: DataFrame, k: int, dtype: str, n_queries:
                 yield pd.DataFrame([{"q_ids": rows["query_id"].to_numpy(), "q_data": data}])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, SimpleNamespace] = {}  # packs of this task with their k best so far
-        at, block = None, None
+        held: dict[int, SimpleNamespace] = {}  # packs of this key with their k best so far
+        cell, at, block = None, None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            while held:
+                _, pack = held.popitem()
+                if "gaps" in vars(pack):
+                    known = np.isfinite(pack.gaps)
+                    columns = [np.repeat(pack.ids, known.sum(1)), pack.found[known], pack.gaps[known]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
         for row in _arrow_rows(batches):
+            if row.cell != cell:
+                yield from close()
+                cell = row.cell
             if row.block != at:
                 at, block = row.block, _opened(row.ids, row.data, index_dtype)
             if row.pack not in held:
                 held[row.pack] = _opened(row.q_ids, row.q_data, dtype)
             _closer(held[row.pack], block, k)
-        for pack in held.values():
-            if "gaps" in vars(pack):
-                known = np.isfinite(pack.gaps)
-                rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), known.shape)
-                columns = [np.repeat(pack.ids, known.sum(1)), rank[known], pack.found[known], pack.gaps[known]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        yield from close()
+
+    def dealt(df: DataFrame, cell: Column) -> DataFrame:
+        # many more partitions than keys, so that few keys share one
+        return df.withColumn("cell", F.explode(cell)).repartition(8 * splits * parts, "cell")
 
     packs = source.select("query_id", "vec").mapInPandas(pack, f"q_ids array<{query_type}>, q_data binary")
-    packs = packs.withColumn("pack", F.monotonically_increasing_id()).repartition(tasks)
-    # one partition of blocks: it is not gathered, each task reads it row by row beside the packs that it holds
-    blocks = index.blocks.select("block", "ids", "data").coalesce(1)
-    schema = T.StructType.fromDDL(f"query_id {query_type}, rank int, nn_id {id_type}, distance double")
+    packs = packs.withColumn("pack", F.monotonically_increasing_id())
+    split, part = F.pmod(F.xxhash64("q_ids"), F.lit(splits)), F.pmod(F.xxhash64("block"), F.lit(parts))
+    packs = dealt(packs, F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: i * splits + split))
+    blocks = index.blocks.select("block", "ids", "data")
+    blocks = dealt(blocks, F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda i: part * splits + i))
+    schema = T.StructType.fromDDL(f"query_id {query_type}, nn_id {id_type}, distance double")
     names, types = schema.names, [f.type for f in to_arrow_schema(schema)]
-    return blocks.crossJoin(packs.hint("shuffle_replicate_nl")).mapInArrow(nearest, schema)
+    return blocks.join(packs.hint("merge"), "cell").mapInArrow(nearest, schema)
 
 
 def search(index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
@@ -671,7 +689,7 @@ def search(index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int
     queries ask the same pivot, however many pivots there are.
 
     Where the inequality rules out too little (a sample tells, ``_asked``), copies of queries for every pivot would grow
-    with the square of the table. Then each query is sent once, and its task reads all blocks (``_scan``).
+    with the square of the table. Then all blocks are read beside a few large groups of queries (``_scan``).
     """
     return _search(index, _queries(queries, id_col, vec), k)
 
