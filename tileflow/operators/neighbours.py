@@ -670,7 +670,7 @@ def _scan(index: VectorIndex, source: DataFrame, k: int, dtype: str, sent: int)
 
     packs = source.select("query_id", "vec").mapInPandas(pack, f"q_ids array<{query_type}>, q_data binary")
     packs = packs.withColumn("pack", F.monotonically_increasing_id())
-    split, part = F.pmod(F.xxhash64("q_ids"), F.lit(splits)), F.pmod(F.xxhash64("block"), F.lit(parts))
+    split, part = F.pmod("pack", F.lit(splits)), F.pmod("block", F.lit(parts))  # in turn in each task that made them
     packs = dealt(packs, F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: i * splits + split))
     blocks = index.blocks.select("block", "ids", "data")
     blocks = dealt(blocks, F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda i: part * splits + i))
